@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.decontaminate import decontaminate
+from codeloom.llm.pseudonyms import pseudonymise
 from codeloom.llm.sharding import hilbert_shards
 from codeloom.llm.topk import exact_top_k
 from codeloom.llm.url_filter import match_rules
@@ -17,6 +18,15 @@ from codeloom.sources.tables import table
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+#: The key of the registered query; a real run passes a secret one.
+PSEUDONYM_KEY = "registered query"
+
+
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, PSEUDONYM_KEY).select("doc_id", "text", "n_private", "private_kinds")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"), length=10)
@@ -95,6 +105,7 @@ FROM parsed p LEFT JOIN LATERAL (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pseudonyms": op1_pseudonyms,
         "op2_decontaminate": op2_decontaminate,
         "op3_hilbert_shards": op3_hilbert_shards,
         "op6_exact_top_k": op6_exact_top_k,
