@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.decontaminate import decontaminate
+from codeloom.llm.near_dedup import hex_digits, near_duplicate_classes
+from codeloom.llm.packing import pack
 from codeloom.llm.pseudonyms import pseudonymise
 from codeloom.llm.sharding import hilbert_shards
 from codeloom.llm.topk import exact_top_k
@@ -38,6 +40,16 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), length=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "continued", "continues")
+
+
+def op5_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_duplicate_classes(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+    return classes.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
@@ -108,6 +120,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pseudonyms": op1_pseudonyms,
         "op2_decontaminate": op2_decontaminate,
         "op3_hilbert_shards": op3_hilbert_shards,
+        "op4_packing": op4_packing,
+        "op5_simhash_classes": op5_simhash_classes,
         "op6_exact_top_k": op6_exact_top_k,
         "op9_url_filter": op9_url_filter,
     }
