@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.decontaminate import decontaminate
+from codeloom.llm.language_model import language_model_scores
 from codeloom.llm.near_dedup import hex_digits, near_duplicate_classes
 from codeloom.llm.packing import pack
 from codeloom.llm.pseudonyms import pseudonymise
+from codeloom.llm.quality import held_out, quality_scores
 from codeloom.llm.sharding import hilbert_shards
 from codeloom.llm.topk import exact_top_k
 from codeloom.llm.url_filter import match_rules
@@ -54,6 +56,16 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = quality_scores(docs, table(spark, sf_dir, "labels"), train_on=~held_out("doc_id", 5, 0), threshold=0.3)
+    return scores.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"), train_on=~held_out("doc_id", 7, 2))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     return match_rules(table(spark, sf_dir, "pages"), rules)
@@ -123,6 +135,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_simhash_classes": op5_simhash_classes,
         "op6_exact_top_k": op6_exact_top_k,
+        "op7_quality": op7_quality,
+        "op8_language_model": op8_language_model,
         "op9_url_filter": op9_url_filter,
     }
 
