@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.decontaminate import decontaminate
+from codeloom.llm.html_extract import extract_main_text
 from codeloom.llm.language_model import language_model_scores
 from codeloom.llm.near_dedup import hex_digits, near_duplicate_classes
 from codeloom.llm.packing import pack
@@ -71,6 +72,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_rules(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL_DECONTAMINATE = f"""
@@ -138,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": op7_quality,
         "op8_language_model": op8_language_model,
         "op9_url_filter": op9_url_filter,
+        "op10_html_text": op10_html_text,
     }
 
 
