@@ -3,9 +3,10 @@
 Test windows (ten consecutive words of an item) are looked up in the training
 text by an index of postings (term, text, position). Corpus counts tell which
 terms of a window are rarest; only postings of such anchor terms are stored. The
-lists of a window's anchors, shifted by their offsets, are intersected on the
-start position, and what is left is compared with the text word by word. The same
-postings give proximity matches, where the anchors may be ``slop`` words astray.
+list of a window's rarest term, shifted by its offset, gives the possible starts;
+each is kept if the next rarest term's list has its place too, and what is left is
+compared with the text word by word. The same postings give proximity matches,
+where the anchors may be ``slop`` words astray.
 
 What is broadcast is derived from the test set and from the contaminated texts;
 its size is checked, and beyond the bound the same joins shuffle.
@@ -34,14 +35,18 @@ def text_key(id_column: str) -> Column:
 
 
 def test_windows(items: DataFrame, length: int) -> DataFrame:
-    """item_id, phrase (space-joined words) and n: every window of ``length`` words, or a shorter item's words."""
+    """item_id, wid, phrase (space-joined words) and n: every window of ``length`` words, or a shorter item's words.
+
+    ``wid`` is a hash of the phrase; should two phrases share one, both are compared with the text.
+    """
     split = items.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (length - 1), F.lit(1)))
-    return (
+    phrases = (
         split.select("item_id", "w", F.explode(starts).alias("i"))
         .select("item_id", F.array_join(F.slice("w", F.col("i"), length), " ").alias("phrase"), F.least(F.size("w"), F.lit(length)).alias("n"))
         .distinct()
     )
+    return phrases.withColumn("wid", F.xxhash64("phrase"))
 
 
 def small(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -50,11 +55,11 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
 
 
 def anchor_terms(windows: DataFrame, docs: DataFrame, anchors: int, max_rows: int) -> tuple[DataFrame, int]:
-    """term, phrase, n, offset, bit, full: the rarest terms of each window by count over all the texts.
+    """term, wid, n, offset, place: the rarest terms of each window by count over all the texts, from place 1.
 
     Windows with a term that no text has are left out, for they cannot occur.
     """
-    terms = windows.select("phrase", "n").distinct().select("phrase", "n", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
+    terms = windows.select("phrase", "wid", "n").distinct().select("phrase", "wid", "n", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
     terms = materialise(terms, "test-terms")
     vocabulary = terms.select("term").distinct()
     counts = (
@@ -62,15 +67,14 @@ def anchor_terms(windows: DataFrame, docs: DataFrame, anchors: int, max_rows: in
         .join(small(vocabulary, terms.count(), max_rows), "term", "left_semi")
         .groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"))
     )
-    by_rarity = Window.partitionBy("phrase").orderBy("occurrences", "offset")
+    of_window = Window.partitionBy("phrase")
     ranked = (
         terms.join(counts, "term", "left")
-        .withColumn("place", F.row_number().over(by_rarity))
-        .withColumn("known", F.count("occurrences").over(Window.partitionBy("phrase")) == F.count(F.lit(1)).over(Window.partitionBy("phrase")))
+        .withColumn("place", F.row_number().over(of_window.orderBy("occurrences", "offset")))
+        .withColumn("known", F.count("occurrences").over(of_window) == F.count(F.lit(1)).over(of_window))
         .filter(F.col("known") & (F.col("place") <= anchors))
     )
-    one = ranked.select("term", "phrase", "n", "offset", F.expr("shiftleft(1, place - 1)").alias("bit"), F.expr(f"shiftleft(1, least(n, {anchors})) - 1").alias("full"))
-    one = materialise(one, "anchors")
+    one = materialise(ranked.select("term", "wid", "n", "offset", "place"), "anchors")
     return one, one.count()
 
 
@@ -80,20 +84,27 @@ def postings(docs: DataFrame, terms: DataFrame, term_rows: int, max_rows: int, i
     return materialise(exploded.join(small(terms.select("term").distinct(), term_rows, max_rows), "term", "left_semi").select("term", "key", "pos"), "postings")
 
 
-def phrase_candidates(index: DataFrame, anchors: DataFrame, anchor_rows: int, max_rows: int) -> DataFrame:
-    """key, phrase, n, start where all of a window's anchors stand at their offsets."""
-    shifted = index.join(small(anchors, anchor_rows, max_rows), "term").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
-    return shifted.groupBy("key", "phrase", "n", "start").agg(F.bit_or("bit").alias("seen"), F.max("full").alias("full")).filter("seen = full").drop("seen", "full")
+def phrase_candidates(index: DataFrame, anchors: DataFrame, anchor_rows: int, max_rows: int, most: int) -> DataFrame:
+    """key, wid, start where all of a window's anchors stand at their offsets, from the rarest term's list on."""
+    first = anchors.filter("place = 1").select("term", "wid", "offset")
+    found = index.join(small(first, anchor_rows, max_rows), "term").select("key", "wid", (F.col("pos") - F.col("offset")).alias("start")).filter("start >= 0")
+    for place in range(2, most + 1):
+        # A window of fewer words is held against its last anchor again, which changes nothing.
+        other = anchors.filter(F.col("place") == F.least(F.lit(place), F.col("n"))).select("wid", "term", "offset")
+        found = found.join(small(other, anchor_rows, max_rows), "wid").withColumn("pos", F.col("start") + F.col("offset"))
+        found = found.join(index, ["key", "term", "pos"], "left_semi").select("key", "wid", "start")
+    return found.distinct()
 
 
-def proximity_matches(index: DataFrame, anchors: DataFrame, anchor_rows: int, slop: int, max_rows: int = 2_000_000) -> DataFrame:
-    """key, phrase where all of a window's anchors stand within ``slop`` words of one start."""
-    shifted = index.join(small(anchors, anchor_rows, max_rows), "term").withColumn("start", F.col("pos") - F.col("offset"))
-    near = Window.partitionBy("key", "phrase").orderBy("start").rangeBetween(0, slop)
-    return shifted.withColumn("seen", F.bit_or("bit").over(near)).filter("seen = full").select("key", "phrase").distinct()
+def proximity_matches(index: DataFrame, anchors: DataFrame, anchor_rows: int, most: int, slop: int, max_rows: int = 2_000_000) -> DataFrame:
+    """key, wid where all of a window's anchors stand within ``slop`` words of one start."""
+    bits = anchors.withColumns({"bit": F.expr("shiftleft(1, place - 1)"), "full": F.expr(f"shiftleft(1, least(n, {most})) - 1")})
+    shifted = index.join(small(bits, anchor_rows, max_rows), "term").withColumn("start", F.col("pos") - F.col("offset"))
+    near = Window.partitionBy("key", "wid").orderBy("start").rangeBetween(0, slop)
+    return shifted.withColumn("seen", F.bit_or("bit").over(near)).filter("seen = full").select("key", "wid").distinct()
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, length: int = 10, anchors: int = 3, max_rows: int = 2_000_000, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def phrase_matches(docs: DataFrame, items: DataFrame, length: int = 10, anchors: int = 2, max_rows: int = 2_000_000, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(key, matched) for each text with an exact match, and the windows of the items.
 
     ``matched`` is an array of struct(start, n, phrase). The key is ``text_key``.
@@ -101,10 +112,11 @@ def phrase_matches(docs: DataFrame, items: DataFrame, length: int = 10, anchors:
     windows = materialise(test_windows(items, length), "windows")
     terms, term_rows = anchor_terms(windows, docs, anchors, max_rows)
     index = postings(docs, terms, term_rows, max_rows, id_column)
-    found = materialise(phrase_candidates(index, terms, term_rows, max_rows), "candidates")
+    found = materialise(phrase_candidates(index, terms, term_rows, max_rows, anchors), "candidates")
+    phrases = windows.select("wid", "n", "phrase").distinct()
     keys = found.select("key").distinct()
     texts = docs.select(text_key(id_column).alias("key"), "text").join(small(keys, found.count(), max_rows), "key", "left_semi")
-    lists = found.groupBy("key").agg(F.collect_list(F.struct("start", "n", "phrase")).alias("found"))
+    lists = found.join(small(phrases, term_rows, max_rows), "wid").groupBy("key").agg(F.collect_list(F.struct("start", "n", "phrase")).alias("found"))
     spoken = F.filter("found", lambda m: F.array_join(F.slice(F.col("w"), m["start"] + 1, m["n"]), " ") == m["phrase"])
     matched = (
         texts.groupBy("key").agg(F.first("text").alias("text"))
@@ -114,7 +126,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, length: int = 10, anchors:
     return matched, windows
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, anchors: int = 3, max_rows: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, anchors: int = 2, max_rows: int = 2_000_000) -> DataFrame:
     """Which texts hold windows of test items.
 
     Returns every row of ``docs`` with its own columns and n_words, n_hit (words inside
@@ -139,7 +151,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, anchors:
     added = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     rows = docs.drop(*added).withColumns({"_key": text_key("doc_id"), "n_words": F.size(words(F.col("text"))).cast("long")})
     return (
-        rows.join(found.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+        rows.join(small(found.withColumnRenamed("key", "_key"), matched.count(), max_rows // 20), "_key", "left").drop("_key")
         .withColumns({
             "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")),
             "n_items": F.coalesce("n_items", F.lit(0).cast("long")),
