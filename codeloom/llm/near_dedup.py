@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.operators.components import connected_components
 from codeloom.sources.scratch import materialise
@@ -61,16 +62,23 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(set_bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of each row; fp is the fingerprint as a signed long."""
-    kept = docs.select("doc_id", "text")
+def with_fingerprint(docs: DataFrame, shingle: int = 3, name: str = "fp") -> DataFrame:
+    """All columns of ``docs`` and the fingerprint of its text as a signed long, in place of a column of that name."""
+    docs = docs.drop(name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
 
     def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            texts = batch.column(batch.schema.get_field_index("text"))
+            values = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view(np.int64))], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(of_batch, schema)
 
-    return kept.mapInArrow(of_batch, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fp long")
+
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp) of each row."""
+    return with_fingerprint(docs.select("doc_id", "text"), shingle).select("doc_id", "fp")
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -188,7 +196,7 @@ def links(fps: DataFrame, distance: int = 2, partitions: int = 3, cap: int = 64)
 
 
 def near_duplicate_classes(docs: DataFrame, shingle: int = 3, distance: int = 2, partitions: int = 3, cap: int = 64) -> DataFrame:
-    """(doc_id, fp, component_id) of each row: its fingerprint as a long, and the least doc_id of its class.
+    """(doc_id, fp, component_id, class_fp) of each row: its fingerprint as a long, the least doc_id of its class, and the class's least fingerprint.
 
     Null and empty texts, and those of white space, have fingerprint zero and are
     linked like any other. Repeated rows are each reported. A null doc_id is never the
@@ -200,9 +208,9 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 3, distance: int = 2,
     roots = connected_components(links(distinct.select("fp"), distance, partitions, cap)).withColumnRenamed("node", "fp")
     linked = materialise(distinct.join(roots, "fp"), "linked")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_linked = linked.join(least, "root").select("fp", "component_id")
-    of_all = distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(of_all, "fp").select("doc_id", "fp", "component_id")
+    of_linked = linked.join(least, "root").select("fp", "component_id", "root")
+    of_all = distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("class_fp"))
+    return prints.join(of_all, "fp").select("doc_id", "fp", "component_id", "class_fp")
 
 
 def hex_digits(fp: Column) -> Column:
