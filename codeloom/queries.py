@@ -1,0 +1,229 @@
+"""Registered queries of the graph operators, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.operators import lookups as lk
+from codeloom.operators import metrics as mt
+from codeloom.operators import neighbours as nb
+from codeloom.operators import reach as rc
+from codeloom.sources.graphs import commerce, transitions
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+SQL_COMMERCE = """
+WITH nodes AS (
+  SELECT CAST(r_regionkey AS BIGINT) * 8 AS id, 'Package' AS kind, r_name AS name, r_name AS qualified_name, 'world.src' AS file, 'Public' AS visibility, false AS is_test, CAST([] AS VARCHAR[]) AS attributes FROM region
+  UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 8 + 1, 'Package', n_name, 'nation.' || n_name, 'world.src', 'Public', false, [] FROM nation
+  UNION ALL SELECT c_custkey * 8 + 2, 'Class', c_name, 'customer.' || c_nationkey || '.' || c_name, 'customer' || c_nationkey || '.src', 'Public', false, [c_mktsegment] FROM customer
+  UNION ALL SELECT s_suppkey * 8 + 3, 'Class', s_name, 'supplier.' || s_nationkey || '.' || s_name, 'supplier' || s_nationkey || '.src', 'Public', false, [] FROM supplier
+  UNION ALL SELECT o_orderkey * 8 + 4, 'Method', 'o' || o_orderkey, 'order.' || o_orderkey, 'orders' || (o_orderkey % 1000) || '.src', CASE WHEN o_orderstatus = 'F' THEN 'Public' ELSE 'Private' END, starts_with(o_orderpriority, '5'), [] FROM orders
+  UNION ALL SELECT p_partkey * 8 + 5, 'Field', p_name, 'part.' || p_partkey, 'parts' || (p_partkey % 100) || '.src', 'Private', false, [] FROM part
+), contains AS (
+  SELECT CAST(n_regionkey AS BIGINT) * 8 AS src, CAST(n_nationkey AS BIGINT) * 8 + 1 AS dst FROM nation
+  UNION ALL SELECT CAST(c_nationkey AS BIGINT) * 8 + 1, c_custkey * 8 + 2 FROM customer
+  UNION ALL SELECT CAST(s_nationkey AS BIGINT) * 8 + 1, s_suppkey * 8 + 3 FROM supplier
+  UNION ALL SELECT o_custkey * 8 + 2, o_orderkey * 8 + 4 FROM orders
+  UNION ALL SELECT min(l_suppkey) * 8 + 3, l_partkey * 8 + 5 FROM lineitem GROUP BY l_partkey
+), edges AS (
+  SELECT dst * 8 AS edge_id, 'Contains' AS kind, src, dst FROM contains
+  UNION ALL SELECT (l_orderkey * 16 + l_linenumber) * 8 + CASE WHEN l_returnflag = 'N' THEN 1 ELSE 2 END, CASE WHEN l_returnflag = 'N' THEN 'Reads' ELSE 'Writes' END, l_orderkey * 8 + 4, l_partkey * 8 + 5 FROM lineitem
+  UNION ALL SELECT (l_orderkey * 16 + l_linenumber) * 8 + 3, 'Instantiates', l_orderkey * 8 + 4, l_suppkey * 8 + 3 FROM lineitem
+)
+"""
+
+
+def sql_transitions(acyclic: bool) -> str:
+    keep, more = ("WHERE event_type = 'purchase'", "AND dst > src AND (src + dst) % 7 = 0") if acyclic else ("", "")
+    return f"""
+WITH RECURSIVE nodes AS (SELECT DISTINCT user_id AS id, 'user' || user_id AS qualified_name, CASE WHEN user_id % 2 = 0 THEN 'Public' ELSE 'Private' END AS visibility FROM events),
+stepped AS (SELECT event_id, event_type, user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events {keep}),
+edges AS (SELECT src, dst, min(event_id) AS edge_id FROM stepped WHERE event_type = 'purchase' AND src <> dst {more} GROUP BY src, dst)
+"""
+
+
+SQL_CYCLIC, SQL_ACYCLIC = sql_transitions(False), sql_transitions(True)
+#: The query set of searches in the dense graph: users whose id is divisible by 50. All other queries ask for every node.
+ROOTS = "id % 50 = 0"
+
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def add(name: str, query: Query, sql: str) -> None:
+    QUERIES[name], SQL[name] = query, sql
+
+
+def on_commerce(name: str, make: Callable, sql: str) -> None:
+    add(name, lambda spark, d: make(commerce(spark, d)), SQL_COMMERCE + sql)
+
+
+def on_cyclic(name: str, make: Callable, sql: str) -> None:
+    add(name, lambda spark, d: make(transitions(spark, d)), SQL_CYCLIC + sql)
+
+
+def on_acyclic(name: str, make: Callable, sql: str, kind: str = "Calls") -> None:
+    add(name, lambda spark, d: make(transitions(spark, d, acyclic=True, kind=kind)), SQL_ACYCLIC + sql)
+
+
+def seeds(g) -> DataFrame:
+    return g.nodes.filter(ROOTS).select("id")
+
+
+def roots(g) -> DataFrame:
+    return seeds(g).withColumnRenamed("id", "root")
+
+
+def every(g) -> DataFrame:
+    return g.nodes.select(F.col("id").alias("root"))
+
+
+def short(df: DataFrame) -> DataFrame:
+    return df.select("id", "kind", "qualified_name")
+
+
+# Filters and listings.
+on_commerce("nodes_of_kind", lambda g: short(lk.nodes_of_kind(g, "Class")), "SELECT id, kind, qualified_name FROM nodes WHERE kind = 'Class'")
+on_commerce("nodes_of_kind_no_tests", lambda g: short(lk.nodes_of_kind_no_tests(g, "Method")), "SELECT id, kind, qualified_name FROM nodes WHERE kind = 'Method' AND NOT is_test")
+on_commerce("test_nodes_of_kind", lambda g: short(lk.test_nodes_of_kind(g, "Method")), "SELECT id, kind, qualified_name FROM nodes WHERE kind = 'Method' AND is_test")
+on_commerce("search_nodes", lambda g: short(lk.search_nodes(g, "CUSTOMER.1")), "SELECT id, kind, qualified_name FROM nodes WHERE contains(lower(name), 'customer.1') OR contains(lower(qualified_name), 'customer.1')")
+on_commerce("nodes_in_package", lambda g: short(lk.nodes_in_package(g, "supplier.1")), "SELECT id, kind, qualified_name FROM nodes WHERE starts_with(qualified_name, 'supplier.1')")
+on_commerce("nodes_in_file", lambda g: short(lk.nodes_in_file(g, "customer7.src")), "SELECT id, kind, qualified_name FROM nodes WHERE file = 'customer7.src'")
+on_commerce("nodes_with_attribute", lambda g: short(lk.nodes_with_attribute(g, "BUILDING")), "SELECT id, kind, qualified_name FROM nodes WHERE list_contains(attributes, 'BUILDING')")
+on_commerce("list_files", lk.list_files, "SELECT file, count(*) AS node_count FROM nodes GROUP BY file")
+on_commerce("find_page", lambda g: lk.page(short(lk.nodes_of_kind(g, "Field")), ["id"], offset=100, limit=50), "SELECT id, kind, qualified_name FROM nodes WHERE kind = 'Field' ORDER BY id LIMIT 50 OFFSET 100")
+on_commerce("node_summary", lambda g: lk.node_summary(g.nodes), "SELECT id, kind, name, qualified_name, file, visibility, is_test FROM nodes")
+
+# Counts.
+on_commerce("graph_summary", mt.summary, "SELECT 'node' AS what, kind, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM edges GROUP BY kind")
+on_commerce("test_split", mt.test_split, "SELECT count(*) FILTER (NOT is_test) AS production, count(*) FILTER (is_test) AS test FROM nodes")
+
+# One hop. Every edge is a row.
+OUT = "SELECT src AS id, dst AS other, edge_id FROM edges WHERE kind = '{k}'"
+IN = "SELECT dst AS id, src AS other, edge_id FROM edges WHERE kind = '{k}'"
+for name, make, form, kind in (
+    ("readers_of", nb.readers_of, IN, "Reads"), ("writers_of", nb.writers_of, IN, "Writes"),
+    ("fields_read_by", nb.fields_read_by, OUT, "Reads"), ("fields_written_by", nb.fields_written_by, OUT, "Writes"),
+    ("instantiators", nb.instantiators, IN, "Instantiates"), ("types_instantiated_by", nb.types_instantiated_by, OUT, "Instantiates"),
+):
+    on_commerce(name, lambda g, make=make: make(g, g.nodes), form.format(k=kind))
+on_commerce("parent_of", lambda g: nb.parent_of(g, g.nodes), "SELECT dst AS id, arg_max(src, edge_id) AS other FROM edges WHERE kind = 'Contains' GROUP BY dst")
+CHILD = "SELECT e.src AS id, e.dst AS other, e.edge_id FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.kind = 'Contains' AND {c}"
+on_commerce("methods_of", lambda g: nb.methods_of(g, g.nodes), CHILD.format(c="n.kind = 'Method'"))
+on_commerce("fields_of", lambda g: nb.fields_of(g, g.nodes), CHILD.format(c="n.kind IN ('Field', 'StaticField', 'Constant')"))
+on_commerce("public_api", lambda g: nb.public_api(g, g.nodes), CHILD.format(c="n.visibility = 'Public'"))
+on_commerce("dependencies", lambda g: nb.dependencies(g, g.nodes), "SELECT e.src AS id, e.edge_id, e.kind, n.qualified_name AS target FROM edges e JOIN nodes n ON n.id = e.dst")
+on_commerce("dependents", lambda g: nb.dependents(g, g.nodes), "SELECT e.dst AS id, e.edge_id, e.kind, n.qualified_name AS source FROM edges e JOIN nodes n ON n.id = e.src")
+on_cyclic("direct_callees", lambda g: nb.direct_callees(g, g.nodes), "SELECT src AS id, dst AS other, edge_id FROM edges")
+on_cyclic("direct_callers", lambda g: nb.direct_callers(g, g.nodes), "SELECT dst AS id, src AS other, edge_id FROM edges")
+
+
+def all_pairs_of_neighbours(g) -> DataFrame:
+    return g.nodes.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+
+
+on_cyclic("coupling_between", lambda g: nb.coupling_between(g, all_pairs_of_neighbours(g)), "SELECT n.id AS a, n.id + 1 AS b, e.edge_id, 'Calls' AS kind FROM nodes n JOIN edges e ON (e.src = n.id AND e.dst = n.id + 1) OR (e.src = n.id + 1 AND e.dst = n.id)")
+
+# Closures: UNION ends the recursion on cycles.
+REACH = """, reach(root, id) AS (
+  SELECT {s}, {d} FROM edges {w} UNION SELECT r.root, e.{d} FROM reach r JOIN edges e ON e.{s} = r.id
+) SELECT root, id FROM reach WHERE id <> root"""
+pairs = lambda df: df.select("root", "id")
+on_cyclic("downstream_calls", lambda g: pairs(rc.downstream_calls(g, roots(g))), REACH.format(s="src", d="dst", w="WHERE src % 50 = 0"))
+on_cyclic("upstream_callers", lambda g: pairs(rc.upstream_callers(g, roots(g))), REACH.format(s="dst", d="src", w="WHERE dst % 50 = 0"))
+on_acyclic("import_closure", lambda g: pairs(rc.import_closure(g, every(g))), REACH.format(s="src", d="dst", w=""), kind="Imports")
+on_acyclic("all_subclasses", lambda g: pairs(rc.all_subclasses(g, every(g))), REACH.format(s="dst", d="src", w=""), kind="Extends")
+on_acyclic("interface_hierarchy", lambda g: pairs(rc.interface_hierarchy(g, every(g))), REACH.format(s="dst", d="src", w=""), kind="Extends")
+on_acyclic("async_call_chain", lambda g: pairs(rc.async_call_chain(g, every(g))), REACH.format(s="src", d="dst", w=""), kind="Awaits")
+on_acyclic("change_impact", lambda g: pairs(rc.change_impact(g, every(g))), REACH.format(s="dst", d="src", w=""), kind="HasType")
+on_cyclic("callees_depth2", lambda g: rc.downstream_calls(g, roots(g), depth=2), """
+, one AS (SELECT DISTINCT src AS root, dst AS id FROM edges WHERE src % 50 = 0),
+two AS (SELECT DISTINCT o.root, e.dst AS id FROM one o JOIN edges e ON e.src = o.id)
+SELECT root, id, 1 AS depth FROM one WHERE id <> root
+UNION ALL SELECT root, id, 2 FROM (SELECT * FROM two EXCEPT SELECT * FROM one) WHERE id <> root""")
+SEEDED = ", reach(id) AS (SELECT id FROM nodes WHERE id % 50 = 0 UNION SELECT e.dst FROM reach r JOIN edges e ON e.src = r.id) "
+on_acyclic("reachable_from", lambda g: rc.reachable_from(g, seeds(g)).select("id"), SEEDED + "SELECT id FROM reach")
+on_acyclic("dead_code", lambda g: rc.dead_code(g, seeds(g)).select("id"), SEEDED + "SELECT id FROM nodes WHERE id NOT IN (SELECT id FROM reach)")
+on_acyclic("entry_points", lambda g: mt.entry_points(g).select("id"), "SELECT id FROM nodes WHERE visibility = 'Public' AND id NOT IN (SELECT dst FROM edges)")
+
+
+def path_lengths(g) -> DataFrame:
+    wanted = g.nodes.filter(ROOTS).select(F.col("id").alias("from_id"), (F.col("id") * 3 % 101).alias("to_id"))
+    return rc.call_path(g, wanted).select("from_id", "to_id", (F.size("path") - 1).cast("long").alias("steps"))
+
+
+on_cyclic("call_path", path_lengths, """, walk(root, id, steps) AS (
+  SELECT id, id, 0 FROM nodes WHERE id % 50 = 0 UNION SELECT w.root, e.dst, w.steps + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE w.steps < 6
+) SELECT root AS from_id, id AS to_id, CAST(min(steps) AS BIGINT) AS steps FROM walk WHERE id = root * 3 % 101 GROUP BY root, id""")
+on_acyclic("superclass_chain", lambda g: rc.superclass_chain(g, g.nodes.select(F.col("id").alias("root"))), """
+, step AS (SELECT src, arg_min(dst, edge_id) AS dst FROM edges GROUP BY src),
+chain(root, position, id) AS (SELECT src, 0, dst FROM step UNION ALL SELECT c.root, c.position + 1, s.dst FROM chain c JOIN step s ON s.src = c.id)
+SELECT root, position, id FROM chain""", kind="Extends")
+on_commerce("package_of", rc.package_of, """
+SELECT id, id AS package_id FROM nodes WHERE kind = 'Package'
+UNION ALL SELECT c.dst, c.src FROM contains c JOIN nodes n ON n.id = c.dst WHERE n.kind = 'Class'
+UNION ALL SELECT c.dst, p.src FROM contains c JOIN contains p ON p.dst = c.src JOIN nodes n ON n.id = c.dst WHERE n.kind IN ('Method', 'Field')""")
+
+# Metrics.
+COUPLED = """, links AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('Calls', 'Instantiates', 'Implements', 'Extends', 'HasType', 'Returns')),
+a AS (SELECT dst AS id, count(*) AS afferent FROM links GROUP BY dst), e AS (SELECT src AS id, count(*) AS efferent FROM links GROUP BY src),
+c AS (SELECT id, coalesce(afferent, 0) AS afferent, coalesce(efferent, 0) AS efferent FROM nodes LEFT JOIN a USING (id) LEFT JOIN e USING (id))
+SELECT id, {what} FROM c"""
+RATIO = "CASE WHEN afferent + efferent > 0 THEN efferent / (afferent + efferent) END AS instability"
+on_commerce("afferent_coupling", mt.afferent_coupling, COUPLED.format(what="afferent"))
+on_commerce("efferent_coupling", mt.efferent_coupling, COUPLED.format(what="efferent"))
+on_commerce("instability", mt.instability, COUPLED.format(what=RATIO))
+on_commerce("hotspots", lambda g: mt.hotspots(g, 10), "SELECT id, kind, qualified_name, coalesce(n, 0) AS incoming FROM nodes LEFT JOIN (SELECT dst AS id, count(*) AS n FROM edges GROUP BY dst) USING (id) ORDER BY incoming DESC, id LIMIT 10")
+on_commerce("in_degrees", mt.in_degrees, "SELECT id, kind, qualified_name, coalesce(n, 0) AS incoming FROM nodes LEFT JOIN (SELECT dst AS id, count(*) AS n FROM edges GROUP BY dst) USING (id)")
+on_commerce("lcom", mt.lcom, """
+, m AS (SELECT c.src AS id, c.dst AS m FROM contains c JOIN nodes n ON n.id = c.dst WHERE n.kind = 'Method'),
+t AS (SELECT DISTINCT m.id, m.m, e.dst AS t FROM m JOIN edges e ON e.src = m.m WHERE e.kind IN ('Reads', 'Writes')),
+s AS (SELECT id, count(*) AS share FROM (SELECT DISTINCT a.id, a.m AS m1, b.m AS m2 FROM t a JOIN t b ON a.id = b.id AND a.t = b.t AND a.m < b.m) GROUP BY id),
+k AS (SELECT id, count(*) AS n FROM m GROUP BY id)
+SELECT id, CASE WHEN n < 2 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, (n * (n - 1) / 2 - 2 * coalesce(share, 0)) / (n * (n - 1) / 2)) END AS lcom FROM k LEFT JOIN s USING (id)""")
+on_commerce("package_dependency_graph", mt.package_dependency_graph, """
+, of AS (SELECT c.dst AS id, c.src AS p FROM contains c JOIN nodes n ON n.id = c.dst WHERE n.kind = 'Class'
+  UNION ALL SELECT c.dst, p.src FROM contains c JOIN contains p ON p.dst = c.src JOIN nodes n ON n.id = c.dst WHERE n.kind = 'Method'),
+named AS (SELECT of.id, n.qualified_name AS p FROM of JOIN nodes n ON n.id = of.p)
+SELECT a.p AS from_package, b.p AS to_package, count(*) AS n FROM edges e JOIN named a ON a.id = e.src JOIN named b ON b.id = e.dst
+WHERE e.kind = 'Instantiates' AND a.p <> b.p GROUP BY ALL""")
+add("unused_fields", lambda spark, d: mt.unused_fields(g := commerce(spark, d, lines="l_quantity > 49"), g.nodes), SQL_COMMERCE + """
+SELECT c.src AS id, c.dst AS other FROM contains c JOIN nodes n ON n.id = c.dst WHERE n.kind = 'Field'
+AND c.dst NOT IN (SELECT l_partkey * 8 + 5 FROM lineitem WHERE l_quantity > 49)""")
+on_commerce("usages_of_type", lambda g: mt.usages_of_type(g, g.nodes), "SELECT DISTINCT dst AS id, src AS other FROM edges WHERE kind IN ('HasType', 'Returns', 'Instantiates', 'References')")
+
+
+def order_pairs(g) -> DataFrame:
+    return lk.nodes_of_kind(g, "Method").select(F.col("id").alias("a"), (F.col("id") + 8).alias("b"))
+
+
+on_commerce("shared_dependencies", lambda g: mt.shared_dependencies(g, order_pairs(g)), """
+, d AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('Calls', 'Instantiates', 'HasType', 'Returns'))
+SELECT x.src AS a, y.src AS b, x.dst AS other FROM d x JOIN d y ON y.src = x.src + 8 AND y.dst = x.dst""")
+LAYERS = [["supplier."], ["customer."], ["order."]]
+on_commerce("layer_violations", lambda g: mt.layer_violations(g, LAYERS), """
+SELECT edge_id, src, dst, 2 AS from_layer, 0 AS to_layer FROM edges WHERE kind = 'Instantiates'""")
+on_cyclic("cycles", lambda g: mt.cycles(g, "Calls"), """
+, reach(root, id) AS (SELECT src, dst FROM edges UNION SELECT r.root, e.dst FROM reach r JOIN edges e ON e.src = r.id),
+mutual AS (SELECT a.root, a.id FROM reach a JOIN reach b ON a.root = b.id AND a.id = b.root)
+SELECT root AS id, min(id) AS component FROM mutual GROUP BY root""")
+on_commerce("package_cycles", mt.package_cycles, """
+, of AS (SELECT c.dst AS id, c.src AS p FROM contains c JOIN nodes n ON n.id = c.dst WHERE n.kind = 'Class'
+  UNION ALL SELECT c.dst, p.src FROM contains c JOIN contains p ON p.dst = c.src JOIN nodes n ON n.id = c.dst WHERE n.kind = 'Method'),
+named AS (SELECT of.id, n.qualified_name AS p FROM of JOIN nodes n ON n.id = of.p),
+d AS (SELECT DISTINCT a.p AS src, b.p AS dst FROM edges e JOIN named a ON a.id = e.src JOIN named b ON b.id = e.dst WHERE e.kind = 'Instantiates' AND a.p <> b.p),
+reach AS (WITH RECURSIVE r(root, id) AS (SELECT src, dst FROM d UNION SELECT r.root, d.dst FROM r JOIN d ON d.src = r.id) SELECT * FROM r),
+mutual AS (SELECT a.root, a.id FROM reach a JOIN reach b ON a.root = b.id AND a.id = b.root)
+SELECT root AS package, min(id) AS component FROM mutual GROUP BY root""")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
