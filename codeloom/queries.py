@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.text import is_test_file, source_lines
+from codeloom.graph import CodeGraph
+from codeloom.jobs import memory
+from codeloom.jobs.enrich import split_batches
+from codeloom.jobs.ingest import commit_descriptions, hash_diff, resolve
 from codeloom.operators import lookups as lk
 from codeloom.operators import metrics as mt
 from codeloom.operators import neighbours as nb
 from codeloom.operators import reach as rc
-from codeloom.sources.graphs import commerce, transitions
+from codeloom.sources.graphs import commerce, corpus, references, transitions
+from codeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -221,6 +227,68 @@ mutual AS (SELECT a.root, a.id FROM reach a JOIN reach b ON a.root = b.id AND a.
 SELECT root AS package, min(id) AS component FROM mutual GROUP BY root""")
 
 
+# Source files: the corpus as a tree, and a second version without some sources and with other texts.
+def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(path, hash) before and after: documents of source src3 go, those in German get a line, those in Spanish are new."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path")
+    old = docs.filter("lang <> 'es'").select(path, F.sha2("text", 256).alias("hash"))
+    new = docs.filter("source <> 'src3'").select(path, F.sha2(F.when(F.col("lang") == "de", F.concat("text", F.lit("\n"))).otherwise(F.col("text")), 256).alias("hash"))
+    return old, new
+
+
+def path_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files below folders named for their source, some of them test files by name."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("/"), "source", F.when(F.col("lang") == "fr", "/tests/").otherwise("/main/"), F.when(F.col("lang") == "de", "test_").otherwise(""), "lang", F.col("doc_id").cast("string"), F.when(F.col("lang") == "es", "Test.java").otherwise(".py"))
+    return docs.select("doc_id", is_test_file(path).alias("is_test"))
+
+
+def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages, of which those to a page's path resolve to it."""
+    g = references(spark, sf_dir)
+    named = CodeGraph(g.nodes.withColumn("qualified_name", F.concat(F.lit("/"), F.regexp_extract("qualified_name", r"://[^.]*\.([^.]*)", 1))), g.edges)
+    return resolve(named).edges.select("id", "src", "to_state", "to_id", "to_name")
+
+
+def doc_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("position"))
+    return split_batches(docs).select("file", "position", "batch")
+
+
+def merged_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users described by their latest event, and flagged as tests where any was an error."""
+    g, events = transitions(spark, sf_dir), table(spark, sf_dir, "events")
+    name = F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("qualified_name")
+    texts = events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("description")).select(name, F.when(F.col("description") == "click", "").otherwise(F.col("description")).alias("description"))
+    flags = events.filter("event_type = 'error'").select(name, F.lit(True).alias("is_test")).distinct()
+    nodes = g.nodes.withColumn("description", F.lit(None).cast("string"))
+    return commit_descriptions(nodes, texts, flags).select("id", "description", "is_test")
+
+
+SQL_USER_EVENTS = "SELECT user_id, arg_max(event_type, event_id) AS last, bool_or(event_type = 'error') AS bad FROM events GROUP BY user_id"
+add("file_hashes", lambda spark, d: corpus(spark, d).select("path", F.sha2("content", 256).alias("hash")), "SELECT 'doc' || doc_id AS path, sha256(text) AS hash FROM documents")
+add("duplicate_files", lambda spark, d: corpus(spark, d).groupBy(F.sha2("content", 256).alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first")).filter("n > 1"), "SELECT sha256(text) AS hash, count(*) AS n, min('doc' || doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1")
+add("incremental_diff", lambda spark, d: hash_diff(*versions(spark, d)), """
+WITH old AS (SELECT doc_id, text FROM documents WHERE lang <> 'es'), new AS (SELECT doc_id, CASE WHEN lang = 'de' THEN text || chr(10) ELSE text END AS text FROM documents WHERE source <> 'src3')
+SELECT 'doc' || coalesce(o.doc_id, n.doc_id) AS path, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.text = n.text THEN 'unchanged' ELSE 'changed' END AS status
+FROM old o FULL JOIN new n ON o.doc_id = n.doc_id""")
+add("is_test_flags", path_flags, "SELECT doc_id, lang IN ('fr', 'de', 'es') AS is_test FROM documents")
+add("snippet_slices", lambda spark, d: corpus(spark, d).select("path", source_lines(F.col("content"), F.lit(2), F.lit(4)).alias("snippet")), "SELECT 'doc' || doc_id AS path, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS snippet FROM documents")
+add("resolve_edges", resolved_links, """
+WITH n AS (SELECT '/' || regexp_extract(url, '://[^.]*\\.([^.]*)', 1) AS name, max(page_id) AS id FROM pages GROUP BY 1),
+l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS t, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS k FROM pages)
+SELECT page_id * 100000 + k AS id, page_id AS src, CASE WHEN n.id IS NULL THEN 'External' ELSE 'Resolved' END AS to_state, n.id AS to_id, CASE WHEN n.id IS NULL THEN t END AS to_name FROM l LEFT JOIN n ON n.name = l.t""")
+add("batch_split", doc_batches, "SELECT source AS file, doc_id AS position, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS batch FROM documents")
+add("merge_descriptions", merged_descriptions, f"SELECT user_id AS id, CASE WHEN last <> 'click' THEN last END AS description, bad OR user_id % 10 = 0 AS is_test FROM ({SQL_USER_EVENTS})")
+add("char_counts", lambda spark, d: (m := table(spark, d, "conversations")).select("conv_id", "turn", memory.char_count(m).alias("chars")), "SELECT conv_id, turn, CAST(strlen(text) AS BIGINT) AS chars FROM conversations")
+add("should_compress", lambda spark, d: memory.should_compress(table(spark, d, "conversations"), 2000), "SELECT conv_id, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS chars, count(*) >= 5 AND sum(strlen(text)) > 2000 AS compress FROM conversations GROUP BY conv_id")
+add("compression_boundary", lambda spark, d: memory.compression_boundary(table(spark, d, "conversations")), """
+WITH m AS (SELECT conv_id, turn, strlen(text) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+i AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS s, sum(c) OVER (PARTITION BY conv_id) AS t FROM m WHERE p >= 1 AND p < greatest(n - 2, 1))
+SELECT conv_id, min(p) + 1 AS boundary FROM i WHERE s >= floor(t * 70 / 100) GROUP BY conv_id""")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
