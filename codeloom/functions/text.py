@@ -65,7 +65,7 @@ def text_tool_calls(text: Column) -> Column:
     parameter = r"<parameter=([^>\n]+?)(?:>|\n)([\s\S]*?)</parameter>"
 
     def arguments(body: Column) -> Column:
-        keys = F.transform(F.regexp_extract_all(body, F.lit(parameter), 1), F.trim)
+        keys = F.transform(F.regexp_extract_all(body, F.lit(parameter), 1), lambda k: F.trim(k))
         values = F.transform(F.regexp_extract_all(body, F.lit(parameter), 2), lambda v: F.regexp_replace(v, r"^\s+|\s+$", ""))
         return F.map_from_entries(F.arrays_zip(keys.alias("key"), values.alias("value")))
 
