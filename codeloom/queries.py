@@ -127,6 +127,27 @@ on_commerce("dependents", lambda g: nb.dependents(g, g.nodes), "SELECT e.dst AS
 on_cyclic("direct_callees", lambda g: nb.direct_callees(g, g.nodes), "SELECT src AS id, dst AS other, edge_id FROM edges")
 on_cyclic("direct_callers", lambda g: nb.direct_callers(g, g.nodes), "SELECT dst AS id, src AS other, edge_id FROM edges")
 
+FORWARD, BACKWARD = "SELECT src AS id, dst AS other, edge_id FROM edges", "SELECT dst AS id, src AS other, edge_id FROM edges"
+on_acyclic("implementors", lambda g: nb.implementors(g, g.nodes), BACKWARD, kind="Implements")
+on_acyclic("overriders", lambda g: nb.overriders(g, g.nodes), BACKWARD, kind="Overrides")
+on_acyclic("what_overrides", lambda g: nb.what_overrides(g, g.nodes), "SELECT src AS id, arg_min(dst, edge_id) AS other FROM edges GROUP BY src", kind="Overrides")
+on_acyclic("direct_imports", lambda g: nb.direct_imports(g, g.nodes), FORWARD, kind="Imports")
+on_acyclic("direct_importers", lambda g: nb.direct_importers(g, g.nodes), BACKWARD, kind="Imports")
+on_acyclic("closure_captures", lambda g: nb.closure_captures(g, g.nodes), FORWARD, kind="Captures")
+
+
+def throwing(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """The upward transitions, and for each user a throw of what its first event was."""
+    g = transitions(spark, sf_dir, acyclic=True)
+    first = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("first"), F.min("event_id").alias("e"))
+    throws = first.select((-F.col("e") - 1).alias("id"), F.lit("Throws").alias("kind"), F.col("user_id").alias("src"), F.lit("External").alias("to_state"), F.lit(None).cast("long").alias("to_id"), F.concat(F.lit("lib."), "first").alias("to_name"))
+    return CodeGraph(g.nodes, g.edges.unionByName(throws))
+
+
+SQL_FIRST = ", firsts AS (SELECT user_id AS id, arg_min(event_type, (ts, event_id)) AS first, -min(event_id) - 1 AS edge_id FROM events GROUP BY user_id) "
+add("methods_throwing", lambda spark, d: nb.methods_throwing(throwing(spark, d), "error"), SQL_ACYCLIC + SQL_FIRST + "SELECT id, edge_id FROM firsts WHERE first = 'error'")
+add("exception_propagation", lambda spark, d: rc.exception_propagation(throwing(spark, d), "error").select("id"), SQL_ACYCLIC + SQL_FIRST + ", reach(id) AS (SELECT id FROM firsts WHERE first = 'error' UNION SELECT e.src FROM reach r JOIN edges e ON e.dst = r.id) SELECT id FROM reach")
+
 
 def all_pairs_of_neighbours(g) -> DataFrame:
     return g.nodes.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
