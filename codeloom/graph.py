@@ -13,15 +13,15 @@ from codeloom.schema import EDGES, NODES
 
 
 @dataclass(frozen=True)
-class CodeGraph:
+class SourceGraph:
     """``nodes`` and ``edges`` as in ``codeloom.schema``; columns that a query doesn't use may be missing."""
 
     nodes: DataFrame
     edges: DataFrame
 
     @staticmethod
-    def of_rows(spark: SparkSession, nodes: Iterable[dict[str, Any]], edges: Iterable[dict[str, Any]]) -> CodeGraph:
-        return CodeGraph(spark.createDataFrame([tuple(n[f] for f in NODES.names) for n in nodes], NODES), spark.createDataFrame([tuple(e[f] for f in EDGES.names) for e in edges], EDGES))
+    def of_rows(spark: SparkSession, nodes: Iterable[dict[str, Any]], edges: Iterable[dict[str, Any]]) -> SourceGraph:
+        return SourceGraph(spark.createDataFrame([tuple(n[f] for f in NODES.names) for n in nodes], NODES), spark.createDataFrame([tuple(e[f] for f in EDGES.names) for e in edges], EDGES))
 
     def adj(self, *kinds: str) -> DataFrame:
         """(src, dst, edge_id) of resolved edges of the given kinds, or of all; parallel edges stay."""

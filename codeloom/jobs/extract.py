@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.functions.text import go_visibility, python_visibility, visibility_from_modifiers
-from codeloom.graph import CodeGraph
+from codeloom.graph import SourceGraph
 from codeloom.jobs.ingest import assign_ids
 from codeloom.schema import EDGES, NODES, SPAN
 
@@ -199,7 +199,7 @@ def heritage(decls: DataFrame) -> DataFrame:
     return decls.select("path", "line", F.col("qualified_name").alias("owner"), F.explode(found).alias("r")).select("path", "line", "owner", "r.kind", "r.target")
 
 
-def extract(files: DataFrame, first_id: int = 0) -> CodeGraph:
+def extract(files: DataFrame, first_id: int = 0) -> SourceGraph:
     """The graph of source files (path, content, ext, hash): a File node for each, its declarations, and edges by name.
 
     Ids go by file and line, so the same files get the same ids. Of an inherent or trait
@@ -219,7 +219,7 @@ def extract(files: DataFrame, first_id: int = 0) -> CodeGraph:
     named = heritage(decls).unionByName(references(files)).join(owners, ["path", "owner"], "left").join(file_ids, "path").select("path", "line", F.coalesce("src", "file_id").alias("src"), "kind", F.lit(None).cast("long").alias("to_id"), F.col("target").alias("to_name"))
     edges = contains.unionByName(named).withColumns({"file": F.col("path"), "ordinal": F.struct("line", "kind", "src", F.coalesce("to_name", F.lit("")), F.coalesce("to_id", F.lit(-1).cast("long")))})
     edges = assign_ids(edges, first_id).withColumn("to_state", F.when(F.col("to_id").isNotNull(), "Resolved").otherwise("Unresolved"))
-    return CodeGraph(full, edges.select(*(numbered_column(edges, f) for f in EDGES.fields)))
+    return SourceGraph(full, edges.select(*(numbered_column(edges, f) for f in EDGES.fields)))
 
 
 def numbered_column(df: DataFrame, field: T.StructField) -> Column:

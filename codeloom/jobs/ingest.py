@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import extension, is_test_file, is_test_name, source_lines
-from codeloom.graph import CodeGraph
+from codeloom.graph import SourceGraph
 from codeloom.schema import DESCRIBED_KINDS, EDGES, NODES
 
 #: File extensions with an extractor.
@@ -84,7 +84,7 @@ def assign_ids(rows: DataFrame, base: int = 0, file: str = "file", ordinal: str
     return rows.withColumn("_k", place).join(of_file, ["_b", file]).join(of_bucket, "_b").withColumn("id", (F.lit(base) + F.col("_from") + F.col("_at") + F.col("_k")).cast("long")).drop("_b", "_k", "_at", "_from")
 
 
-def resolve(g: CodeGraph, sticky: bool = False) -> CodeGraph:
+def resolve(g: SourceGraph, sticky: bool = False) -> SourceGraph:
     """Point edges at the node their text names, else mark them external.
 
     Earlier external edges are looked up again, so an incremental run equals a rebuild;
@@ -100,17 +100,17 @@ def resolve(g: CodeGraph, sticky: bool = False) -> CodeGraph:
         "to_state": F.when(hit, "Resolved").when(is_open, "External").otherwise(F.col("to_state")),
         "to_name": F.when(hit, F.lit(None)).otherwise(F.col("to_name")),
     }).select(*g.edges.columns)
-    return CodeGraph(g.nodes, edges)
+    return SourceGraph(g.nodes, edges)
 
 
-def remove_files(g: CodeGraph, paths: DataFrame) -> CodeGraph:
+def remove_files(g: SourceGraph, paths: DataFrame) -> SourceGraph:
     """Without the files' nodes and the edges from them; edges into them become unresolved by name again."""
     gone = g.nodes.join(paths.select(F.col("path").alias("file")).distinct(), "file", "left_semi").select(F.col("id").alias("_id"), F.col("qualified_name").alias("_name"))
     kept = g.edges.join(gone, F.col("src") == F.col("_id"), "left_anti")
     joined = kept.join(gone, F.col("to_id") == F.col("_id"), "left")
     lost = F.col("_id").isNotNull()
     edges = joined.withColumns({"to_state": F.when(lost, "Unresolved").otherwise(F.col("to_state")), "to_name": F.when(lost, F.col("_name")).otherwise(F.col("to_name")), "to_id": F.when(lost, F.lit(None)).otherwise(F.col("to_id"))})
-    return CodeGraph(g.nodes.join(gone.withColumnRenamed("_id", "id"), "id", "left_anti"), edges.select(*g.edges.columns))
+    return SourceGraph(g.nodes.join(gone.withColumnRenamed("_id", "id"), "id", "left_anti"), edges.select(*g.edges.columns))
 
 
 def mark_tests(nodes: DataFrame) -> DataFrame:
@@ -152,23 +152,23 @@ def commit_descriptions(nodes: DataFrame, descriptions: DataFrame, flags: DataFr
     return joined.withColumns({"description": F.coalesce("_d", "description"), "is_test": F.coalesce("_t", "is_test")}).select(*nodes.columns)
 
 
-def write_graph(g: CodeGraph, path: str) -> None:
+def write_graph(g: SourceGraph, path: str) -> None:
     """Nodes as Parquet, and edges partitioned by kind, so that queries read the kinds they follow."""
     g.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     g.edges.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/edges")
 
 
-def read_graph(spark: SparkSession, path: str) -> CodeGraph:
+def read_graph(spark: SparkSession, path: str) -> SourceGraph:
     """The stored graph; one that is missing or can't be read counts as empty."""
     from pyspark.errors import AnalysisException
 
     try:
-        return CodeGraph(spark.read.schema(NODES).parquet(f"{path}/nodes"), spark.read.schema(EDGES).parquet(f"{path}/edges"))
+        return SourceGraph(spark.read.schema(NODES).parquet(f"{path}/nodes"), spark.read.schema(EDGES).parquet(f"{path}/edges"))
     except AnalysisException:
-        return CodeGraph(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES))
+        return SourceGraph(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES))
 
 
-def yaml_lines(g: CodeGraph) -> DataFrame:
+def yaml_lines(g: SourceGraph) -> DataFrame:
     """(section, id, line) of the graph as YAML in flow style; in order of section and id it is one document."""
     spark = g.nodes.sparkSession
     heads = spark.createDataFrame([("edges", -1, "edges:"), ("nodes", -1, "nodes:")], "section string, id long, line string")
@@ -176,8 +176,8 @@ def yaml_lines(g: CodeGraph) -> DataFrame:
     return heads.unionByName(of(g.nodes, "nodes")).unionByName(of(g.edges, "edges"))
 
 
-def from_yaml_lines(lines: DataFrame) -> CodeGraph:
+def from_yaml_lines(lines: DataFrame) -> SourceGraph:
     """The graph of (section, line); a line that isn't a row of its section fails."""
     options = {"mode": "FAILFAST"}
     of = lambda section, schema: lines.filter((F.col("section") == section) & F.col("line").startswith("- ")).select(F.from_json(F.substr("line", F.lit(3)), schema, options).alias("x")).select("x.*")
-    return CodeGraph(of("nodes", NODES), of("edges", EDGES))
+    return SourceGraph(of("nodes", NODES), of("edges", EDGES))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import source_lines
-from codeloom.graph import CodeGraph
+from codeloom.graph import SourceGraph
 from codeloom.operators import lookups as lk
 from codeloom.operators import metrics as mt
 from codeloom.operators import neighbours as nb
@@ -25,7 +25,7 @@ DEFAULT_LIMIT = 50
 
 
 class Tool(NamedTuple):
-    run: Callable[[CodeGraph, dict[str, Any]], DataFrame]
+    run: Callable[[SourceGraph, dict[str, Any]], DataFrame]
     required: tuple[str, ...]
     shape: str  # page, array or object
     key: str | None = None  # an object's key for its rows
@@ -61,7 +61,7 @@ def error(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(json.dumps({"error": text}),)], "answer string")
 
 
-def call(g: CodeGraph, name: str, args_json: str | None = None, files: DataFrame | None = None) -> DataFrame:
+def call(g: SourceGraph, name: str, args_json: str | None = None, files: DataFrame | None = None) -> DataFrame:
     """Run a tool. Errors (unknown tool or node, missing argument) are answers too."""
     spark, args = g.nodes.sparkSession, arguments(args_json)
     if name not in TOOLS:
@@ -101,20 +101,20 @@ def envelope(rows: DataFrame, offset: int, limit: int) -> DataFrame:
     return placed.join(total).select(F.to_json(F.struct("items", "total", F.lit(offset).alias("offset"), returned.alias("returned"), (F.lit(offset) + returned < F.col("total")).alias("has_more"))).alias("answer"))
 
 
-def node_id(g: CodeGraph, name: str) -> int | None:
+def node_id(g: SourceGraph, name: str) -> int | None:
     row = g.nodes.filter(F.col("qualified_name") == name).agg(F.max("id")).first()
     return row[0]
 
 
-def one_id(g: CodeGraph, name: str, column: str = "id") -> DataFrame:
+def one_id(g: SourceGraph, name: str, column: str = "id") -> DataFrame:
     return g.nodes.filter(F.col("qualified_name") == name).agg(F.max("id").alias(column))
 
 
-def summaries(g: CodeGraph, ids: DataFrame, column: str = "other") -> DataFrame:
+def summaries(g: SourceGraph, ids: DataFrame, column: str = "other") -> DataFrame:
     return lk.node_summary(ids.select(F.col(column).alias("id")).join(g.nodes, "id"))
 
 
-def details(g: CodeGraph, ids: DataFrame, column: str = "other") -> DataFrame:
+def details(g: SourceGraph, ids: DataFrame, column: str = "other") -> DataFrame:
     return lk.node_details(ids.select(F.col(column).alias("id")).join(g.nodes, "id"))
 
 
@@ -160,7 +160,7 @@ tool("get_usages_of_type", "array", NAME)(lambda g, a: summaries(g, mt.usages_of
 
 
 @tool("get_graph_summary", "object")
-def graph_summary(g: CodeGraph, a: dict[str, Any]) -> DataFrame:
+def graph_summary(g: SourceGraph, a: dict[str, Any]) -> DataFrame:
     """Totals and counts by kind, and how many nodes are tests."""
     counts = lambda df: df.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("by"))
     nodes = counts(g.nodes).select(F.col("total").alias("total_nodes"), F.col("by").alias("nodes_by_kind"))
@@ -169,34 +169,34 @@ def graph_summary(g: CodeGraph, a: dict[str, Any]) -> DataFrame:
 
 
 @tool("get_coupling", "object", NAME)
-def get_coupling(g: CodeGraph, a: dict[str, Any]) -> DataFrame:
+def get_coupling(g: SourceGraph, a: dict[str, Any]) -> DataFrame:
     """Of the node's own edges alone, not of the whole graph."""
     own = one_id(g, a[NAME])
     near = g.edges.join(own.select(F.col("id").alias("_i")), (F.col("src") == F.col("_i")) | (F.col("to_id") == F.col("_i")), "left_semi")
-    return mt.coupling(CodeGraph(g.nodes.join(own, "id", "left_semi"), near))
+    return mt.coupling(SourceGraph(g.nodes.join(own, "id", "left_semi"), near))
 
 
 @tool("get_cohesion", "object", NAME)
-def get_cohesion(g: CodeGraph, a: dict[str, Any]) -> DataFrame:
+def get_cohesion(g: SourceGraph, a: dict[str, Any]) -> DataFrame:
     own = one_id(g, a[NAME])
-    found = mt.lcom(CodeGraph(g.nodes, g.edges.filter("kind <> 'Contains'").unionByName(g.edges.filter("kind = 'Contains'").join(own.select(F.col("id").alias("src")), "src", "left_semi").select(*g.edges.columns))))
+    found = mt.lcom(SourceGraph(g.nodes, g.edges.filter("kind <> 'Contains'").unionByName(g.edges.filter("kind = 'Contains'").join(own.select(F.col("id").alias("src")), "src", "left_semi").select(*g.edges.columns))))
     return own.join(found, "id", "left").select("id", F.coalesce("lcom", F.lit(0.0)).alias("lcom"))
 
 
 @tool("get_call_path", "object", "from", "to")
-def get_call_path(g: CodeGraph, a: dict[str, Any]) -> DataFrame:
+def get_call_path(g: SourceGraph, a: dict[str, Any]) -> DataFrame:
     pair = one_id(g, a["from"], "from_id").join(one_id(g, a["to"], "to_id"))
     return pair.join(rc.call_path(g, pair), ["from_id", "to_id"], "left").select("path")
 
 
 @tool("get_shared_dependencies", "array", "qualified_name_a", "qualified_name_b")
-def get_shared_dependencies(g: CodeGraph, a: dict[str, Any]) -> DataFrame:
+def get_shared_dependencies(g: SourceGraph, a: dict[str, Any]) -> DataFrame:
     pair = one_id(g, a["qualified_name_a"], "a").join(one_id(g, a["qualified_name_b"], "b"))
     return summaries(g, mt.shared_dependencies(g, pair))
 
 
 @tool("get_file_source", "object", "file")
-def get_file_source(g: CodeGraph, a: dict[str, Any]) -> DataFrame:
+def get_file_source(g: SourceGraph, a: dict[str, Any]) -> DataFrame:
     """Lines of a file, from 1 and inclusive."""
     found = a["files"].filter(F.col("path") == a["file"])
     first, last = F.lit(whole(a, "start_line", 1)).cast("int"), F.lit(whole(a, "end_line", 2**31 - 1)).cast("int")

@@ -5,98 +5,98 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.graph import CodeGraph
+from codeloom.graph import SourceGraph
 from codeloom.schema import NODE_KINDS
 
 
-def node(g: CodeGraph, id: int) -> DataFrame:
+def node(g: SourceGraph, id: int) -> DataFrame:
     return g.nodes.filter(F.col("id") == id)
 
 
-def find_by_qualified(g: CodeGraph, name: str) -> DataFrame:
+def find_by_qualified(g: SourceGraph, name: str) -> DataFrame:
     """The node that the name means: of several, the one of highest id."""
     return g.nodes.filter(F.col("qualified_name") == name).orderBy(F.desc("id")).limit(1)
 
 
-def nodes_of_kind(g: CodeGraph, kind: str) -> DataFrame:
+def nodes_of_kind(g: SourceGraph, kind: str) -> DataFrame:
     if kind not in NODE_KINDS:
         raise ValueError(f"unknown node kind {kind!r}")
     return g.nodes.filter(F.col("kind") == kind)
 
 
-def nodes_of_kind_no_tests(g: CodeGraph, kind: str) -> DataFrame:
+def nodes_of_kind_no_tests(g: SourceGraph, kind: str) -> DataFrame:
     return nodes_of_kind(g, kind).filter(~F.col("is_test"))
 
 
-def test_nodes_of_kind(g: CodeGraph, kind: str) -> DataFrame:
+def test_nodes_of_kind(g: SourceGraph, kind: str) -> DataFrame:
     return nodes_of_kind(g, kind).filter("is_test")
 
 
-def classes(g: CodeGraph) -> DataFrame:
+def classes(g: SourceGraph) -> DataFrame:
     return nodes_of_kind(g, "Class")
 
 
-def interfaces(g: CodeGraph) -> DataFrame:
+def interfaces(g: SourceGraph) -> DataFrame:
     return nodes_of_kind(g, "Interface")
 
 
-def traits(g: CodeGraph) -> DataFrame:
+def traits(g: SourceGraph) -> DataFrame:
     return nodes_of_kind(g, "Trait")
 
 
-def enums(g: CodeGraph) -> DataFrame:
+def enums(g: SourceGraph) -> DataFrame:
     return nodes_of_kind(g, "Enum")
 
 
-def functions(g: CodeGraph) -> DataFrame:
+def functions(g: SourceGraph) -> DataFrame:
     return nodes_of_kind(g, "Function")
 
 
-def classes_no_tests(g: CodeGraph) -> DataFrame:
+def classes_no_tests(g: SourceGraph) -> DataFrame:
     return nodes_of_kind_no_tests(g, "Class")
 
 
-def interfaces_no_tests(g: CodeGraph) -> DataFrame:
+def interfaces_no_tests(g: SourceGraph) -> DataFrame:
     return nodes_of_kind_no_tests(g, "Interface")
 
 
-def traits_no_tests(g: CodeGraph) -> DataFrame:
+def traits_no_tests(g: SourceGraph) -> DataFrame:
     return nodes_of_kind_no_tests(g, "Trait")
 
 
-def enums_no_tests(g: CodeGraph) -> DataFrame:
+def enums_no_tests(g: SourceGraph) -> DataFrame:
     return nodes_of_kind_no_tests(g, "Enum")
 
 
-def functions_no_tests(g: CodeGraph) -> DataFrame:
+def functions_no_tests(g: SourceGraph) -> DataFrame:
     return nodes_of_kind_no_tests(g, "Function")
 
 
-def nodes_in_file(g: CodeGraph, file: str) -> DataFrame:
+def nodes_in_file(g: SourceGraph, file: str) -> DataFrame:
     return g.nodes.filter(F.col("file") == file)
 
 
-def nodes_in_package(g: CodeGraph, prefix: str) -> DataFrame:
+def nodes_in_package(g: SourceGraph, prefix: str) -> DataFrame:
     """Nodes whose qualified name starts with the text; segments don't matter."""
     return g.nodes.filter(F.col("qualified_name").startswith(prefix))
 
 
-def nodes_with_attribute(g: CodeGraph, attribute: str) -> DataFrame:
+def nodes_with_attribute(g: SourceGraph, attribute: str) -> DataFrame:
     return g.nodes.filter(F.array_contains("attributes", attribute))
 
 
-def external_dependencies(g: CodeGraph) -> DataFrame:
+def external_dependencies(g: SourceGraph) -> DataFrame:
     return nodes_of_kind(g, "ExternalPackage")
 
 
-def search_nodes(g: CodeGraph, query: str, exclude_tests: bool = False) -> DataFrame:
+def search_nodes(g: SourceGraph, query: str, exclude_tests: bool = False) -> DataFrame:
     """Nodes whose name or qualified name has the text, in any case."""
     has = lambda c: F.contains(F.lower(c), F.lit(query.lower()))
     found = g.nodes.filter(has(F.col("name")) | has(F.col("qualified_name")))
     return found.filter(~F.col("is_test")) if exclude_tests else found
 
 
-def list_files(g: CodeGraph) -> DataFrame:
+def list_files(g: SourceGraph) -> DataFrame:
     """(file, node_count)."""
     return g.nodes.filter("file is not null").groupBy("file").agg(F.count(F.lit(1)).alias("node_count"))
 

@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.graph import CodeGraph
+from codeloom.graph import SourceGraph
 from codeloom.operators.closure import strong_components
 from codeloom.operators.neighbours import fields_of
 from codeloom.operators.reach import package_of
 from codeloom.schema import COUPLING_KINDS, CYCLE_KINDS, LAYER_KINDS, PACKAGE_KINDS, SHARED_KINDS, USAGE_KINDS
 
 
-def summary(g: CodeGraph) -> DataFrame:
+def summary(g: SourceGraph) -> DataFrame:
     """(what, kind, n): counts of nodes and edges by kind."""
     nodes = g.nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit("node").alias("what"), "kind", "n")
     edges = g.edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("what"), "kind", "n")
     return nodes.unionByName(edges)
 
 
-def test_split(g: CodeGraph) -> DataFrame:
+def test_split(g: SourceGraph) -> DataFrame:
     """(production, test) counts of nodes."""
     return g.nodes.agg(F.count_if(~F.col("is_test")).alias("production"), F.count_if("is_test").alias("test"))
 
 
-def coupling(g: CodeGraph) -> DataFrame:
+def coupling(g: SourceGraph) -> DataFrame:
     """(id, afferent, efferent, instability) of every node; no instability without coupling.
 
     Each edge counts once for its target and once for its source, in one pass over the
@@ -39,30 +39,30 @@ def coupling(g: CodeGraph) -> DataFrame:
     return both.withColumn("instability", F.when(total > 0, F.col("efferent") / total))
 
 
-def afferent_coupling(g: CodeGraph) -> DataFrame:
+def afferent_coupling(g: SourceGraph) -> DataFrame:
     return coupling(g).select("id", "afferent")
 
 
-def efferent_coupling(g: CodeGraph) -> DataFrame:
+def efferent_coupling(g: SourceGraph) -> DataFrame:
     return coupling(g).select("id", "efferent")
 
 
-def instability(g: CodeGraph) -> DataFrame:
+def instability(g: SourceGraph) -> DataFrame:
     return coupling(g).select("id", "instability")
 
 
-def in_degrees(g: CodeGraph) -> DataFrame:
+def in_degrees(g: SourceGraph) -> DataFrame:
     """(id, incoming) of every node over all kinds of edges."""
     counts = g.adj().groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("incoming"))
     return g.nodes.select("id", "kind", "qualified_name").join(counts, "id", "left").withColumn("incoming", F.coalesce("incoming", F.lit(0).cast("long")))
 
 
-def hotspots(g: CodeGraph, n: int) -> DataFrame:
+def hotspots(g: SourceGraph, n: int) -> DataFrame:
     """The n nodes with most incoming edges, ties by id."""
     return in_degrees(g).orderBy(F.desc("incoming"), "id").limit(n)
 
 
-def lcom(g: CodeGraph) -> DataFrame:
+def lcom(g: SourceGraph) -> DataFrame:
     """(id, lcom) of every node with methods: (pairs - 2 * sharing pairs) / pairs, at least 0; 0 below two methods.
 
     Pairs that share a read or written target are found by joining on the class and the
@@ -79,7 +79,7 @@ def lcom(g: CodeGraph) -> DataFrame:
     return sizes.join(sharing, "id", "left").select("id", F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.when(pairs > 0, value)).alias("lcom"))
 
 
-def package_dependency_graph(g: CodeGraph) -> DataFrame:
+def package_dependency_graph(g: SourceGraph) -> DataFrame:
     """(from_package, to_package, n): edges between different packages, by qualified name."""
     of = package_of(g)
     names = g.nodes.filter("kind = 'Package'").select(F.col("id").alias("package_id"), F.col("qualified_name").alias("package"))
@@ -92,7 +92,7 @@ def package_dependency_graph(g: CodeGraph) -> DataFrame:
     return counted.filter("from_package <> to_package").groupBy("from_package", "to_package").agg(F.count(F.lit(1)).alias("n"))
 
 
-def package_cycles(g: CodeGraph) -> DataFrame:
+def package_cycles(g: SourceGraph) -> DataFrame:
     """(package, component) of packages on a cycle; the component is named by its first package."""
     return named_components(package_dependency_graph(g).select(F.col("from_package").alias("src"), F.col("to_package").alias("dst")), "package")
 
@@ -107,24 +107,24 @@ def named_components(edges: DataFrame, name: str) -> DataFrame:
     return members.join(first, "component").select(name, F.col("first").alias("component"))
 
 
-def cycles(g: CodeGraph, *kinds: str) -> DataFrame:
+def cycles(g: SourceGraph, *kinds: str) -> DataFrame:
     """(id, component) of nodes on a cycle of the given kinds, else of Extends and Imports."""
     return strong_components(g.adj(*(kinds or CYCLE_KINDS)))
 
 
-def unused_fields(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def unused_fields(g: SourceGraph, ids: DataFrame) -> DataFrame:
     """(id, other): the fields of each node that nothing reads or writes."""
     used = g.adj("Reads", "Writes").select(F.col("dst").alias("other")).distinct()
     return fields_of(g, ids).select("id", "other").distinct().join(used, "other", "left_anti").select("id", "other")
 
 
-def entry_points(g: CodeGraph) -> DataFrame:
+def entry_points(g: SourceGraph) -> DataFrame:
     """Public methods and functions that nothing calls."""
     called = g.adj("Calls").select(F.col("dst").alias("id")).distinct()
     return g.nodes.filter(F.col("kind").isin("Method", "Function") & (F.col("visibility") == "Public")).join(called, "id", "left_anti")
 
 
-def unimplemented_interface_methods(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def unimplemented_interface_methods(g: SourceGraph, ids: DataFrame) -> DataFrame:
     """(id, other): abstract methods of directly implemented interfaces whose name the class has no method of."""
     wanted = g.adj("Implements").select(F.col("src").alias("id"), F.col("dst").alias("interface")).join(ids.select("id").distinct(), "id", "left_semi").distinct()
     methods = g.nodes.filter("kind = 'Method'").select(F.col("id").alias("dst"), "name", "is_abstract")
@@ -134,12 +134,12 @@ def unimplemented_interface_methods(g: CodeGraph, ids: DataFrame) -> DataFrame:
     return needed.join(own, ["id", "name"], "left_anti").select("id", "other")
 
 
-def usages_of_type(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def usages_of_type(g: SourceGraph, ids: DataFrame) -> DataFrame:
     """(id, other): distinct nodes that use a type."""
     return g.adj(*USAGE_KINDS).select(F.col("dst").alias("id"), F.col("src").alias("other")).join(ids.select("id").distinct(), "id", "left_semi").distinct()
 
 
-def shared_dependencies(g: CodeGraph, pairs: DataFrame) -> DataFrame:
+def shared_dependencies(g: SourceGraph, pairs: DataFrame) -> DataFrame:
     """(a, b, other): what both nodes of a pair depend on."""
     out = g.adj(*SHARED_KINDS).select("src", F.col("dst").alias("other")).distinct()
     wanted = pairs.select("a", "b").distinct()
@@ -156,7 +156,7 @@ def layer_of(name: Column, layers: list[list[str]]) -> Column:
     return found
 
 
-def layer_violations(g: CodeGraph, layers: list[list[str]]) -> DataFrame:
+def layer_violations(g: SourceGraph, layers: list[list[str]]) -> DataFrame:
     """(edge_id, src, dst, from_layer, to_layer) of edges from a layer to one before it; nodes of no layer are left out."""
     placed = g.nodes.select("id", layer_of(F.col("qualified_name"), layers).alias("layer")).filter("layer is not null")
     return (

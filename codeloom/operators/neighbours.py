@@ -9,105 +9,105 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.graph import CodeGraph
+from codeloom.graph import SourceGraph
 from codeloom.schema import FIELD_KINDS
 
 
-def outgoing(g: CodeGraph, ids: DataFrame, *kinds: str) -> DataFrame:
+def outgoing(g: SourceGraph, ids: DataFrame, *kinds: str) -> DataFrame:
     return g.adj(*kinds).select(F.col("src").alias("id"), F.col("dst").alias("other"), "edge_id").join(ids.select("id").distinct(), "id", "left_semi")
 
 
-def incoming(g: CodeGraph, ids: DataFrame, *kinds: str) -> DataFrame:
+def incoming(g: SourceGraph, ids: DataFrame, *kinds: str) -> DataFrame:
     return g.adj(*kinds).select(F.col("dst").alias("id"), F.col("src").alias("other"), "edge_id").join(ids.select("id").distinct(), "id", "left_semi")
 
 
-def direct_callees(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def direct_callees(g: SourceGraph, ids: DataFrame) -> DataFrame:
     return outgoing(g, ids, "Calls")
 
 
-def direct_callers(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def direct_callers(g: SourceGraph, ids: DataFrame) -> DataFrame:
     return incoming(g, ids, "Calls")
 
 
-def implementors(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def implementors(g: SourceGraph, ids: DataFrame) -> DataFrame:
     return incoming(g, ids, "Implements")
 
 
-def overriders(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def overriders(g: SourceGraph, ids: DataFrame) -> DataFrame:
     return incoming(g, ids, "Overrides")
 
 
-def what_overrides(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def what_overrides(g: SourceGraph, ids: DataFrame) -> DataFrame:
     """The target of each node's first Overrides edge."""
     return outgoing(g, ids, "Overrides").groupBy("id").agg(F.min_by("other", "edge_id").alias("other"))
 
 
-def readers_of(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def readers_of(g: SourceGraph, ids: DataFrame) -> DataFrame:
     return incoming(g, ids, "Reads")
 
 
-def writers_of(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def writers_of(g: SourceGraph, ids: DataFrame) -> DataFrame:
     return incoming(g, ids, "Writes")
 
 
-def fields_read_by(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def fields_read_by(g: SourceGraph, ids: DataFrame) -> DataFrame:
     return outgoing(g, ids, "Reads")
 
 
-def fields_written_by(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def fields_written_by(g: SourceGraph, ids: DataFrame) -> DataFrame:
     return outgoing(g, ids, "Writes")
 
 
-def direct_imports(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def direct_imports(g: SourceGraph, ids: DataFrame) -> DataFrame:
     return outgoing(g, ids, "Imports")
 
 
-def direct_importers(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def direct_importers(g: SourceGraph, ids: DataFrame) -> DataFrame:
     return incoming(g, ids, "Imports")
 
 
-def instantiators(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def instantiators(g: SourceGraph, ids: DataFrame) -> DataFrame:
     return incoming(g, ids, "Instantiates")
 
 
-def types_instantiated_by(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def types_instantiated_by(g: SourceGraph, ids: DataFrame) -> DataFrame:
     return outgoing(g, ids, "Instantiates")
 
 
-def closure_captures(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def closure_captures(g: SourceGraph, ids: DataFrame) -> DataFrame:
     return outgoing(g, ids, "Captures")
 
 
-def parent_of(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def parent_of(g: SourceGraph, ids: DataFrame) -> DataFrame:
     """The source of the last Contains edge into each node."""
     return g.parents().join(ids.select("id").distinct(), "id", "left_semi").select("id", F.col("parent").alias("other"))
 
 
-def children(g: CodeGraph, ids: DataFrame, keep: Column, *kinds: str) -> DataFrame:
+def children(g: SourceGraph, ids: DataFrame, keep: Column, *kinds: str) -> DataFrame:
     """Targets of the given edge kinds (Contains, if none is given) that a condition on the target's columns keeps."""
     found = outgoing(g, ids, *(kinds or ("Contains",)))
     targets = g.nodes.filter(keep).select(F.col("id").alias("other"))
     return found.join(targets, "other", "left_semi").select("id", "other", "edge_id")
 
 
-def methods_of(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def methods_of(g: SourceGraph, ids: DataFrame) -> DataFrame:
     return children(g, ids, F.col("kind") == "Method")
 
 
-def fields_of(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def fields_of(g: SourceGraph, ids: DataFrame) -> DataFrame:
     return children(g, ids, F.col("kind").isin(*FIELD_KINDS))
 
 
-def parameters_of(g: CodeGraph, ids: DataFrame, compat: bool = False) -> DataFrame:
+def parameters_of(g: SourceGraph, ids: DataFrame, compat: bool = False) -> DataFrame:
     """Parameters behind HasParameter or Contains; ``compat`` follows Contains alone, which extracted graphs lack."""
     return children(g, ids, F.col("kind") == "Parameter", *(("Contains",) if compat else ("HasParameter", "Contains")))
 
 
-def public_api(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def public_api(g: SourceGraph, ids: DataFrame) -> DataFrame:
     return children(g, ids, F.col("visibility") == "Public")
 
 
-def coupling_between(g: CodeGraph, pairs: DataFrame) -> DataFrame:
+def coupling_between(g: SourceGraph, pairs: DataFrame) -> DataFrame:
     """(a, b, edge_id, kind) of edges of any kind from either node of a pair to the other."""
     edges = g.edges.filter("to_state = 'Resolved'").select("src", "to_id", F.col("id").alias("edge_id"), "kind")
     wanted = pairs.select("a", "b").distinct()
@@ -116,7 +116,7 @@ def coupling_between(g: CodeGraph, pairs: DataFrame) -> DataFrame:
     return there.unionByName(back).select("a", "b", "edge_id", "kind")
 
 
-def methods_throwing(g: CodeGraph, exception: str) -> DataFrame:
+def methods_throwing(g: SourceGraph, exception: str) -> DataFrame:
     """One row for each Throws edge: to a node of that name or qualified name, or to a text that is it or ends in it as a segment."""
     throws = g.edges.filter("kind = 'Throws'")
     named = g.nodes.filter((F.col("name") == exception) | (F.col("qualified_name") == exception)).select(F.col("id").alias("to_id"))
@@ -125,7 +125,7 @@ def methods_throwing(g: CodeGraph, exception: str) -> DataFrame:
     return resolved.select(F.col("src").alias("id"), F.col("id").alias("edge_id")).unionByName(text.select(F.col("src").alias("id"), F.col("id").alias("edge_id")))
 
 
-def dependencies(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def dependencies(g: SourceGraph, ids: DataFrame) -> DataFrame:
     """(id, edge_id, kind, target) of all outgoing edges; names of targets without a node are marked."""
     edges = g.edges.join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
     names = g.nodes.select(F.col("id").alias("to_id"), "qualified_name")
@@ -133,7 +133,7 @@ def dependencies(g: CodeGraph, ids: DataFrame) -> DataFrame:
     return edges.join(names, "to_id", "left").select(F.col("src").alias("id"), F.col("id").alias("edge_id"), "kind", target.alias("target"))
 
 
-def dependents(g: CodeGraph, ids: DataFrame) -> DataFrame:
+def dependents(g: SourceGraph, ids: DataFrame) -> DataFrame:
     """(id, edge_id, kind, source) of all resolved incoming edges."""
     edges = g.edges.filter("to_state = 'Resolved'").join(ids.select(F.col("id").alias("to_id")).distinct(), "to_id", "left_semi")
     names = g.nodes.select(F.col("id").alias("src"), "qualified_name")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import is_test_file, source_lines
-from codeloom.graph import CodeGraph
+from codeloom.graph import SourceGraph
 from codeloom.jobs import memory
 from codeloom.jobs.enrich import split_batches
 from codeloom.jobs.ingest import commit_descriptions, hash_diff, resolve
@@ -136,12 +136,12 @@ on_acyclic("direct_importers", lambda g: nb.direct_importers(g, g.nodes), BACKWA
 on_acyclic("closure_captures", lambda g: nb.closure_captures(g, g.nodes), FORWARD, kind="Captures")
 
 
-def throwing(spark: SparkSession, sf_dir: str) -> CodeGraph:
+def throwing(spark: SparkSession, sf_dir: str) -> SourceGraph:
     """The upward transitions, and for each user a throw of what its first event was."""
     g = transitions(spark, sf_dir, acyclic=True)
     first = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("first"), F.min("event_id").alias("e"))
     throws = first.select((-F.col("e") - 1).alias("id"), F.lit("Throws").alias("kind"), F.col("user_id").alias("src"), F.lit("External").alias("to_state"), F.lit(None).cast("long").alias("to_id"), F.concat(F.lit("lib."), "first").alias("to_name"))
-    return CodeGraph(g.nodes, g.edges.unionByName(throws))
+    return SourceGraph(g.nodes, g.edges.unionByName(throws))
 
 
 SQL_FIRST = ", firsts AS (SELECT user_id AS id, arg_min(event_type, (ts, event_id)) AS first, -min(event_id) - 1 AS edge_id FROM events GROUP BY user_id) "
@@ -268,7 +268,7 @@ def path_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages, of which those to a page's path resolve to it."""
     g = references(spark, sf_dir)
-    named = CodeGraph(g.nodes.withColumn("qualified_name", F.concat(F.lit("/"), F.regexp_extract("qualified_name", r"://[^.]*\.([^.]*)", 1))), g.edges)
+    named = SourceGraph(g.nodes.withColumn("qualified_name", F.concat(F.lit("/"), F.regexp_extract("qualified_name", r"://[^.]*\.([^.]*)", 1))), g.edges)
     return resolve(named).edges.select("id", "src", "to_state", "to_id", "to_name")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.graph import CodeGraph
+from codeloom.graph import SourceGraph
 from codeloom.sources.tables import table
 
 REGION, NATION, CUSTOMER, SUPPLIER, ORDER, PART = range(6)
@@ -32,7 +32,7 @@ def key(column: str, code: int) -> Column:
     return F.col(column).cast("long") * 8 + code
 
 
-def commerce(spark: SparkSession, sf_dir: str, lines: str = "true") -> CodeGraph:
+def commerce(spark: SparkSession, sf_dir: str, lines: str = "true") -> SourceGraph:
     """Regions and nations as packages, customers and suppliers as classes, orders as methods, parts as fields.
 
     Orders read returned-flag N parts, write the others, and instantiate suppliers, by
@@ -62,7 +62,7 @@ def commerce(spark: SparkSession, sf_dir: str, lines: str = "true") -> CodeGraph
         edge_rows(asked.filter("l_returnflag <> 'N'"), "Writes", line * 8 + 2, key("l_orderkey", ORDER), key("l_partkey", PART)),
         edge_rows(asked, "Instantiates", line * 8 + 3, key("l_orderkey", ORDER), key("l_suppkey", SUPPLIER)),
     ]
-    return CodeGraph(union(nodes), union(edges))
+    return SourceGraph(union(nodes), union(edges))
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -72,7 +72,7 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def transitions(spark: SparkSession, sf_dir: str, acyclic: bool = False, kind: str = "Calls") -> CodeGraph:
+def transitions(spark: SparkSession, sf_dir: str, acyclic: bool = False, kind: str = "Calls") -> SourceGraph:
     """Users as functions, and who follows whom in time as calls.
 
     Cyclic: from each purchase to the next event's user. Acyclic: between purchases
@@ -94,16 +94,16 @@ def transitions(spark: SparkSession, sf_dir: str, acyclic: bool = False, kind: s
     user = F.col("user_id")
     name = F.concat(F.lit("user"), user.cast("string"))
     nodes = node_rows(users, user, "Function", name, name, F.lit("users.src"), visibility=F.when(user % 2 == 0, "Public").otherwise("Private"), is_test=user % 10 == 0)
-    return CodeGraph(nodes, edge_rows(edges, kind, F.col("id"), F.col("src"), F.col("dst")))
+    return SourceGraph(nodes, edge_rows(edges, kind, F.col("id"), F.col("src"), F.col("dst")))
 
 
-def references(spark: SparkSession, sf_dir: str) -> CodeGraph:
+def references(spark: SparkSession, sf_dir: str) -> SourceGraph:
     """Pages as files, and their links as unresolved imports."""
     pages = table(spark, sf_dir, "pages")
     nodes = node_rows(pages, F.col("page_id"), "File", F.col("url"), F.col("url"), F.col("url"))
     links = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("n", "to"))
     edges = links.select((F.col("page_id") * 100_000 + F.col("n")).alias("id"), F.lit("Imports").alias("kind"), F.col("page_id").alias("src"), F.lit("Unresolved").alias("to_state"), F.lit(None).cast("long").alias("to_id"), F.col("to").alias("to_name"))
-    return CodeGraph(nodes, edges)
+    return SourceGraph(nodes, edges)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
-from codeloom.graph import CodeGraph
+from codeloom.graph import SourceGraph
 from codeloom.jobs import enrich as en
 from codeloom.jobs import ingest as ig
 from codeloom.jobs import memory as mm
@@ -51,11 +51,11 @@ def test_ids_are_gapless_and_stable(spark):
 def test_resolve_remove_and_sticky(spark):
     nodes = [make_node(0, "Class", "A", file="a"), make_node(1, "Class", "B", file="b"), make_node(2, "Class", "B", file="c")]
     edges = [make_edge(0, "Calls", 0, "B"), make_edge(1, "Calls", 0, "None"), make_edge(2, "Calls", 1, 0)]
-    first = ig.resolve(CodeGraph.of_rows(spark, nodes, edges))
+    first = ig.resolve(SourceGraph.of_rows(spark, nodes, edges))
     assert got(first.edges, "id", "to_state", "to_id", "to_name") == [(0, "Resolved", 2, None), (1, "External", None, "None"), (2, "Resolved", 0, None)]
     gone = ig.remove_files(first, spark.createDataFrame([("c",), ("b",)], "path string"))
     assert got(gone.nodes, "id") == [0] and got(gone.edges, "id", "to_state", "to_name") == [(0, "Unresolved", "B"), (1, "External", "None")]
-    late = CodeGraph(first.nodes.unionByName(CodeGraph.of_rows(spark, [make_node(3, "Class", "None", file="d")], []).nodes), first.edges)
+    late = SourceGraph(first.nodes.unionByName(SourceGraph.of_rows(spark, [make_node(3, "Class", "None", file="d")], []).nodes), first.edges)
     assert got(ig.resolve(late).edges.filter("id = 1"), "to_state") == ["Resolved"]
     assert got(ig.resolve(late, sticky=True).edges.filter("id = 1"), "to_state") == ["External"]
 
@@ -63,7 +63,7 @@ def test_resolve_remove_and_sticky(spark):
 def test_flags_tasks_and_commit(spark):
     span = lambda a, b: (a, 0, b, 0)
     nodes = [make_node(0, "Class", "Shop", file="s.py", span=span(0, 2)), make_node(1, "Method", "test_x", "Shop.test_x", file="s.py", span=span(1, 1)), make_node(2, "Parameter", "p", file="s.py"), make_node(3, "Class", "Tester", file="/x/tests/t.py", span=span(0, 0)), make_node(4, "Class", "Test", file="u.py", span=span(9, 12))]
-    marked = ig.mark_tests(CodeGraph.of_rows(spark, nodes, []).nodes)
+    marked = ig.mark_tests(SourceGraph.of_rows(spark, nodes, []).nodes)
     assert got(marked.filter("is_test"), "id") == [1, 3, 4]
     files = tree(spark, ("s.py", "one\ntwo\nthree"), ("u.py", "x"))
     tasks = {r["file"]: r for r in ig.description_tasks(files, marked).collect()}

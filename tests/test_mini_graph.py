@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.graph import CodeGraph
+from codeloom.graph import SourceGraph
 from codeloom.operators import lookups as lk
 from codeloom.operators import metrics as mt
 from codeloom.operators import neighbours as nb
@@ -23,7 +23,7 @@ def g(spark):
     ]
     nodes = [make_node(i, k, n, q, file=f, visibility=v, is_abstract=a, language="Java") for i, (k, n, q, f, v, a) in enumerate(rows)]
     links = [("Contains", 0, 6), ("Contains", 1, 3), ("Contains", 1, 4), ("Contains", 1, 5), ("Contains", 2, 7), ("Contains", 2, 8), ("Implements", 1, 0), ("Overrides", 4, 6), ("Calls", 7, 4), ("Calls", 7, 8), ("Calls", 8, 5), ("Reads", 5, 3), ("Writes", 4, 3), ("HasType", 7, 1)]
-    return CodeGraph.of_rows(spark, nodes, [make_edge(i, k, a, b) for i, (k, a, b) in enumerate(links)])
+    return SourceGraph.of_rows(spark, nodes, [make_edge(i, k, a, b) for i, (k, a, b) in enumerate(links)])
 
 
 def ids(spark, *values, name="id"):
@@ -91,7 +91,7 @@ def test_lookups(g):
 
 def test_layers(spark):
     nodes = [make_node(0, "Method", "ctrl", "web.Ctrl.ctrl"), make_node(1, "Method", "svc", "svc.Svc.svc")]
-    two = CodeGraph.of_rows(spark, nodes, [make_edge(0, "Calls", 0, 1), make_edge(1, "Calls", 1, 0)])
+    two = SourceGraph.of_rows(spark, nodes, [make_edge(0, "Calls", 0, 1), make_edge(1, "Calls", 1, 0)])
     assert got(mt.layer_violations(two, [["web."], ["svc."]]), "src", "dst", "from_layer", "to_layer") == [(1, 0, 1, 0)]
     assert mt.layer_violations(two, []).count() == 0
 
@@ -120,7 +120,7 @@ def test_paths_break_ties_by_edge_order(spark):
 
 def test_chain_ends_where_it_comes_round(spark):
     nodes = [make_node(i, "Class", f"c{i}") for i in range(4)]
-    g = CodeGraph.of_rows(spark, nodes, [make_edge(0, "Extends", 0, 1), make_edge(1, "Extends", 1, 0), make_edge(2, "Extends", 2, 3), make_edge(3, "Extends", 2, 1)])
+    g = SourceGraph.of_rows(spark, nodes, [make_edge(0, "Extends", 0, 1), make_edge(1, "Extends", 1, 0), make_edge(2, "Extends", 2, 3), make_edge(3, "Extends", 2, 1)])
     assert got(rc.superclass_chain(g, ids(spark, 0, 2, name="root")), "root", "position", "id") == [(0, 0, 1), (0, 1, 0), (2, 0, 3)]
 
 
@@ -128,7 +128,7 @@ def test_packages_nest_and_cycle(spark):
     nodes = [make_node(0, "Package", "a"), make_node(1, "Package", "b", "a.b"), *(make_node(i, "Class", f"c{i}") for i in range(2, 8))]
     links = [(0, 1), (0, 2), (1, 3), (3, 4), (6, 7), (7, 6)]
     edges = [make_edge(i, "Contains", a, b) for i, (a, b) in enumerate(links)] + [make_edge(10, "Calls", 2, 4), make_edge(11, "Calls", 4, 2), make_edge(12, "Calls", 4, 3), make_edge(13, "Extends", 2, 5)]
-    g = CodeGraph.of_rows(spark, nodes, edges)
+    g = SourceGraph.of_rows(spark, nodes, edges)
     assert got(rc.package_of(g), "id", "package_id") == [(0, 0), (1, 1), (2, 0), (3, 1), (4, 1)]
     assert got(mt.package_dependency_graph(g), "from_package", "to_package", "n") == [("a", "a.b", 1), ("a.b", "a", 1)]
     assert got(mt.package_cycles(g), "package", "component") == [("a", "a"), ("a.b", "a")]
@@ -140,9 +140,9 @@ def test_packages_nest_and_cycle(spark):
 def test_throws_in_all_target_states(spark):
     nodes = [make_node(i, "Method", f"m{i}") for i in range(6)] + [make_node(9, "Class", "Bad", "x.Bad")]
     edges = [make_edge(0, "Throws", 0, 9), make_edge(1, "Throws", 1, "lib.Bad", "External"), make_edge(2, "Throws", 2, "y::Bad"), make_edge(3, "Throws", 3, "NotBad"), make_edge(4, "Calls", 4, 1), make_edge(5, "Calls", 5, 4), make_edge(6, "Throws", 0, 9)]
-    g = CodeGraph.of_rows(spark, nodes, edges)
+    g = SourceGraph.of_rows(spark, nodes, edges)
     assert got(nb.methods_throwing(g, "Bad"), "id") == [0, 0, 1, 2]
     assert got(rc.exception_propagation(g, "Bad"), "id") == [0, 1, 2, 4, 5]
-    wrong = CodeGraph(g.nodes, g.edges.unionByName(CodeGraph.of_rows(spark, [], [make_edge(7, "Calls", 0, 77), make_edge(8, "Calls", 88, 0)]).edges))
+    wrong = SourceGraph(g.nodes, g.edges.unionByName(SourceGraph.of_rows(spark, [], [make_edge(7, "Calls", 0, 77), make_edge(8, "Calls", 88, 0)]).edges))
     assert got(wrong.validate(), "id", "problem") == [(7, "dangling"), (8, "source")]
     assert got(nb.dependencies(wrong, ids(spark, 0, 1, 2)), "id", "target") == [(0, "#77"), (0, "x.Bad"), (0, "x.Bad"), (1, "external:lib.Bad"), (2, "unresolved:y::Bad")]
