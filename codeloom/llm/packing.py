@@ -33,13 +33,28 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
 
 
+@lru_cache(maxsize=1)
+def slow_encoder(vocabulary: str):
+    """The JSON file of the same vocabulary, for texts that the fast one's pattern gives up on, such as very long runs of spaces."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(vocabulary.rpartition(".")[0] + ".json"))
+
+
+def token_ids(text: str, vocabulary: str) -> list[int]:
+    try:
+        return encoder(vocabulary).encode(text, allowed_special="all")
+    except ValueError:
+        return slow_encoder(vocabulary).encode(text, add_special_tokens=False).ids
+
+
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """doc_id, part, first (tokens before it in its partition), n and ids (little-endian 16-bit, the end id included), stored."""
     kept = docs.select("doc_id", "text")
 
     def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(vocabulary)
-        if code.n_vocab > 1 << 16:
+        if encoder(vocabulary).n_vocab > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -47,7 +62,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 rows = batch.slice(begin, 512)
                 ids, first, n = [], [], []
                 for text in rows.column("text"):
-                    tokens = code.encode(text.as_py() or "", allowed_special="all")
+                    tokens = token_ids(text.as_py() or "", vocabulary)
                     tokens.append(end_id)
                     ids.append(np.array(tokens, "<u2").tobytes())
                     first.append(at)

@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from codeloom.llm.packing import pack, sequences
+from codeloom.llm.packing import pack, sequences, token_ids
 from tests.llm.data import documents
 
 
@@ -31,5 +31,11 @@ def test_pieces_round_trip_and_fill_windows(spark):
     assert zlib.crc32(pieces[0]["ids"]) >= 0
 
 
+def test_very_long_runs():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 400_000 + "x", "a" * 50_000, "\n" * 50_000, "1" * 50_000, "x" + " " * 50_000, "\u3000" * 20_000):
+        assert token_ids(text, "byte_bpe_50k.tiktoken") == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_empty_table(spark):
     assert pack(documents(spark, [])).count() == 0
