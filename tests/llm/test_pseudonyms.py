@@ -43,11 +43,12 @@ def test_values_keep_their_format_and_validity(spark):
 
 
 def test_invalid_values_and_other_text_stay(spark):
-    texts = ["4111111111111112", "000-12-3456", "2021-02-30", "999.1.1.1", "DE00 3704 0044 0532 0130 00", "version 2.0, page 12", "", None, "x" * 50_000 + " 25.86.162.211", "a@b"]
+    texts = ["4111111111111112", "000-12-3456", "2021-02-30", "999.1.1.1", "DE00 3704 0044 0532 0130 00", "version 2.0, page 12", "", None, "x" * 50_000 + " 25.86.162.211", "a@b", "m@" + "a." * 100_000 + "b", "1 " * 100_000, "1." * 100_000, "+1 " + "2" * 100_000, "é" * 200_000]
     got = run(spark, texts)
     assert [g[0] for g in got[:8]] == texts[:8] and all(g[1] == 0 for g in got[:8])
     assert got[8][0].startswith("x" * 50_000) and got[8][1] == 1
-    assert got[9][0] == "a@b"
+    assert got[9][0] == "a@b" and [g[0] for g in got[11:]] == texts[11:]
+    assert got[10][0].endswith("@" + texts[10][2:]) and got[10][1] == 1
 
 
 def test_same_value_in_other_spelling_is_linked(spark):
