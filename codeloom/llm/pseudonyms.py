@@ -30,7 +30,7 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d(?:[ .()-]{0,2}\d){7,13})(?!\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=[=\"'])[0-9a-f]{16,64}(?![0-9A-Za-z])",
+    "secret": r"(?<=[=\"'])(?:[0-9a-f]{16,64}|[0-9A-F]{16,64})(?![0-9A-Za-z])",
 }
 #: The look-aheads let most characters fail at once.
 FIND = f"(?=[0-9+(])(?:{'|'.join(PATTERNS[k] for k in ('date', 'ssn', 'ipv4', 'card', 'phone'))})|{PATTERNS['secret']}|(?=[A-Z])(?:{PATTERNS['access_key']}|{PATTERNS['iban']})"
@@ -199,11 +199,15 @@ def by_class(c: Column) -> Column:
     return F.when(c.between("0", "9"), F.lit(DIGITS)).when(c.between("a", "z"), F.lit(LOWER)).when(c.between("A", "Z"), F.lit(UPPER)).otherwise(c)
 
 
+def valid_iban(match: Column) -> Column:
+    plain = F.regexp_replace(match, " ", "")
+    return mod_97(F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))) == 1
+
+
 def iban(match: Column, key: str) -> Column:
     """Account numbers by their remainder of 97: the country stays, the check digits are computed anew."""
     plain = F.regexp_replace(match, " ", "")
     country, account = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5))
-    valid = mod_97(F.concat(account, F.substr(plain, F.lit(1), F.lit(4)))) == 1
     moved = permuted_text(account, lambda c, i: by_class(c), F.concat(F.lit("iban "), country), key)
     full = let(moved, lambda a: F.concat(country, F.lpad((98 - mod_97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a))
 
@@ -212,7 +216,7 @@ def iban(match: Column, key: str) -> Column:
         return F.struct(F.concat(acc["out"], F.when(blank, c).otherwise(F.substr(acc["full"], acc["at"], F.lit(1)))).alias("out"), (acc["at"] + (~blank).cast("int")).alias("at"), acc["full"].alias("full"))
 
     spaced = F.aggregate(characters(match), F.struct(F.lit("").alias("out"), F.lit(1).alias("at"), full.alias("full")), step, lambda acc: acc["out"])
-    return F.when(valid, spaced).otherwise(match)
+    return F.when(valid_iban(match), spaced).otherwise(match)
 
 
 def email(match: Column, key: str) -> Column:
@@ -221,14 +225,16 @@ def email(match: Column, key: str) -> Column:
     return F.concat(permuted_text(local, lambda c, i: by_class(c), F.concat(F.lit("email "), F.lower(domain)), key), F.lit("@"), domain)
 
 
-def kind_of(match: Column) -> Column:
-    """The first pattern that the match is whole."""
+def kind_of(match: Column, before: Column) -> Column:
+    """The first pattern that the match is whole; a secret in the shape of an account number is one by what stands ``before`` it."""
     found = None
     for kind, pattern in PATTERNS.items():
-        body = pattern.replace(PATTERNS["secret"], r"[0-9a-f]{16,64}") if kind == "secret" else pattern
+        body = pattern.replace(PATTERNS["secret"], r"[0-9a-f]{16,64}|[0-9A-F]{16,64}") if kind == "secret" else pattern
         test = match.rlike(f"^(?:{body})$")
         if kind == "secret":
             test = test & ~match.rlike("^[0-9]{13,19}$")
+        if kind == "iban":
+            test = test & ~(match.rlike("^[0-9A-F]{16,64}$") & before.rlike("[=\"']$") & ~valid_iban(match))
         found = F.when(test, F.lit(kind)) if found is None else found.when(test, F.lit(kind))
     return found
 
@@ -236,7 +242,8 @@ def kind_of(match: Column) -> Column:
 def pseudonym(match: Column, kind: Column, key: str) -> Column:
     """struct(kind, value): the pseudonym of a match; what fails validation is left as it is."""
     access_key = F.concat(F.lit("AKIA"), permuted_text(F.substr(match, F.lit(5)), lambda c, i: F.lit(DIGITS + UPPER), F.lit("access_key"), key))
-    secret = permuted_text(match, lambda c, i: F.lit(HEX), F.lit("secret"), key)
+    hexadecimal = permuted_text(F.lower(match), lambda c, i: F.lit(HEX), F.lit("secret"), key)
+    secret = F.when(match.rlike("[A-F]"), F.upper(hexadecimal)).otherwise(hexadecimal)
     value = F.when(kind == "email", email(match, key)).when(kind == "date", date(match, key)).when(kind == "ssn", ssn(match, key)).when(kind == "ipv4", ipv4(match, key)).when(kind == "card", card(match, key)).when(kind == "phone", phone(match, key)).when(kind == "iban", iban(match, key)).when(kind == "access_key", access_key).when(kind == "secret", secret).otherwise(match)
     return F.struct(kind.alias("kind"), value.alias("value"))
 
@@ -245,8 +252,8 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """Replace private values in a text column; adds n_private (values replaced) and private_kinds (sorted).
 
     Kinds: e-mail addresses, dates, social security numbers, IPv4 addresses, card
-    numbers, phone numbers, bank accounts, access keys and hexadecimal secrets after an
-    equals sign or quote. A value that fails validation stays. A null text stays null
+    numbers, phone numbers, bank accounts, access keys and hexadecimal secrets, of either
+    case, after an equals sign or quote. A value that fails validation stays. A null text stays null
     with no values; the rest of a text stays as it is to the letter. Repeated rows are
     each treated; other columns are kept, and those named like the added ones replaced.
     """
@@ -254,7 +261,8 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     found = F.when(F.contains(text, F.lit("@")), F.regexp_extract_all(text, F.lit(FIND_MAIL), 0)).when(text.rlike("[0-9]|AKIA"), F.regexp_extract_all(text, F.lit(FIND), 0))
     parts = F.when(F.contains(text, F.lit("@")), F.split(text, FIND_MAIL)).otherwise(F.split(text, FIND))
     out = docs.drop("n_private", "private_kinds").withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
-    out = out.withColumn("_new", F.transform("_found", lambda m: let(kind_of(m), lambda kind: pseudonym(m, kind, key))))
+    before = F.when(F.size("_found") > 0, F.slice(parts, F.lit(1), F.size("_found"))).otherwise(F.array().cast("array<string>"))
+    out = out.withColumn("_new", F.zip_with("_found", before, lambda m, p: let(kind_of(m, p), lambda kind: pseudonym(m, kind, key))))
     joined = F.array_join(F.flatten(F.zip_with(parts, F.transform("_new", lambda n: n["value"]), lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))), "")
     changed = F.filter(F.arrays_zip("_found", "_new"), lambda z: z["_found"] != z["_new"]["value"])
     return out.withColumns({

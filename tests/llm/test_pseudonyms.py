@@ -73,3 +73,14 @@ def test_other_columns_stay_and_empty_table(spark):
     got = ps.pseudonymise(docs, "k")
     assert set(docs.columns) <= set(got.columns) and got.count() == docs.count()
     assert ps.pseudonymise(docs.limit(0), "k").count() == 0
+
+
+def test_secrets_of_either_case(spark):
+    upper = ["9233A8ECF7" * 4, "0641917EA4E9FEB9", "AB12345678901234567890"]  # the last has the shape of an account number
+    texts = [f'TOKEN = "{u}"' for u in upper] + [f"KEY='{upper[0].lower()}'", f"SEE {upper[2]}", '"DE89370400440532013000"']
+    got = run(spark, texts)
+    for u, text, (new, n, kinds) in zip(upper, texts, got[:3], strict=False):
+        assert new != text and (n, kinds) == (1, ["secret"]) and re.fullmatch(rf'TOKEN = "[0-9A-F]{{{len(u)}}}"', new)
+    assert got[3][0][5:-1] == got[0][0][9:-1].lower() and got[3][2] == ["secret"]
+    assert got[4] == (texts[4], 0, [])
+    assert got[5][2] == ["iban"] and iban_ok(got[5][0].strip('"'))
