@@ -1,135 +1,202 @@
 """Exact top-k search by tiled matrix products.
 
-Queries go in blocks of bounded size. For each block, every task multiplies it
-with the tiles of its shard of vectors, keeps the best k of each tile per query,
-folds them into its running list, and emits one list per query. The lists are
-merged in a tree: by query and a salt first, then by query.
+Queries and vectors are cut into tiles. Every task multiplies the query tiles that
+it is given with the tiles of its shard of vectors, keeps the best k of each tile
+for each query, folds them into its running lists, and emits one list a query. The
+lists are merged in a tree: by query and a salt first, then by query.
+
+Query tiles travel to all tasks at once where their bytes are within a bound.
+Beyond it both sides are stored as tiles and joined by query group and shard, so that
+no side passes through the driver and a task holds the lists of a few groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT = 2**53
+EXACT, LONG = 2**53, 2**63
+#: Shift and width of the text that orders scores beyond a long; components are below 2**1034 and vectors below 2**60 long.
+SHIFT, WIDTH = 10**660, 661
+FOUND = "query_id long, length int, vec_id long, score long, beyond string"
 
 
-def integer_vectors(table: pa.Table | pa.RecordBatch, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and ``floor(scale * x)``, one pair for each vector length; invalid vectors are left out.
-
-    Values are float64 where they are exact there, else Python integers.
-    """
-    column = table.column("embedding")
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    ids = np.asarray(table.column("vec_id").to_numpy() if isinstance(table.column("vec_id"), pa.ChunkedArray) else table.column("vec_id").to_numpy(zero_copy_only=False), np.int64)
+def whole_vectors(ids: np.ndarray, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors as doubles, one pair for each vector length; those null or with null or non-finite components are left out."""
     if not len(column):
         return
     valid = ~np.asarray(column.is_null())
     starts = np.asarray(column.offsets, np.int64)
-    flat = column.values
-    values = flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    values = column.values.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
     lengths = np.diff(starts)
     for n in np.unique(lengths[valid]):
         rows = np.flatnonzero(valid & (lengths == n))
         x = values[starts[rows][:, None] + np.arange(n)[None, :]] if n else np.zeros((len(rows), 0))
         fine = np.isfinite(x).all(axis=1)
-        x, own = np.floor(np.where(np.isfinite(x[fine]), x[fine], 0) * scale), ids[rows][fine]
-        if x.size and not np.isfinite(x).all():  # scaled beyond doubles: exact, though slow
-            x = np.array([[int(v) * scale for v in row] for row in values[starts[rows[fine]][:, None] + np.arange(n)[None, :]]], object)
-        if len(own):
-            yield own, x
+        if fine.any():
+            yield ids[rows[fine]], x[fine]
+
+
+def scaled(ids: np.ndarray, x: np.ndarray, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``floor(scale * x)`` in order of id: as doubles where products of such rows are exact in them, else as Python integers."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    with np.errstate(over="ignore"):
+        v = np.floor(x * scale)
+    most = np.abs(v).max(axis=1, initial=0)
+    small = np.maximum(x.shape[1], 1) * most * most < EXACT
+    if small.any():
+        yield ids[small], v[small]
+    if not small.all():
+        # A double so large that scaling it overflows is a whole number.
+        yield ids[~small], np.array([[int(a) if np.isfinite(a) else int(b) * scale for a, b in zip(row, raw, strict=True)] for row, raw in zip(v[~small], x[~small], strict=True)], object)
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products: in floating point where no partial sum can leave the exact range."""
+    if q.dtype != object and x.dtype != object:
+        return (q @ x.T).astype(np.int64)
+    whole = lambda a: np.array([[int(v) for v in row] for row in a], object).reshape(a.shape)
+    return np.dot(whole(q), whole(x).T)
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """For each row the columns of its k highest scores, of equal scores the smaller ids; ids ascend along columns."""
     n = scores.shape[1]
-    if n <= k:
-        return np.argsort(-scores, axis=1, kind="stable")
-    if scores.dtype != object and np.abs(scores).max(initial=0) < 2**62 // n:
-        keys = scores.astype(np.int64) * n + (n - 1 - np.arange(n))  # no two alike
-        top = np.argpartition(keys, n - k, axis=1)[:, n - k :]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(keys, top, 1), axis=1), 1)
-    return np.argsort(-scores, axis=1, kind="stable")[:, :k]
-
-
-def products(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
-    """Exact inner products: in floating point where no partial sum can leave the exact range."""
-    if queries.dtype != object and tile.dtype != object and queries.shape[1] * np.abs(queries).max(initial=0) * np.abs(tile).max(initial=0) < EXACT:
-        return queries @ tile.T
-    return np.array([[int(v) for v in row] for row in queries], object).reshape(queries.shape) @ np.array([[int(v) for v in row] for row in tile], object).reshape(tile.shape).T
-
-
-def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, block_bytes: int = 8 << 20, tile_rows: int = 4096, tile_queries: int = 1024, salts: int = 16) -> DataFrame:
+    if n <= k or scores.dtype == object or max(abs(int(scores.min())), abs(int(scores.max()))) >= 2**62 // n:
+        return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    keys = scores * n + (n - 1 - np.arange(n))  # no two alike
+    top = np.argpartition(keys, n - k, axis=1)[:, n - k :]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(keys, top, 1), axis=1), 1)
+
+
+class Lists:
+    """The running top lists of a task, by query tile; a list has no place for the query itself."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.kept: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def fold(self, name: tuple, query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Take in the products of a query tile and a vector tile; ``ids`` ascend."""
+        scores = products(q, x)
+        own = query_ids[:, None] == ids[None, :]
+        at = best_of(scores, ids, min(self.k + int(own.sum(axis=1).max(initial=0)), len(ids)))
+        rows, cols = np.nonzero(~np.take_along_axis(own, at, 1))
+        flat_ids, flat = ids[at[rows, cols]], scores[rows, at[rows, cols]]
+        name = (*name, scores.dtype == object)
+        if name in self.kept:
+            old = self.kept[name]
+            rows, flat_ids, flat = np.concatenate([old[0], rows]), np.concatenate([old[1], flat_ids]), np.concatenate([old[2], flat])
+        if flat.dtype == object:
+            order = np.array(sorted(range(len(rows)), key=lambda i: (rows[i], -flat[i], flat_ids[i])), np.int64)
+        else:
+            order = np.lexsort((flat_ids, -flat, rows))
+        rows, flat_ids, flat = rows[order], flat_ids[order], flat[order]
+        starts = np.searchsorted(rows, rows)
+        first = np.arange(len(rows)) - starts < self.k
+        self.kept[name] = (rows[first], flat_ids[first], flat[first])
+
+    def batches(self, query_ids: dict[tuple, np.ndarray], lengths: dict[tuple, int]) -> Iterator[pa.RecordBatch]:
+        for (*name, _), (rows, ids, scores) in self.kept.items():
+            name = tuple(name)
+            flat = scores.tolist()
+            beyond = [None if -LONG < s < LONG - 1 else f"{SHIFT + s:0{WIDTH}d}" for s in flat]
+            cut = [min(max(s, -LONG), LONG - 1) for s in flat]
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[name][rows], pa.int64()), pa.array(np.full(len(rows), lengths[name]), pa.int32()), pa.array(ids, pa.int64()), pa.array(cut, pa.int64()), pa.array(beyond, pa.string())], names=["query_id", "length", "vec_id", "score", "beyond"])
+
+
+def tiles(rows: DataFrame, tile_rows: int) -> DataFrame:
+    """(length, ids, cells): the valid vectors of (vec_id, embedding) in tiles of one length, as bytes of longs and doubles."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, x in whole_vectors(np.asarray(batch.column("vec_id"), np.int64), batch.column("embedding")):
+                step = max(1, min(tile_rows, (4 << 20) // max(8 * x.shape[1], 1)))
+                parts = range(0, len(ids), step)
+                yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]] * len(parts), pa.int32()), pa.array([ids[i : i + step].tobytes() for i in parts], pa.binary()), pa.array([x[i : i + step].tobytes() for i in parts], pa.binary())], names=["length", "ids", "cells"])
+
+    return rows.mapInArrow(pack, "length int, ids binary, cells binary")
+
+
+def unpacked(ids: bytes, cells: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(ids, np.int64)
+    return own, np.frombuffer(cells, np.float64).reshape(len(own), length)
+
+
+def search_shipped(queries: DataFrame, rows: DataFrame, k: int, scale: int, tile_rows: int, tile_queries: int) -> DataFrame:
+    """Lists of every query from each task's vectors; the query tiles go to all tasks."""
+    shipped = rows.sparkSession.sparkContext.broadcast([(r["length"], bytes(r["ids"]), bytes(r["cells"])) for r in tiles(queries, tile_queries).collect()])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_length: dict[int, list[tuple]] = {}
+        query_ids, lengths, lists = {}, {}, Lists(k)
+        for n, (length, ids, cells) in enumerate(shipped.value):
+            for part, (own, q) in enumerate(scaled(*unpacked(ids, cells, length), scale)):
+                of_length.setdefault(length, []).append(((n, part), own, q))
+                query_ids[n, part], lengths[n, part] = own, length
+        for batch in batches:
+            for ids, x in whole_vectors(np.asarray(batch.column("vec_id"), np.int64), batch.column("embedding")):
+                if x.shape[1] in of_length:
+                    for own, v in scaled(ids, x, scale):
+                        for at in range(0, len(own), tile_rows):
+                            for name, q_ids, q in of_length[x.shape[1]]:
+                                lists.fold(name, q_ids, q, own[at : at + tile_rows], v[at : at + tile_rows])
+        yield from lists.batches(query_ids, lengths)
+
+    return rows.mapInArrow(search, FOUND)
+
+
+def search_joined(queries: DataFrame, rows: DataFrame, k: int, scale: int, tile_rows: int, tile_queries: int, groups: int) -> DataFrame:
+    """The same lists where the queries are too many to ship: their tiles are dealt into groups, each vector tile goes to every group, and tasks share out the pairs by group and shard."""
+    q = tiles(queries, tile_queries).select("length", F.pmod(F.xxhash64("ids", "cells"), F.lit(groups)).alias("group"), F.xxhash64("ids", "cells").alias("q_name"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"))
+    x = tiles(rows, tile_rows).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("group", F.col("group").cast("long"))
+    pairs = x.join(q, ["length", "group"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, lengths, lists = {}, {}, Lists(k)
+        for batch in batches:
+            for r in batch.to_pylist():
+                name, length = (r["q_name"],), r["length"]
+                parts = enumerate(scaled(*unpacked(r["q_ids"], r["q_cells"], length), scale))
+                for part, (own, q) in parts:
+                    query_ids[(*name, part)], lengths[(*name, part)] = own, length
+                    for ids, v in scaled(*unpacked(r["ids"], r["cells"], length), scale):
+                        lists.fold((*name, part), own, q, ids, v)
+            if len(lists.kept) > 256:
+                yield from lists.batches(query_ids, lengths)
+                lists.kept.clear()
+        yield from lists.batches(query_ids, lengths)
+
+    return pairs.select("length", "ids", "cells", "q_name", "q_ids", "q_cells").mapInArrow(search, FOUND)
+
+
+def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, ship_bytes: int = 64 << 20, group_bytes: int = 16 << 20, tile_rows: int = 4096, tile_queries: int = 1024, salts: int = 16) -> DataFrame:
     """The k nearest rows, by integer inner product, of each query: query_id, rank (from 1), vec_id, score.
 
     Queries are the rows whose vec_id is divisible by ``every``; repeated rows with
     one id and vector are one query. Candidates are all rows with another vec_id, of
     the query's length, and a repeated row counts as often as it is there. Equal
     scores are ordered by vec_id. Vectors null or with null or non-finite components,
-    and rows with a null vec_id, take no part. Scores beyond a long are cut to its
-    range. Other columns are ignored; an empty table gives no rows.
+    and rows with a null vec_id, take no part. Scores are exact and ranked as such,
+    however large; those beyond a long are shown as its nearest value. Other columns are
+    ignored; an empty table gives no rows. Queries of up to ``ship_bytes`` are sent to
+    all tasks; more are joined in groups of ``group_bytes``.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id is not null and embedding is not null")
     queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "embedding"])
-    sizes = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    blocks = max(1, -(-(sizes[0] * (sizes[1] or 1) * 8) // block_bytes))
-    schema = "query_id long, length int, vec_id long, score long"
-    found = None
-    for block in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
-        shipped = spark.sparkContext.broadcast(list(integer_vectors(part.toArrow(), scale)))
-
-        def search(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            of_length = {x.shape[1]: (ids, x) for ids, x in shipped.value}
-            kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                for ids, x in integer_vectors(batch, scale):
-                    if x.shape[1] not in of_length:
-                        continue
-                    order = np.argsort(ids, kind="stable")
-                    ids, x = ids[order], x[order]
-                    query_ids, q = of_length[x.shape[1]]
-                    for at in range(0, len(ids), tile_rows):
-                        for first in range(0, len(q), tile_queries):
-                            fold(kept, (x.shape[1], first), query_ids[first : first + tile_queries], q[first : first + tile_queries], ids[at : at + tile_rows], x[at : at + tile_rows])
-            for (length, first), (ids, scores) in kept.items():
-                query_ids = of_length[length][0][first : first + tile_queries]
-                real = ids >= np.iinfo(np.int64).min + 1
-                flat = [min(max(int(s), -(2**63)), 2**63 - 1) for s in scores[real]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, ids.shape[1])[real.ravel()], pa.int64()), pa.array(np.full(real.sum(), length), pa.int32()), pa.array(ids[real], pa.int64()), pa.array(flat, pa.int64())], names=["query_id", "length", "vec_id", "score"])
-
-        def fold(kept: dict, part: tuple[int, int], query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-            scores = products(q, x)
-            own = query_ids[:, None] == ids[None, :]
-            lowest = None
-            if own.any():
-                lowest = scores.min() - 1
-                scores = np.where(own, lowest, scores)
-            at = best_of(scores, ids, min(k + int(own.sum(axis=1).max(initial=0)), len(ids)))
-            new_scores, new_ids = np.take_along_axis(scores, at, 1), ids[at]
-            if lowest is not None:
-                new_ids = np.where(np.take_along_axis(own, at, 1), NONE, new_ids)
-            if part in kept:
-                new_ids = np.concatenate([kept[part][0], new_ids], axis=1)
-                new_scores = np.concatenate([kept[part][1], new_scores], axis=1)
-            order = np.lexsort((new_ids, -new_scores, new_ids == NONE), axis=1) if new_scores.dtype != object else np.array([sorted(range(new_ids.shape[1]), key=lambda j, i=i: (new_ids[i, j] == NONE, -new_scores[i, j], new_ids[i, j])) for i in range(len(new_ids))])
-            kept[part] = (np.take_along_axis(new_ids, order, 1)[:, :k], np.take_along_axis(new_scores, order, 1)[:, :k])
-
-        one = rows.mapInArrow(search, schema)
-        found = one if found is None else found.unionByName(one)
-
-    by_query = Window.partitionBy("query_id", "length", "salt").orderBy(F.desc("score"), "vec_id")
+    size = queries.agg(F.coalesce(F.sum(8 * (F.size("embedding").cast("long") + 1)), F.lit(0))).first()[0]
+    options = partial(dict, k=k, scale=scale, tile_rows=tile_rows, tile_queries=tile_queries)
+    if size <= ship_bytes:
+        found = search_shipped(queries, rows, **options())
+    else:
+        found = search_joined(queries, rows, **options(groups=-(-size // group_bytes)))
+    order = (F.desc("score"), F.desc("beyond"), "vec_id")
+    by_query = Window.partitionBy("query_id", "length", "salt").orderBy(*order)
     merged = found.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
-    last = Window.partitionBy("query_id", "length").orderBy(F.desc("score"), "vec_id")
+    last = Window.partitionBy("query_id", "length").orderBy(*order)
     return merged.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-#: Stands for no candidate in a list that isn't full.
-NONE = np.iinfo(np.int64).min
