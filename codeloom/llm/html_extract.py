@@ -25,98 +25,182 @@ BLOCK_TAGS = frozenset("address article aside blockquote body button caption cen
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the first kind ends where one of the second starts.
 ENDED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": {"body"}}
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|([^<]++|<)",
-    re.S | re.I,
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: What follows a tag's name, up to its end: quotes after an equals sign may hold the closing mark.
+REST = re.compile(r"(?:[^\"'>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+>")
+RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in ("script", "style")}
+#: Elements that are open at once; what is nested deeper counts as a child of the last one, as in browsers.
+MOST_OPEN = 512
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+class Path:
+    """An element and those around it. Equal paths of one root are one object, which also keeps what a model makes of them."""
+
+    __slots__ = ("parent", "tag", "attributes", "below", "known", "own", "near", "score")
+
+    def __init__(self, parent: Path | None = None, tag: str = "", attributes: str = ""):
+        self.parent, self.tag, self.attributes = parent, tag, attributes
+        self.below: dict[tuple[str, str], Path] = {}
+        self.score: np.ndarray | None = None
+
+    def child(self, tag: str, attributes: str) -> Path:
+        found = self.below.get((tag, attributes))
+        if found is None:
+            found = self.below[tag, attributes] = Path(self, tag, attributes)
+        return found
+
+    def block(self) -> Path:
+        """The nearest element that isn't inline, or the root."""
+        at = self
+        while at.parent is not None and at.tag not in BLOCK_TAGS:
+            at = at.parent
+        return at
+
+
 class Block(NamedTuple):
-    path: tuple[tuple[str, str], ...]
+    path: Path
     text: str
     linked: int
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks that have text, in order: path of (tag, attributes), text with single spaces, characters in links."""
-    stack: list[tuple[str, str]] = []
-    out: list[Block] = []
-    parts: list[str] = []
-    linked, links = 0, 0
+#: For each element, the open elements that its start may end.
+ENDS = {tag: frozenset({n for n, by in ENDED_BY.items() if tag in by} | ({"p"} if tag not in ("button", "label", "iframe", "noscript", "select", "textarea") else set())) for tag in BLOCK_TAGS}
+#: Elements whose inside an implied end doesn't leave.
+BOUNDS = frozenset("table ul ol dl select div article section td main body".split())
+
+
+class Reader:
+    """The state of reading a page: open elements, and the text since the last block."""
+
+    def __init__(self, root: Path):
+        self.top, self.stack, self.out = root, [], []
+        self.open: dict[str, int] = {}
+        self.deeper: dict[str, int] = {}
+        self.parts: list[str] = []
+        self.linked = 0
+
+    def text(self, text: str) -> None:
+        self.parts.append(text)
+        if self.open.get("a"):
+            self.linked += len(text)
 
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                out.append(Block(tuple(stack), text, linked))
-            parts.clear()
-        linked = 0
-
-    def close(at: int) -> None:
-        nonlocal links
-        if any(t in BLOCK_TAGS for t, _ in stack[at:]):
-            flush()
-        links -= sum(t == "a" for t, _ in stack[at:])
-        del stack[at:]
-
-    for m in TOKEN.finditer(page):
-        text = m[8]
-        if text is not None:
-            parts.append(text)
-            if links > 0:
-                linked += len(text)
-            continue
-        tag = m[3] or m[6]
-        if not tag:
-            continue
-        tag = tag.lower()
-        if m[2] or m[5]:
-            if tag in VOID_TAGS:
-                if tag == "br":
-                    parts.append(" ")
-                continue
-            for at in range(len(stack) - 1, -1, -1):
-                if stack[at][0] == tag:
-                    close(at)
-                    break
-            else:
-                if tag in BLOCK_TAGS:
-                    flush()
-            continue
+                self.out.append(Block(self.top, text, self.linked))
+            self.parts.clear()
+        self.linked = 0
+
+    def close(self, at: int) -> None:
+        """End the open elements from place ``at`` on."""
+        if any(p.tag in BLOCK_TAGS for p in self.stack[at:]):
+            self.flush()
+        for p in self.stack[at:]:
+            self.open[p.tag] -= 1
+        self.top = self.stack[at].parent
+        del self.stack[at:]
+
+    def start(self, tag: str, attributes: str) -> None:
         if tag == "br":
-            parts.append(" ")
+            self.parts.append(" ")
         elif tag in BLOCK_TAGS:
-            flush()
+            self.flush()
         if tag in VOID_TAGS:
-            continue
-        if tag in BLOCK_TAGS:
-            for at in range(len(stack) - 1, -1, -1):
-                name = stack[at][0]
-                if name == "p" and tag not in ("button", "label", "iframe", "noscript", "select", "textarea"):
-                    close(at)
-                    break
-                if tag in ENDED_BY.get(name, ()):
-                    close(at)
+            return
+        ended = ENDS.get(tag, ())
+        if any(self.open.get(n) for n in ended):
+            for at in range(len(self.stack) - 1, -1, -1):
+                name = self.stack[at].tag
+                if name in ended:
+                    self.close(at)
                     break
-                if name in ("table", "ul", "ol", "dl", "select", "div", "article", "section", "td", "main", "body"):
+                if name in BOUNDS:
                     break
-        attributes = m[4] if m[3] else m[7]
-        if not (attributes or "").rstrip().endswith("/") or tag in BLOCK_TAGS:
-            stack.append((tag, attributes or ""))
-            links += tag == "a"
-    flush()
-    return out
+        if attributes.rstrip().endswith("/") and tag not in BLOCK_TAGS:
+            return
+        if len(self.stack) >= MOST_OPEN:
+            self.deeper[tag] = self.deeper.get(tag, 0) + 1
+            return
+        self.top = self.top.child(tag, attributes)
+        self.stack.append(self.top)
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def end(self, tag: str) -> None:
+        if tag in VOID_TAGS:
+            if tag == "br":
+                self.parts.append(" ")
+        elif self.deeper.get(tag):
+            self.deeper[tag] -= 1
+            if tag in BLOCK_TAGS:
+                self.flush()
+        elif self.open.get(tag):
+            self.close(next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag == tag))
+        elif tag in BLOCK_TAGS:
+            self.flush()
+
+
+def blocks(page: str, root: Path | None = None) -> list[Block]:
+    """The leaf blocks that have text, in order: path, text with single spaces, characters in links.
+
+    One pass. A tag that quotes keep open to the end of the page is read again without
+    regard to quotes, as are all that follow it; a mark that starts no tag is text.
+    """
+    read = Reader(root or Path())
+    at, last, quotes = 0, page.rfind(">"), True
+    while at < len(page):
+        mark = page.find("<", at)
+        if mark < 0:
+            read.text(page[at:])
+            break
+        if mark > at:
+            read.text(page[at:mark])
+        if page.startswith("<!--", mark):
+            end = page.find("-->", mark + 4)
+            if end < 0:
+                break
+            at = end + 3
+            continue
+        if mark > last:
+            read.text(page[mark])
+            at = mark + 1
+            continue
+        if page.startswith(("<!", "<?"), mark):
+            at = page.index(">", mark) + 1
+            continue
+        closing = page.startswith("</", mark)
+        name = NAME.match(page, mark + 1 + closing)
+        if not name:
+            read.text("<")
+            at = mark + 1
+            continue
+        tag, begin = name[0].lower(), name.end()
+        rest = REST.match(page, begin) if quotes else None
+        if rest:
+            at = rest.end()
+        else:
+            quotes = False
+            at = page.index(">", begin - 1 if page[begin - 1] == ">" else begin) + 1
+        if tag in RAW_END and not closing:
+            end = RAW_END[tag].search(page, at)
+            if not end:
+                break
+            at = end.end()
+        elif closing:
+            read.end(tag)
+        else:
+            read.start(tag, page[begin : at - 1])
+    read.flush()
+    return read.out
 
 
 @lru_cache(maxsize=50_000)
 def element_names(tag: str, attributes: str) -> tuple[str, ...]:
-    """The tag, the parts of class and id names, the role, and whether it is hidden."""
+    """The tag, the parts of class and id names, the role, and whether it is hidden, once each; of very long attributes the start."""
     names = [tag]
-    for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
+    for name, *values in ATTRIBUTE.findall(attributes[:4096]) if attributes else ():
         name, value = name.lower(), next(filter(None, values), "")
         if name in ("class", "id"):
             names += [f".{x.lower()}" for x in NAME_PARTS.findall(value)]
@@ -124,20 +208,20 @@ def element_names(tag: str, attributes: str) -> tuple[str, ...]:
             names.append(f"role={value.lower()}")
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             names.append("hidden")
-    return tuple(names)
+    return tuple(dict.fromkeys(names))
 
 
-def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
+def path_features(path: Path) -> list[str]:
     """Names of all ancestors, and of the nearest ones with their distance; inline elements don't count."""
-    found, near = set(), 0
-    for tag, attributes in reversed(path):
-        if tag not in BLOCK_TAGS:
-            continue
-        for name in element_names(tag, attributes):
-            found.add(name)
-            if near < 4:
-                found.add(f"{near}:{name}")
-        near += 1
+    found, near, at = set(), 0, path
+    while at.parent is not None:
+        if at.tag in BLOCK_TAGS:
+            for name in element_names(at.tag, at.attributes):
+                found.add(name)
+                if near < 4:
+                    found.add(f"{near}:{name}")
+            near += 1
+        at = at.parent
     return sorted(found)
 
 
@@ -160,6 +244,19 @@ def text_features(block: Block) -> list[str]:
     return found
 
 
+def chain_features(chain: list[Block]) -> list[list[str]]:
+    """For each block: its text's features, the length and links of its neighbours, and the share of the page's unlinked text beside it under one element."""
+    own = [text_features(b) for b in chain]
+    around = ["none", *("/".join(f[:2]) for f in own), "none"]
+    holders = [p.parent or p for p in (b.path.block() for b in chain)]
+    plain = [max(len(b.text) - b.linked, 0) for b in chain]
+    sums: dict[int, int] = {}
+    for h, n in zip(holders, plain, strict=True):
+        sums[id(h)] = sums.get(id(h), 0) + n
+    total = max(sum(plain), 1)
+    return [[*f, f"before={around[i]}", f"after={around[i + 2]}", f"held={round(sums[id(h)] / total * 4)}"] for i, (f, h) in enumerate(zip(own, holders, strict=True))]
+
+
 class Model(NamedTuple):
     index: dict[str, int]
     weights: np.ndarray  # feature x label
@@ -174,7 +271,7 @@ def summed(model: Model, names: list[str]) -> np.ndarray:
 
 def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 100, rate: float = 0.3, penalty: float = 3e-4) -> Model:
     """Maximise the regularised likelihood of the label chains by adaptive gradient steps over all pages."""
-    described = [[["bias", *path_features(b.path), *text_features(b)] for b in chain] for chain, _ in pages]
+    described = [[["bias", *path_features(b.path), *f] for b, f in zip(chain, chain_features(chain), strict=True)] for chain, _ in pages]
     index = {name: i for i, name in enumerate(sorted({n for page in described for b in page for n in b}))}
     rows = [[np.array([index[n] for n in b]) for b in page] for page in described]
     flat = np.concatenate([r for page in rows for r in page])
@@ -237,22 +334,47 @@ class Extractor:
 
     def __init__(self, model: Model, most: int = 100_000):
         self.model, self.most = model, most
-        self.paths: dict[tuple, np.ndarray] = {}
-        self.shapes: dict[tuple, np.ndarray] = {}
+        self.shapes: dict[str, np.ndarray] = {}
+        self.bias = summed(model, ["bias"])
+
+    def root(self) -> Path:
+        root = Path()
+        root.known, root.own, root.near, root.score = frozenset(), np.zeros(2), (), self.bias
+        return root
+
+    def path_score(self, path: Path) -> np.ndarray:
+        """The sum of the weights of ``path_features``, from those of the parent."""
+        todo = []
+        while path.score is None:
+            todo.append(path)
+            path = path.parent
+        for p in reversed(todo):
+            above = p.parent
+            p.known, p.own, p.near, p.score = above.known, above.own, above.near, above.score
+            if p.tag in BLOCK_TAGS:
+                names = element_names(p.tag, p.attributes)
+                new = [n for n in names if n in self.model.index and n not in above.known]
+                if new:
+                    p.known, p.own = above.known.union(new), above.own + summed(self.model, new)
+                p.near = (names, *above.near[:3])
+                p.score = self.bias + p.own + summed(self.model, [f"{i}:{n}" for i, found in enumerate(p.near) for n in found])
+            path = p
+        return path.score
+
+    def scores(self, chain: list[Block]) -> list[np.ndarray]:
+        found = []
+        for b, features in zip(chain, chain_features(chain), strict=True):
+            score = self.path_score(b.path)
+            for f in features:
+                if (one := self.shapes.get(f)) is None:
+                    one = self.shapes[f] = summed(self.model, [f])
+                score = score + one
+            found.append(score)
+        return found
 
     def main_text(self, page: str | None) -> str:
-        found = blocks(page or "")
-        if len(self.paths) > self.most:
-            self.paths.clear()
-        scores = []
-        for b in found:
-            if (on_path := self.paths.get(b.path)) is None:
-                on_path = self.paths[b.path] = summed(self.model, ["bias", *path_features(b.path)])
-            shape = tuple(text_features(b))
-            if (of_text := self.shapes.get(shape)) is None:
-                of_text = self.shapes[shape] = summed(self.model, list(shape))
-            scores.append(on_path + of_text)
-        return "\n\n".join(b.text for b, label in zip(found, decode(scores, self.model), strict=True) if label)
+        chain = blocks(page or "", self.root())
+        return "\n\n".join(b.text for b, label in zip(chain, decode(self.scores(chain), self.model), strict=True) if label)
 
 
 #: Names that layouts give to the parts of a page.
@@ -272,10 +394,14 @@ PART_TAGS = {"menu": "nav", "header": "header", "footer": "footer", "sidebar": "
 SYLLABLES = "ba ren ti lo mar sen du ka vel on er ist pa que ment ion al us die ach".split()
 
 
-def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[list[Block], list[int]]]:
-    """Pages composed of parts with known labels, as blocks and labels; headings and texts of the article are main."""
+def labelled_pages(count: int = 800, seed: int = 5, names: dict[str, list[str]] | None = None, main_names: list[str] | None = None, plain: float = 0.25) -> list[tuple[list[Block], list[int]]]:
+    """Pages composed of parts with known labels, as blocks and labels; headings and texts of the article are main.
+
+    A share ``plain`` of the pages has no telling tags or names, only the shapes of texts and where they lie.
+    """
     pick = random.Random(seed)
     mark = "\x02"
+    part_names, main_names = names or PART_NAMES, main_names or MAIN_NAMES
 
     def words(low: int, high: int) -> str:
         return " ".join("".join(pick.choice(SYLLABLES) for _ in range(pick.randint(1, 4))) for _ in range(pick.randint(low, high)))
@@ -289,7 +415,7 @@ def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[list[Block], l
 
     def part(kind: str, named: bool | None = None) -> str:
         named = pick.random() < 0.6 if named is None else named
-        plain = PART_TAGS[kind] == "div" or named
+        named_here = PART_TAGS[kind] == "div" or named
         tag = pick.choice([PART_TAGS[kind], "div"]) if named else PART_TAGS[kind]
         if kind in ("menu", "share") or kind in ("footer", "sidebar", "header") and pick.random() < 0.4:
             inner = "<ul>" + "".join(f'<li><a href="/x">{words(1, 3)}</a></li>' for _ in range(pick.randint(2, 8))) + "</ul>"
@@ -304,7 +430,7 @@ def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[list[Block], l
             inner = pick.choice([f"<h1>{words(1, 4)}</h1>", f"<p>{words(2, 8)}</p>", f"<a href='/'>{words(1, 3)}</a>"])
         else:
             inner = pick.choice([sentence(2, 40), f"<p>{sentence(2, 40)}</p>", f"<h{(level := pick.choice('234'))}>{words(1, 3)}</h{level}><p>{sentence(2, 30)}</p>", f'<a href="/y">{sentence(2, 12)}</a>'])
-        return wrapped(tag, PART_NAMES[kind] if plain else [], inner)
+        return wrapped(tag, part_names[kind] if named_here else [], inner)
 
     def article() -> str:
         body = [f"<h1>{mark}{words(1, 10)}</h1>"] if pick.random() < 0.8 else []
@@ -334,11 +460,43 @@ def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[list[Block], l
         if style < 0.65:
             return f"<main><article>{inner}</article></main>"
         if style < 0.75:
-            return wrapped("article", MAIN_NAMES, inner)
-        return wrapped(pick.choice(["div", "div", "section"]), MAIN_NAMES, inner)
+            return wrapped("article", main_names, inner)
+        return wrapped(pick.choice(["div", "div", "section"]), main_names, inner)
+
+    def noise(inner: str) -> str:
+        name = "".join(pick.choice("abcdefghijklmnopqrstuvwxyz0123456789-") for _ in range(pick.randint(1, 6)))
+        return pick.choice([f'<div class="{name}">{inner}</div>', f"<div>{inner}</div>", f'<div id="{name}">{inner}</div>', f'<section class="{name}">{inner}</section>'])
+
+    def plain_page() -> str:
+        """Divisions without telling names: links, notices and forms around headings and sentences."""
+        def small() -> str:
+            kind = pick.random()
+            if kind < 0.4:
+                each = pick.choice(["<a href=/x>{}</a> ", "<div><a href=/x>{}</a></div>", "<ul><li><a href=/x>{}</a></ul>"])
+                return noise("".join(each.format(words(1, 4)) for _ in range(pick.randint(2, 8))))
+            if kind < 0.55:
+                return noise(f"&copy; {words(1, 3)}. {pick.choice(['All rights reserved.', words(1, 5), ''])}")
+            if kind < 0.7:
+                return noise(f"<form>{words(1, 3)}<input name=q><button>{words(1, 2)}</button></form>")
+            if kind < 0.85:
+                return noise(pick.choice(["We use cookies. ", "Subscribe to our newsletter. ", "Advertisement. ", "Privacy policy. "]) + words(0, 6))
+            return noise(words(1, 3))
+
+        tag = pick.choice(["p", "div", "div"])
+        body = [noise(f"<h1>{mark}{words(1, 10)}</h1>") if pick.random() < 0.2 else f"<h1>{mark}{words(1, 10)}</h1>"] if pick.random() < 0.85 else []
+        for _ in range(pick.randint(1, 9)):
+            body.append(f"<{tag}>{mark}{sentence(8, 120)}</{tag}>" if pick.random() < 0.85 else pick.choice([f"<h2>{mark}{words(1, 6)}</h2>", f"<{tag}>{mark}{sentence(1, 8)}</{tag}>"]))
+        core = noise("".join(body))
+        around = [small() for _ in range(pick.randint(0, 3))], [small() for _ in range(pick.randint(0, 3))]
+        whole = "".join(around[0]) + core + "".join(around[1])
+        return noise(whole) if pick.random() < 0.4 else whole
 
     out = []
     for _ in range(count):
+        if pick.random() < plain:
+            found = blocks(f"<html><head><title>{words(1, 10)}</title></head><body>{plain_page()}</body></html>")
+            out.append(([b._replace(text=b.text.replace(mark, "")) for b in found], [int(mark in b.text) for b in found]))
+            continue
         before = [part(k) for k in ("menu", "header", "notice", "advert", "form", "sidebar") if pick.random() < 0.4]
         after = [part(k) for k in ("comments", "share", "sidebar", "advert", "notice", "form", "menu", "footer") if pick.random() < 0.4]
         pick.shuffle(before)
@@ -355,16 +513,22 @@ def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[list[Block], l
     return [([b for b in chain if b.text], [y for b, y in zip(chain, labels, strict=True) if b.text]) for chain, labels in out]
 
 
+@lru_cache(maxsize=1)
+def default_model() -> Model:
+    """Learnt from ``labelled_pages``, once in a driver's life; it is the same each time."""
+    return train(labelled_pages())
+
+
 def extract_main_text(pages: DataFrame, training: list[tuple[list[Block], list[int]]] | None = None) -> DataFrame:
     """page_id, url, text and n_chars of each row: the blocks labelled main, joined by an empty line.
 
     Character references are decoded, and white space inside a block is one space; a
-    line break is white space. Null and empty pages, and those without a main block, have
+    line break is white space. Broken markup is read in one pass. Null and empty pages, and those without a main block, have
     an empty text. Repeated rows are each extracted; other columns are ignored. An empty
     table gives no rows.
     """
     spark = pages.sparkSession
-    model = spark.sparkContext.broadcast(train(labelled_pages() if training is None else training))
+    model = spark.sparkContext.broadcast(default_model() if training is None else train(training))
     kept = pages.select("page_id", "url", "html")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,21 +1,24 @@
-"""Scores of a hashed maximum-entropy language model.
-
-The next token is predicted in two steps: its class by a softmax over hashed
-features of the tokens before it, then the token in its class by its count. The most
-frequent tokens are classes of their own, the rest are classed by a hash of their
-last bytes. Features are the classes of the four tokens before (the nearest as an
-n-gram, the others as skips), the two nearest classes together, and the nearest token
-hashed.
-
-Counts cover every training text, and each trains: tasks run gradient steps on
-their texts from common weights, and the weights are averaged by how often each
-feature was seen. Texts are scored in numpy batches. Frequent tokens travel to the
-tasks in an array of bounded length; the rest are looked up by a join.
+"""Scores of a hashed maximum-entropy language model with a class-factored softmax.
+
+Tokens are the leaves of a tree of classes, 16 to a class: classes are cut so that
+their counts are about equal and that tokens of like endings stay together. The
+probability of a token is the product of the softmaxes along its path, class by class
+down to the token itself. Each softmax adds to the class's add-one counts the weights
+of its features: the token before (2-gram), the two before together (3-gram), and the
+second and third token before (skips), each hashed with the class into a table of
+weights. With all weights zero the model is the add-one unigram model.
+
+Counts cover every training text, and every place of every training text trains:
+tasks run adaptive gradient steps from common weights, which Spark then averages by
+how often each row of the table was seen. Texts are tokenised twice, once to count and
+once to number their tokens; training and scoring read the stored numbers.
+
+Frequent tokens travel to the tasks in arrays of bounded length. All others share a
+leaf, below which they go by their counts, joined in.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,26 +32,34 @@ from pyspark.sql import functions as F
 
 from codeloom.sources.scratch import materialise
 
-CLASSES, SINGLE, BACK = 64, 32, 4
-BUCKETS = 8192
-#: Bytes of text that a task encodes at once.
-SLICE = 1 << 20
-#: Rows of weights: a bias, the classes at four distances, pairs of classes, hashed tokens.
-PAIRS_AT = 1 + BACK * CLASSES
-WORDS_AT = PAIRS_AT + CLASSES * CLASSES
-ROWS = WORDS_AT + BUCKETS
+#: Branches of a class, and the tokens before a place that its features see.
+WIDE, BACK = 16, 3
+#: Bytes of text that a task encodes at once, and places that it scores or learns from at once.
+SLICE, PLACES = 1 << 21, 8192
+#: Leaves that are no token: the end of a text, and all tokens that aren't frequent.
+END, OTHER = 0, 1
+FEATURES = 4
 
 
 class Vocabulary(NamedTuple):
-    """Frequent tokens by sorted hash with their counts, the ranks of those that are classes, and sums by class."""
+    """Frequent tokens by sorted hash with their leaves and log10(count + 1), and the sums of all tokens."""
 
     hashes: np.ndarray
-    counts: np.ndarray
-    single: dict[int, int]
-    class_log: np.ndarray
+    leaves: np.ndarray
+    logs: np.ndarray
+    end_log: float
     tokens: int
     distinct: int
-    ends: int
+
+
+class Tree(NamedTuple):
+    """The path of leaf i: ``nodes`` and ``branches`` from ``starts[i]`` to ``starts[i + 1]``; and each node's log shares of its branches."""
+
+    starts: np.ndarray
+    nodes: np.ndarray
+    branches: np.ndarray
+    prior: np.ndarray
+    other_log: float  # log10 of the counts below the leaf of all other tokens
 
 
 def token_hash(token: bytes) -> int:
@@ -56,8 +67,9 @@ def token_hash(token: bytes) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def suffix_class(token: bytes) -> int:
-    return SINGLE + zlib.crc32(token[-3:]) % (CLASSES - SINGLE)
+def ending(token: bytes) -> int:
+    """A number that orders tokens by their last seven bytes, from the last one on."""
+    return int.from_bytes(token[: -8 : -1].ljust(7, b"\x00"), "big")
 
 
 def split_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -88,20 +100,55 @@ def in_slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
-    """(h, class, n): occurrences of each token, told apart by 64-bit hash, summed in each slice before the shuffle."""
+    """(h, ending, n): occurrences of each token, told apart by 64-bit hash, summed in each slice before the shuffle."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in in_slices(batches, 32 << 20):
             _, numbers, distinct = split_tokens(rows.column("text"))
             times = np.bincount(numbers, minlength=len(distinct))
-            found = [(token_hash(t), suffix_class(t), n) for t, n in zip(distinct, times.tolist(), strict=True) if n and t]
+            found = [(token_hash(t), ending(t), n) for t, n in zip(distinct, times.tolist(), strict=True) if n and t]
             h, k, n = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(k, pa.int32()), pa.array(n, pa.int64())], names=["h", "class", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["h", "ending", "n"])
 
-    return texts.select("text").mapInArrow(count, "h long, class int, n long").groupBy("h", "class").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(count, "h long, ending long, n long").groupBy("h", "ending").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame, ends: int, frequent: int) -> tuple[Vocabulary, DataFrame]:
-    """The frequent tokens (``frequent`` at most, cut at a count) and the table of the others."""
+def class_tree(endings: np.ndarray, counts: np.ndarray, ends: int, other: int) -> Tree:
+    """Cut the tokens, in order of their endings, into 16 runs of about equal counts, and each run again until it is one token.
+
+    Leaves are numbered END, OTHER, then the tokens as given. ``other`` is the add-one
+    sum of all other tokens.
+    """
+    weights = np.concatenate([[ends + 1, other], counts + 1]).astype(np.float64)
+    order = np.concatenate([[END, OTHER], 2 + np.argsort(endings, kind="stable")])
+    sums = np.concatenate([[0.0], np.cumsum(weights[order])])
+    owner, level, node_of, branch_of, prior = [], [], [], [], []
+    open_runs, depth = [(0, len(order))], 0
+    while open_runs:
+        below = []
+        for low, high in open_runs:
+            total = sums[high] - sums[low]
+            if high - low <= WIDE:
+                cuts = np.arange(low, high + 1)
+            else:
+                wished = np.searchsorted(sums, sums[low] + total * np.arange(1, WIDE) / WIDE)
+                cuts = np.unique(np.concatenate([[low], np.clip(wished, low + 1, high - 1), [high]]))
+            node, share = len(prior), np.full(WIDE, -60.0, np.float32)
+            share[: len(cuts) - 1] = np.log(np.diff(sums[cuts]) / total)
+            prior.append(share)
+            owner.append(np.arange(low, high))
+            branch_of.append(np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)))
+            node_of.append(np.full(high - low, node))
+            level.append(np.full(high - low, depth))
+            below += [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b - a > 1]
+        open_runs, depth = below, depth + 1
+    leaf = order[np.concatenate(owner)]
+    at = np.lexsort((np.concatenate(level), leaf))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=len(order)))])
+    return Tree(starts, np.concatenate(node_of)[at].astype(np.int32), np.concatenate(branch_of)[at].astype(np.int8), np.array(prior, np.float32), float(np.log10(other)))
+
+
+def vocabulary(counts: DataFrame, ends: int, frequent: int) -> tuple[Vocabulary, Tree, DataFrame]:
+    """The frequent tokens (``frequent`` at most, cut at a count), their tree, and the table of the others."""
     step = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor(F.log2(F.col("n") / 4096) * 64)).cast("long")
     steps = sorted(((r["step"], r["k"], r["least"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).collect()), reverse=True)
     least, total = None, 0
@@ -110,177 +157,212 @@ def vocabulary(counts: DataFrame, ends: int, frequent: int) -> tuple[Vocabulary,
             break
         least, total = low, total + k
     kept = counts.filter(F.col("n") >= least if least is not None else F.lit(False))
-    rows = kept.toPandas().sort_values(["n", "h"], ascending=[False, True])
-    single = {int(h): 1 + i for i, h in enumerate(rows["h"].iloc[: SINGLE - 1])}
-    sums = np.zeros((CLASSES, 2))
-    for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():
-        sums[r["class"]] = r["n"], r["k"]
-    for _, r in rows.iloc[: SINGLE - 1].iterrows():
-        sums[int(r["class"])] -= r["n"], 1
-    all_tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    order = np.argsort(rows["h"].to_numpy(np.int64), kind="stable")
-    found = Vocabulary(rows["h"].to_numpy(np.int64)[order], rows["n"].to_numpy(np.int64)[order], single, np.log10(sums.sum(axis=1) + 1), int(all_tokens[0]) + ends, int(all_tokens[1]) + (ends > 0), ends)
-    return found, counts.filter(F.col("n") < least if least is not None else F.lit(True)).select("h", "n")
-
-
-def encoded(words: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Arrays over a batch of texts, each led by pads and closed by an end: class, bucket, log10(count + 1) or nan for a token that isn't frequent, hash; and the texts' lengths with the end.
-
-    Each distinct token of the batch is hashed and looked up once.
-    """
-    lengths, ids, number = split_tokens(texts)
-    lengths = lengths + 1
-    digest, crc = xxhash.xxh64_intdigest, zlib.crc32
-    hashes = np.fromiter((digest(t, 42) for t in number), np.uint64, len(number)).view(np.int64)
-    classes = SINGLE + np.fromiter((crc(t[-3:]) for t in number), np.int64, len(number)) % (CLASSES - SINGLE)
-    logs = np.full(len(number), np.nan)
-    if len(words.hashes) and len(hashes):
-        order = np.argsort(hashes)
-        at = np.empty(len(hashes), np.int64)
-        at[order] = np.minimum(np.searchsorted(words.hashes, hashes[order]), len(words.hashes) - 1)
-        frequent = words.hashes[at] == hashes
-        logs[frequent] = np.log10(words.counts[at[frequent]] + 1)
-        for h, rank in words.single.items():
-            classes[hashes == h] = rank
-    total = int((lengths + BACK).sum())
-    c, b, lg, h = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total), np.zeros(total, np.int64)
-    places = targets(lengths)
-    is_word = np.ones(len(places), bool)
-    is_word[np.cumsum(lengths) - 1] = False
-    places = places[is_word]
-    c[places], b[places], lg[places], h[places] = classes[ids], hashes[ids] % BUCKETS, logs[ids], hashes[ids]
-    return c, b, lg, h, lengths
-
-
-def targets(lengths: np.ndarray) -> np.ndarray:
-    """The places of tokens and ends, pads left out."""
+    rows = kept.toPandas().sort_values("h")
+    n = rows["n"].to_numpy(np.int64)
+    all_tokens, all_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    tree = class_tree(rows["ending"].to_numpy(np.int64), n, ends, int(all_tokens - n.sum()) + int(all_distinct - len(n)) + 1)
+    found = Vocabulary(rows["h"].to_numpy(np.int64), np.arange(2, len(n) + 2, dtype=np.int32), np.log10(n + 1.0), float(np.log10(ends + 1)), int(all_tokens) + ends, int(all_distinct) + (ends > 0))
+    return found, tree, counts.filter(F.col("n") < least if least is not None else F.lit(True)).select("h", "n")
+
+
+def numbered_texts(docs: DataFrame, words: Vocabulary, keep: list[str]) -> DataFrame:
+    """rid, the columns ``keep``, leaves (of the tokens and the end), known and logs of the frequent tokens, and the other tokens' hashes with their counts (rare, times); stored."""
+    shipped = docs.sparkSession.sparkContext.broadcast(words)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shipped.value
+        rid = TaskContext.get().partitionId() << 40
+        for rows in in_slices(batches, SLICE):
+            lengths, ids, distinct = split_tokens(rows.column("text"))
+            hashes = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in distinct), np.uint64, len(distinct)).view(np.int64)
+            leaf, log = np.full(len(distinct), OTHER, np.int32), np.zeros(len(distinct))
+            if len(words.hashes) and len(hashes):
+                at = np.minimum(np.searchsorted(words.hashes, hashes), len(words.hashes) - 1)
+                frequent = words.hashes[at] == hashes
+                leaf[frequent], log[frequent] = words.leaves[at[frequent]], words.logs[at[frequent]]
+            ends = np.cumsum(lengths)
+            firsts = ends - lengths
+            sums = np.concatenate([[0.0], np.cumsum(log[ids])])
+            rare = leaf[ids] == OTHER
+            seen = np.concatenate([[0], np.cumsum(~rare)])
+            leaves = np.insert(leaf[ids], ends, END)
+            rare_h, rare_n, rare_at = [], [], hashes[ids[rare]]
+            rare_ends = (ends - seen[ends]).tolist()
+            for a, b in zip([0, *rare_ends[:-1]], rare_ends, strict=True):
+                u, k = np.unique(rare_at[a:b], return_counts=True) if b > a else (rare_at[:0], rare_at[:0])
+                rare_h.append(u)
+                rare_n.append(k)
+            kept = [rows.column(rows.schema.get_field_index(k)) for k in keep]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths + 1)]), pa.int32()), pa.array(leaves, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + len(lengths))), *kept, lists, pa.array(seen[ends] - seen[firsts]), pa.array(sums[ends] - sums[firsts] + words.end_log), pa.array(rare_h, pa.list_(pa.int64())), pa.array(rare_n, pa.list_(pa.int64()))], names=["rid", *keep, "leaves", "known", "logs", "rare", "times"])
+            rid += len(lengths)
+
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+    return materialise(docs.select(*keep, "text").mapInArrow(number, f"rid long, {kinds}, leaves array<int>, known long, logs double, rare array<long>, times array<long>"), "numbered-texts")
+
+
+def flat_leaves(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' lengths, and their leaves one after another, each text led by pads (-1)."""
+    lengths = np.asarray(pc.list_value_length(column), np.int64)
+    leaves = np.asarray(column.flatten(), np.int64)
+    firsts = np.cumsum(lengths) - lengths
+    return lengths, np.insert(leaves, np.repeat(firsts, BACK), -1)
+
+
+def places_of(lengths: np.ndarray) -> np.ndarray:
+    """Where tokens and ends stand among the pads."""
     starts = np.cumsum(lengths + BACK) - lengths
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
-def feature_rows(c: np.ndarray, b: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """The rows of weights that speak at each place, besides the bias."""
-    back = [c[at - k] for k in range(1, BACK + 1)]
-    return [*(1 + k * CLASSES + x for k, x in enumerate(back)), PAIRS_AT + back[0] * CLASSES + back[1], WORDS_AT + b[at - 1]]
+#: Odd factors that mix contexts and classes into rows.
+MIX = [np.uint64(xxhash.xxh64_intdigest(str(i).encode(), 7) | 1) for i in range(FEATURES + 2)]
+
+
+def contexts(c: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """A hash for each feature at each place: 2-gram, 3-gram, and two skips."""
+    one, two, three = ((c[at - k] + 1).astype(np.uint64) for k in (1, 2, 3))
+    return [one * MIX[0] + MIX[3], (one * MIX[0] ^ (two * MIX[1] << np.uint64(7))) + MIX[2], two * MIX[1] + MIX[0], three * MIX[2] + MIX[1]]
+
 
+def decisions(tree: Tree, c: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each step on each place's path: where the place's steps begin, its node, the branch taken, and the rows of weights (features x steps)."""
+    leaf = c[at]
+    first, n = tree.starts[leaf], tree.starts[leaf + 1] - tree.starts[leaf]
+    begins = np.cumsum(n) - n
+    step = np.repeat(first - begins, n) + np.arange(int(n.sum()))
+    node = tree.nodes[step]
+    mixed = node.astype(np.uint64) * MIX[FEATURES]
+    rows = np.empty((FEATURES, len(step)), np.int64)
+    for f, h in enumerate(contexts(c, at)):
+        rows[f] = ((np.repeat(h, n) ^ mixed) * MIX[FEATURES + 1]) >> np.uint64(64 - bits)
+    return begins, node, tree.branches[step], rows
 
-def log_softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    logits = weights[rows[0]] + weights[0]
-    for r in rows[1:]:
+
+def log_softmax(tree: Tree, weights: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log probabilities of all branches of each step."""
+    logits = tree.prior[node]
+    for r in rows:
         logits += weights[r]
     logits -= logits.max(axis=1, keepdims=True)
     logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
     return logits
 
 
-def gradient_steps(weights: np.ndarray, memory: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], truth: np.ndarray, rate: float) -> None:
-    """One adaptive gradient step on a batch, in place."""
-    g = np.exp(log_softmax(weights, rows))
-    g[np.arange(len(truth)), truth] -= 1
-    for r in [np.zeros(len(truth), np.int64), *rows]:
-        order = np.argsort(r, kind="stable")
-        sorted_rows = r[order]
-        firsts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-        own = sorted_rows[firsts]
-        n = np.diff(np.r_[firsts, len(r)])
-        step = np.add.reduceat(g[order], firsts, axis=0) / np.sqrt(n).astype(np.float32)[:, None]
-        memory[own] += step * step
-        weights[own] -= rate * step / np.sqrt(memory[own] + 1e-6)
-        seen[own] += n
-
-
-def train_round(texts: DataFrame, words: Vocabulary, weights: np.ndarray, stride: int, rate: float, batch_places: int = 8192) -> np.ndarray:
-    """Every task takes gradient steps from ``weights`` at each ``stride``-th place of its texts; the results are averaged."""
-    sc = texts.sparkSession.sparkContext
-    shipped = sc.broadcast((words, weights))
+def gradient_step(tree: Tree, weights: np.ndarray, memory: np.ndarray, seen: np.ndarray, c: np.ndarray, at: np.ndarray, rate: float, bits: int) -> None:
+    """One adaptive gradient step on a batch of places, in place."""
+    _, node, branch, rows = decisions(tree, c, at, bits)
+    g = np.exp(log_softmax(tree, weights, node, rows))
+    g[np.arange(len(branch)), branch] -= 1
+    flat = rows.ravel()
+    order = np.argsort(flat)
+    own = flat[order]
+    firsts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    own, n = own[firsts], np.diff(np.r_[firsts, len(flat)])
+    step = np.add.reduceat(g[order % len(branch)], firsts, axis=0)
+    step /= np.sqrt(n).astype(np.float32)[:, None]
+    memory[own] += np.einsum("ij,ij->i", step, step) / 2
+    weights[own] -= step * (rate / np.sqrt(memory[own] + 1e-6))[:, None]
+    seen[own] += n
+
+
+def train_round(texts: DataFrame, tree: Tree, weights: np.ndarray, rate: float) -> np.ndarray:
+    """Every task takes gradient steps from ``weights`` at each place of its texts; the results are averaged."""
+    shipped = texts.sparkSession.sparkContext.broadcast((tree, weights))
+    bits = len(weights).bit_length() - 1
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, start = shipped.value
-        own = start.copy()
-        memory, seen = np.full((ROWS, CLASSES), 1e-2, np.float32), np.zeros(ROWS, np.int64)
-        offset = 0
-        for rows in in_slices(batches, SLICE):
-            c, b, _, _, lengths = encoded(words, rows.column("text"))
-            places = targets(lengths)
-            chosen, offset = places[offset::stride], (offset - len(places)) % stride
-            for at in range(0, len(chosen), batch_places):
-                p = chosen[at : at + batch_places]
-                gradient_steps(own, memory, seen, feature_rows(c, b, p), c[p], rate)
-        rows = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(seen[rows]), pa.FixedSizeListArray.from_arrays(pa.array(own[rows].ravel(), pa.float32()), CLASSES).cast(pa.list_(pa.float32()))], names=["row", "n", "w"])
-
-    learnt = texts.select("text").mapInArrow(learn, "row int, n long, w array<float>")
-    sums = learnt.groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(F.col("w")[i].cast("double") * F.col("n")).alias(f"w{i}") for i in range(CLASSES)))
-    table = sums.toPandas()
-    mixed = weights.copy()
-    if len(table):
-        mixed[table["row"].to_numpy()] = table[[f"w{i}" for i in range(CLASSES)]].to_numpy() / table["n"].to_numpy()[:, None]
-    return mixed
-
-
-def score_texts(docs: DataFrame, words: Vocabulary, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """rid, the columns ``keep``, n_tokens, known, logs, model, and the tokens that aren't frequent with their counts (rare, times); stored."""
-    sc = docs.sparkSession.sparkContext
-    shipped = sc.broadcast((words, weights))
+        tree, own = shipped.value
+        own = own.copy()
+        memory, seen = np.full(len(own), 1e-2, np.float32), np.zeros(len(own), np.int64)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                lengths, c = flat_leaves(batch.column("leaves").slice(begin, 256))
+                places = places_of(lengths)
+                for at in range(0, len(places), PLACES):
+                    gradient_step(tree, own, memory, seen, c, places[at : at + PLACES], rate, bits)
+        for rows in np.array_split(np.flatnonzero(seen), 8):
+            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(seen[rows]), pa.array([own[r].tobytes() for r in rows], pa.binary())], names=["row", "n", "w"])
+
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, n = np.asarray(batch.column("row"), np.int64), np.asarray(batch.column("n"), np.float64)
+            w = np.frombuffer(b"".join(batch.column("w").to_pylist()), np.float32).reshape(-1, WIDE)
+            own, inverse = np.unique(rows, return_inverse=True)
+            total = np.bincount(inverse, n, len(own))
+            mean = np.zeros((len(own), WIDE))
+            np.add.at(mean, inverse, w * n[:, None])
+            mean = (mean / np.maximum(total, 1)[:, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total.astype(np.int64)), pa.array([r.tobytes() for r in mean], pa.binary())], names=["row", "n", "w"])
+
+    kinds = "row int, n long, w binary"
+    learnt = texts.select("leaves").mapInArrow(learn, kinds)
+    table = learnt.repartition("row").sortWithinPartitions("row").mapInArrow(mix, kinds).toArrow()
+    mixed, total = np.zeros_like(weights), np.zeros(len(weights))
+    rows, n = np.asarray(table.column("row"), np.int64), np.asarray(table.column("n"), np.float64)
+    np.add.at(total, rows, n)
+    at = 0
+    for chunk in table.column("w").chunks:
+        part = np.frombuffer(b"".join(chunk.to_pylist()), np.float32).reshape(-1, WIDE)
+        np.add.at(mixed, rows[at : at + len(part)], part * n[at : at + len(part), None].astype(np.float32))
+        at += len(part)
+    return np.where(total[:, None] > 0, mixed / np.maximum(total, 1)[:, None], weights).astype(np.float32)
+
+
+def model_scores(texts: DataFrame, tree: Tree, weights: np.ndarray, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and model: the log10 probability of each text's leaves, and of its other tokens' share below theirs."""
+    shipped = texts.sparkSession.sparkContext.broadcast((tree, weights))
+    bits = len(weights).bit_length() - 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own = shipped.value
-        rid = TaskContext.get().partitionId() << 40
-        end_log = np.log10(words.ends + 1)
-        for rows in in_slices(batches, SLICE):
-            c, b, lg, h, lengths = encoded(words, rows.column("text"))
-            places, firsts = targets(lengths), np.cumsum(lengths) - lengths
-            lasts = firsts + lengths - 1
-            p = np.empty(len(places))
-            for at in range(0, len(places), 8192):
-                one = places[at : at + 8192]
-                p[at : at + 8192] = log_softmax(own, feature_rows(c, b, one))[np.arange(len(one)), c[one]]
-            cls, logs = c[places], lg[places]
-            logs[lasts] = end_log
-            rare = np.isnan(logs)
-            logs = np.where(rare, 0, logs)
-            inner = np.where(cls >= SINGLE, logs - words.class_log[cls], 0)
-            total = np.add.reduceat(p / np.log(10) + inner, firsts)
-            known = np.add.reduceat((~rare).astype(np.int64), firsts) - (words.ends == 0)
-            rare_h, rare_n = [], []
-            for f, t in zip(firsts, lasts, strict=True):
-                own_rare = h[places[f:t]][rare[f:t]]
-                u, n = np.unique(own_rare, return_counts=True)
-                rare_h.append(u)
-                rare_n.append(n)
-            kept = [rows.column(rows.schema.get_field_index(k)) for k in keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + len(lengths))), *kept, pa.array(lengths), pa.array(known), pa.array(np.add.reduceat(logs, firsts)), pa.array(total), pa.array(rare_h, pa.list_(pa.int64())), pa.array(rare_n, pa.list_(pa.int64()))], names=["rid", *keep, "n_tokens", "known", "logs", "model", "rare", "times"])
-            rid += len(lengths)
-
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return materialise(docs.select(*keep, "text").mapInArrow(score, f"rid long, {kinds}, n_tokens long, known long, logs double, model double, rare array<long>, times array<long>"), "scored")
-
-
-def language_model_scores(docs: DataFrame, train_on: Column, frequent: int = 262_144, rounds: int = 1, stride: int = 4, rate: float = 0.3) -> DataFrame:
+        tree, own = shipped.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                rows = batch.slice(begin, 256)
+                lengths, c = flat_leaves(rows.column("leaves"))
+                places = places_of(lengths)
+                p = np.empty(len(places))
+                for at in range(0, len(places), PLACES):
+                    one = places[at : at + PLACES]
+                    begins, node, branch, own_rows = decisions(tree, c, one, bits)
+                    taken = log_softmax(tree, own, node, own_rows)[np.arange(len(branch)), branch]
+                    p[at : at + PLACES] = np.add.reduceat(taken.astype(np.float64), begins)
+                p = p / np.log(10) - np.where(c[places] == OTHER, tree.other_log, 0)
+                model = np.add.reduceat(p, np.cumsum(lengths) - lengths)
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), pa.array(model)], names=[*keep, "model"])
+
+    kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keep)
+    return texts.select(*keep, "leaves").mapInArrow(score, f"{kinds}, model double")
+
+
+def language_model_scores(docs: DataFrame, train_on: Column, frequent: int = 262_144, rounds: int = 1, bits: int = 18, rate: float = 0.3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     Learns from rows for which ``train_on`` holds. ``base_score`` is the add-one unigram
     log10 probability, ``score`` the model's. A text's tokens are its words and one end.
-    ``frequent`` bounds the array that is sent to the tasks, not what is counted;
-    ``stride`` thins the places that give gradients, in every training text. Null texts are
-    empty: one end. Without training rows the model is uniform over classes and nothing is
-    known. Repeated rows each count and are each scored; other columns are ignored.
+    ``frequent`` bounds the arrays that are sent to the tasks, not what is counted, and
+    ``2**bits`` rows of 16 weights are learnt in ``rounds`` passes over every place. Null
+    texts are empty: one end. Without training rows nothing is known and both scores go by
+    counts of zero. Repeated rows each count and are each scored; other columns are
+    ignored. An empty table gives no rows.
     """
     rows = docs.select("doc_id", (~train_on).alias("held_out"), "text")
     training = rows.filter(~F.col("held_out"))
     counts = materialise(count_tokens(training), "token-counts")
-    words, others = vocabulary(counts, training.select("doc_id").count(), frequent)
-    weights = np.zeros((ROWS, CLASSES), np.float32)
+    ends = training.select("doc_id").count()
+    words, tree, others = vocabulary(counts, ends, frequent)
+    texts = numbered_texts(rows, words, ["doc_id", "held_out"])
+    weights = np.zeros((1 << bits, WIDE), np.float32)
     for _ in range(rounds):
-        weights = train_round(training, words, weights, stride, rate)
-    scored = score_texts(rows, words, weights.astype(np.float32), ["doc_id", "held_out"])
-    rare = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("rid", F.col("z.rare").alias("h"), F.col("z.times").alias("times"))
+        weights = train_round(texts.filter(~F.col("held_out")), tree, weights, rate)
+    scored = model_scores(texts.withColumn("n_tokens", F.size("leaves").cast("long")), tree, weights, ["rid", "doc_id", "held_out", "n_tokens", "known", "logs"])
+    rare = texts.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("rid", F.col("z.rare").alias("h"), F.col("z.times").alias("times"))
     found = rare.join(others, "h").groupBy("rid").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"))
     more = F.coalesce("more", F.lit(0.0))
     floor = float(np.log10(words.tokens + words.distinct + 1))
-    return scored.drop("rare", "times").join(found, "rid", "left").select(
+    return scored.join(found, "rid", "left").select(
         "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (F.col("known") + F.lit(int(ends > 0)) + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(words.tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + more - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
         (F.col("model") + more).alias("score"),

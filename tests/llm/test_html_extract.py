@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 
@@ -21,14 +22,59 @@ def test_given_pages_are_extracted_whole(spark):
     assert got == {k: (t, len(t)) for k, t in want.items()}
 
 
-def test_held_out_layouts():
-    model = hx.train(hx.labelled_pages())
-    wrong = total = 0
-    for chain, labels in hx.labelled_pages(150, 77):
-        scores = [hx.summed(model, ["bias", *hx.path_features(b.path), *hx.text_features(b)]) for b in chain]
+def errors(model, pages):
+    """Wrong labels by the whole way through an extractor, and all labels."""
+    extractor, wrong, total = hx.Extractor(model), 0, 0
+    for chain, labels in pages:
+        root, copies = extractor.root(), []
+        for b in chain:  # pages are composed below roots of their own
+            steps, at = [], b.path
+            while at.parent is not None:
+                steps.append(at)
+                at = at.parent
+            path = root
+            for s in reversed(steps):
+                path = path.child(s.tag, s.attributes)
+            copies.append(b._replace(path=path))
+        scores = extractor.scores(copies)
+        slow = [hx.summed(model, ["bias", *hx.path_features(b.path), *f]) for b, f in zip(chain, hx.chain_features(chain), strict=True)]
+        assert np.allclose(scores, slow) or not chain
         wrong += sum(a != b for a, b in zip(hx.decode(scores, model), labels, strict=True))
         total += len(labels)
+    return wrong, total
+
+
+def test_held_out_layouts():
+    model = hx.default_model()
+    wrong, total = errors(model, hx.labelled_pages(150, 77))
     assert wrong < 0.01 * total
+    wrong, total = errors(model, hx.labelled_pages(150, 78, plain=1.0))
+    assert wrong < 0.04 * total
+
+
+def test_layouts_with_names_never_seen():
+    half = lambda k: ({part: names[k::2] for part, names in hx.PART_NAMES.items()}, hx.MAIN_NAMES[k::2])
+    model = hx.train(hx.labelled_pages(600, 5, *half(0)))
+    wrong, total = errors(model, hx.labelled_pages(200, 99, *half(1)))
+    assert wrong < 0.08 * total, (wrong, total)
+
+
+def test_plain_divisions_give_their_text():
+    extractor = hx.Extractor(hx.default_model())
+    first, second = "This is the first paragraph of the text, and it says something.", "The second paragraph goes on for a while, too."
+    assert extractor.main_text(f'<div class="x2"><h1>A title</h1><div>{first}</div><div>{second}</div></div>') == f"A title\n\n{first}\n\n{second}"
+    menu = "".join(f"<div><a href=/{i}>Link {i}</a></div>" for i in range(6))
+    assert extractor.main_text(f'<div class="q7">{menu}</div><div class="x2"><h1>A title</h1><div>{first}</div><div>{second}</div></div>') == f"A title\n\n{first}\n\n{second}"
+
+
+def test_hostile_pages_are_read_in_one_pass():
+    extractor = hx.Extractor(hx.default_model())
+    for page in ('<a "' * 250_000, "<div>x" * 200_000, "<a <" * 200_000 + 'x=">"', "<div></div>" * 100_000, "".join(f"<div class=c{i}>x" for i in range(50_000)), "<b>" * 100_000 + "<h1>y</h1>" * 50_000, "<script" * 100_000, "<!--" * 100_000, "<a x='" * 100_001 + ">", "</b>" * 200_000, "&" * 1_000_000):
+        began = time.time()
+        extractor.main_text(page)
+        assert time.time() - began < 20, page[:12]
+    deep = hx.blocks("<div>x" * 2_000 + "</div>" * 2_000 + "<p>y")
+    assert len(deep) == 2_001 and hx.path_features(deep[-1].path) == ["0:p", "p"]
 
 
 def test_viterbi_is_the_best_of_all_chains():
