@@ -90,7 +90,7 @@ def anchored_windows(windows: DataFrame, docs: DataFrame, most: int) -> tuple[Da
     terms = windows.select("phrase", "wid", "n", "w").distinct().select("phrase", "wid", "n", F.posexplode("w").alias("offset", "term"))
     terms = materialise(terms, "test-terms")
     vocabulary = terms.select("term").distinct()
-    spoken = docs.select(F.explode(words(F.col("text"))).alias("term"))
+    spoken = docs.select(F.explode_outer(words(F.col("text"))).alias("term"))
     heavy = None
     if fits(vocabulary, most, "term"):
         counts = spoken.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"))
@@ -111,8 +111,9 @@ def anchored_windows(windows: DataFrame, docs: DataFrame, most: int) -> tuple[Da
 
 def postings(docs: DataFrame, anchors: DataFrame, heavy: DataFrame | None, most: int, id_column: str = "doc_id") -> DataFrame:
     """The index: key, term and position for each occurrence of the anchor terms, as a stored table."""
-    # The key is a column before the words are exploded, else it would be hashed again for each word.
-    spoken = docs.select(text_key(id_column).alias("key"), words(F.col("text")).alias("w")).select("key", F.posexplode("w").alias("pos", "term"))
+    # The key is a column before the words are exploded, else it would be hashed again for each
+    # word; and an outer explode isn't led by a filter that splits each text once more.
+    spoken = docs.select(text_key(id_column).alias("key"), words(F.col("text")).alias("w")).select("key", F.posexplode_outer("w").alias("pos", "term"))
     terms = anchors.select(F.explode(F.array("term", "term2")).alias("term")).distinct()
     if heavy is None:
         found = spoken.join(F.broadcast(terms), "term", "left_semi")
@@ -142,7 +143,7 @@ def blocks(docs: DataFrame, keys: DataFrame, wanted: DataFrame, size: int, fit:
     pieces = F.regexp_extract_all(lowered, F.lit(rf"(?:{WORD}+{NOT_WORD[:-1]}*+){{1,{BLOCK}}}"), F.lit(0))
     pairs = F.transform(F.array(pieces), lambda own: F.zip_with(own, F.slice(own, F.lit(2), F.size(own)), lambda a, b: F.struct(a.alias("own"), b.alias("more"))))[0]
     texts = docs.select(text_key(id_column).alias("key"), "text").join(small(keys, fit), "key", "left_semi")
-    cut = texts.select("key", pairs.alias("pairs")).select("key", F.posexplode("pairs").alias("block", "p")).join(small(wanted, fit), ["key", "block"], "left_semi").dropDuplicates(["key", "block"])
+    cut = texts.select("key", pairs.alias("pairs")).select("key", F.posexplode_outer("pairs").alias("block", "p")).join(small(wanted, fit), ["key", "block"], "left_semi").dropDuplicates(["key", "block"])
     return cut.select("key", "block", F.concat(words(F.col("p.own")), F.slice(words(F.col("p.more")), 1, size)).alias("w"))
 
 
