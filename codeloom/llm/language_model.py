@@ -335,7 +335,7 @@ def model_scores(texts: DataFrame, tree: Tree, weights: np.ndarray, keep: list[s
     return texts.select(*keep, "leaves").mapInArrow(score, f"{kinds}, model double")
 
 
-def language_model_scores(docs: DataFrame, train_on: Column, frequent: int = 262_144, rounds: int = 1, bits: int = 18, rate: float = 0.3) -> DataFrame:
+def language_model_scores(docs: DataFrame, train_on: Column, frequent: int = 262_144, rounds: int = 1, bits: int = 19, rate: float = 0.8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     Learns from rows for which ``train_on`` holds. ``base_score`` is the add-one unigram
