@@ -4,15 +4,22 @@ Lineage is cut by a written table or a reliable checkpoint, so a lost executor
 costs the tasks it ran and nothing that other tasks had finished. The folder is
 ``spark.checkpoint.dir``; only where that is unset, as in local tests, a
 temporary folder of this machine takes its place.
+
+``scope`` deletes what a loop or job wrote, but for what it keeps.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folders written so far in each open scope.
+OPEN: list[list[str]] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder, which is also the context's checkpoint folder."""
@@ -30,19 +37,50 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a scan of it.
 
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends, or before that with ``discard`` or at the end
+    of a ``scope``.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/codeloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    if OPEN:
+        OPEN[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable, eager checkpoint, for small frames inside loops."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint()
+    """A stored, eager copy for small frames inside loops; as ``materialise``, it is deleted with its scope."""
+    return materialise(df, "round")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that nothing reads any more."""
+    for table in tables:
+        delete(table.sparkSession, table.scratch_path)
+
+
+@contextmanager
+def scope(spark: SparkSession, *keep: DataFrame) -> Iterator[list[DataFrame]]:
+    """Delete at the end what was written inside, but for the tables appended to the list it gives."""
+    kept: list[DataFrame] = list(keep)
+    OPEN.append([])
+    try:
+        yield kept
+    finally:
+        written = OPEN.pop()
+        stay = {t.scratch_path for t in kept}
+        for path in written:
+            if path not in stay:
+                delete(spark, path)
+            elif OPEN:
+                OPEN[-1].append(path)
