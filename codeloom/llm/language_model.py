@@ -1,17 +1,17 @@
 """Scores of a hashed maximum-entropy language model with a class-factored softmax.
 
-Tokens are the leaves of a tree of classes, 16 to a class: classes are cut so that
-their counts are about equal and that tokens of like endings stay together. The
-probability of a token is the product of the softmaxes along its path, class by class
-down to the token itself. Each softmax adds to the class's add-one counts the weights
-of its features: the token before (2-gram), the two before together (3-gram), and the
-second and third token before (skips), each hashed with the class into a table of
-weights. With all weights zero the model is the add-one unigram model.
+Tokens are the leaves of a tree of classes: the vocabulary, in order of the tokens'
+endings, is cut into two classes of about equal counts, and each class again down to the
+token itself. The probability of a token is the product of the softmaxes along its path.
+Each adds to the classes' add-one counts the weights of its features: the token before
+(2-gram), the two before together (3-gram), and the second and third token before
+(skips), each hashed with the class into a table of weights. With all weights zero the
+model is the add-one unigram model.
 
 Counts cover every training text, and every place of every training text trains:
 tasks run adaptive gradient steps from common weights, which Spark then averages by
-how often each row of the table was seen. Texts are tokenised twice, once to count and
-once to number their tokens; training and scoring read the stored numbers.
+what each task learnt about them. Texts are tokenised twice, once to count and once to
+number their tokens; training and scoring read the stored numbers.
 
 Frequent tokens travel to the tasks in arrays of bounded length. All others share a
 leaf, below which they go by their counts, joined in.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -32,13 +33,16 @@ from pyspark.sql import functions as F
 
 from codeloom.sources.scratch import materialise
 
-#: Branches of a class, and the tokens before a place that its features see.
-WIDE, BACK = 16, 3
-#: Bytes of text that a task encodes at once, and places that it scores or learns from at once.
-SLICE, PLACES = 1 << 21, 8192
+#: Tokens before a place that its features see, and the features.
+BACK, FEATURES = 3, 4
+#: Bytes of text that a task encodes at once; places that it scores, and that it learns from, at once.
+SLICE, PLACES, STEP_PLACES = 1 << 21, 8192, 1 << 16
+#: Tokens that a task learns from before its weights are averaged with those of others, and weights that travel in a row.
+TASK_TOKENS, PART = 1 << 24, 1 << 16
+#: What the squared gradients of a weight start from.
+START = 0.05
 #: Leaves that are no token: the end of a text, and all tokens that aren't frequent.
 END, OTHER = 0, 1
-FEATURES = 4
 
 
 class Vocabulary(NamedTuple):
@@ -53,12 +57,12 @@ class Vocabulary(NamedTuple):
 
 
 class Tree(NamedTuple):
-    """The path of leaf i: ``nodes`` and ``branches`` from ``starts[i]`` to ``starts[i + 1]``; and each node's log shares of its branches."""
+    """The path of leaf i: its nodes, and whether it goes to the second class, from ``starts[i]`` to ``starts[i + 1]``; and each node's log odds of the second class by counts."""
 
     starts: np.ndarray
     nodes: np.ndarray
-    branches: np.ndarray
-    prior: np.ndarray
+    second: np.ndarray
+    odds: np.ndarray
     other_log: float  # log10 of the counts below the leaf of all other tokens
 
 
@@ -113,7 +117,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
 
 def class_tree(endings: np.ndarray, counts: np.ndarray, ends: int, other: int) -> Tree:
-    """Cut the tokens, in order of their endings, into 16 runs of about equal counts, and each run again until it is one token.
+    """Cut the tokens, in order of their endings, into two classes of about equal counts, and each class again until it is one token.
 
     Leaves are numbered END, OTHER, then the tokens as given. ``other`` is the add-one
     sum of all other tokens.
@@ -121,30 +125,25 @@ def class_tree(endings: np.ndarray, counts: np.ndarray, ends: int, other: int) -
     weights = np.concatenate([[ends + 1, other], counts + 1]).astype(np.float64)
     order = np.concatenate([[END, OTHER], 2 + np.argsort(endings, kind="stable")])
     sums = np.concatenate([[0.0], np.cumsum(weights[order])])
-    owner, level, node_of, branch_of, prior = [], [], [], [], []
-    open_runs, depth = [(0, len(order))], 0
-    while open_runs:
-        below = []
-        for low, high in open_runs:
-            total = sums[high] - sums[low]
-            if high - low <= WIDE:
-                cuts = np.arange(low, high + 1)
-            else:
-                wished = np.searchsorted(sums, sums[low] + total * np.arange(1, WIDE) / WIDE)
-                cuts = np.unique(np.concatenate([[low], np.clip(wished, low + 1, high - 1), [high]]))
-            node, share = len(prior), np.full(WIDE, -60.0, np.float32)
-            share[: len(cuts) - 1] = np.log(np.diff(sums[cuts]) / total)
-            prior.append(share)
-            owner.append(np.arange(low, high))
-            branch_of.append(np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)))
-            node_of.append(np.full(high - low, node))
-            level.append(np.full(high - low, depth))
-            below += [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b - a > 1]
-        open_runs, depth = below, depth + 1
-    leaf = order[np.concatenate(owner)]
-    at = np.lexsort((np.concatenate(level), leaf))
+    low, high = np.array([0]), np.array([len(order)])
+    leaves, nodes, second, odds, made = [], [], [], [], 0
+    while len(low):
+        middle = (sums[low] + sums[high]) / 2
+        cut = np.searchsorted(sums, middle)
+        cut = np.clip(cut - (sums[cut] - middle > middle - sums[cut - 1]), low + 1, high - 1)
+        odds.append(np.log((sums[high] - sums[cut]) / (sums[cut] - sums[low])))
+        size = high - low
+        at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        leaves.append(order[at].astype(np.int32))
+        nodes.append(np.repeat(np.arange(made, made + len(low), dtype=np.int32), size))
+        second.append(at >= np.repeat(cut, size))
+        made += len(low)
+        low, high = np.concatenate([low, cut]), np.concatenate([cut, high])
+        low, high = low[high - low > 1], high[high - low > 1]
+    leaf = np.concatenate(leaves)
+    by_leaf = np.argsort(leaf, kind="stable")
     starts = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=len(order)))])
-    return Tree(starts, np.concatenate(node_of)[at].astype(np.int32), np.concatenate(branch_of)[at].astype(np.int8), np.array(prior, np.float32), float(np.log10(other)))
+    return Tree(starts, np.concatenate(nodes)[by_leaf], np.concatenate(second)[by_leaf], np.concatenate(odds).astype(np.float32), float(np.log10(other)))
 
 
 def vocabulary(counts: DataFrame, ends: int, frequent: int) -> tuple[Vocabulary, Tree, DataFrame]:
@@ -215,119 +214,129 @@ def places_of(lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
-#: Odd factors that mix contexts and classes into rows.
-MIX = [np.uint64(xxhash.xxh64_intdigest(str(i).encode(), 7) | 1) for i in range(FEATURES + 2)]
+#: Odd factors that mix contexts and nodes into places of the table.
+MIX = [np.uint32(xxhash.xxh32_intdigest(str(i).encode(), 7) | 1) for i in range(FEATURES + 3)]
 
 
 def contexts(c: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """A hash for each feature at each place: 2-gram, 3-gram, and two skips."""
-    one, two, three = ((c[at - k] + 1).astype(np.uint64) for k in (1, 2, 3))
-    return [one * MIX[0] + MIX[3], (one * MIX[0] ^ (two * MIX[1] << np.uint64(7))) + MIX[2], two * MIX[1] + MIX[0], three * MIX[2] + MIX[1]]
+    """A 32-bit hash for each feature at each place: 2-gram, 3-gram, and two skips."""
+    one, two, three = ((c[at - k] + 1).astype(np.uint32) for k in (1, 2, 3))
+    pair = (one * MIX[0] ^ (one >> np.uint32(15))) * MIX[1] + two * MIX[2]
+    return [one * MIX[3] + np.uint32(1), pair ^ (pair >> np.uint32(13)), two * MIX[2] + np.uint32(7), three * MIX[1] + np.uint32(3)]
 
 
-def decisions(tree: Tree, c: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each step on each place's path: where the place's steps begin, its node, the branch taken, and the rows of weights (features x steps)."""
+def decisions(tree: Tree, weights: np.ndarray, c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each step on each place's path: where the place's steps begin, the log odds of the second class, whether that is taken, and the weights' places (features x steps)."""
     leaf = c[at]
     first, n = tree.starts[leaf], tree.starts[leaf + 1] - tree.starts[leaf]
     begins = np.cumsum(n) - n
-    step = np.repeat(first - begins, n) + np.arange(int(n.sum()))
+    place = np.repeat(np.arange(len(at)), n)
+    step = np.arange(len(place)) + (first - begins)[place]
     node = tree.nodes[step]
-    mixed = node.astype(np.uint64) * MIX[FEATURES]
-    rows = np.empty((FEATURES, len(step)), np.int64)
+    mark = node.astype(np.uint32) * MIX[FEATURES]
+    mark ^= mark >> np.uint32(16)
+    shift = np.uint32(33 - len(weights).bit_length())
+    rows, odds = np.empty((FEATURES, len(step)), np.int64), tree.odds[node]
     for f, h in enumerate(contexts(c, at)):
-        rows[f] = ((np.repeat(h, n) ^ mixed) * MIX[FEATURES + 1]) >> np.uint64(64 - bits)
-    return begins, node, tree.branches[step], rows
-
-
-def log_softmax(tree: Tree, weights: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities of all branches of each step."""
-    logits = tree.prior[node]
-    for r in rows:
-        logits += weights[r]
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
-
-
-def gradient_step(tree: Tree, weights: np.ndarray, memory: np.ndarray, seen: np.ndarray, c: np.ndarray, at: np.ndarray, rate: float, bits: int) -> None:
-    """One adaptive gradient step on a batch of places, in place."""
-    _, node, branch, rows = decisions(tree, c, at, bits)
-    g = np.exp(log_softmax(tree, weights, node, rows))
-    g[np.arange(len(branch)), branch] -= 1
-    flat = rows.ravel()
-    order = np.argsort(flat)
-    own = flat[order]
-    firsts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    own, n = own[firsts], np.diff(np.r_[firsts, len(flat)])
-    step = np.add.reduceat(g[order % len(branch)], firsts, axis=0)
-    step /= np.sqrt(n).astype(np.float32)[:, None]
-    memory[own] += np.einsum("ij,ij->i", step, step) / 2
-    weights[own] -= step * (rate / np.sqrt(memory[own] + 1e-6))[:, None]
-    seen[own] += n
-
-
-def train_round(texts: DataFrame, tree: Tree, weights: np.ndarray, rate: float) -> np.ndarray:
-    """Every task takes gradient steps from ``weights`` at each place of its texts; the results are averaged."""
-    shipped = texts.sparkSession.sparkContext.broadcast((tree, weights))
-    bits = len(weights).bit_length() - 1
+        one = h[place]
+        one ^= mark
+        one *= MIX[FEATURES + 1]
+        one ^= one >> np.uint32(15)
+        one *= MIX[FEATURES + 2]
+        one >>= shift
+        rows[f] = one
+        odds += weights[rows[f]]
+    return begins, np.clip(odds, -20, 20, out=odds), tree.second[step], rows
+
+
+def taken(odds: np.ndarray, second: np.ndarray | bool) -> np.ndarray:
+    """The probability of each step, by the log odds of the second class and whether it is taken."""
+    return 1 / (1 + np.exp(np.where(second, -odds, odds)))
+
+
+def gradient_step(tree: Tree, weights: np.ndarray, memory: np.ndarray, g: np.ndarray, c: np.ndarray, at: np.ndarray, rate: float) -> None:
+    """One adaptive gradient step on a batch of places, in place; ``g`` is room for the gradient."""
+    g[:] = 0
+    for begin in range(0, len(at), PLACES):
+        _, odds, second, rows = decisions(tree, weights, c, at[begin : begin + PLACES])
+        error = taken(odds, True) - second
+        for r in rows:
+            np.add.at(g, r, error)
+    memory += g * g
+    g /= np.sqrt(memory)
+    g *= rate
+    weights -= g
+
+
+def train_round(texts: DataFrame, tree: Tree, weights: np.ndarray, rate: float, tokens: int) -> np.ndarray:
+    """Every task takes gradient steps from ``weights`` at each place of its texts; the results are averaged by their summed squared gradients.
+
+    A task sends back as much as the table of weights, so there are only as many tasks as
+    keep all cores at work and have about TASK_TOKENS each; of ``tokens`` in all.
+    """
+    sc = texts.sparkSession.sparkContext
+    shipped = sc.broadcast((tree, weights))
+    tasks = sc.defaultParallelism * max(1, -(-tokens // (TASK_TOKENS * sc.defaultParallelism)))
+    kinds = "part int, w binary, m binary"
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, own = shipped.value
         own = own.copy()
-        memory, seen = np.full(len(own), 1e-2, np.float32), np.zeros(len(own), np.int64)
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                lengths, c = flat_leaves(batch.column("leaves").slice(begin, 256))
-                places = places_of(lengths)
-                for at in range(0, len(places), PLACES):
-                    gradient_step(tree, own, memory, seen, c, places[at : at + PLACES], rate, bits)
-        for rows in np.array_split(np.flatnonzero(seen), 8):
-            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(seen[rows]), pa.array([own[r].tobytes() for r in rows], pa.binary())], names=["row", "n", "w"])
-
-    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, room = np.full(len(own), START, np.float32), np.zeros(len(own), np.float32)
+        waiting, size = [], 0
         for batch in batches:
-            rows, n = np.asarray(batch.column("row"), np.int64), np.asarray(batch.column("n"), np.float64)
-            w = np.frombuffer(b"".join(batch.column("w").to_pylist()), np.float32).reshape(-1, WIDE)
-            own, inverse = np.unique(rows, return_inverse=True)
-            total = np.bincount(inverse, n, len(own))
-            mean = np.zeros((len(own), WIDE))
-            np.add.at(mean, inverse, w * n[:, None])
-            mean = (mean / np.maximum(total, 1)[:, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total.astype(np.int64)), pa.array([r.tobytes() for r in mean], pa.binary())], names=["row", "n", "w"])
-
-    kinds = "row int, n long, w binary"
-    learnt = texts.select("leaves").mapInArrow(learn, kinds)
-    table = learnt.repartition("row").sortWithinPartitions("row").mapInArrow(mix, kinds).toArrow()
-    mixed, total = np.zeros_like(weights), np.zeros(len(weights))
-    rows, n = np.asarray(table.column("row"), np.int64), np.asarray(table.column("n"), np.float64)
-    np.add.at(total, rows, n)
-    at = 0
-    for chunk in table.column("w").chunks:
-        part = np.frombuffer(b"".join(chunk.to_pylist()), np.float32).reshape(-1, WIDE)
-        np.add.at(mixed, rows[at : at + len(part)], part * n[at : at + len(part), None].astype(np.float32))
-        at += len(part)
-    return np.where(total[:, None] > 0, mixed / np.maximum(total, 1)[:, None], weights).astype(np.float32)
+            for begin in range(0, batch.num_rows, 64):
+                lengths, c = flat_leaves(batch.column("leaves").slice(begin, 64))
+                waiting.append((lengths, c))
+                size += len(c)
+                if size >= STEP_PLACES:
+                    learn_from(tree, own, memory, room, waiting, rate)
+                    waiting, size = [], 0
+        learn_from(tree, own, memory, room, waiting, rate)
+        for i, at in enumerate(range(0, len(own), PART)):
+            w, m = own[at : at + PART], np.sqrt(memory[at : at + PART] - START)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.where(m > 0, w, 0).astype(np.float16).tobytes()]), pa.array([m.astype(np.float16).tobytes()])], names=["part", "w", "m"])
+
+    def mix(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        w, m = (np.stack([np.frombuffer(x, np.float16).astype(np.float32) for x in group[c]]) for c in ("w", "m"))
+        m = np.minimum(m, 6e4) ** 2
+        total = m.sum(axis=0)
+        mean = (w * m).sum(axis=0) / np.maximum(total, 1e-20)
+        return pd.DataFrame({"part": [key[0]], "w": [mean.astype(np.float32).tobytes()], "m": [(total > 0).tobytes()]})
+
+    learnt = texts.select("leaves").coalesce(tasks).mapInArrow(learn, kinds)
+    mixed = weights.copy()
+    for row in learnt.groupBy("part").applyInPandas(mix, kinds).toLocalIterator():
+        at, seen = row["part"] * PART, np.frombuffer(row["m"], bool)
+        mixed[at : at + len(seen)] = np.where(seen, np.frombuffer(row["w"], np.float32), mixed[at : at + len(seen)])
+    return mixed
+
+
+def learn_from(tree: Tree, weights: np.ndarray, memory: np.ndarray, room: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray]], rate: float) -> None:
+    """Steps over all places of some texts, in turn."""
+    if texts:
+        lengths, c = np.concatenate([x for x, _ in texts]), np.concatenate([x for _, x in texts])
+        places = places_of(lengths)
+        for at in range(0, len(places), STEP_PLACES):
+            gradient_step(tree, weights, memory, room, c, places[at : at + STEP_PLACES], rate)
 
 
 def model_scores(texts: DataFrame, tree: Tree, weights: np.ndarray, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and model: the log10 probability of each text's leaves, and of its other tokens' share below theirs."""
     shipped = texts.sparkSession.sparkContext.broadcast((tree, weights))
-    bits = len(weights).bit_length() - 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, own = shipped.value
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                rows = batch.slice(begin, 256)
+            for begin in range(0, batch.num_rows, 64):
+                rows = batch.slice(begin, 64)
                 lengths, c = flat_leaves(rows.column("leaves"))
                 places = places_of(lengths)
                 p = np.empty(len(places))
                 for at in range(0, len(places), PLACES):
-                    one = places[at : at + PLACES]
-                    begins, node, branch, own_rows = decisions(tree, c, one, bits)
-                    taken = log_softmax(tree, own, node, own_rows)[np.arange(len(branch)), branch]
-                    p[at : at + PLACES] = np.add.reduceat(taken.astype(np.float64), begins)
-                p = p / np.log(10) - np.where(c[places] == OTHER, tree.other_log, 0)
+                    begins, odds, second, _ = decisions(tree, own, c, places[at : at + PLACES])
+                    p[at : at + PLACES] = np.multiply.reduceat(taken(odds, second), begins, dtype=np.float64)
+                p = np.log10(p) - np.where(c[places] == OTHER, tree.other_log, 0)
                 model = np.add.reduceat(p, np.cumsum(lengths) - lengths)
                 yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), pa.array(model)], names=[*keep, "model"])
 
@@ -335,13 +344,13 @@ def model_scores(texts: DataFrame, tree: Tree, weights: np.ndarray, keep: list[s
     return texts.select(*keep, "leaves").mapInArrow(score, f"{kinds}, model double")
 
 
-def language_model_scores(docs: DataFrame, train_on: Column, frequent: int = 262_144, rounds: int = 1, bits: int = 19, rate: float = 0.8) -> DataFrame:
+def language_model_scores(docs: DataFrame, train_on: Column, frequent: int = 262_144, rounds: int = 1, bits: int = 22, rate: float = 0.4) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     Learns from rows for which ``train_on`` holds. ``base_score`` is the add-one unigram
     log10 probability, ``score`` the model's. A text's tokens are its words and one end.
     ``frequent`` bounds the arrays that are sent to the tasks, not what is counted, and
-    ``2**bits`` rows of 16 weights are learnt in ``rounds`` passes over every place. Null
+    ``2**bits`` weights are learnt in ``rounds`` passes over every place. Null
     texts are empty: one end. Without training rows nothing is known and both scores go by
     counts of zero. Repeated rows each count and are each scored; other columns are
     ignored. An empty table gives no rows.
@@ -352,9 +361,9 @@ def language_model_scores(docs: DataFrame, train_on: Column, frequent: int = 262
     ends = training.select("doc_id").count()
     words, tree, others = vocabulary(counts, ends, frequent)
     texts = numbered_texts(rows, words, ["doc_id", "held_out"])
-    weights = np.zeros((1 << bits, WIDE), np.float32)
+    weights = np.zeros(1 << bits, np.float32)
     for _ in range(rounds):
-        weights = train_round(texts.filter(~F.col("held_out")), tree, weights, rate)
+        weights = train_round(texts.filter(~F.col("held_out")), tree, weights, rate, words.tokens)
     scored = model_scores(texts.withColumn("n_tokens", F.size("leaves").cast("long")), tree, weights, ["rid", "doc_id", "held_out", "n_tokens", "known", "logs"])
     rare = texts.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("rid", F.col("z.rare").alias("h"), F.col("z.times").alias("times"))
     found = rare.join(others, "h").groupBy("rid").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"))
