@@ -16,7 +16,7 @@ from codeloom.operators import lookups as lk
 from codeloom.operators import metrics as mt
 from codeloom.operators import neighbours as nb
 from codeloom.operators import reach as rc
-from codeloom.sources.graphs import commerce, corpus, references, transitions
+from codeloom.sources.graphs import ONE_KIND, activity, commerce, contracts, corpus, library, references
 from codeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,17 +43,21 @@ WITH nodes AS (
 """
 
 
-def sql_transitions(acyclic: bool) -> str:
-    keep, more = ("WHERE event_type = 'purchase'", "AND dst > src AND (src + dst) % 7 = 0") if acyclic else ("", "")
+def sql_activity(kinds: dict[str, str], upward: bool = False, dangling: bool = False) -> str:
+    """``links`` are all edges, ``edges`` the resolved ones, of the graph that ``activity`` derives."""
+    src, dst = ("least(u, v)", "greatest(u, v)") if upward else ("u", "v")
+    dst = f"CASE WHEN event_type = 'signup' THEN -1 - {dst} ELSE {dst} END" if dangling else dst
+    kind = f"CASE event_type {' '.join(f"WHEN '{t}' THEN '{k}'" for t, k in kinds.items())} END"
+    kind = f"CASE WHEN u = v AND event_type <> 'error' THEN 'References' ELSE {kind} END" if upward else kind
     return f"""
 WITH RECURSIVE nodes AS (SELECT DISTINCT user_id AS id, 'user' || user_id AS qualified_name, CASE WHEN user_id % 2 = 0 THEN 'Public' ELSE 'Private' END AS visibility FROM events),
-stepped AS (SELECT event_id, event_type, user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events {keep}),
-edges AS (SELECT src, dst, min(event_id) AS edge_id FROM stepped WHERE event_type = 'purchase' AND src <> dst {more} GROUP BY src, dst)
+stepped AS (SELECT event_id, event_type, user_id AS u, lead(user_id) OVER (ORDER BY ts, event_id) AS v FROM events),
+links AS (SELECT event_id AS edge_id, {kind} AS kind, u, v, CASE WHEN v IS NULL THEN 'unresolved' WHEN event_type = 'error' THEN 'external' ELSE 'resolved' END AS state, {src} AS src, {dst} AS dst FROM stepped),
+edges AS (SELECT edge_id, kind, src, dst FROM links WHERE state = 'resolved')
 """
 
 
-SQL_CYCLIC, SQL_ACYCLIC = sql_transitions(False), sql_transitions(True)
-#: The query set of searches in the dense graph: users whose id is divisible by 50. All other queries ask for every node.
+#: The query set of searches: users whose id is divisible by 50. All other queries ask for every node.
 ROOTS = "id % 50 = 0"
 
 QUERIES: dict[str, Query] = {}
@@ -68,12 +72,10 @@ def on_commerce(name: str, make: Callable, sql: str) -> None:
     add(name, lambda spark, d: make(commerce(spark, d)), SQL_COMMERCE + sql)
 
 
-def on_cyclic(name: str, make: Callable, sql: str) -> None:
-    add(name, lambda spark, d: make(transitions(spark, d)), SQL_CYCLIC + sql)
-
-
-def on_acyclic(name: str, make: Callable, sql: str, kind: str = "Calls") -> None:
-    add(name, lambda spark, d: make(transitions(spark, d, acyclic=True, kind=kind)), SQL_ACYCLIC + sql)
+def on_activity(name: str, make: Callable, sql: str, kind: str = "Calls", kinds: dict[str, str] | None = None, upward: bool = False, dangling: bool = False) -> None:
+    """A query of the event graph; ``{k}`` in its SQL is the kind asked for."""
+    of_type = kinds or {t: k or kind for t, k in ONE_KIND.items()}
+    add(name, lambda spark, d: make(activity(spark, d, kinds=of_type, upward=upward, dangling=dangling)), sql_activity(of_type, upward, dangling) + sql.replace("{k}", kind))
 
 
 def seeds(g) -> DataFrame:
@@ -122,87 +124,89 @@ CHILD = "SELECT e.src AS id, e.dst AS other, e.edge_id FROM edges e JOIN nodes n
 on_commerce("methods_of", lambda g: nb.methods_of(g, g.nodes), CHILD.format(c="n.kind = 'Method'"))
 on_commerce("fields_of", lambda g: nb.fields_of(g, g.nodes), CHILD.format(c="n.kind IN ('Field', 'StaticField', 'Constant')"))
 on_commerce("public_api", lambda g: nb.public_api(g, g.nodes), CHILD.format(c="n.visibility = 'Public'"))
-on_commerce("dependencies", lambda g: nb.dependencies(g, g.nodes), "SELECT e.src AS id, e.edge_id, e.kind, n.qualified_name AS target FROM edges e JOIN nodes n ON n.id = e.dst")
-on_commerce("dependents", lambda g: nb.dependents(g, g.nodes), "SELECT e.dst AS id, e.edge_id, e.kind, n.qualified_name AS source FROM edges e JOIN nodes n ON n.id = e.src")
-on_cyclic("direct_callees", lambda g: nb.direct_callees(g, g.nodes), "SELECT src AS id, dst AS other, edge_id FROM edges")
-on_cyclic("direct_callers", lambda g: nb.direct_callers(g, g.nodes), "SELECT dst AS id, src AS other, edge_id FROM edges")
-
-FORWARD, BACKWARD = "SELECT src AS id, dst AS other, edge_id FROM edges", "SELECT dst AS id, src AS other, edge_id FROM edges"
-on_acyclic("implementors", lambda g: nb.implementors(g, g.nodes), BACKWARD, kind="Implements")
-on_acyclic("overriders", lambda g: nb.overriders(g, g.nodes), BACKWARD, kind="Overrides")
-on_acyclic("what_overrides", lambda g: nb.what_overrides(g, g.nodes), "SELECT src AS id, arg_min(dst, edge_id) AS other FROM edges GROUP BY src", kind="Overrides")
-on_acyclic("direct_imports", lambda g: nb.direct_imports(g, g.nodes), FORWARD, kind="Imports")
-on_acyclic("direct_importers", lambda g: nb.direct_importers(g, g.nodes), BACKWARD, kind="Imports")
-on_acyclic("closure_captures", lambda g: nb.closure_captures(g, g.nodes), FORWARD, kind="Captures")
-
-
-def throwing(spark: SparkSession, sf_dir: str) -> SourceGraph:
-    """The upward transitions, and for each user a throw of what its first event was."""
-    g = transitions(spark, sf_dir, acyclic=True)
-    first = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("first"), F.min("event_id").alias("e"))
-    throws = first.select((-F.col("e") - 1).alias("id"), F.lit("Throws").alias("kind"), F.col("user_id").alias("src"), F.lit("External").alias("to_state"), F.lit(None).cast("long").alias("to_id"), F.concat(F.lit("lib."), "first").alias("to_name"))
-    return SourceGraph(g.nodes, g.edges.unionByName(throws))
+on_activity("dependencies", lambda g: nb.dependencies(g, g.nodes), """
+SELECT l.u AS id, l.edge_id, l.kind, CASE WHEN state = 'resolved' THEN coalesce(n.qualified_name, '#' || l.dst) ELSE state || ':lib.user' || coalesce(CAST(v AS VARCHAR), '') END AS target
+FROM links l LEFT JOIN nodes n ON n.id = l.dst""", dangling=True)
+on_activity("dependents", lambda g: nb.dependents(g, g.nodes), "SELECT e.dst AS id, e.edge_id, e.kind, s.qualified_name AS source FROM edges e JOIN nodes n ON n.id = e.dst JOIN nodes s ON s.id = e.src", dangling=True)
 
+FORWARD, BACKWARD = "SELECT src AS id, dst AS other, edge_id FROM edges WHERE kind = '{k}'", "SELECT dst AS id, src AS other, edge_id FROM edges WHERE kind = '{k}'"
+for name, make, form, kind in (
+    ("direct_callees", nb.direct_callees, FORWARD, "Calls"), ("direct_callers", nb.direct_callers, BACKWARD, "Calls"), ("implementors", nb.implementors, BACKWARD, "Implements"),
+    ("overriders", nb.overriders, BACKWARD, "Overrides"), ("direct_imports", nb.direct_imports, FORWARD, "Imports"), ("direct_importers", nb.direct_importers, BACKWARD, "Imports"), ("closure_captures", nb.closure_captures, FORWARD, "Captures"),
+):
+    on_activity(name, lambda g, make=make: make(g, g.nodes), form, kind=kind)
+on_activity("what_overrides", lambda g: nb.what_overrides(g, g.nodes), "SELECT src AS id, arg_min(dst, edge_id) AS other FROM edges WHERE kind = 'Overrides' GROUP BY src", kind="Overrides")
 
-SQL_FIRST = ", firsts AS (SELECT user_id AS id, arg_min(event_type, (ts, event_id)) AS first, -min(event_id) - 1 AS edge_id FROM events GROUP BY user_id) "
-add("methods_throwing", lambda spark, d: nb.methods_throwing(throwing(spark, d), "error"), SQL_ACYCLIC + SQL_FIRST + "SELECT id, edge_id FROM firsts WHERE first = 'error'")
-add("exception_propagation", lambda spark, d: rc.exception_propagation(throwing(spark, d), "error").select("id"), SQL_ACYCLIC + SQL_FIRST + ", reach(id) AS (SELECT id FROM firsts WHERE first = 'error' UNION SELECT e.src FROM reach r JOIN edges e ON e.dst = r.id) SELECT id FROM reach")
+#: Errors throw their next user's name, outside; signups throw the user itself; other events call.
+THROWING = {"purchase": "Calls", "view": "Calls", "click": "Reads", "signup": "Throws", "error": "Throws"}
+THROWERS = "SELECT u AS id, edge_id FROM links WHERE kind = 'Throws' AND v = 7"
+on_activity("methods_throwing", lambda g: nb.methods_throwing(g, "user7"), THROWERS, kinds=THROWING)
+on_activity("exception_propagation", lambda g: rc.exception_propagation(g, "user7").select("id"), f", reach(id) AS (SELECT DISTINCT id FROM ({THROWERS}) UNION SELECT e.src FROM reach r JOIN edges e ON e.dst = r.id WHERE e.kind = 'Calls') SELECT id FROM reach", kinds=THROWING)
 
 
 def all_pairs_of_neighbours(g) -> DataFrame:
     return g.nodes.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
 
 
-on_cyclic("coupling_between", lambda g: nb.coupling_between(g, all_pairs_of_neighbours(g)), "SELECT n.id AS a, n.id + 1 AS b, e.edge_id, 'Calls' AS kind FROM nodes n JOIN edges e ON (e.src = n.id AND e.dst = n.id + 1) OR (e.src = n.id + 1 AND e.dst = n.id)")
+on_activity("coupling_between", lambda g: nb.coupling_between(g, all_pairs_of_neighbours(g)), "SELECT n.id AS a, n.id + 1 AS b, e.edge_id, e.kind FROM nodes n JOIN edges e ON (e.src = n.id AND e.dst = n.id + 1) OR (e.src = n.id + 1 AND e.dst = n.id)")
 
 # Closures: UNION ends the recursion on cycles.
-REACH = """, reach(root, id) AS (
-  SELECT {s}, {d} FROM edges {w} UNION SELECT r.root, e.{d} FROM reach r JOIN edges e ON e.{s} = r.id
+REACH = """, steps AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ({kinds})), reach(root, id) AS (
+  SELECT {s}, {d} FROM steps WHERE {s} % 50 = 0 UNION SELECT r.root, e.{d} FROM reach r JOIN steps e ON e.{s} = r.id
 ) SELECT root, id FROM reach WHERE id <> root"""
 pairs = lambda df: df.select("root", "id")
-on_cyclic("downstream_calls", lambda g: pairs(rc.downstream_calls(g, roots(g))), REACH.format(s="src", d="dst", w="WHERE src % 50 = 0"))
-on_cyclic("upstream_callers", lambda g: pairs(rc.upstream_callers(g, roots(g))), REACH.format(s="dst", d="src", w="WHERE dst % 50 = 0"))
-on_acyclic("import_closure", lambda g: pairs(rc.import_closure(g, every(g))), REACH.format(s="src", d="dst", w=""), kind="Imports")
-on_acyclic("all_subclasses", lambda g: pairs(rc.all_subclasses(g, every(g))), REACH.format(s="dst", d="src", w=""), kind="Extends")
-on_acyclic("interface_hierarchy", lambda g: pairs(rc.interface_hierarchy(g, every(g))), REACH.format(s="dst", d="src", w=""), kind="Extends")
-on_acyclic("async_call_chain", lambda g: pairs(rc.async_call_chain(g, every(g))), REACH.format(s="src", d="dst", w=""), kind="Awaits")
-on_acyclic("change_impact", lambda g: pairs(rc.change_impact(g, every(g))), REACH.format(s="dst", d="src", w=""), kind="HasType")
-on_cyclic("callees_depth2", lambda g: rc.downstream_calls(g, roots(g), depth=2), """
-, one AS (SELECT DISTINCT src AS root, dst AS id FROM edges WHERE src % 50 = 0),
-two AS (SELECT DISTINCT o.root, e.dst AS id FROM one o JOIN edges e ON e.src = o.id)
+for name, make, ends, kind, upward in (
+    ("downstream_calls", rc.downstream_calls, ("src", "dst"), "Calls", False), ("upstream_callers", rc.upstream_callers, ("dst", "src"), "Calls", False), ("import_closure", rc.import_closure, ("src", "dst"), "Imports", True),
+    ("all_subclasses", rc.all_subclasses, ("dst", "src"), "Extends", True), ("interface_hierarchy", rc.interface_hierarchy, ("dst", "src"), "Extends", True), ("async_call_chain", rc.async_call_chain, ("src", "dst"), "Awaits", True),
+):
+    on_activity(name, lambda g, make=make: pairs(make(g, roots(g))), REACH.format(s=ends[0], d=ends[1], kinds="'{k}'"), kind=kind, upward=upward)
+#: Several of the kinds that a query follows, and one that it must leave out.
+IMPACT = {"purchase": "Writes", "view": "Reads", "click": "HasType", "signup": "Imports", "error": "Calls"}
+on_activity("change_impact", lambda g: pairs(rc.change_impact(g, roots(g))), REACH.format(s="dst", d="src", kinds="'Writes', 'Reads', 'HasType'"), kinds=IMPACT, upward=True)
+on_activity("callees_depth2", lambda g: rc.downstream_calls(g, roots(g), depth=2), """
+, steps AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'Calls'),
+one AS (SELECT src AS root, dst AS id FROM steps WHERE src % 50 = 0),
+two AS (SELECT DISTINCT o.root, e.dst AS id FROM one o JOIN steps e ON e.src = o.id)
 SELECT root, id, 1 AS depth FROM one WHERE id <> root
 UNION ALL SELECT root, id, 2 FROM (SELECT * FROM two EXCEPT SELECT * FROM one) WHERE id <> root""")
-SEEDED = ", reach(id) AS (SELECT id FROM nodes WHERE id % 50 = 0 UNION SELECT e.dst FROM reach r JOIN edges e ON e.src = r.id) "
-on_acyclic("reachable_from", lambda g: rc.reachable_from(g, seeds(g)).select("id"), SEEDED + "SELECT id FROM reach")
-on_acyclic("dead_code", lambda g: rc.dead_code(g, seeds(g)).select("id"), SEEDED + "SELECT id FROM nodes WHERE id NOT IN (SELECT id FROM reach)")
-on_acyclic("entry_points", lambda g: mt.entry_points(g).select("id"), "SELECT id FROM nodes WHERE visibility = 'Public' AND id NOT IN (SELECT dst FROM edges)")
+CALLED = {"purchase": "Calls", "view": "Instantiates", "click": "Reads", "signup": "Imports", "error": "Calls"}
+SEEDED = ", reach(id) AS (SELECT id FROM nodes WHERE id % 50 = 0 UNION SELECT e.dst FROM reach r JOIN edges e ON e.src = r.id WHERE e.kind IN ('Calls', 'Instantiates')) "
+on_activity("reachable_from", lambda g: rc.reachable_from(g, seeds(g)).select("id"), SEEDED + "SELECT id FROM reach", kinds=CALLED, upward=True)
+on_activity("dead_code", lambda g: rc.dead_code(g, seeds(g)).select("id"), SEEDED + "SELECT id FROM nodes WHERE id NOT IN (SELECT id FROM reach)", kinds=CALLED, upward=True)
+on_activity("entry_points", lambda g: mt.entry_points(g).select("id"), "SELECT id FROM nodes WHERE visibility = 'Public' AND id NOT IN (SELECT dst FROM edges WHERE kind = 'Calls')", kinds=CALLED, upward=True)
 
 
-def path_lengths(g) -> DataFrame:
+def call_paths(g) -> DataFrame:
     wanted = g.nodes.filter(ROOTS).select(F.col("id").alias("from_id"), (F.col("id") * 3 % 101).alias("to_id"))
-    return rc.call_path(g, wanted).select("from_id", "to_id", (F.size("path") - 1).cast("long").alias("steps"))
-
-
-on_cyclic("call_path", path_lengths, """, walk(root, id, steps) AS (
-  SELECT id, id, 0 FROM nodes WHERE id % 50 = 0 UNION SELECT w.root, e.dst, w.steps + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE w.steps < 6
-) SELECT root AS from_id, id AS to_id, CAST(min(steps) AS BIGINT) AS steps FROM walk WHERE id = root * 3 % 101 GROUP BY root, id""")
-on_acyclic("superclass_chain", lambda g: rc.superclass_chain(g, g.nodes.select(F.col("id").alias("root"))), """
-, step AS (SELECT src, arg_min(dst, edge_id) AS dst FROM edges GROUP BY src),
+    return rc.call_path(g, wanted).select("from_id", "to_id", F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path"))
+
+
+# The distance of every node first, then all shortest paths in the order of their edges; a path has fewer steps than there are nodes.
+on_activity("call_path", call_paths, """, steps AS (SELECT src, dst, min(edge_id) AS edge_id FROM edges WHERE kind = 'Calls' GROUP BY src, dst),
+walk(root, id, n) AS (SELECT id, id, 0 FROM nodes WHERE id % 50 = 0 UNION SELECT w.root, e.dst, w.n + 1 FROM walk w JOIN steps e ON e.src = w.id WHERE w.n < (SELECT count(*) FROM nodes)),
+far AS (SELECT root, id, min(n) AS n FROM walk GROUP BY root, id),
+path(root, id, n, via, nodes) AS (SELECT root, id, n, CAST([] AS BIGINT[]), CAST(id AS VARCHAR) FROM far WHERE n = 0
+  UNION ALL SELECT p.root, e.dst, f.n, list_append(p.via, e.edge_id), p.nodes || ',' || e.dst FROM path p JOIN steps e ON e.src = p.id JOIN far f ON f.root = p.root AND f.id = e.dst AND f.n = p.n + 1
+  JOIN far t ON t.root = p.root AND t.id = p.root * 3 % 101 AND t.n > p.n)
+SELECT root AS from_id, id AS to_id, arg_min(nodes, via) AS path FROM path WHERE id = root * 3 % 101 GROUP BY root, id""")
+on_activity("superclass_chain", lambda g: rc.superclass_chain(g, g.nodes.select(F.col("id").alias("root"))), """
+, step AS (SELECT src, arg_min(dst, edge_id) AS dst FROM edges WHERE kind = 'Extends' GROUP BY src),
 chain(root, position, id) AS (SELECT src, 0, dst FROM step UNION ALL SELECT c.root, c.position + 1, s.dst FROM chain c JOIN step s ON s.src = c.id)
-SELECT root, position, id FROM chain""", kind="Extends")
+SELECT root, position, id FROM chain""", kind="Extends", upward=True)
 on_commerce("package_of", rc.package_of, """
 SELECT id, id AS package_id FROM nodes WHERE kind = 'Package'
 UNION ALL SELECT c.dst, c.src FROM contains c JOIN nodes n ON n.id = c.dst WHERE n.kind = 'Class'
 UNION ALL SELECT c.dst, p.src FROM contains c JOIN contains p ON p.dst = c.src JOIN nodes n ON n.id = c.dst WHERE n.kind IN ('Method', 'Field')""")
 
 # Metrics.
-COUPLED = """, links AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('Calls', 'Instantiates', 'Implements', 'Extends', 'HasType', 'Returns')),
-a AS (SELECT dst AS id, count(*) AS afferent FROM links GROUP BY dst), e AS (SELECT src AS id, count(*) AS efferent FROM links GROUP BY src),
+COUPLED = """, pairs AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('Calls', 'Instantiates', 'Implements', 'Extends', 'HasType', 'Returns')),
+a AS (SELECT dst AS id, count(*) AS afferent FROM pairs GROUP BY dst), e AS (SELECT src AS id, count(*) AS efferent FROM pairs GROUP BY src),
 c AS (SELECT id, coalesce(afferent, 0) AS afferent, coalesce(efferent, 0) AS efferent FROM nodes LEFT JOIN a USING (id) LEFT JOIN e USING (id))
 SELECT id, {what} FROM c"""
 RATIO = "CASE WHEN afferent + efferent > 0 THEN efferent / (afferent + efferent) END AS instability"
-on_commerce("afferent_coupling", mt.afferent_coupling, COUPLED.format(what="afferent"))
-on_commerce("efferent_coupling", mt.efferent_coupling, COUPLED.format(what="efferent"))
+COUPLING = {"purchase": "Calls", "view": "Extends", "click": "HasType", "signup": "Reads", "error": "Calls"}
+on_activity("afferent_coupling", mt.afferent_coupling, COUPLED.format(what="afferent"), kinds=COUPLING)
+on_activity("efferent_coupling", mt.efferent_coupling, COUPLED.format(what="efferent"), kinds=COUPLING)
 on_commerce("instability", mt.instability, COUPLED.format(what=RATIO))
 on_commerce("hotspots", lambda g: mt.hotspots(g, 10), "SELECT id, kind, qualified_name, coalesce(n, 0) AS incoming FROM nodes LEFT JOIN (SELECT dst AS id, count(*) AS n FROM edges GROUP BY dst) USING (id) ORDER BY incoming DESC, id LIMIT 10")
 on_commerce("in_degrees", mt.in_degrees, "SELECT id, kind, qualified_name, coalesce(n, 0) AS incoming FROM nodes LEFT JOIN (SELECT dst AS id, count(*) AS n FROM edges GROUP BY dst) USING (id)")
@@ -218,10 +222,11 @@ on_commerce("package_dependency_graph", mt.package_dependency_graph, """
 named AS (SELECT of.id, n.qualified_name AS p FROM of JOIN nodes n ON n.id = of.p)
 SELECT a.p AS from_package, b.p AS to_package, count(*) AS n FROM edges e JOIN named a ON a.id = e.src JOIN named b ON b.id = e.dst
 WHERE e.kind = 'Instantiates' AND a.p <> b.p GROUP BY ALL""")
-add("unused_fields", lambda spark, d: mt.unused_fields(g := commerce(spark, d, lines="l_quantity > 49"), g.nodes), SQL_COMMERCE + """
-SELECT c.src AS id, c.dst AS other FROM contains c JOIN nodes n ON n.id = c.dst WHERE n.kind = 'Field'
-AND c.dst NOT IN (SELECT l_partkey * 8 + 5 FROM lineitem WHERE l_quantity > 49)""")
-on_commerce("usages_of_type", lambda g: mt.usages_of_type(g, g.nodes), "SELECT DISTINCT dst AS id, src AS other FROM edges WHERE kind IN ('HasType', 'Returns', 'Instantiates', 'References')")
+add("unused_fields", lambda spark, d: mt.unused_fields(g := library(spark, d), g.nodes), """
+WITH f AS (SELECT source, min(doc_id) AS first FROM documents GROUP BY source)
+SELECT first * 4 AS id, doc_id * 4 + 1 AS other FROM documents JOIN f USING (source) WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+USING = {"purchase": "HasType", "view": "Returns", "click": "Instantiates", "signup": "Calls", "error": "References"}
+on_activity("usages_of_type", lambda g: mt.usages_of_type(g, g.nodes), "SELECT DISTINCT dst AS id, src AS other FROM edges WHERE kind IN ('HasType', 'Returns', 'Instantiates', 'References')", kinds=USING)
 
 
 def order_pairs(g) -> DataFrame:
@@ -231,11 +236,13 @@ def order_pairs(g) -> DataFrame:
 on_commerce("shared_dependencies", lambda g: mt.shared_dependencies(g, order_pairs(g)), """
 , d AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('Calls', 'Instantiates', 'HasType', 'Returns'))
 SELECT x.src AS a, y.src AS b, x.dst AS other FROM d x JOIN d y ON y.src = x.src + 8 AND y.dst = x.dst""")
-LAYERS = [["supplier."], ["customer."], ["order."]]
-on_commerce("layer_violations", lambda g: mt.layer_violations(g, LAYERS), """
-SELECT edge_id, src, dst, 2 AS from_layer, 0 AS to_layer FROM edges WHERE kind = 'Instantiates'""")
-on_cyclic("cycles", lambda g: mt.cycles(g, "Calls"), """
-, reach(root, id) AS (SELECT src, dst FROM edges UNION SELECT r.root, e.dst FROM reach r JOIN edges e ON e.src = r.id),
+LAYERS = [["user1"], ["user2", "user3"], ["user4"], ["user10", "user5"]]
+LAYERED = {"purchase": "Calls", "view": "Imports", "click": "HasType", "signup": "References", "error": "Calls"}
+on_activity("layer_violations", lambda g: mt.layer_violations(g, LAYERS), """
+, l AS (SELECT id, CASE WHEN starts_with(qualified_name, 'user1') THEN 0 WHEN starts_with(qualified_name, 'user2') OR starts_with(qualified_name, 'user3') THEN 1 WHEN starts_with(qualified_name, 'user4') THEN 2 WHEN starts_with(qualified_name, 'user5') THEN 3 END AS layer FROM nodes)
+SELECT edge_id, src, dst, a.layer AS from_layer, b.layer AS to_layer FROM edges JOIN l a ON a.id = src JOIN l b ON b.id = dst WHERE kind IN ('Calls', 'Imports', 'References') AND a.layer > b.layer""", kinds=LAYERED)
+on_activity("cycles", lambda g: mt.cycles(g, "Calls"), """
+, steps AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'Calls'), reach(root, id) AS (SELECT src, dst FROM steps UNION SELECT r.root, e.dst FROM reach r JOIN steps e ON e.src = r.id),
 mutual AS (SELECT a.root, a.id FROM reach a JOIN reach b ON a.root = b.id AND a.id = b.root)
 SELECT root AS id, min(id) AS component FROM mutual GROUP BY root""")
 on_commerce("package_cycles", mt.package_cycles, """
@@ -247,6 +254,24 @@ reach AS (WITH RECURSIVE r(root, id) AS (SELECT src, dst FROM d UNION SELECT r.r
 mutual AS (SELECT a.root, a.id FROM reach a JOIN reach b ON a.root = b.id AND a.id = b.root)
 SELECT root AS package, min(id) AS component FROM mutual GROUP BY root""")
 
+add("unimplemented_interface_methods", lambda spark, d: mt.unimplemented_interface_methods(g := contracts(spark, d), g.nodes), """
+WITH held AS (SELECT o_custkey, o_orderpriority, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey),
+wanted AS (SELECT DISTINCT c_nationkey, o_orderpriority FROM held)
+SELECT c.c_custkey * 8 + 2 AS id, (CAST(c.c_nationkey AS BIGINT) * 10 + CAST(substr(o_orderpriority, 1, 1) AS INT)) * 8 + 5 AS other
+FROM customer c JOIN wanted w ON w.c_nationkey = c.c_nationkey
+WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.o_custkey = c.c_custkey AND h.o_orderpriority = w.o_orderpriority)""")
+add("parameters_of", lambda spark, d: nb.parameters_of(g := contracts(spark, d), g.nodes), """
+SELECT l_orderkey * 8 + 4 AS id, (l_orderkey * 16 + l_linenumber) * 8 + 7 AS other, (l_orderkey * 16 + l_linenumber) * 8 + 7 AS edge_id FROM lineitem""")
+add("external_dependencies", lambda spark, d: short(lk.external_dependencies(contracts(spark, d))), "SELECT s_suppkey * 8 + 3 AS id, 'ExternalPackage' AS kind, s_name AS qualified_name FROM supplier")
+add("find_by_qualified", lambda spark, d: short(lk.find_by_qualified(contracts(spark, d), "nation.7.BUILDING")), "SELECT min(c_custkey) * 8 + 6 AS id, 'Method' AS kind, 'nation.7.BUILDING' AS qualified_name FROM customer WHERE c_nationkey = 7 AND c_mktsegment = 'BUILDING' HAVING count(*) > 0")
+add("node_details", lambda spark, d: lk.node_details(contracts(spark, d).nodes).filter("kind <> 'Parameter'").select("id", "kind", "name", "file", "is_abstract"), """
+SELECT CAST(n_nationkey AS BIGINT) * 8 + 1 AS id, 'Interface' AS kind, n_name AS name, 'nations.src' AS file, false AS is_abstract FROM nation
+UNION ALL SELECT c_custkey * 8 + 2, 'Class', c_name, 'customers.src', false FROM customer
+UNION ALL SELECT s_suppkey * 8 + 3, 'ExternalPackage', s_name, NULL, false FROM supplier
+UNION ALL SELECT o_orderkey * 8 + 4, 'Method', o_orderpriority, 'orders.src', false FROM orders JOIN customer ON c_custkey = o_custkey
+UNION ALL SELECT DISTINCT (CAST(c_nationkey AS BIGINT) * 10 + CAST(substr(o_orderpriority, 1, 1) AS INT)) * 8 + 5, 'Method', o_orderpriority, 'nations.src', true FROM orders JOIN customer ON c_custkey = o_custkey
+UNION ALL SELECT min(c_custkey) * 8 + 6, 'Method', c_mktsegment, 'nations.src', false FROM customer GROUP BY c_nationkey, c_mktsegment""")
+
 
 # Source files: the corpus as a tree, and a second version without some sources and with other texts.
 def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -279,7 +304,7 @@ def doc_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merged_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users described by their latest event, and flagged as tests where any was an error."""
-    g, events = transitions(spark, sf_dir), table(spark, sf_dir, "events")
+    g, events = activity(spark, sf_dir), table(spark, sf_dir, "events")
     name = F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("qualified_name")
     texts = events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("description")).select(name, F.when(F.col("description") == "click", "").otherwise(F.col("description")).alias("description"))
     flags = events.filter("event_type = 'error'").select(name, F.lit(True).alias("is_test")).distinct()

@@ -32,11 +32,10 @@ def key(column: str, code: int) -> Column:
     return F.col(column).cast("long") * 8 + code
 
 
-def commerce(spark: SparkSession, sf_dir: str, lines: str = "true") -> SourceGraph:
+def commerce(spark: SparkSession, sf_dir: str) -> SourceGraph:
     """Regions and nations as packages, customers and suppliers as classes, orders as methods, parts as fields.
 
-    Orders read returned-flag N parts, write the others, and instantiate suppliers, by
-    the order lines for which the condition ``lines`` holds.
+    Orders read returned-flag N parts, write the others, and instantiate suppliers.
     """
     t = lambda name: table(spark, sf_dir, name)
     text = lambda c: F.col(c).cast("string")
@@ -48,8 +47,7 @@ def commerce(spark: SparkSession, sf_dir: str, lines: str = "true") -> SourceGra
         node_rows(t("orders"), key("o_orderkey", ORDER), "Method", F.concat(F.lit("o"), text("o_orderkey")), F.concat(F.lit("order."), text("o_orderkey")), F.concat(F.lit("orders"), (F.col("o_orderkey") % 1000).cast("string"), F.lit(".src")), visibility=F.when(F.col("o_orderstatus") == "F", "Public").otherwise("Private"), is_test=F.col("o_orderpriority").startswith("5")),
         node_rows(t("part"), key("p_partkey", PART), "Field", F.col("p_name"), F.concat(F.lit("part."), text("p_partkey")), F.concat(F.lit("parts"), (F.col("p_partkey") % 100).cast("string"), F.lit(".src")), visibility=F.lit("Private")),
     ]
-    all_lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_quantity")
-    asked = all_lines.filter(lines)
+    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
     line = F.col("l_orderkey").cast("long") * 16 + F.col("l_linenumber")
     contained = lambda df, parent, child: edge_rows(df, "Contains", child * 8, parent, child)
     edges = [
@@ -57,10 +55,10 @@ def commerce(spark: SparkSession, sf_dir: str, lines: str = "true") -> SourceGra
         contained(t("customer"), key("c_nationkey", NATION), key("c_custkey", CUSTOMER)),
         contained(t("supplier"), key("s_nationkey", NATION), key("s_suppkey", SUPPLIER)),
         contained(t("orders"), key("o_custkey", CUSTOMER), key("o_orderkey", ORDER)),
-        contained(all_lines.groupBy("l_partkey").agg(F.min("l_suppkey").alias("l_suppkey")), key("l_suppkey", SUPPLIER), key("l_partkey", PART)),
-        edge_rows(asked.filter("l_returnflag = 'N'"), "Reads", line * 8 + 1, key("l_orderkey", ORDER), key("l_partkey", PART)),
-        edge_rows(asked.filter("l_returnflag <> 'N'"), "Writes", line * 8 + 2, key("l_orderkey", ORDER), key("l_partkey", PART)),
-        edge_rows(asked, "Instantiates", line * 8 + 3, key("l_orderkey", ORDER), key("l_suppkey", SUPPLIER)),
+        contained(lines.groupBy("l_partkey").agg(F.min("l_suppkey").alias("l_suppkey")), key("l_suppkey", SUPPLIER), key("l_partkey", PART)),
+        edge_rows(lines.filter("l_returnflag = 'N'"), "Reads", line * 8 + 1, key("l_orderkey", ORDER), key("l_partkey", PART)),
+        edge_rows(lines.filter("l_returnflag <> 'N'"), "Writes", line * 8 + 2, key("l_orderkey", ORDER), key("l_partkey", PART)),
+        edge_rows(lines, "Instantiates", line * 8 + 3, key("l_orderkey", ORDER), key("l_suppkey", SUPPLIER)),
     ]
     return SourceGraph(union(nodes), union(edges))
 
@@ -72,29 +70,94 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def transitions(spark: SparkSession, sf_dir: str, acyclic: bool = False, kind: str = "Calls") -> SourceGraph:
-    """Users as functions, and who follows whom in time as calls.
+#: Edge kinds by event type, with the kind asked for in place of None; an error's edge leads outside.
+ONE_KIND = {"purchase": None, "view": None, "click": None, "signup": "References", "error": None}
 
-    Cyclic: from each purchase to the next event's user. Acyclic: between purchases
-    alone, upwards, where 7 divides the sum of the ids. An edge's id is that of its
-    first event. The order in time is global, so it is found by day: the next event of a
-    day's last one is the first of the next day that has any.
+
+def activity(spark: SparkSession, sf_dir: str, kind: str = "Calls", kinds: dict[str, str | None] | None = None, upward: bool = False, dangling: bool = False) -> SourceGraph:
+    """Users as functions, and for every event an edge from its user to that of the next event.
+
+    An edge's id is its event's, its kind goes by the event's type (``kinds``). An error's
+    target is External, ``lib.`` and the next user's name; the last event's is Unresolved.
+    ``upward`` turns the other edges from the lesser user to the greater, so that these have no
+    cycle; those of a user to itself are then References. With ``dangling``, signups lead to
+    nodes that aren't there. The order in time is global, so it is found by minute: the next
+    event of a minute's last one is the first of the next minute that has any.
     """
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    events = (events.filter("event_type = 'purchase'") if acyclic else events).withColumn("day", F.to_date("ts"))
-    in_day = Window.partitionBy("day").orderBy("ts", "event_id")
-    stepped = events.withColumn("next", F.lead("user_id").over(in_day))
-    firsts = events.groupBy("day").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
-    after = firsts.withColumn("after", F.lead("first").over(Window.orderBy("day"))).select("day", "after")  # one row a day
-    pairs = stepped.join(after, "day").select("event_id", "event_type", F.col("user_id").alias("src"), F.coalesce("next", "after").alias("dst")).filter("event_type = 'purchase' and src <> dst")
-    if acyclic:
-        pairs = pairs.filter("dst > src and (src + dst) % 7 = 0")
-    edges = pairs.groupBy("src", "dst").agg(F.min("event_id").alias("id"))
+    of_type = {t: k or kind for t, k in (kinds or ONE_KIND).items()}
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type").withColumn("minute", F.date_trunc("minute", "ts"))
+    stepped = events.withColumn("next", F.lead("user_id").over(Window.partitionBy("minute").orderBy("ts", "event_id")))
+    firsts = events.groupBy("minute").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
+    after = firsts.withColumn("after", F.lead("first").over(Window.orderBy("minute"))).select("minute", "after")  # one row a minute
+    steps = stepped.join(after, "minute").select("event_id", "event_type", F.col("user_id").alias("u"), F.coalesce("next", "after").alias("v"))
+    outside = (F.col("event_type") == "error") | F.col("v").isNull()
+    state = F.when(F.col("v").isNull(), "Unresolved").when(outside, "External").otherwise("Resolved")
+    mapped = F.create_map(*(F.lit(x) for pair in of_type.items() for x in pair))[F.col("event_type")]
+    src, dst = (F.least("u", "v"), F.greatest("u", "v")) if upward else (F.col("u"), F.col("v"))
+    if dangling:
+        dst = F.when(F.col("event_type") == "signup", -1 - dst).otherwise(dst)
+    edges = steps.select(
+        F.col("event_id").alias("id"),
+        (F.when((F.col("u") == F.col("v")) & ~outside, "References").otherwise(mapped) if upward else mapped).alias("kind"),
+        F.when(outside, F.col("u")).otherwise(src).alias("src"), state.alias("to_state"), F.when(~outside, dst).alias("to_id"),
+        F.when(outside, F.concat(F.lit("lib.user"), F.coalesce(F.col("v").cast("string"), F.lit("")))).alias("to_name"),
+    )
     users = table(spark, sf_dir, "events").select("user_id").distinct()
     user = F.col("user_id")
     name = F.concat(F.lit("user"), user.cast("string"))
     nodes = node_rows(users, user, "Function", name, name, F.lit("users.src"), visibility=F.when(user % 2 == 0, "Public").otherwise("Private"), is_test=user % 10 == 0)
-    return SourceGraph(nodes, edge_rows(edges, kind, F.col("id"), F.col("src"), F.col("dst")))
+    return SourceGraph(nodes, edges)
+
+
+def library(spark: SparkSession, sf_dir: str) -> SourceGraph:
+    """Sources of documents as classes, named for their first document, documents as their fields, and labels as functions that read (quality 1) or write them."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    first = docs.groupBy("source").agg(F.min("doc_id").alias("first"))
+    nodes = [
+        node_rows(first, F.col("first") * 4, "Class", F.col("source"), F.col("source"), F.lit("sources.src")),
+        node_rows(docs, F.col("doc_id") * 4 + 1, "Field", F.col("doc_id").cast("string"), F.concat("source", F.lit("."), F.col("doc_id").cast("string")), F.concat("lang", F.lit(".src"))),
+        node_rows(labels, F.col("doc_id") * 4 + 2, "Function", F.lit("label"), F.concat(F.lit("label."), F.col("doc_id").cast("string")), F.lit("labels.src")),
+    ]
+    held = docs.join(first, "source")
+    edges = [
+        edge_rows(held, "Contains", F.col("doc_id") * 4, F.col("first") * 4, F.col("doc_id") * 4 + 1),
+        edge_rows(labels.filter("quality = 1"), "Reads", F.col("doc_id") * 4 + 1, F.col("doc_id") * 4 + 2, F.col("doc_id") * 4 + 1),
+        edge_rows(labels.filter("quality = 0"), "Writes", F.col("doc_id") * 4 + 2, F.col("doc_id") * 4 + 2, F.col("doc_id") * 4 + 1),
+    ]
+    return SourceGraph(union(nodes), union(edges))
+
+
+def contracts(spark: SparkSession, sf_dir: str) -> SourceGraph:
+    """Nations as interfaces, customers as classes that implement theirs, and orders as their methods, named for the priority, with the order lines as parameters.
+
+    An interface has an abstract method for each priority of its customers' orders, and one
+    that isn't abstract for each segment of its customers. Suppliers are external packages.
+    """
+    t = lambda name: table(spark, sf_dir, name)
+    text = lambda c: F.col(c).cast("string")
+    held = t("orders").select("o_orderkey", "o_custkey", "o_orderpriority").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    wanted = held.select("c_nationkey", "o_orderpriority").distinct().withColumn("n", F.col("c_nationkey").cast("long") * 10 + F.substring("o_orderpriority", 1, 1).cast("int"))
+    given = t("customer").groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("n"))
+    abstract = node_rows(wanted, F.col("n") * 8 + 5, "Method", F.col("o_orderpriority"), F.concat(F.lit("nation."), text("c_nationkey"), F.lit("."), "o_orderpriority"), F.lit("nations.src")).withColumn("is_abstract", F.lit(True))
+    line = F.col("l_orderkey").cast("long") * 16 + F.col("l_linenumber")
+    nodes = [
+        node_rows(t("nation"), key("n_nationkey", 1), "Interface", F.col("n_name"), F.concat(F.lit("nation."), text("n_nationkey")), F.lit("nations.src")),
+        node_rows(t("customer"), key("c_custkey", 2), "Class", F.col("c_name"), F.concat(F.lit("customer."), text("c_custkey")), F.lit("customers.src")),
+        node_rows(t("supplier"), key("s_suppkey", 3), "ExternalPackage", F.col("s_name"), F.col("s_name"), F.lit(None).cast("string")),
+        node_rows(held, key("o_orderkey", 4), "Method", F.col("o_orderpriority"), F.concat(F.lit("order."), text("o_orderkey")), F.lit("orders.src")),
+        abstract,
+        node_rows(given, F.col("n").cast("long") * 8 + 6, "Method", F.col("c_mktsegment"), F.concat(F.lit("nation."), text("c_nationkey"), F.lit("."), "c_mktsegment"), F.lit("nations.src")),
+        node_rows(t("lineitem"), line * 8 + 7, "Parameter", text("l_linenumber"), F.concat(F.lit("line."), line.cast("string")), F.lit("orders.src")),
+    ]
+    edges = [
+        edge_rows(t("customer"), "Implements", key("c_custkey", 2), key("c_custkey", 2), key("c_nationkey", 1)),
+        edge_rows(held, "Contains", key("o_orderkey", 4), key("o_custkey", 2), key("o_orderkey", 4)),
+        edge_rows(wanted, "Contains", F.col("n") * 8 + 5, key("c_nationkey", 1), F.col("n") * 8 + 5),
+        edge_rows(given, "Contains", F.col("n").cast("long") * 8 + 6, key("c_nationkey", 1), F.col("n").cast("long") * 8 + 6),
+        edge_rows(t("lineitem"), "HasParameter", line * 8 + 7, key("l_orderkey", 4), line * 8 + 7),
+        edge_rows(t("lineitem"), "HasType", line * 8, line * 8 + 7, key("l_suppkey", 3)),
+    ]
+    return SourceGraph(union(nodes), union(edges))
 
 
 def references(spark: SparkSession, sf_dir: str) -> SourceGraph:
