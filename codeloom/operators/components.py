@@ -34,5 +34,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"the components have not settled within {max_rounds} rounds")
     nodes = stars.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return nodes.unionByName(stars.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
