@@ -4,9 +4,8 @@ Tokens are the leaves of a tree of classes: the vocabulary, in order of the toke
 endings, is cut into two classes of about equal counts, and each class again down to the
 token itself. The probability of a token is the product of the softmaxes along its path.
 Each adds to the classes' add-one counts the weights of its features: the token before
-(2-gram), the two before together (3-gram), and the second and third token before
-(skips), each hashed with the class into a table of weights. With all weights zero the
-model is the add-one unigram model.
+(the 2-gram) and the one before that (a skip), each hashed with the class into a table of
+weights. With all weights zero the model is the add-one unigram model.
 
 Counts cover every training text, and every place of every training text trains:
 tasks run adaptive gradient steps from common weights, which Spark then averages by
@@ -34,9 +33,9 @@ from pyspark.sql import functions as F
 from codeloom.sources.scratch import materialise
 
 #: Tokens before a place that its features see, and the features.
-BACK, FEATURES = 3, 4
+BACK, FEATURES = 2, 2
 #: Bytes of text that a task encodes at once; places that it scores, and that it learns from, at once.
-SLICE, PLACES, STEP_PLACES = 1 << 21, 8192, 1 << 16
+SLICE, PLACES, STEP_PLACES = 1 << 21, 8192, 1 << 15
 #: Tokens that a task learns from before its weights are averaged with those of others, and weights that travel in a row.
 TASK_TOKENS, PART = 1 << 24, 1 << 16
 #: What the squared gradients of a weight start from.
@@ -215,14 +214,12 @@ def places_of(lengths: np.ndarray) -> np.ndarray:
 
 
 #: Odd factors that mix contexts and nodes into places of the table.
-MIX = [np.uint32(xxhash.xxh32_intdigest(str(i).encode(), 7) | 1) for i in range(FEATURES + 3)]
+MIX = [np.uint32(xxhash.xxh32_intdigest(str(i).encode(), 7) | 1) for i in range(5)]
 
 
 def contexts(c: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """A 32-bit hash for each feature at each place: 2-gram, 3-gram, and two skips."""
-    one, two, three = ((c[at - k] + 1).astype(np.uint32) for k in (1, 2, 3))
-    pair = (one * MIX[0] ^ (one >> np.uint32(15))) * MIX[1] + two * MIX[2]
-    return [one * MIX[3] + np.uint32(1), pair ^ (pair >> np.uint32(13)), two * MIX[2] + np.uint32(7), three * MIX[1] + np.uint32(3)]
+    """A 32-bit hash for each feature at each place: the 2-gram and the skip."""
+    return [(c[at - 1] + 1).astype(np.uint32) * MIX[0] + np.uint32(1), (c[at - 2] + 1).astype(np.uint32) * MIX[1] + np.uint32(7)]
 
 
 def decisions(tree: Tree, weights: np.ndarray, c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -233,16 +230,16 @@ def decisions(tree: Tree, weights: np.ndarray, c: np.ndarray, at: np.ndarray) ->
     place = np.repeat(np.arange(len(at)), n)
     step = np.arange(len(place)) + (first - begins)[place]
     node = tree.nodes[step]
-    mark = node.astype(np.uint32) * MIX[FEATURES]
+    mark = node.astype(np.uint32) * MIX[2]
     mark ^= mark >> np.uint32(16)
     shift = np.uint32(33 - len(weights).bit_length())
     rows, odds = np.empty((FEATURES, len(step)), np.int64), tree.odds[node]
     for f, h in enumerate(contexts(c, at)):
         one = h[place]
         one ^= mark
-        one *= MIX[FEATURES + 1]
+        one *= MIX[3]
         one ^= one >> np.uint32(15)
-        one *= MIX[FEATURES + 2]
+        one *= MIX[4]
         one >>= shift
         rows[f] = one
         odds += weights[rows[f]]
@@ -344,7 +341,7 @@ def model_scores(texts: DataFrame, tree: Tree, weights: np.ndarray, keep: list[s
     return texts.select(*keep, "leaves").mapInArrow(score, f"{kinds}, model double")
 
 
-def language_model_scores(docs: DataFrame, train_on: Column, frequent: int = 262_144, rounds: int = 1, bits: int = 22, rate: float = 0.4) -> DataFrame:
+def language_model_scores(docs: DataFrame, train_on: Column, frequent: int = 262_144, rounds: int = 1, bits: int = 22, rate: float = 0.5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     Learns from rows for which ``train_on`` holds. ``base_score`` is the add-one unigram

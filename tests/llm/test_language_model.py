@@ -43,19 +43,17 @@ def small_model(spark, frequent=262_144):
 
 
 def slow_leaf_log(tree, weights, back, leaf):
-    """log10 probability of a leaf after the three leaves ``back`` (nearest first), step by step down its path."""
+    """log10 probability of a leaf after the two leaves ``back`` (nearest first), step by step down its path."""
     bits, full = len(weights).bit_length() - 1, (1 << 32) - 1
     mix = [int(m) for m in lm.MIX]
-    one, two, three = ((b + 1) & full for b in back)
-    pair = ((((one * mix[0] & full) ^ (one >> 15)) * mix[1] & full) + (two * mix[2] & full)) & full
-    marks = [(one * mix[3] + 1) & full, pair ^ (pair >> 13), (two * mix[2] + 7) & full, (three * mix[1] + 3) & full]
+    marks = [((back[0] + 1) * mix[0] + 1) & full, ((back[1] + 1) * mix[1] + 7) & full]
     total = 0.0
     for i in range(tree.starts[leaf], tree.starts[leaf + 1]):
-        node = int(tree.nodes[i]) * mix[4] & full
+        node = int(tree.nodes[i]) * mix[2] & full
         odds = float(tree.odds[tree.nodes[i]])
         for m in marks:
-            x = (m ^ node ^ (node >> 16)) * mix[5] & full
-            odds += float(weights[((x ^ (x >> 15)) * mix[6] & full) >> (32 - bits)])
+            x = (m ^ node ^ (node >> 16)) * mix[3] & full
+            odds += float(weights[((x ^ (x >> 15)) * mix[4] & full) >> (32 - bits)])
         total -= math.log1p(math.exp(-odds if tree.second[i] else odds))
     return total / math.log(10)
 
@@ -65,7 +63,7 @@ def test_probabilities_of_all_tokens_sum_to_one(spark):
         words, tree, _, weights = small_model(spark, frequent)
         leaves = len(tree.starts) - 1
         assert leaves == len(words.hashes) + 2 and np.abs(weights).max() > 0.1
-        for back in ((-1, -1, -1), (2, -1, -1), (leaves - 1, 3, 1), (1, 1, 2)):
+        for back in ((-1, -1), (2, -1), (leaves - 1, 3), (1, 1)):
             assert abs(sum(10 ** slow_leaf_log(tree, weights, back, k) for k in range(leaves)) - 1) < 1e-3
 
 
@@ -76,8 +74,8 @@ def test_scores_equal_a_slow_scorer(spark):
         for r in lm.model_scores(texts, tree, weights, ["rid"]).collect():
             seen = kept[r["rid"]]
             if len(seen) < 300:
-                padded = [-1, -1, -1, *seen]
-                want = sum(slow_leaf_log(tree, weights, (padded[i + 2], padded[i + 1], padded[i]), k) - (tree.other_log if k == lm.OTHER else 0) for i, k in enumerate(seen))
+                padded = [-1, -1, *seen]
+                want = sum(slow_leaf_log(tree, weights, (padded[i + 1], padded[i]), k) - (tree.other_log if k == lm.OTHER else 0) for i, k in enumerate(seen))
                 assert abs(r["model"] - want) < 1e-3 * max(1, abs(want))
 
 
@@ -93,8 +91,8 @@ def test_without_weights_the_model_is_the_unigram_model(spark):
 def test_gradient_is_that_of_the_likelihood():
     pick = np.random.default_rng(4)
     tree = lm.class_tree(np.arange(40), pick.integers(1, 50, 40), 5, 3)
-    c = np.concatenate([[-1] * 3, pick.integers(0, 42, 30)])
-    at = np.arange(3, 33)
+    c = np.concatenate([[-1] * 2, pick.integers(0, 42, 30)])
+    at = np.arange(2, 32)
     weights = pick.normal(0, 0.2, 1 << 9).astype(np.float32)
 
     def loss(w):
