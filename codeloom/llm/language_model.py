@@ -35,7 +35,7 @@ from codeloom.sources.scratch import materialise
 #: Tokens before a place that its features see, and the features.
 BACK, FEATURES = 2, 2
 #: Bytes of text that a task encodes at once; places that it scores, and that it learns from, at once.
-SLICE, PLACES, STEP_PLACES = 1 << 21, 8192, 1 << 15
+SLICE, PLACES, STEP_PLACES = 1 << 21, 8192, 1 << 16
 #: Tokens that a task learns from before its weights are averaged with those of others, and weights that travel in a row.
 TASK_TOKENS, PART = 1 << 24, 1 << 16
 #: What the squared gradients of a weight start from.
@@ -259,10 +259,10 @@ def gradient_step(tree: Tree, weights: np.ndarray, memory: np.ndarray, g: np.nda
         error = taken(odds, True) - second
         for r in rows:
             np.add.at(g, r, error)
-    memory += g * g
-    g /= np.sqrt(memory)
-    g *= rate
-    weights -= g
+    for begin in range(0, len(g), PART):  # in parts that stay in the processor's cache
+        part, seen = g[begin : begin + PART], memory[begin : begin + PART]
+        seen += part * part
+        weights[begin : begin + PART] -= part * (rate / np.sqrt(seen))
 
 
 def train_round(texts: DataFrame, tree: Tree, weights: np.ndarray, rate: float, tokens: int) -> np.ndarray:
@@ -341,7 +341,7 @@ def model_scores(texts: DataFrame, tree: Tree, weights: np.ndarray, keep: list[s
     return texts.select(*keep, "leaves").mapInArrow(score, f"{kinds}, model double")
 
 
-def language_model_scores(docs: DataFrame, train_on: Column, frequent: int = 262_144, rounds: int = 1, bits: int = 22, rate: float = 0.5) -> DataFrame:
+def language_model_scores(docs: DataFrame, train_on: Column, frequent: int = 262_144, rounds: int = 1, bits: int = 21, rate: float = 0.6) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     Learns from rows for which ``train_on`` holds. ``base_score`` is the add-one unigram
