@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.decontaminate import fresh
+
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX, LEADING = "0123456789abcdef", "23456789"
 
@@ -260,13 +262,15 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     text = F.col(column)
     found = F.when(F.contains(text, F.lit("@")), F.regexp_extract_all(text, F.lit(FIND_MAIL), 0)).when(text.rlike("[0-9]|AKIA"), F.regexp_extract_all(text, F.lit(FIND), 0))
     parts = F.when(F.contains(text, F.lit("@")), F.split(text, FIND_MAIL)).otherwise(F.split(text, FIND))
-    out = docs.drop("n_private", "private_kinds").withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
-    before = F.when(F.size("_found") > 0, F.slice(parts, F.lit(1), F.size("_found"))).otherwise(F.array().cast("array<string>"))
-    out = out.withColumn("_new", F.zip_with("_found", before, lambda m, p: let(kind_of(m, p), lambda kind: pseudonym(m, kind, key))))
-    joined = F.array_join(F.flatten(F.zip_with(parts, F.transform("_new", lambda n: n["value"]), lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))), "")
-    changed = F.filter(F.arrays_zip("_found", "_new"), lambda z: z["_found"] != z["_new"]["value"])
+    kept = docs.drop("n_private", "private_kinds")
+    old, new = fresh(kept, "found"), fresh(kept, "new")
+    out = kept.withColumn(old, F.coalesce(found, F.array().cast("array<string>")))
+    before = F.when(F.size(old) > 0, F.slice(parts, F.lit(1), F.size(old))).otherwise(F.array().cast("array<string>"))
+    out = out.withColumn(new, F.zip_with(old, before, lambda m, p: let(kind_of(m, p), lambda kind: pseudonym(m, kind, key))))
+    joined = F.array_join(F.flatten(F.zip_with(parts, F.transform(new, lambda n: n["value"]), lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))), "")
+    changed = F.filter(F.zip_with(old, new, lambda m, n: F.struct(m.alias("old"), n.alias("new"))), lambda z: z["old"] != z["new"]["value"])
     return out.withColumns({
-        column: F.when(F.size("_found") > 0, joined).otherwise(text),
+        column: F.when(F.size(old) > 0, joined).otherwise(text),
         "n_private": F.size(changed).cast("long"),
-        "private_kinds": F.array_sort(F.array_distinct(F.transform(changed, lambda z: z["_new"]["kind"]))),
-    }).drop("_found", "_new")
+        "private_kinds": F.array_sort(F.array_distinct(F.transform(changed, lambda z: z["new"]["kind"]))),
+    }).drop(old, new)
