@@ -11,8 +11,8 @@ the threshold of at least one partition. Dynamic programming picks the threshold
 least estimated cost. Fingerprints are stored by partition value, probed with every
 value within the threshold, and each candidate is verified.
 
-A partition value may be common. Those held by more than ``cap`` fingerprints are
-left out of the probe; all fingerprints that hold or probe one are linked through
+A partition value may be common. Those whose holders times probers are more than
+``cap`` squared are left out of the probe; all fingerprints that hold or probe one are linked through
 hubs instead: each is sent to the 65 values within one bit of it, and two meet in a
 hub exactly if they differ in two bits at most. A hub has 65 members at most, so this
 exact way stays linear however dense a group of copies is.
@@ -182,8 +182,13 @@ def links(fps: DataFrame, distance: int = 2, partitions: int = 3, cap: int = 64)
 
     index = fps.select("fp", F.explode(keys(False)).alias("key"))
     probe = fps.select("fp", F.explode(keys(True)).alias("key"))
-    sizes = index.groupBy("key").count()
-    rare, common = sizes.filter(F.col("count").between(2 if max(limits) == 0 else 1, cap)).select("key"), sizes.filter(F.col("count") > cap).select("key")
+    if max(limits) == 0:
+        sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.count(F.lit(1)).alias("asked"))
+    else:  # a key that few hold may be asked for by many
+        ends = index.select("key", F.lit(1).alias("h"), F.lit(0).alias("p")).unionByName(probe.select("key", F.lit(0).alias("h"), F.lit(1).alias("p")))
+        sizes = ends.groupBy("key").agg(F.sum("h").alias("held"), F.sum("p").alias("asked")).filter("held > 0")
+    met = F.col("held") * F.col("asked")
+    rare, common = sizes.filter((met > 1) & (met <= cap * cap)).select("key"), sizes.filter(met > cap * cap).select("key")
     one, two = index.join(rare, "key"), probe.join(rare, "key")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     probed = one.withColumnRenamed("fp", "a").join(two.withColumnRenamed("fp", "b"), "key").filter("a < b").filter(near).select("a", "b")
