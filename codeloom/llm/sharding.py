@@ -17,33 +17,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.llm.decontaminate import fresh
+from codeloom.sources.scratch import discard, materialise
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A long that orders like the column: numbers and dates by value, strings by their first seven bytes."""
+
+#: Bits of the index at most, so that there are at most 65,536 cells whatever the table holds.
+MOST_BITS = 16
+
+
+def as_value(df: DataFrame, name: str) -> Column:
+    """The column as a long, a double or a string that orders like it."""
     kind = df.schema[name].dataType
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
         return F.col(name).cast("long")
     if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return F.floor(F.col(name).cast("double") * 1000).cast("long")
+        return F.col(name).cast("double")
     if isinstance(kind, (T.DateType, T.TimestampType)):
         return F.unix_micros(F.col(name).cast("timestamp"))
-    head = F.rpad(F.substring(F.hex(F.encode(F.col(name).cast("string"), "utf-8")), 1, 14), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
+    return F.col(name).cast("string")
+
+
+def text_cuts(df: DataFrame, name: str, steps: list[float]) -> list[str]:
+    """Quantiles of whole strings: counts of distinct values in ranges, summed up range by range."""
+    counts = df.select(as_value(df, name).alias("value")).filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    ranged = materialise(counts.repartitionByRange("value").withColumn("range", F.spark_partition_id()), "text-counts")
+    sums = ranged.groupBy("range").agg(F.sum("n").alias("m"))
+    before = sums.select("range", (F.sum("m").over(Window.orderBy("range")) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy(F.lit(1))).alias("total"))  # a row for each range
+    placed = ranged.join(F.broadcast(before), "range").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("range").orderBy("value")))
+    row = placed.agg(*(F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("value"))).alias(f"q{i}") for i, q in enumerate(steps))).first()
+    discard(ranged)
+    return [v for v in row if v is not None]
 
 
-def cut_points(df: DataFrame, dims: list[str], bits: int) -> dict[str, list[int]]:
-    """Quantile boundaries for each dimension: ``2**bits - 1`` numbers at most."""
+def cut_points(df: DataFrame, dims: list[str], bits: int) -> dict[str, list]:
+    """Quantile boundaries for each dimension: ``2**bits - 1`` values at most."""
     steps = [i / 2**bits for i in range(1, 2**bits)]
-    row = df.agg(*(F.percentile_approx(as_number(df, d), steps, 100_000).alias(d) for d in dims)).first()
-    return {d: list(row[d] or []) for d in dims}
+    texts = [d for d in dims if isinstance(df.select(as_value(df, d)).schema[0].dataType, T.StringType)]
+    numbers = [d for d in dims if d not in texts]
+    row = df.agg(*(F.percentile_approx(as_value(df, d), steps, 100_000).alias(d) for d in numbers)).first() if numbers else {}
+    return {d: text_cuts(df, d, steps) if d in texts else list(row[d] or []) for d in dims}
 
 
-def quantised(df: DataFrame, name: str, cuts: list[int]) -> Column:
+def quantised(df: DataFrame, name: str, cuts: list) -> Column:
     """The number of boundaries below the value, so common values spread over the range; null counts as lowest."""
-    value = as_number(df, name)
+    value = as_value(df, name)
     if not cuts:
         return F.lit(0)
-    return F.coalesce(sum(((value > cut).cast("int") for cut in cuts), F.lit(0)), F.lit(0))
+    return F.coalesce(sum(((value > F.lit(cut)).cast("int") for cut in cuts), F.lit(0)), F.lit(0))
 
 
 def hilbert_index(df: DataFrame, axes: list[str], bits: int, out: str) -> DataFrame:
@@ -77,6 +97,33 @@ def hilbert_index(df: DataFrame, axes: list[str], bits: int, out: str) -> DataFr
     return out_df.withColumn(out, index).drop("_turn", *x)
 
 
+def coordinates(docs: DataFrame, dims: tuple[str, ...], bits: int) -> tuple[list[str], dict[str, Column], Column]:
+    """Names and columns of the quantised dimensions that the table has, and the number of their cell."""
+    here = [d for d in dims if d in docs.columns] or ["doc_id"]
+    if bits * len(here) > MOST_BITS:
+        raise ValueError(f"{bits} bits for each of {len(here)} dimensions are more than {MOST_BITS}")
+    cuts = cut_points(docs, here, bits)
+    axes = [f"_q{i}" for i in range(len(here))]
+    coded = {a: quantised(docs, d, cuts[d]) for a, d in zip(axes, here, strict=True)}
+    packed = F.lit(0)
+    for a in axes:
+        packed = packed * (1 << bits) + coded[a]
+    return axes, coded, packed
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 8, dims: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = 4) -> None:
+    """Write all columns of ``docs`` as ``shards`` Parquet files, cut and sorted along the curve.
+
+    A file's statistics then bound every dimension, and a filter on any of them skips files.
+    Rows of a cell are spread by a hash of doc_id and text, so no cell is one task.
+    """
+    axes, coded, packed = coordinates(docs, dims, bits)
+    cell, at, order = fresh(docs, "cell"), fresh(docs, "hilbert"), fresh(docs, "spread")
+    cells = hilbert_index(docs.select(packed.cast("int").alias(cell), *(coded[a].alias(a) for a in axes)).distinct(), axes, bits, at).select(cell, at)
+    rows = docs.withColumns({cell: packed.cast("int"), order: F.xxhash64("doc_id", "text")}).join(F.broadcast(cells), cell)
+    rows.repartitionByRange(shards, at, order).sortWithinPartitions(at, order).drop(cell, at, order).write.parquet(path)
+
+
 def hilbert_shards(docs: DataFrame, shards: int = 8, dims: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = 4, groups: int = 4096, max_group: int = 1_000_000) -> DataFrame:
     """Deal all rows into ``shards`` runs of the curve.
 
@@ -84,19 +131,12 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, dims: tuple[str, ...] = ("l
     and slot (gapless from 0 in each shard). Shard sizes differ by one row at
     most. Dimensions that the table lacks are left out; with none, all rows are
     in one cell. Null metadata is quantised as lowest and null text as empty.
-    Rows of a cell are ordered by a hash of doc_id, then by doc_id, size and
-    checksum; rows alike in all of these are interchangeable. Other columns are
+    Rows of a cell are ordered by a hash of doc_id, size and checksum, then by these; rows alike in all of these are interchangeable. Other columns are
     ignored. An empty table gives no rows.
     """
-    dims_here = [d for d in dims if d in docs.columns] or ["doc_id"]
-    cuts = cut_points(docs, dims_here, bits)
-    axes = [f"_q{i}" for i in range(len(dims_here))]
-    coded = {a: quantised(docs, d, cuts[d]) for a, d in zip(axes, dims_here, strict=True)}
-    packed = F.lit(0)
-    for a in axes:
-        packed = packed * (1 << bits) + coded[a]
+    axes, coded, packed = coordinates(docs, dims, bits)
 
-    # At most 2**(bits * dims) cells, whatever the table holds, so all of this is small.
+    # At most 2**MOST_BITS cells, so all of this is small.
     counts = docs.select(packed.cast("int").alias("cell"), *(coded[a].alias(a) for a in axes)).groupBy("cell", *axes).agg(F.count(F.lit(1)).alias("cell_rows"))
     along = Window.orderBy("hilbert")
     cells = (
@@ -107,7 +147,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, dims: tuple[str, ...] = ("l
     )
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), packed.cast("int").alias("cell"))
-    number = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    number = F.xxhash64("doc_id", "size", "text_crc32")
     rows = rows.join(F.broadcast(cells), "cell").withColumn("sub", F.pmod(number, F.col("subs"))).drop("subs")
 
     inside = Window.partitionBy("cell", "sub")
