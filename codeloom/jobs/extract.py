@@ -1,18 +1,22 @@
 """Declarations and references of source files, by DataFrame operations over lines.
 
-Lines are cleaned of strings and comments, nesting is a running sum over a file's
-lines (of braces, or of indentation for Python), and declarations are matched by
-patterns for each language. A line's scope is the chain of the last declarations that
-are still open above it. The result is nodes and edges with targets by name, for
+Lines are cleaned of strings and comments, lines within open parentheses are joined,
+nesting is a running sum over a file's lines (of braces, or of indentation for Python),
+and declarations are matched by patterns for each language. Which declarations enclose a
+line, and where they end, is told by a stack over the lines of one file, the one step
+that is a Python function. The result is nodes and edges with targets by name, for
 ``ingest.resolve`` to look up. A file is the unit of every window, so files bound them.
 
+Names of a body are looked up in the enclosing declarations of the same file first, from
+the innermost on; ``compat`` leaves them as they are written.
+
 This reads layouts with one declaration to a line; it is no parser. Several on a line,
-declarations that span lines before their name, and local types inside expressions are
-not found.
+local types inside expressions and local variables are not found.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +26,6 @@ from codeloom.graph import SourceGraph
 from codeloom.jobs.ingest import assign_ids
 from codeloom.schema import EDGES, NODES, SPAN
 
-LEVELS = 8
 #: Languages by extension.
 LANGUAGE = {"java": "Java", "rs": "Rust", "py": "Python", "go": "Go", "ts": "TypeScript", "tsx": "TypeScript"}
 MODIFIERS = r"((?:(?:public|protected|private|static|final|abstract|synchronized|default|native|transient|volatile|export|declare|readonly|async|override|get|set)\s+)*)"
@@ -69,20 +72,37 @@ CONTAINERS = ("Class", "Interface", "Enum", "Annotation", "Package", "Impl", "Fu
 CALLABLE = ("Function", "Method")
 
 
+ANNOTATION = r"@[\w.]+(?:\([^()]*\))?"
+
+
 def clean_lines(files: DataFrame) -> DataFrame:
-    """(path, language, line, raw, code): code has no strings (but in imports) and no comments."""
+    """(path, language, line, last, raw, code, marks): code has no strings (but in imports), comments or leading annotations (marks); lines within open parentheses are one, up to ``last``."""
     language = F.create_map(*(x for k, v in LANGUAGE.items() for x in (F.lit(k), F.lit(v))))[F.col("ext")]
     lines = files.select("path", language.alias("language"), F.posexplode(F.split("content", "\r?\n")).alias("line", "raw"))
     python = F.col("language") == "Python"
-    keep_text = F.col("raw").rlike(r"^\s*(import\b.*|[\w.]*\s*\"[^\"]+\"\s*$|export\b.*\bfrom\b.*)")
-    bare = F.when(keep_text, F.col("raw")).otherwise(F.regexp_replace("raw", r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)+'|`[^`]*`", '""'))
+    above = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    quotes = r"\"\"\"|\'\'\'"
+    within = python & (F.coalesce(F.sum(F.regexp_count("raw", F.lit(quotes))).over(above), F.lit(0)) % 2 == 1)
+    text = F.when(within, F.regexp_extract("raw", r"^.*?(?:\"\"\"|\'\'\')(.*)$", 1)).when(python, F.regexp_replace(F.regexp_replace("raw", r"\"\"\".*?\"\"\"|\'\'\'.*?\'\'\'", '""'), r"(?:\"\"\"|\'\'\').*$", '""')).otherwise(F.col("raw"))
+    lines = lines.withColumn("text", text)
+    keep_text = F.col("text").rlike(r"^\s*(import\b.*|[\w.]*\s*\"[^\"]+\"\s*$|export\b.*\bfrom\b.*)")
+    bare = F.when(keep_text, F.col("text")).otherwise(F.regexp_replace("text", r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)+'|`[^`]*`", '""'))
     bare = F.when(python, F.regexp_replace(bare, "#.*$", "")).otherwise(F.regexp_replace(F.regexp_replace(bare, r"/\*.*?\*/", ""), "//.*$", ""))
     lines = lines.withColumn("bare", bare)
-    above = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     marks = F.when(python, F.lit(0)).otherwise(F.regexp_count("bare", F.lit(r"/\*")) - F.regexp_count("bare", F.lit(r"\*/")))
     lines = lines.withColumn("inside", F.coalesce(F.sum(marks).over(above), F.lit(0)) > 0)
     code = F.when(F.col("inside"), F.regexp_extract("bare", r"\*/(.*)$", 1)).otherwise(F.regexp_replace("bare", r"/\*.*$", ""))
-    return lines.select("path", "language", "line", "raw", code.alias("code"))
+    lines = lines.select("path", "language", "line", "raw", code.alias("code"))
+    opened = F.coalesce(F.sum(F.regexp_count("code", F.lit(r"\(")) - F.regexp_count("code", F.lit(r"\)"))).over(above), F.lit(0))
+    first = F.last(F.when(opened <= 0, F.col("line")), ignorenulls=True).over(above.rowsBetween(Window.unboundedPreceding, 0))
+    joined_lines = lines.withColumn("first", F.coalesce(first, "line")).groupBy("path", "first").agg(
+        F.min("language").alias("language"), F.max("line").alias("last"), F.min_by("raw", "line").alias("raw"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "code"))), lambda x: F.when(x["line"] == F.col("first"), x["code"]).otherwise(F.trim(x["code"]))), " ").alias("code"),
+    )
+    lead = F.regexp_extract("code", rf"^\s*((?:{ANNOTATION}\s*)+)", 1)
+    alone = F.col("language").isin("Java", "TypeScript", "Python") & (lead != "") & ~F.col("code").rlike(r"^\s*@interface\b")
+    found = F.when(alone, F.regexp_extract_all(lead, F.lit(rf"({ANNOTATION})"), 1)).otherwise(F.array().cast("array<string>"))
+    return joined_lines.select("path", "language", F.col("first").alias("line"), "last", "raw", F.when(alone, F.regexp_replace("code", rf"^(\s*)(?:{ANNOTATION}\s*)+", "$1")).otherwise(F.col("code")).alias("code"), found.alias("marks"))
 
 
 def matched(rules: dict[str, list[tuple[str, str, bool]]]) -> Column:
@@ -95,24 +115,45 @@ def matched(rules: dict[str, list[tuple[str, str, bool]]]) -> Column:
     return out
 
 
+def enclosed(lines: pd.DataFrame) -> pd.DataFrame:
+    """For the lines of one file, in order: the enclosing declarations, outermost first, and the last line of each line's own declaration."""
+    lines = lines.sort_values("line").reset_index(drop=True)
+    ends, scopes, stack, before = lines["last"].tolist(), [], [], -1
+    columns = zip(lines["line"], lines["last"], lines["depth"], lines["closing"], lines["holder"], lines["name"], lines["modifiers"], strict=True)
+    for i, (line, last, depth, closing, holder, name, modifiers) in enumerate(columns):
+        while stack and stack[-1][0] >= depth:
+            level, at, _ = stack.pop()
+            ends[at] = max(ends[at], last if closing and level == depth else before)
+        scopes.append([x for _, _, x in stack])
+        if holder is not None:
+            stack.append((depth, i, {"line": int(line), "kind": holder, "name": name, "modifiers": modifiers}))
+        before = last
+    for _, at, _ in stack:
+        ends[at] = max(ends[at], before)
+    return lines.assign(scope=scopes, end=pd.Series(ends, dtype="int32"))[["path", "language", "line", "raw", "code", "marks", "depth", "d", "scope", "end"]]
+
+
 def scoped_lines(files: DataFrame) -> DataFrame:
-    """Lines with their declaration (d) and the open declarations above them (scope, outermost first)."""
-    lines = clean_lines(files).filter(F.trim("code") != "")
+    """Lines with their declaration (d), its last line (end), the declarations around them (scope, outermost first) and annotations (marks), which count for the declaration that follows."""
+    lines = clean_lines(files).filter((F.trim("code") != "") | (F.size("marks") > 0))
     in_file = Window.partitionBy("path").orderBy("line")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    # Annotations on lines of their own go to the next line with code.
+    follows = F.first(F.when(F.trim("code") != "", F.col("line")), ignorenulls=True).over(in_file.rowsBetween(0, Window.unboundedFollowing))
+    named = lines.withColumn("to", follows)
+    given = F.flatten(F.collect_list("marks").over(Window.partitionBy("path", "to").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+    lines = named.withColumn("marks", given).filter(F.trim("code") != "").drop("to")
     braces = F.regexp_count("code", F.lit(r"\{")) - F.regexp_count("code", F.lit(r"\}"))
-    closing = F.when(F.col("code").rlike(r"^\s*\}"), 1).otherwise(0)
-    depth = F.when(F.col("language") == "Python", F.floor(F.length(F.regexp_extract(F.regexp_replace("code", "\t", "    "), "^( *)", 1)) / 4)).otherwise(F.coalesce(F.sum(braces).over(before), F.lit(0)) - closing)
-    lines = lines.withColumn("depth", F.greatest(depth, F.lit(0)).cast("int")).withColumn("d", matched(RULES))
+    closing = F.col("code").rlike(r"^\s*\}")
+    depth = F.when(F.col("language") == "Python", F.length(F.regexp_extract(F.regexp_replace("code", "\t", "    "), "^( *)", 1))).otherwise(F.coalesce(F.sum(braces).over(before), F.lit(0)) - closing.cast("int"))
+    lines = lines.withColumns({"depth": F.greatest(depth, F.lit(0)).cast("int"), "closing": closing, "d": matched(RULES)})
     inside_body = F.col("d.kind").isin("Field", "Constant", "GlobalVariable")
     lines = lines.withColumn("d", F.when(F.col("d.kind").isNotNull() & (F.col("d.name") != ""), F.col("d")))
-    holds = F.when(F.col("d.kind").isin(*CONTAINERS) & ~((F.col("d.kind") == "Package") & (F.col("language") != "Rust")), F.struct("line", F.col("d.kind").alias("kind"), F.col("d.name").alias("name"), F.col("d.modifiers").alias("modifiers")))
-    lasts = [F.last(F.when(F.col("depth") == k, holds), ignorenulls=True).over(before) for k in range(LEVELS)]
-    lines = lines.withColumn("open", F.slice(F.array(*lasts), 1, F.least(F.col("depth"), F.lit(LEVELS))))
-    # A declaration is open if none of a lower level came after it.
-    empty = F.array().cast("array<struct<line:int,kind:string,name:string,modifiers:string>>")
-    chain = F.aggregate("open", empty, lambda acc, c: F.when(c.isNotNull() & ((F.size(acc) == 0) | (c["line"] > F.coalesce(F.try_element_at(acc, F.lit(-1))["line"], F.lit(-1)))), F.array_append(acc, c)).otherwise(acc))
-    lines = lines.withColumn("scope", chain).drop("open")
+    holds = F.col("d.kind").isin(*CONTAINERS) & ~((F.col("d.kind") == "Package") & (F.col("language") != "Rust"))
+    lines = lines.withColumns({"holder": F.when(holds, F.col("d.kind")), "name": F.col("d.name"), "modifiers": F.col("d.modifiers")})
+    scope = "scope array<struct<line:int,kind:string,name:string,modifiers:string>>"
+    kept = "path string, language string, line int, raw string, code string, marks array<string>, depth int, d struct<kind:string,modifiers:string,name:string>"
+    lines = lines.groupBy("path").applyInPandas(enclosed, f"{kept}, {scope}, end int")
     in_callable = F.exists("scope", lambda s: s["kind"].isin(*CALLABLE))
     return lines.withColumn("d", F.when(~(inside_body & in_callable), F.col("d")))
 
@@ -141,21 +182,82 @@ def visibility_here() -> Column:
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """(path, language, line, kind, name, qualified_name, parent, visibility, code, modifiers), the owner's qualified name as parent, null for the file."""
-    lines = scoped_lines(files)
-    package = F.first(F.when((F.col("language") == "Go") & (F.col("d.kind") == "Package"), F.col("d.name")), ignorenulls=True).over(Window.partitionBy("path"))
-    lines = lines.withColumn("package", package)
-    separator = F.when(F.col("language") == "Rust", "::").otherwise(".")
-    names = F.transform("scope", lambda s: s["name"])
-    receiver = F.when((F.col("language") == "Go") & (F.col("d.kind") == "Method"), F.array("d.modifiers")).otherwise(F.array().cast("array<string>"))
-    head = F.when((F.col("language") == "Go") & (F.col("d.kind") != "Package") & F.col("package").isNotNull(), F.array("package")).otherwise(F.array().cast("array<string>"))
+    """(path, language, line, end, position, kind, name, qualified_name, parent, visibility, code, modifiers, marks, scope), the owner's qualified name as parent, null for the file.
+
+    ``position`` tells the members of an enumeration on one line apart.
+    """
+    lines = with_names(scoped_lines(files))
     plain = F.col("d.kind").isin("Import", "Package") & (F.col("language") != "Rust") | (F.col("d.kind") == "Import")
-    qualified = F.when(plain, F.col("d.name")).otherwise(joined(separator, F.concat(head, names, receiver, F.array("d.name"))))
-    parent = F.when((F.size("scope") > 0) & ~plain, joined(separator, F.concat(head, names)))
-    return lines.filter(F.col("d").isNotNull()).select(
-        "path", "language", "line", kind_here().alias("kind"), F.col("d.name").alias("name"), qualified.alias("qualified_name"), parent.alias("parent"),
-        visibility_here().alias("visibility"), "code", F.col("d.modifiers").alias("modifiers"), "scope",
+    receiver = F.when((F.col("language") == "Go") & (F.col("d.kind") == "Method"), F.array("d.modifiers")).otherwise(F.array().cast("array<string>"))
+    qualified = F.when(plain, F.col("d.name")).otherwise(joined(separator(), F.concat("head", "names", receiver, F.array("d.name"))))
+    parent = F.when((F.size("scope") > 0) & ~plain, joined(separator(), F.concat("head", "names")))
+    own = ("path", "language", "line", "end")
+    found = lines.filter(F.col("d").isNotNull()).select(
+        *own, F.lit(0).alias("position"), kind_here().alias("kind"), F.col("d.name").alias("name"), qualified.alias("qualified_name"), parent.alias("parent"),
+        visibility_here().alias("visibility"), "code", F.col("d.modifiers").alias("modifiers"), "marks", "scope",
     )
+    # Members of an enumeration: what its declaration has in braces, or the lines inside it that declare nothing else.
+    is_enum = (F.col("d.kind") == "Enum") & (F.col("language") != "Rust")
+    inside = F.col("d").isNull() & (F.try_element_at("scope", F.lit(-1))["kind"] == "Enum") & (F.col("language") != "Rust")
+    text = F.when(is_enum, F.regexp_extract("code", r"\{(.*)$", 1)).when(inside, F.col("code"))
+    listed = F.regexp_extract_all(F.regexp_replace(F.regexp_replace(text, r"\([^()]*\)|\{[^{}]*\}", ""), ";.*$", ""), F.lit(r"(?:^|,)\s*([A-Za-z_]\w*)\s*(?:=[^,}]*)?(?=,|\}|\s*$)"), 1)
+    holder = F.when(is_enum, joined(separator(), F.concat("head", "names", F.array("d.name")))).otherwise(joined(separator(), F.concat("head", "names")))
+    members = lines.filter(is_enum | inside).select(*own, "language", holder.alias("parent"), F.posexplode(listed).alias("at", "name"), "scope").select(
+        *own, (F.col("at") + 1).alias("position"), F.lit("Constant").alias("kind"), "name", F.concat("parent", F.lit("."), "name").alias("qualified_name"), "parent",
+        F.lit("Public").alias("visibility"), F.lit("").alias("code"), F.lit("").alias("modifiers"), F.array().cast("array<string>").alias("marks"), "scope",
+    ).withColumn("end", F.col("line"))
+    return found.unionByName(members)
+
+
+def separator() -> Column:
+    return F.when(F.col("language") == "Rust", "::").otherwise(".")
+
+
+def with_names(lines: DataFrame) -> DataFrame:
+    """Add head (the package that leads qualified names) and names (of the enclosing declarations)."""
+    go = F.col("language") == "Go"
+    package = F.first(F.when(go & (F.col("d.kind") == "Package"), F.col("d.name")), ignorenulls=True).over(Window.partitionBy("path"))
+    lines = lines.withColumn("package", package)
+    none = F.array().cast("array<string>")
+    return lines.withColumns({
+        "head": F.when(go & F.col("package").isNotNull() & ~F.coalesce(F.col("d.kind") == "Package", F.lit(False)), F.array("package")).otherwise(none),
+        "names": F.flatten(F.transform("scope", lambda s: F.when(go & (s["kind"] == "Method"), F.array(s["modifiers"], s["name"])).otherwise(F.array(s["name"])))),
+    })
+
+
+#: A comma that isn't within brackets: what follows it has them in pairs.
+COMMA = r",(?=(?:[^<>()\[\]]|<(?:[^<>]|<[^<>]*>)*>|\([^()]*\)|\[[^\[\]]*\])*$)"
+#: By language: how a parameter is written, with its name and type.
+PARAMETER = {
+    "Java": (r"^(?:@\S+\s+|final\s+)*(?:.*[\s>\].])(\w+)(?:\[\])*$", r"^(?:@\S+\s+|final\s+)*(.*?)\s*\w+(?:\[\])*$"),
+    "Python": (r"^([A-Za-z_]\w*)", r"^\w+\s*:\s*([^=]+?)\s*(?:=.*)?$"),
+    "TypeScript": (r"^(?:(?:public|private|protected|readonly)\s+)*([A-Za-z_]\w*)", r"^[^:]*:\s*([^=]+?)\s*(?:=.*)?$"),
+    "Rust": (r"^(?:mut\s+)?([A-Za-z_]\w*)\s*:", r"^[^:]*:\s*(.+)$"),
+    "Go": (r"^([A-Za-z_]\w*)(?:\s|$)", r"^\w+\s+(.+)$"),
+}
+#: By language: the type of a field's declaration.
+FIELD_TYPE = {
+    "Java": r"^\s*+(?:(?:public|protected|private|static|final|transient|volatile)\s+)*+([\w.]+(?:<[^=;]*>)?(?:\[\])*)\s+\w+\s*[=;]",
+    "Python": r"^\s*\w+\s*:\s*([^=]+?)\s*(?:=.*)?$", "TypeScript": r"^[^:=]*:\s*([^=;]+?)\s*[=;]", "Rust": r"^[^:]*:\s*([^:=]+?),?\s*$", "Go": r"^\s+\w+\s+([\w.*\[\]]+)\s*$",
+}
+
+
+def by_language(patterns: dict[str, str], text: Column, group: int = 1) -> Column:
+    out = F.lit("")
+    for language, pattern in patterns.items():
+        out = F.when(F.col("language") == language, F.regexp_extract(text, pattern, group)).otherwise(out)
+    return out
+
+
+def parameters(decls: DataFrame) -> DataFrame:
+    """(path, language, line, end, position, name, qualified_name, parent, type) of the parameters of methods and functions; receivers, self and star arguments aren't any."""
+    after = F.when(F.col("language") == "Go", F.regexp_replace("code", r"^func\s+\([^)]*\)", "func")).otherwise(F.col("code"))
+    inner = F.regexp_extract(after, r"\(((?:[^()]|\([^()]*\))*)\)", 1)
+    pieces = F.transform(F.split(inner, COMMA), lambda p: F.trim(p))
+    found = decls.filter(F.col("kind").isin(*CALLABLE)).select("path", "language", "line", F.col("qualified_name").alias("parent"), F.posexplode(pieces).alias("at", "piece"))
+    named = found.withColumns({"name": by_language({k: v[0] for k, v in PARAMETER.items()}, F.col("piece")), "type": by_language({k: v[1] for k, v in PARAMETER.items()}, F.col("piece"))})
+    kept = named.filter((F.col("name") != "") & ~F.col("name").isin("self", "cls", "this"))
+    return kept.select("path", "language", "line", F.col("line").alias("end"), (F.col("at") + 1000).alias("position"), "name", F.concat("parent", separator(), "name").alias("qualified_name"), "parent", F.nullif("type", F.lit("")).alias("type"))
 
 
 def joined(separator: Column, parts: Column) -> Column:
@@ -163,26 +265,45 @@ def joined(separator: Column, parts: Column) -> Column:
 
 
 def as_targets(names: Column, kind: str) -> Column:
-    return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("target")))
+    return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("target"), F.lit(None).cast("int").alias("arity")))
 
 
 def references(files: DataFrame) -> DataFrame:
-    """(path, line, owner, kind, target, arity): calls and instantiations inside callables, by the text of their target."""
-    package = F.first(F.when((F.col("language") == "Go") & (F.col("d.kind") == "Package"), F.col("d.name")), ignorenulls=True).over(Window.partitionBy("path"))
-    lines = scoped_lines(files).withColumn("package", package).filter(F.exists("scope", lambda s: s["kind"].isin(*CALLABLE)))
-    separator = F.when(F.col("language") == "Rust", "::").otherwise(".")
-    go = F.col("language") == "Go"
-    names_of = F.flatten(F.transform("scope", lambda s: F.when(go & (s["kind"] == "Method"), F.array(s["modifiers"], s["name"])).otherwise(F.array(s["name"]))))
-    head = F.when(go & F.col("package").isNotNull(), F.array("package")).otherwise(F.array().cast("array<string>"))
-    lines = lines.withColumns({"owner": joined(separator, F.concat(head, names_of)), "body": F.when(F.col("d").isNotNull() & F.col("d.kind").isin(*CALLABLE), "").otherwise(F.col("code"))})
+    """(path, line, owner, names, kind, target, arity): what callables call, make, await, read and write, by the text of the target; ``names`` are those of the owner and what encloses it."""
+    lines = with_names(scoped_lines(files)).filter(F.exists("scope", lambda s: s["kind"].isin(*CALLABLE)))
+    lines = lines.withColumns({"owner": joined(separator(), F.concat("head", "names")), "body": F.when(F.col("d").isNotNull() & F.col("d.kind").isin(*CALLABLE), "").otherwise(F.col("code"))})
     simple = F.col("language").isin("Java", "Rust")
-    names = F.transform(F.regexp_extract_all("body", F.lit(r"(?<![\w.])(?<!new )((?:[A-Za-z_]\w*(?:\.|::))*[A-Za-z_]\w*!?)\s*\("), 1), lambda n: F.when(simple, F.regexp_replace(n, r"^.*(?:\.|::)", "")).otherwise(n))
-    calls = F.filter(names, lambda n: ~n.isin(*NOT_CALLS))
+    short = lambda n: F.when(simple, F.regexp_replace(n, r"^.*(?:\.|::)", "")).otherwise(n)
+    call = r"(?<![\w.])(?<!new )((?:[A-Za-z_]\w*(?:\.|::))*[A-Za-z_]\w*!?)\s*\("
+    whole = F.regexp_extract_all("body", F.lit(call + r"(?:[^()]*\))?"), F.lit(0))
+    inner = lambda w: F.trim(F.regexp_extract(w, r"\(([^()]*)\)$", 1))
+    arity = lambda w: F.when(w.endswith(")"), F.when(inner(w) == "", 0).otherwise(F.regexp_count(inner(w), F.lit(",")) + 1))
+    calls = F.transform(whole, lambda w: F.struct(F.lit("Calls").alias("kind"), short(F.regexp_extract(w, r"^([\w.:]+!?)", 1)).alias("target"), arity(w).alias("arity")))
+    calls = F.filter(calls, lambda c: ~c["target"].isin(*NOT_CALLS))
     news = F.regexp_extract_all("body", F.lit(r"\bnew\s+([A-Za-z_][\w.]*)"), 1)
-    literals = F.when(F.col("language") == "Go", F.regexp_extract_all("body", F.lit(r"(?<![\w.])&?([A-Z]\w*)\{"), 1)).when(F.col("language") == "Rust", F.regexp_extract_all("body", F.lit(r"(?<![\w:])([A-Z]\w*)\s*\{"), 1)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    literals = F.when(F.col("language") == "Go", F.regexp_extract_all("body", F.lit(r"(?<![\w.])&?([A-Z]\w*)\{"), 1)).when(F.col("language") == "Rust", F.regexp_extract_all("body", F.lit(r"(?<![\w:])([A-Z]\w*)\s*\{"), 1)).otherwise(none)
     awaits = F.regexp_extract_all("body", F.lit(r"\bawait\s+([A-Za-z_][\w.]*)\s*\("), 1)
-    found = F.concat(*(as_targets(names, kind) for kind, names in (("Calls", calls), ("Instantiates", news), ("Instantiates", literals), ("Awaits", awaits))))
-    return lines.select("path", "line", "owner", F.explode(found).alias("r")).select("path", "line", "owner", "r.kind", "r.target")
+    own = r"\b(?:this|self)\."
+    writes = F.regexp_extract_all("body", F.lit(own + r"(\w+)\s*(?:=(?!=)|[-+*/%|&^]=|\+\+|--)"), 1)
+    reads = F.regexp_extract_all("body", F.lit(own + r"(\w+)\b(?!\s*(?:\(|=(?!=)))"), 1)
+    receivers = F.when(F.col("language").isin("Java", "Rust"), F.regexp_extract_all("body", F.lit(r"(?<![\w.])(?:this\.|self\.)?(?!this\b|super\b|self\b)([a-z_]\w*)\.\w+\s*\("), 1)).otherwise(none)
+    found = F.concat(calls, *(as_targets(names, kind) for kind, names in (("Instantiates", news), ("Instantiates", literals), ("Awaits", awaits), ("Writes", writes), ("Reads", F.array_union(reads, receivers)))))
+    return lines.select("path", "line", "owner", "head", "names", separator().alias("separator"), F.explode(found).alias("r")).select("path", "line", "owner", "head", "names", "separator", "r.kind", "r.target", "r.arity")
+
+
+def within_file(refs: DataFrame, named: DataFrame) -> DataFrame:
+    """Put the qualified name in place of a target that an enclosing declaration of the same file, the innermost first, has a member of.
+
+    ``named`` has path and qualified_name of what the files declare.
+    """
+    bare = F.regexp_replace("target", r"^(?:this|self)\.", "")
+    depth = F.sequence(F.size("names"), F.lit(0), F.lit(-1))
+    options = F.transform(depth, lambda k: joined(F.col("separator"), F.concat("head", F.slice("names", F.lit(1), k), F.array(bare))))
+    asked = refs.withColumn("row", F.monotonically_increasing_id())
+    tried = asked.select("row", "path", F.posexplode(options).alias("k", "qualified_name"))
+    first = tried.join(named.select("path", "qualified_name").distinct(), ["path", "qualified_name"]).groupBy("row").agg(F.min_by("qualified_name", "k").alias("found"))
+    return asked.join(first, "row", "left").withColumn("target", F.coalesce("found", "target")).drop("row", "found")
 
 
 def heritage(decls: DataFrame) -> DataFrame:
@@ -195,44 +316,69 @@ def heritage(decls: DataFrame) -> DataFrame:
     imports = F.when(F.col("kind") == "Import", F.array("name"))
     returns = F.when(F.col("kind").isin("Method", "Function"), F.array(F.coalesce(F.nullif(F.regexp_extract(code, r"\)\s*->\s*([\w:.<>\[\], ]+?)\s*[:{]", 1), F.lit("")), F.when(language == "TypeScript", F.regexp_extract(code, r"\)\s*:\s*([\w<>\[\]. ]+?)\s*[{;]", 1)).otherwise(""))))
     empty = F.array().cast("array<string>")
-    found = F.concat(*(as_targets(F.filter(F.coalesce(names, empty), lambda n: ~n.isin("", "None", "void", "()")), kind) for kind, names in (("Extends", extends), ("Implements", implements), ("Throws", throws), ("Imports", imports), ("Returns", returns))))
-    return decls.select("path", "line", F.col("qualified_name").alias("owner"), F.explode(found).alias("r")).select("path", "line", "owner", "r.kind", "r.target")
+    java_returns = F.when((language == "Java") & (F.col("kind") == "Method"), F.array(F.regexp_extract(code, rf"^\s*+{MODIFIERS}(?:<[^>]+>\s+)?(\w[\w<>\[\],.? ]*?)\s+\w+\s*\(", 2)))
+    decorates = F.when(language.isin("Python", "TypeScript"), F.transform("marks", lambda m: F.regexp_replace(m, r"^@|\(.*$", "")))
+    typed = F.when(F.col("kind").isin("Field", "StaticField", "Constant"), F.array(by_language(FIELD_TYPE, code)))
+    pairs = (("Extends", extends), ("Implements", implements), ("Throws", throws), ("Imports", imports), ("Returns", returns), ("Returns", java_returns), ("Decorates", decorates), ("HasType", typed))
+    found = F.concat(*(as_targets(F.filter(F.coalesce(names, empty), lambda n: ~n.isin("", "None", "void", "()")), kind) for kind, names in pairs))
+    return decls.select("path", "line", F.col("qualified_name").alias("owner"), F.explode(found).alias("r")).select("path", "line", "owner", "r.kind", "r.target", "r.arity")
 
 
-def extract(files: DataFrame, first_id: int = 0) -> SourceGraph:
+def extract(files: DataFrame, first_id: int = 0, compat: bool = False) -> SourceGraph:
     """The graph of source files (path, content, ext, hash): a File node for each, its declarations, and edges by name.
 
     Ids go by file and line, so the same files get the same ids. Of an inherent or trait
-    implementation the type itself is the owner, and gets no second node.
+    implementation the type itself is the owner, and gets no second node. Parameters lie
+    behind HasParameter, all else behind Contains.
     """
-    decls = declarations(files)
-    nodes = decls.filter("kind <> 'Impl'").select(F.col("path").alias("file"), (F.col("line") + 1).cast("long").alias("ordinal"), "kind", "name", "qualified_name", "line", "language", "visibility", "parent", F.lit(None).cast("string").alias("hash"), F.contains("code", F.lit("abstract ")).alias("is_abstract"), F.col("code").rlike(r"^\s*(?:[a-z]+\s+)*async\b").alias("is_async"))
-    tops = files.select(F.col("path").alias("file"), F.lit(0).cast("long").alias("ordinal"), F.lit("File").alias("kind"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("path").alias("qualified_name"), F.lit(0).alias("line"), F.create_map(*(x for k, v in LANGUAGE.items() for x in (F.lit(k), F.lit(v))))[F.col("ext")].alias("language"), F.lit("Public").alias("visibility"), F.lit(None).cast("string").alias("parent"), "hash", F.lit(False).alias("is_abstract"), F.lit(False).alias("is_async"))
-    numbered = assign_ids(tops.unionByName(nodes), first_id)
+    from codeloom.sources.scratch import materialise
+
+    decls = materialise(declarations(files), "declarations")
+    code, language = F.col("code"), F.col("language")
+    holder = F.try_element_at("scope", F.lit(-1))
+    generic = F.when(F.col("kind").isin("Class", "Interface", "Enum", "Function", "Method", "TypeAlias"), F.regexp_extract(code, r"(?:class|interface|struct|trait|enum|type|fn|function)\s+\w+\s*<([^<>]*(?:<[^<>]*>[^<>]*)*)>", 1)).otherwise("")
+    parts = F.filter(F.transform(F.split(generic, COMMA), lambda x: F.trim(x)), lambda x: x != "")
+    in_interface = F.coalesce(holder["kind"] == "Interface", F.lit(False))
+    nodes = decls.filter("kind <> 'Impl'").select(
+        F.col("path").alias("file"), (F.col("line") + 1).cast("long").alias("ordinal"), "position", "kind", "name", "qualified_name", "line", "end", "language", "visibility", "parent", F.lit(None).cast("string").alias("hash"),
+        (F.contains(code, F.lit("abstract ")) | (F.col("kind").isin("Method") & in_interface & ~F.contains(code, F.lit("{")))).alias("is_abstract"), code.rlike(r"^\s*(?:[a-z]+\s+)*async\b").alias("is_async"),
+        F.coalesce((F.col("kind") == "Method") & F.when(language == "Java", F.col("name") == holder["name"]).otherwise(F.col("name").isin("__init__", "constructor")), F.lit(False)).alias("is_constructor"),
+        F.col("marks").alias("attributes"), F.transform(parts, lambda p: F.regexp_extract(p, r"^(?:const\s+)?('?\w+)", 1)).alias("generic_params"), F.filter(parts, lambda p: p.rlike(r"[:]|\bextends\b")).alias("generic_bounds"),
+        F.nullif(by_language(FIELD_TYPE, code), F.lit("")).alias("type_annotation"), F.when(code.rlike(r"^\s*(?:\w+\s+)*static\b"), F.create_map(F.lit("static"), F.lit("true"))).otherwise(F.create_map().cast("map<string,string>")).alias("metadata"),
+    )
+    tops = files.select(F.col("path").alias("file"), F.lit(0).cast("long").alias("ordinal"), F.lit(0).alias("position"), F.lit("File").alias("kind"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("path").alias("qualified_name"), F.lit(0).alias("line"), (F.size(F.split("content", "\n")) - 1).alias("end"), F.create_map(*(x for k, v in LANGUAGE.items() for x in (F.lit(k), F.lit(v))))[F.col("ext")].alias("language"), F.lit("Public").alias("visibility"), "hash")
+    taken = parameters(decls)
+    inputs = taken.select(F.col("path").alias("file"), (F.col("line") + 1).cast("long").alias("ordinal"), "position", F.lit("Parameter").alias("kind"), "name", "qualified_name", "line", "end", "language", F.lit("Unspecified").alias("visibility"), "parent", F.col("type").alias("type_annotation"))
+    every = nodes.unionByName(tops, allowMissingColumns=True).unionByName(inputs, allowMissingColumns=True)
+    numbered = materialise(assign_ids(every.withColumn("ordinal", F.struct("ordinal", "position")), first_id), "entities")
     full = numbered.select(*(numbered_column(numbered, f) for f in NODES.fields))
 
-    own = numbered.select("file", "id", "qualified_name", "ordinal")
-    owners = own.groupBy(F.col("file").alias("path"), F.col("qualified_name").alias("owner")).agg(F.min("id").alias("src"))
-    file_ids = own.filter("ordinal = 0").select(F.col("file").alias("path"), F.col("id").alias("file_id"))
-    held = numbered.filter("ordinal > 0").select(F.col("file").alias("path"), "line", F.col("parent").alias("owner"), F.col("id").alias("dst"))
-    contains = held.join(owners, ["path", "owner"], "left").join(file_ids, "path").select("path", "line", F.coalesce("src", "file_id").alias("src"), F.lit("Contains").alias("kind"), F.col("dst").alias("to_id"), F.lit(None).cast("string").alias("to_name"))
-    named = heritage(decls).unionByName(references(files)).join(owners, ["path", "owner"], "left").join(file_ids, "path").select("path", "line", F.coalesce("src", "file_id").alias("src"), "kind", F.lit(None).cast("long").alias("to_id"), F.col("target").alias("to_name"))
-    edges = contains.unionByName(named).withColumns({"file": F.col("path"), "ordinal": F.struct("line", "kind", "src", F.coalesce("to_name", F.lit("")), F.coalesce("to_id", F.lit(-1).cast("long")))})
+    own = numbered.select("file", "id", "qualified_name", "kind")
+    owners = own.filter("kind <> 'Parameter'").groupBy(F.col("file").alias("path"), F.col("qualified_name").alias("owner")).agg(F.min("id").alias("src"))
+    file_ids = own.filter("kind = 'File'").select(F.col("file").alias("path"), F.col("id").alias("file_id"))
+    held = numbered.filter("kind <> 'File'").select(F.col("file").alias("path"), "line", F.col("parent").alias("owner"), F.col("id").alias("dst"), F.when(F.col("kind") == "Parameter", "HasParameter").otherwise("Contains").alias("kind"))
+    contains = held.join(owners, ["path", "owner"], "left").join(file_ids, "path").select("path", "line", F.coalesce("src", "file_id").alias("src"), "kind", F.col("dst").alias("to_id"), F.lit(None).cast("string").alias("to_name"), F.lit(None).cast("int").alias("call_arity"))
+    types = numbered.filter("kind = 'Parameter' and type_annotation is not null").select(F.col("file").alias("path"), "line", F.col("id").alias("src"), F.lit("HasType").alias("kind"), F.lit(None).cast("long").alias("to_id"), F.col("type_annotation").alias("to_name"), F.lit(None).cast("int").alias("call_arity"))
+    refs = references(files)
+    refs = refs if compat else within_file(refs, own.filter("kind <> 'Parameter'").select(F.col("file").alias("path"), "qualified_name"))
+    named = heritage(decls).unionByName(refs.select("path", "line", "owner", "kind", "target", "arity")).join(owners, ["path", "owner"], "left").join(file_ids, "path").select("path", "line", F.coalesce("src", "file_id").alias("src"), "kind", F.lit(None).cast("long").alias("to_id"), F.col("target").alias("to_name"), F.col("arity").alias("call_arity"))
+    edges = contains.unionByName(types).unionByName(named).withColumns({"file": F.col("path"), "ordinal": F.struct("line", "kind", "src", F.coalesce("to_name", F.lit("")), F.coalesce("to_id", F.lit(-1).cast("long")))})
     edges = assign_ids(edges, first_id).withColumn("to_state", F.when(F.col("to_id").isNotNull(), "Resolved").otherwise("Unresolved"))
     return SourceGraph(full, edges.select(*(numbered_column(edges, f) for f in EDGES.fields)))
 
 
 def numbered_column(df: DataFrame, field: T.StructField) -> Column:
-    """The column of a schema, or its default."""
-    if field.name in df.columns:
-        return F.col(field.name).cast(field.dataType).alias(field.name)
+    """The column of a schema, or its default where it is missing or null but mustn't be."""
     if field.name == "span":
-        at = F.col("line").cast("int")
-        return F.struct(at.alias("start_line"), F.lit(0).alias("start_col"), at.alias("end_line"), F.lit(0).alias("end_col")).cast(SPAN).alias("span")
+        start, end = F.col("line").cast("int"), F.col("end" if "end" in df.columns else "line").cast("int")
+        return F.struct(start.alias("start_line"), F.lit(0).alias("start_col"), end.alias("end_line"), F.lit(0).alias("end_col")).cast(SPAN).alias("span")
     if isinstance(field.dataType, T.BooleanType):
-        return F.lit(False).alias(field.name)
-    if isinstance(field.dataType, T.ArrayType):
-        return F.array().cast(field.dataType).alias(field.name)
-    if isinstance(field.dataType, T.MapType):
-        return F.create_map().cast(field.dataType).alias(field.name)
-    return F.lit(None).cast(field.dataType).alias(field.name)
+        default = F.lit(False)
+    elif isinstance(field.dataType, T.ArrayType):
+        default = F.array().cast(field.dataType)
+    elif isinstance(field.dataType, T.MapType):
+        default = F.create_map().cast(field.dataType)
+    else:
+        default = F.lit(None).cast(field.dataType)
+    kind = field.dataType.simpleString()  # a cast can't promise that an array has no nulls
+    return (F.coalesce(F.col(field.name).cast(kind), default) if field.name in df.columns else default).alias(field.name)

@@ -1,7 +1,9 @@
 """Declarations and references of small sources in five languages."""
 
 from codeloom.jobs.extract import extract
-from codeloom.jobs.ingest import resolve, walk
+from codeloom.jobs.ingest import description_tasks, resolve, walk
+from codeloom.operators import metrics as mt
+from codeloom.operators import neighbours as nb
 
 JAVA = """package shop;
 import java.util.List;
@@ -129,14 +131,14 @@ def test_sources(spark):
     nodes = {(r["file"], r["qualified_name"]): r for r in g.nodes.collect()}
     kinds = {k: r["kind"] for k, r in nodes.items()}
     want = {
-        "Cart.java": {"shop": "Package", "java.util.List": "Import", "java.lang.Math.*": "Import", "Cart": "Class", "Cart.MAX": "Constant", "Cart.count": "StaticField", "Cart.items": "Field", "Cart.Cart": "Method", "Cart.size": "Method", "Cart.empty": "Method", "Cart.Inner": "Class", "Cart.Inner.deep": "Method", "Cart.helper": "Method", "Sized": "Interface", "Sized.size": "Method", "Kind": "Enum"},
+        "Cart.java": {"shop": "Package", "java.util.List": "Import", "java.lang.Math.*": "Import", "Cart": "Class", "Cart.MAX": "Constant", "Cart.count": "StaticField", "Cart.items": "Field", "Cart.Cart": "Method", "Cart.size": "Method", "Kind.A": "Constant", "Kind.B": "Constant", "Cart.empty": "Method", "Cart.Inner": "Class", "Cart.Inner.deep": "Method", "Cart.helper": "Method", "Sized": "Interface", "Sized.size": "Method", "Kind": "Enum"},
         "shop.py": {"os": "Import", "a.b": "Import", "LIMIT": "Constant", "name": "GlobalVariable", "Shop": "Class", "Shop.total": "Field", "Shop.__init__": "Method", "Shop.run": "Method", "_hidden": "Function"},
         "shop.go": {"shop": "Package", "fmt": "Import", "shop.Store": "Class", "shop.Store.name": "Field", "shop.Reader": "Interface", "shop.NewStore": "Function", "shop.Store.Save": "Method"},
         "item.rs": {"std::collections::HashMap": "Import", "MAX": "Constant", "COUNT": "StaticField", "Named": "Interface", "Named::name": "Method", "Item": "Class", "Item::id": "Field", "Item::count": "Field", "Item::name": "Method", "inner": "Package", "inner::deep": "Function", "helper": "Function"},
         "shop.ts": {"./a": "Import", "Named": "Interface", "Named.name": "Field", "Shop": "Class", "Shop.items": "Field", "Shop.count": "StaticField", "Shop.load": "Method", "make": "Function", "LIMIT": "Constant"},
     }
     for file, names in want.items():
-        found = {q: k for (f, q), k in kinds.items() if f == file and k != "File"}
+        found = {q: k for (f, q), k in kinds.items() if f == file and k not in ("File", "Parameter")}
         assert found == names, file
     visible = {k: r["visibility"] for k, r in nodes.items()}
     assert visible["Cart.java", "Cart.items"] == "Protected" and visible["shop.py", "_hidden"] == "Private" and visible["shop.py", "Shop.__init__"] == "Private"
@@ -149,9 +151,9 @@ def test_sources(spark):
     edges = {(*name[e["src"]], e["kind"], name[e["to_id"]][1] if e["to_id"] is not None else e["to_name"]) for e in g.edges.collect()}
     for e in [
         ("Cart.java", "Cart", "Extends", "Base"), ("Cart.java", "Cart", "Implements", "Sized"), ("Cart.java", "Cart", "Implements", "Closeable"), ("Cart.java", "Cart.size", "Throws", "IOException"),
-        ("Cart.java", "Cart.size", "Calls", "helper"), ("Cart.java", "Cart.helper", "Instantiates", "Inner"), ("Cart.java", "Cart", "Contains", "Cart.Inner"), ("Cart.java", "Cart.Inner", "Contains", "Cart.Inner.deep"), ("Cart.java", "Cart.java", "Contains", "Cart"),
-        ("shop.py", "Shop", "Extends", "Base"), ("shop.py", "Shop.run", "Awaits", "fetch"), ("shop.py", "Shop.run", "Calls", "os.path.join"), ("shop.py", "Shop.run", "Returns", "Result"), ("shop.py", "Shop.__init__", "Calls", "self.run"),
-        ("shop.go", "shop.NewStore", "Instantiates", "Store"), ("shop.go", "shop.Store.Save", "Calls", "fmt.Println"), ("shop.go", "shop.go", "Contains", "shop.Store.Save"),
+        ("Cart.java", "Cart.size", "Calls", "Cart.helper"), ("Cart.java", "Cart.helper", "Instantiates", "Cart.Inner"), ("Cart.java", "Cart", "Contains", "Cart.Inner"), ("Cart.java", "Cart.Inner", "Contains", "Cart.Inner.deep"), ("Cart.java", "Cart.java", "Contains", "Cart"),
+        ("shop.py", "Shop", "Extends", "Base"), ("shop.py", "Shop.run", "Awaits", "fetch"), ("shop.py", "Shop.run", "Calls", "os.path.join"), ("shop.py", "Shop.run", "Returns", "Result"), ("shop.py", "Shop.__init__", "Calls", "Shop.run"),
+        ("shop.go", "shop.NewStore", "Instantiates", "shop.Store"), ("shop.go", "shop.Store.Save", "Calls", "fmt.Println"), ("shop.go", "shop.go", "Contains", "shop.Store.Save"),
         ("item.rs", "Named", "Extends", "Debug"), ("item.rs", "Item", "Implements", "Named"), ("item.rs", "Item::name", "Calls", "helper"), ("item.rs", "Item::name", "Calls", "format!"), ("item.rs", "helper", "Instantiates", "Item"), ("item.rs", "Item", "Contains", "Item::name"), ("item.rs", "inner", "Contains", "inner::deep"),
         ("shop.ts", "Shop", "Implements", "Named"), ("shop.ts", "Shop.load", "Awaits", "this.fetch"), ("shop.ts", "Shop.load", "Instantiates", "Item"), ("shop.ts", "make", "Calls", "build"), ("shop.ts", "make", "Returns", "Shop"),
     ]:
@@ -167,3 +169,91 @@ def test_same_files_get_the_same_ids_and_resolve(spark):
     done = resolve(one).edges
     assert done.filter("to_state = 'Unresolved'").count() == 0
     assert done.filter("kind = 'Implements' and to_state = 'Resolved'").count() >= 2
+
+
+STOCK = """package shop;
+@Entity
+@Table(name = "stock")
+public class Stock<T extends Item, K> {
+    private int count;
+    private final Map<String, List<T>> shelves = new HashMap<>();
+    public Stock(int count) {
+        this.count = count;
+    }
+    @Override public void add(final T item, Map<String, List<K>> more,
+            int... sizes) throws FullException {
+        this.count += sizes.length;
+        shelves.put(item.name(), one(1, 2));
+        log();
+    }
+    int size() {
+        return this.count;
+    }
+    enum Level {
+        LOW(1), HIGH(2);
+        int rank;
+    }
+}
+"""
+DEEP = "\n".join(f"{'  ' * i}class A{i} {{" for i in range(12)) + "\n" + "\n".join("  " * i + "}" for i in reversed(range(12)))
+LIB = '''"""Text with ( an open
+parenthesis and class Fake:
+"""
+
+@app.route("/x")
+def view(a, b: int = 3,
+         *rest, c: "str" = "(",
+         **more) -> str:
+    return a.b(c)
+
+
+class Box(Base):
+    @property
+    def size(self):
+        self.n += 1
+        return self.n + self.limit
+'''
+
+
+def small(spark, **sources):
+    files = spark.createDataFrame([(n.replace("_", "."), t) for n, t in sources.items()], "path string, content string")
+    return files, extract(walk(files))
+
+
+def test_members_parameters_and_spans(spark):
+    files, g = small(spark, Stock_java=STOCK, Deep_java=DEEP, lib_py=LIB)
+    rows = g.nodes.collect()
+    node = {(r["file"], r["qualified_name"]): r for r in rows}
+    lines = lambda f, q: (node[f, q]["span"]["start_line"], node[f, q]["span"]["end_line"])
+    assert lines("Stock.java", "Stock") == (3, 22) and lines("Stock.java", "Stock.add") == (9, 14) and lines("Stock.java", "Stock.Level") == (18, 21) and lines("Stock.java", "Stock.count") == (4, 4)
+    assert lines("Deep.java", "A0") == (0, 23) and lines("Deep.java", ".".join(f"A{i}" for i in range(12))) == (11, 12)
+    assert lines("lib.py", "view") == (5, 8) and lines("lib.py", "Box") == (11, 15) and lines("lib.py", "Box.size") == (13, 15)
+    assert not any("Fake" in q for _, q in node)
+    one = node["Stock.java", "Stock"]
+    assert one["attributes"] == ["@Entity", '@Table(name = "")'] and one["generic_params"] == ["T", "K"] and one["generic_bounds"] == ["T extends Item"]
+    assert node["Stock.java", "Stock.Stock"]["is_constructor"] and not node["Stock.java", "Stock.add"]["is_constructor"] and node["Stock.java", "Stock.add"]["attributes"] == ["@Override"]
+    types = {q: r["type_annotation"] for (f, q), r in node.items() if r["kind"] == "Parameter"}
+    assert types == {"Stock.Stock.count": "int", "Stock.add.item": "T", "Stock.add.more": "Map<String, List<K>>", "Stock.add.sizes": "int...", "view.a": None, "view.b": "int", "view.c": '""'}
+    assert node["Stock.java", "Stock.shelves"]["type_annotation"] == "Map<String, List<T>>"
+    assert [r["name"] for r in sorted(rows, key=lambda r: r["id"]) if r["kind"] == "Constant"] == ["LOW", "HIGH"]
+
+    done = resolve(g)
+    name = {r["id"]: r["qualified_name"] for r in rows}
+    edges = {(name[e["src"]], e["kind"], name.get(e["to_id"], e["to_name"]), e["call_arity"]) for e in done.edges.collect()}
+    for e in [
+        ("Stock.add", "Writes", "Stock.count", None), ("Stock.size", "Reads", "Stock.count", None), ("Stock.add", "Reads", "Stock.shelves", None), ("Stock.add", "Calls", "put", None), ("Stock.add", "Calls", "name", 0),
+        ("Stock.add", "Calls", "log", 0), ("Stock.add", "Throws", "FullException", None), ("Stock.size", "Returns", "int", None), ("Stock.add", "HasParameter", "Stock.add.item", None), ("Stock.add.item", "HasType", "T", None),
+        ("Stock.count", "HasType", "int", None), ("view", "Decorates", "app.route", None), ("Box.size", "Decorates", "property", None), ("Box.size", "Writes", "n", None), ("Box.size", "Reads", "limit", None), ("view", "Calls", "a.b", 1), ("view", "Returns", "str", None),
+    ]:
+        assert e in edges, e
+    every = g.nodes.select("id")
+    assert {(name[r["id"]], name[r["other"]]) for r in nb.readers_of(done, every).collect()} >= {("Stock.count", "Stock.size"), ("Stock.shelves", "Stock.add")}
+    assert {name[r["other"]] for r in nb.parameters_of(done, every).collect()} == set(types)
+    assert {name[r["id"]]: r["lcom"] for r in mt.lcom(done).collect()}["Stock"] == 0.0
+    assert {name[r["other"]] for r in mt.unused_fields(done, every).collect()} == {"Stock.Level.LOW", "Stock.Level.HIGH", "Stock.Level.rank"}
+    raw = {(e["kind"], e["to_name"]) for e in extract(walk(files), compat=True).edges.collect()}
+    assert ("Reads", "shelves") in raw and ("Writes", "count") in raw
+
+    snippets = {r["file"]: r["snippets"] for r in description_tasks(files, done.nodes).collect()}
+    assert snippets["Stock.java"]["Stock.size"] == "    int size() {\n        return this.count;\n    }"
+    assert snippets["lib.py"]["view"].endswith("return a.b(c)") and snippets["Stock.java"]["Stock"].count("\n") == 19
