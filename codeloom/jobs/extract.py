@@ -344,7 +344,7 @@ def extract(files: DataFrame, first_id: int = 0, compat: bool = False) -> Source
         (F.contains(code, F.lit("abstract ")) | (F.col("kind").isin("Method") & in_interface & ~F.contains(code, F.lit("{")))).alias("is_abstract"), code.rlike(r"^\s*(?:[a-z]+\s+)*async\b").alias("is_async"),
         F.coalesce((F.col("kind") == "Method") & F.when(language == "Java", F.col("name") == holder["name"]).otherwise(F.col("name").isin("__init__", "constructor")), F.lit(False)).alias("is_constructor"),
         F.col("marks").alias("attributes"), F.transform(parts, lambda p: F.regexp_extract(p, r"^(?:const\s+)?('?\w+)", 1)).alias("generic_params"), F.filter(parts, lambda p: p.rlike(r"[:]|\bextends\b")).alias("generic_bounds"),
-        F.nullif(by_language(FIELD_TYPE, code), F.lit("")).alias("type_annotation"), F.when(code.rlike(r"^\s*(?:\w+\s+)*static\b"), F.create_map(F.lit("static"), F.lit("true"))).otherwise(F.create_map().cast("map<string,string>")).alias("metadata"),
+        F.when(F.col("kind").isin("Field", "StaticField", "Constant"), F.nullif(by_language(FIELD_TYPE, code), F.lit(""))).alias("type_annotation"), F.when(code.rlike(r"^\s*(?:\w+\s+)*static\b"), F.create_map(F.lit("static"), F.lit("true"))).otherwise(F.create_map().cast("map<string,string>")).alias("metadata"),
     )
     tops = files.select(F.col("path").alias("file"), F.lit(0).cast("long").alias("ordinal"), F.lit(0).alias("position"), F.lit("File").alias("kind"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("path").alias("qualified_name"), F.lit(0).alias("line"), (F.size(F.split("content", "\n")) - 1).alias("end"), F.create_map(*(x for k, v in LANGUAGE.items() for x in (F.lit(k), F.lit(v))))[F.col("ext")].alias("language"), F.lit("Public").alias("visibility"), "hash")
     taken = parameters(decls)

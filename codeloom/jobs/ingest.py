@@ -22,7 +22,8 @@ EXTENSIONS = ("go", "java", "py", "rs", "ts", "tsx")
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of all files below a folder that Spark can list; empty files count as missing."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = F.regexp_replace("path", f"^.*?{root.rstrip('/').split('://')[-1]}/", "")
+    base = root.rstrip("/").split("://")[-1] + "/"
+    relative = F.expr("path").substr(F.locate(base, "path") + len(base), F.length("path"))
     return found.filter("length > 0").select(relative.alias("path"), F.decode("content", "utf-8").alias("content"))
 
 
@@ -47,7 +48,9 @@ def ignored(files: DataFrame) -> DataFrame:
     below = files.select("path", parts.alias("parts")).select("path", "parts", F.explode(F.sequence(F.lit(0), n - 1)).alias("depth"))
     below = below.select("path", "parts", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("base"), "depth", F.explode(F.sequence(F.col("depth") + 1, n)).alias("upto"))
     below = below.select("path", "base", F.array_join(F.slice("parts", F.col("depth") + 1, F.col("upto") - F.col("depth")), "/").alias("rel"), (F.col("upto") < n).alias("is_dir"))
-    met = below.join(ignore_rules(files), "base").filter("rlike(rel, regex) and (is_dir or not dir_only)")
+    # The root's rules meet every path; the join goes by the rules' folders, which are few beside the paths, or AQE splits the root's.
+    rules = ignore_rules(files)
+    met = below.join(rules, "base").filter("rlike(rel, regex) and (is_dir or not dir_only)")
     last = met.groupBy("path", "base", "rel").agg(F.max_by("negated", "n").alias("negated"))
     return last.filter("not negated").select("path").distinct()
 

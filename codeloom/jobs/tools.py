@@ -1,7 +1,8 @@
 """Graph queries by name with JSON arguments and JSON answers, page by page.
 
-An answer is a DataFrame of one row with the column answer. Only a page of rows
-(``limit``, 50 by default) is gathered for it.
+An answer is a DataFrame of one row with the column answer. Only the rows from
+``offset`` on, ``limit`` at most (by default 50 of a page, 10,000 of a plain list), are
+gathered for it, in a fixed order, so a longer list is read in several calls.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from codeloom.operators import neighbours as nb
 from codeloom.operators import reach as rc
 from codeloom.schema import NODE_KINDS
 
-DEFAULT_LIMIT = 50
+#: Rows of an answer: of a page, and of a plain list, which tells of no further rows.
+DEFAULT_LIMIT, ARRAY_LIMIT = 50, 10_000
 
 
 class Tool(NamedTuple):
@@ -78,12 +80,9 @@ def call(g: SourceGraph, name: str, args_json: str | None = None, files: DataFra
     rows = one.run(g, args | {"files": files})
     if one.shape == "page":
         return envelope(rows, whole(args, "offset", 0), whole(args, "limit", DEFAULT_LIMIT))
-    if one.shape == "array":
-        limit = whole(args, "limit", None)
-        items = gathered(rows if limit is None else rows.orderBy(*rows.columns).limit(limit))
-        return items.select(F.to_json("items").alias("answer"))
-    if one.key:
-        return gathered(rows).select(F.to_json(F.struct(F.col("items").alias(one.key))).alias("answer"))
+    if one.shape == "array" or one.key:
+        items = gathered(lk.page(rows, rows.columns, whole(args, "offset", 0), whole(args, "limit", ARRAY_LIMIT)))
+        return items.select(F.to_json(F.struct(F.col("items").alias(one.key)) if one.key else "items").alias("answer"))
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("answer"))
 
 
@@ -171,8 +170,8 @@ def graph_summary(g: SourceGraph, a: dict[str, Any]) -> DataFrame:
 @tool("get_coupling", "object", NAME)
 def get_coupling(g: SourceGraph, a: dict[str, Any]) -> DataFrame:
     """Of the node's own edges alone, not of the whole graph."""
-    own = one_id(g, a[NAME])
-    near = g.edges.join(own.select(F.col("id").alias("_i")), (F.col("src") == F.col("_i")) | (F.col("to_id") == F.col("_i")), "left_semi")
+    own, id = one_id(g, a[NAME]), node_id(g, a[NAME])
+    near = g.edges.filter((F.col("src") == id) | (F.col("to_id") == id))
     return mt.coupling(SourceGraph(g.nodes.join(own, "id", "left_semi"), near))
 
 

@@ -66,14 +66,19 @@ def lcom(g: SourceGraph) -> DataFrame:
     """(id, lcom) of every node with methods: (pairs - 2 * sharing pairs) / pairs, at least 0; 0 below two methods.
 
     Pairs that share a read or written target are found by joining on the class and the
-    target, so only sharing pairs are made, not all pairs of a class.
+    target, so only sharing pairs are made, not all pairs of a class; methods with the same
+    targets are counted together.
     """
     kinds = g.nodes.select(F.col("id").alias("dst"), F.col("kind").alias("k"))
     methods = g.adj("Contains").join(kinds.filter("k = 'Method'"), "dst", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("m")).distinct()
     sizes = methods.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     touched = methods.join(g.adj("Reads", "Writes").select(F.col("src").alias("m"), F.col("dst").alias("t")).distinct(), "m")
-    other = touched.select("id", "t", F.col("m").alias("m2"))
-    sharing = touched.join(other, ["id", "t"]).filter("m < m2").select("id", "m", "m2").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("share"))
+    # Methods that touch the same targets are one group; groups that share a target are paired, and a group with itself.
+    alike = touched.groupBy("id", "m").agg(F.array_sort(F.collect_set("t")).alias("ts")).groupBy("id", "ts").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("g"))
+    within = alike.filter("k > 1").select("id", (F.col("k") * (F.col("k") - 1) / 2).cast("long").alias("pairs"))
+    ends = alike.select("id", "g", "k", F.explode("ts").alias("t"))
+    across = ends.join(ends.select("id", "t", F.col("g").alias("g2"), F.col("k").alias("k2")), ["id", "t"]).filter("g < g2").select("id", "g", "g2", "k", "k2").distinct().select("id", (F.col("k") * F.col("k2")).alias("pairs"))
+    sharing = within.unionByName(across).groupBy("id").agg(F.sum("pairs").alias("share"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     value = F.greatest(F.lit(0.0), (pairs - 2 * F.coalesce("share", F.lit(0))) / pairs)
     return sizes.join(sharing, "id", "left").select("id", F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.when(pairs > 0, value)).alias("lcom"))
@@ -82,14 +87,12 @@ def lcom(g: SourceGraph) -> DataFrame:
 def package_dependency_graph(g: SourceGraph) -> DataFrame:
     """(from_package, to_package, n): edges between different packages, by qualified name."""
     of = package_of(g)
-    names = g.nodes.filter("kind = 'Package'").select(F.col("id").alias("package_id"), F.col("qualified_name").alias("package"))
-    named = of.join(names, "package_id").select("id", "package")
-    counted = (
-        g.adj(*PACKAGE_KINDS)
-        .join(named.select(F.col("id").alias("src"), F.col("package").alias("from_package")), "src")
-        .join(named.select(F.col("id").alias("dst"), F.col("package").alias("to_package")), "dst")
-    )
-    return counted.filter("from_package <> to_package").groupBy("from_package", "to_package").agg(F.count(F.lit(1)).alias("n"))
+    names = g.nodes.filter("kind = 'Package'").select("id", "qualified_name")
+    ends = g.adj(*PACKAGE_KINDS).join(of.select(F.col("id").alias("src"), F.col("package_id").alias("a")), "src").join(of.select(F.col("id").alias("dst"), F.col("package_id").alias("b")), "dst")
+    counted = ends.filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    named = counted.join(names.select(F.col("id").alias("a"), F.col("qualified_name").alias("from_package")), "a").join(names.select(F.col("id").alias("b"), F.col("qualified_name").alias("to_package")), "b")
+    # Packages of one name are one package.
+    return named.filter("from_package <> to_package").groupBy("from_package", "to_package").agg(F.sum("n").alias("n"))
 
 
 def package_cycles(g: SourceGraph) -> DataFrame:

@@ -11,12 +11,13 @@ from codeloom.functions.text import is_test_file, source_lines
 from codeloom.graph import SourceGraph
 from codeloom.jobs import memory
 from codeloom.jobs.enrich import split_batches
+from codeloom.jobs.index import empty_graph, update
 from codeloom.jobs.ingest import commit_descriptions, hash_diff, resolve
 from codeloom.operators import lookups as lk
 from codeloom.operators import metrics as mt
 from codeloom.operators import neighbours as nb
 from codeloom.operators import reach as rc
-from codeloom.sources.graphs import ONE_KIND, activity, commerce, contracts, corpus, library, references
+from codeloom.sources.graphs import ONE_KIND, activity, commerce, contracts, corpus, library, references, shop_sources
 from codeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -335,6 +336,61 @@ i AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS s, sum(c) OV
 SELECT conv_id, min(p) + 1 AS boundary FROM i WHERE s >= floor(t * 70 / 100) GROUP BY conv_id""")
 
 
+# A tree of sources made of customers and orders, indexed, and brought up to its second version.
+def indexed(spark: SparkSession, sf_dir: str, version: int) -> SourceGraph:
+    first = update(empty_graph(spark), shop_sources(spark, sf_dir, 1))
+    return first.graph if version == 1 else update(first.graph, shop_sources(spark, sf_dir, 2)).graph
+
+
+def named_nodes(g: SourceGraph) -> DataFrame:
+    return g.nodes.select("file", "kind", "qualified_name", "visibility", "is_abstract", F.coalesce("type_annotation", F.lit("")).alias("type"), F.col("span.start_line").alias("first"), F.col("span.end_line").alias("last"))
+
+
+def named_edges(g: SourceGraph) -> DataFrame:
+    """Each edge by the names of its ends; files and packages are left out as sources, for their names say nothing more."""
+    name = g.nodes.select("id", "qualified_name", F.col("kind").alias("of"))
+    src = name.filter("of not in ('File', 'Package')").select(F.col("id").alias("src"), F.col("qualified_name").alias("owner"))
+    dst = name.select(F.col("id").alias("to_id"), F.col("qualified_name").alias("found"))
+    return g.edges.join(src, "src").join(dst, "to_id", "left").select("owner", "kind", "to_state", F.coalesce("found", "to_name").alias("target"), F.col("call_arity").cast("long").alias("arity"))
+
+
+def sql_shop(version: int) -> str:
+    gone, more = ("FURNITURE", "false") if version == 1 else ("BUILDING", "c_mktsegment = 'MACHINERY'")
+    return f"""
+WITH o AS (SELECT o_custkey, min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders GROUP BY o_custkey),
+c AS (SELECT 'C' || c_custkey AS c, 'shop/C' || c_custkey || '.java' AS f, 'N' || c_nationkey AS n, a, b, {more} AS m, CASE WHEN {more} THEN 1 ELSE 0 END AS k, CASE WHEN a < b THEN 1 ELSE 0 END AS two FROM customer LEFT JOIN o ON o_custkey = c_custkey WHERE c_mktsegment <> '{gone}'),
+p AS (SELECT * FROM c WHERE a IS NOT NULL), q AS (SELECT * FROM p WHERE a < b)
+"""
+
+
+SQL_SHOP_NODES = """
+SELECT f AS file, 'File' AS kind, f AS qualified_name, 'Public' AS visibility, false AS is_abstract, '' AS type, 0 AS first, CASE WHEN a IS NULL THEN 5 + k WHEN two = 1 THEN 13 + k ELSE 9 + k END AS last FROM c
+UNION ALL SELECT f, 'Package', 'shop', 'PackagePrivate', false, '', 0, 0 FROM c
+UNION ALL SELECT f, 'Class', c, 'Public', false, '', 2, CASE WHEN a IS NULL THEN 4 + k WHEN two = 1 THEN 12 + k ELSE 8 + k END FROM c
+UNION ALL SELECT f, 'Field', c || '.total', 'Private', false, 'int', 3, 3 FROM c
+UNION ALL SELECT f, 'Field', c || '.more', 'Private', false, 'int', 4, 4 FROM c WHERE m
+UNION ALL SELECT f, 'Method', c || '.o' || a, 'Public', false, '', 4 + k, 7 + k + two FROM p
+UNION ALL SELECT f, 'Parameter', c || '.o' || a || '.price', 'Unspecified', false, 'int', 4 + k, 4 + k FROM p
+UNION ALL SELECT f, 'Parameter', c || '.o' || a || '.notes', 'Unspecified', false, 'List<String>', 4 + k, 4 + k FROM p
+UNION ALL SELECT f, 'Method', c || '.o' || b, 'PackagePrivate', false, '', 9 + k, 11 + k FROM q
+UNION ALL SELECT 'shop/N' || n_nationkey || '.java', 'File', 'shop/N' || n_nationkey || '.java', 'Public', false, '', 0, 4 FROM nation
+UNION ALL SELECT 'shop/N' || n_nationkey || '.java', 'Package', 'shop', 'PackagePrivate', false, '', 0, 0 FROM nation
+UNION ALL SELECT 'shop/N' || n_nationkey || '.java', 'Class', 'N' || n_nationkey, 'Public', true, '', 2, 3 FROM nation"""
+SQL_SHOP_EDGES = """
+SELECT c AS owner, 'Extends' AS kind, 'Resolved' AS to_state, n AS target, NULL::BIGINT AS arity FROM c
+UNION ALL SELECT c, 'Contains', 'Resolved', c || '.total', NULL FROM c UNION ALL SELECT c || '.total', 'HasType', 'External', 'int', NULL FROM c
+UNION ALL SELECT c, 'Contains', 'Resolved', c || '.more', NULL FROM c WHERE m UNION ALL SELECT c || '.more', 'HasType', 'External', 'int', NULL FROM c WHERE m
+UNION ALL SELECT c, 'Contains', 'Resolved', c || '.o' || a, NULL FROM p UNION ALL SELECT c || '.o' || a, 'Writes', 'Resolved', c || '.total', NULL FROM p
+UNION ALL SELECT c || '.o' || a, 'HasParameter', 'Resolved', c || '.o' || a || '.price', NULL FROM p UNION ALL SELECT c || '.o' || a, 'HasParameter', 'Resolved', c || '.o' || a || '.notes', NULL FROM p
+UNION ALL SELECT c || '.o' || a || '.price', 'HasType', 'External', 'int', NULL FROM p UNION ALL SELECT c || '.o' || a || '.notes', 'HasType', 'External', 'List<String>', NULL FROM p
+UNION ALL SELECT c || '.o' || a, 'Calls', 'Resolved', c || '.o' || b, 0 FROM q UNION ALL SELECT c, 'Contains', 'Resolved', c || '.o' || b, NULL FROM q
+UNION ALL SELECT c || '.o' || b, 'Reads', 'Resolved', c || '.total', NULL FROM q UNION ALL SELECT c || '.o' || b, 'Returns', 'External', 'int', NULL FROM q"""
+add("extract_nodes", lambda spark, d: named_nodes(indexed(spark, d, 1)), sql_shop(1) + SQL_SHOP_NODES)
+add("extract_edges", lambda spark, d: named_edges(indexed(spark, d, 1)), sql_shop(1) + SQL_SHOP_EDGES)
+add("index_update_nodes", lambda spark, d: named_nodes(indexed(spark, d, 2)), sql_shop(2) + SQL_SHOP_NODES)
+add("index_update_edges", lambda spark, d: named_edges(indexed(spark, d, 2)), sql_shop(2) + SQL_SHOP_EDGES)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

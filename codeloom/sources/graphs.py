@@ -172,3 +172,25 @@ def references(spark: SparkSession, sf_dir: str) -> SourceGraph:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as source files: (path, content)."""
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+
+
+def shop_sources(spark: SparkSession, sf_dir: str, version: int = 1) -> DataFrame:
+    """A tree of Java files (path, content): an abstract class for each nation and a class for each customer, with methods for its first and last order.
+
+    In version 2 the segment FURNITURE has come, BUILDING has gone, and MACHINERY has one
+    field more.
+    """
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b"))
+    customers = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") != ("FURNITURE" if version == 1 else "BUILDING")).join(orders, "c_custkey", "left")
+    more = F.when((F.col("c_mktsegment") == "MACHINERY") & F.lit(version == 2), "    private int more;\n").otherwise("")
+    last = F.concat(F.lit("    int o"), F.col("b").cast("string"), F.lit("() {\n        return this.total;\n    }\n"))
+    call = F.when(F.col("a") < F.col("b"), F.concat(F.lit("        this.o"), F.col("b").cast("string"), F.lit("();\n"))).otherwise("")
+    first = F.concat(F.lit("    public void o"), F.col("a").cast("string"), F.lit("(int price,\n            List<String> notes) {\n        this.total = price;\n"), call, F.lit("    }\n"))
+    number = F.col("c_custkey").cast("string")
+    classes = customers.select(
+        F.concat(F.lit("shop/C"), number, F.lit(".java")).alias("path"),
+        F.concat(F.lit("package shop;\n\npublic class C"), number, F.lit(" extends N"), F.col("c_nationkey").cast("string"), F.lit(" {\n    private int total;\n"), more, F.coalesce(first, F.lit("")), F.when(F.col("a") < F.col("b"), last).otherwise(""), F.lit("}\n")).alias("content"),
+    )
+    name = F.col("n_nationkey").cast("string")
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("shop/N"), name, F.lit(".java")).alias("path"), F.concat(F.lit("package shop;\n\npublic abstract class N"), name, F.lit(" {\n}\n")).alias("content"))
+    return classes.unionByName(nations)
