@@ -17,9 +17,20 @@ BATCH_SIZE, IN_FLIGHT, ATTEMPTS = 20, 5, 3
 
 
 def split_batches(entities: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
-    """Add batch: each file's entities (file, position, ...) in order, ``size`` to a batch."""
-    place = F.row_number().over(Window.partitionBy("file").orderBy("position"))
-    return entities.withColumn("batch", F.floor((place - 1) / size))
+    """Add batch: each file's entities (file, position, ...) in order of position, ``size`` to a batch.
+
+    Rows are ranged by file and position, and a range's rows numbered from the counts of
+    the file's ranges before it, so that no task orders the whole of a large file.
+    """
+    from codeloom.sources.scratch import materialise
+
+    columns = entities.columns
+    ranged = materialise(entities.repartitionByRange("file", "position").withColumn("_range", F.spark_partition_id()), "ranged-entities")
+    counts = ranged.groupBy("file", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("file", "_range", (F.sum("_n").over(Window.partitionBy("file").orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("file", "_range").orderBy("position")) - 1
+    placed = ranged.withColumn("_place", place).join(before.withColumnRenamed("file", "_file"), F.col("file").eqNullSafe(F.col("_file")) & (ranged["_range"] == before["_range"]))
+    return placed.select(*columns, F.floor((F.col("_before") + F.col("_place")) / size).alias("batch"))
 
 
 def build_prompt(file: Column, entities: Column) -> Column:

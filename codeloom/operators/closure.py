@@ -1,8 +1,8 @@
 """Iterative graph primitives. Each answers a question for many roots in one run.
 
-A loop keeps only the last frontier and the visited pairs; both are reliable
-checkpoints in the shared folder, so plans stay short and a lost executor costs one
-round. Adjacency is made distinct and stored once, keyed on its source.
+A loop keeps only the last frontier and the visited pairs; both are stored in the
+shared folder, so plans stay short and a lost executor costs one round, and they are
+deleted when the loop ends. Adjacency is made distinct and stored once, keyed on its source.
 """
 
 from __future__ import annotations
@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.sources.scratch import checkpoint
+from codeloom.sources.scratch import checkpoint, scoped
 
 
+@scoped
 def closure(adj: DataFrame, seeds: DataFrame, depth: int | None = None, include_seeds: bool = False) -> DataFrame:
     """(root, id, depth) of all that each root reaches along ``adj`` (src, dst).
 
@@ -34,6 +35,7 @@ def closure(adj: DataFrame, seeds: DataFrame, depth: int | None = None, include_
     return visited if include_seeds else visited.filter("depth > 0")
 
 
+@scoped
 def shortest_paths(adj: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(from_id, to_id, path) for each pair with a path; of the shortest, the one that edge ids order first.
 
@@ -60,6 +62,7 @@ def shortest_paths(adj: DataFrame, pairs: DataFrame, max_depth: int | None = Non
     return found
 
 
+@scoped
 def chains(step: DataFrame, starts: DataFrame) -> DataFrame:
     """(root, position, id): follow ``step`` (id, next; one next each) until it ends or comes to a node of the chain again.
 
@@ -76,6 +79,7 @@ def chains(step: DataFrame, starts: DataFrame) -> DataFrame:
     return done.select("root", F.posexplode("chain").alias("position", "id"))
 
 
+@scoped
 def nearest_ancestors(nodes: DataFrame, parents: DataFrame, is_goal: str, rounds: int = 40) -> DataFrame:
     """(id, ancestor): the node itself or its nearest ancestor for which ``is_goal`` holds, by pointer doubling.
 
@@ -97,6 +101,7 @@ def nearest_ancestors(nodes: DataFrame, parents: DataFrame, is_goal: str, rounds
     return state.filter("done").select("id", F.col("to").alias("ancestor"))
 
 
+@scoped
 def strong_components(adj: DataFrame) -> DataFrame:
     """(id, component) of nodes on a cycle; the component is its least id. A self-loop is a cycle.
 

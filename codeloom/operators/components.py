@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.sources.scratch import checkpoint
+from codeloom.sources.scratch import checkpoint, scoped
 
 
+@scoped
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b); the root is the least node that it reaches.
 

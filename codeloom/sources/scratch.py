@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,3 +85,15 @@ def scope(spark: SparkSession, *keep: DataFrame) -> Iterator[list[DataFrame]]:
                 delete(spark, path)
             elif OPEN:
                 OPEN[-1].append(path)
+
+
+def scoped(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function of a first DataFrame whose stored rounds are deleted when it ends, all but its stored result."""
+    @wraps(run)
+    def stored(first: DataFrame, *args: object, **options: object) -> DataFrame:
+        with scope(first.sparkSession) as kept:
+            result = materialise(run(first, *args, **options), run.__name__)
+            kept.append(result)
+        return result
+
+    return stored

@@ -199,5 +199,5 @@ def test_stream_upserts_and_sees_deletions_by_listing(spark, tmp_path):
     st.watch(spark, source, folder, str(tmp_path / "c")).awaitTermination()
     now = {r["path"]: r["hash"] for r in st.state(spark, folder).collect()}
     assert now["b"] == spark.range(1).select(F.sha2(F.lit("2"), 256).alias("h")).first()["h"] and set(now) == {"a", "b", "c"}
-    assert spark.read.parquet(f"{folder}/batch=1").count() == 2
+    assert spark.read.parquet(f"{folder}/batches/batch=1").count() == 2
     assert got(st.deleted(spark, folder, tree(spark, ("a", "1"), ("b", "2"))), "path") == ["c"]
