@@ -21,6 +21,8 @@ WINDOWS = (
     (("mistral-nemo", "mistralnemo"), 128_000), (("mistral", "mixtral"), 32_000), (("llama",), 131_072), (("phi-4", "phi4"), 16_000),
 )
 DEFAULT_WINDOW = 128_000
+#: What leads the message that stands for the folded ones, before and after their number.
+COMPRESSED = ("[Summary of the ", " messages before this one]")
 
 
 def context_window(model: Column) -> Column:
@@ -91,7 +93,7 @@ def apply_compression(messages: DataFrame, summaries: DataFrame) -> DataFrame:
     bounds = compression_boundary(messages).join(summaries, "conv_id")
     placed = counted(messages).join(bounds, "conv_id", "left")
     folded = F.coalesce((F.col("position") >= 1) & (F.col("position") < F.col("boundary")), F.lit(False))
-    head = F.concat(F.lit("[Compressed conversation history — "), (F.col("boundary") - 1).cast("string"), F.lit(" messages summarised]\n\n"), F.col("summary"))
+    head = F.concat(F.lit(COMPRESSED[0]), (F.col("boundary") - 1).cast("string"), F.lit(COMPRESSED[1] + "\n\n"), F.col("summary"))
     kept = placed.filter(~folded).select(*messages.columns)
     first = placed.filter(folded & (F.col("position") == 1))
     return kept.unionByName(first.withColumns({"role": F.lit("user"), "text": head}).select(*(F.lit(None).cast(messages.schema[c].dataType).alias(c) if c == "tool_calls" else F.col(c) for c in messages.columns)))

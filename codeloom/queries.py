@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import is_test_file, source_lines
+from codeloom.functions.text import is_test_file, source_lines, text_tool_calls
 from codeloom.graph import SourceGraph
 from codeloom.jobs import memory
-from codeloom.jobs.enrich import split_batches
+from codeloom.jobs.enrich import parse_answer, split_batches
 from codeloom.jobs.index import empty_graph, update
-from codeloom.jobs.ingest import commit_descriptions, hash_diff, resolve
+from codeloom.jobs.ingest import assign_ids, commit_descriptions, hash_diff, remove_files, resolve, walk
 from codeloom.operators import lookups as lk
 from codeloom.operators import metrics as mt
 from codeloom.operators import neighbours as nb
@@ -336,6 +336,78 @@ i AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS s, sum(c) OV
 SELECT conv_id, min(p) + 1 AS boundary FROM i WHERE s >= floor(t * 70 / 100) GROUP BY conv_id""")
 
 
+def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents below folders of their sources, with ignore rules at the root and in one folder."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.concat("source", F.lit("/"), "lang", F.lit("/d"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "fr", ".txt").otherwise(".PY")).alias("path"), F.col("text").alias("content"))
+    rules = spark.createDataFrame([(".gitignore", "src3/\n*7.PY\n!d17.PY\n"), ("src1/.gitignore", "/de/\n")], "path string, content string")
+    return walk(files.unionByName(rules)).select("path", "ext", "hash")
+
+
+def numbered_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of documents among those of their source, by the ids that they get."""
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("ordinal"))
+    ids = assign_ids(rows, base=1000)
+    firsts = ids.groupBy("file").agg(F.min("id").alias("first"))
+    return ids.join(firsts, "file").select("file", "ordinal", (F.col("id") - F.col("first")).alias("place"))
+
+
+def without_a_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = commerce(spark, sf_dir)
+    left = remove_files(g, spark.createDataFrame([("supplier7.src",), ("customer3.src",)], "path string"))
+    return left.edges.select(F.col("id").alias("edge_id"), "kind", "src", "to_state", "to_id", "to_name")
+
+
+def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers made of customers: nested or flat, with a blank text, or no object at all."""
+    c = table(spark, sf_dir, "customer")
+    pair = F.concat(F.lit('{"name": "'), "c_name", F.lit('", "segment": "'), F.when(F.col("c_mktsegment") == "BUILDING", "  ").otherwise(F.col("c_mktsegment")), F.lit('"}'))
+    nested = F.concat(F.lit('{"descriptions": '), pair, F.lit(', "is_test": {"name": true, "segment": "no"}}'))
+    answer = F.when(F.col("c_mktsegment") == "MACHINERY", pair).when(F.col("c_mktsegment") == "FURNITURE", F.lit("sorry")).otherwise(nested)
+    parsed = c.select("c_custkey", parse_answer(answer, F.array(F.lit("name"), F.lit("segment"))).alias("p"))
+    return parsed.select("c_custkey", F.element_at("p.filled", "name").alias("name"), F.element_at("p.filled", "segment").alias("segment"), F.size("p.missing").cast("long").alias("missing"), F.element_at("p.flags", "name").alias("flag"))
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls written in texts that are made of customers."""
+    c = table(spark, sf_dir, "customer")
+    text = F.concat(F.lit("so <function=find>\n<parameter=name>\n "), "c_name", F.lit(" </parameter><parameter=kind>"), "c_mktsegment", F.lit("</parameter>\n</function> and <function=stop></function>"))
+    calls = c.select("c_custkey", F.posexplode(text_tool_calls(text)).alias("n", "x"))
+    return calls.select("c_custkey", F.col("n").cast("long").alias("n"), F.col("x.name").alias("tool"), F.element_at("x.arguments", "name").alias("name"), F.element_at("x.arguments", "kind").alias("kind"))
+
+
+FOLDED = """
+WITH m AS (SELECT *, strlen(text) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+i AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS s, sum(c) OVER (PARTITION BY conv_id) AS t FROM m WHERE p >= 1 AND p < greatest(n - 2, 1)),
+b AS (SELECT conv_id, min(p) + 1 AS boundary FROM i WHERE s >= floor(t * 70 / 100) GROUP BY conv_id)
+"""
+add("walk", walked, """
+WITH f AS (SELECT source || '/' || lang || '/d' || doc_id || '.PY' AS path, 'd' || doc_id || '.PY' AS name, * FROM documents WHERE lang <> 'fr' AND strlen(text) > 0)
+SELECT path, 'py' AS ext, sha256(text) AS hash FROM f WHERE source <> 'src3' AND NOT (ends_with(name, '7.PY') AND name <> 'd17.PY') AND NOT (source = 'src1' AND lang = 'de')""")
+add("assign_ids", numbered_places, "SELECT source AS file, doc_id AS ordinal, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents")
+add("remove_file", without_a_file, SQL_COMMERCE + """, gone AS (SELECT id, qualified_name FROM nodes WHERE file IN ('supplier7.src', 'customer3.src'))
+SELECT e.edge_id, e.kind, e.src, CASE WHEN g.id IS NULL THEN 'Resolved' ELSE 'Unresolved' END AS to_state, CASE WHEN g.id IS NULL THEN e.dst END AS to_id, g.qualified_name AS to_name
+FROM edges e LEFT JOIN gone g ON g.id = e.dst WHERE e.src NOT IN (SELECT id FROM gone)""")
+add("parse_answer", parsed_answers, """
+SELECT c_custkey, CASE WHEN c_mktsegment <> 'FURNITURE' THEN c_name END AS name, CASE WHEN c_mktsegment NOT IN ('FURNITURE', 'BUILDING') THEN c_mktsegment END AS segment,
+CASE c_mktsegment WHEN 'FURNITURE' THEN NULL WHEN 'BUILDING' THEN 1 ELSE 0 END AS missing, CASE WHEN c_mktsegment NOT IN ('FURNITURE', 'MACHINERY') THEN true END AS flag FROM customer""")
+add("text_tool_calls", tool_calls, """
+SELECT c_custkey, 0 AS n, 'find' AS tool, c_name AS name, c_mktsegment AS kind FROM customer UNION ALL SELECT c_custkey, 1, 'stop', NULL, NULL FROM customer""")
+add("transcripts", lambda spark, d: memory.transcripts(table(spark, d, "conversations")), FOLDED + """
+SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '[User]: ' || text || chr(10) WHEN 'assistant' THEN '[Assistant]: ' || text || chr(10) WHEN 'tool' THEN '[Tool result]: ' || text || chr(10) ELSE '' END || chr(10), '' ORDER BY p) AS transcript
+FROM m JOIN b USING (conv_id) WHERE p >= 1 AND p < boundary GROUP BY conv_id""")
+
+
+def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "conversations")
+    return memory.apply_compression(messages, messages.groupBy("conv_id").agg(F.concat(F.lit("sum "), F.first("conv_id").cast("string")).alias("summary"))).select("conv_id", "turn", "role", F.md5("text").alias("text"))
+
+
+add("apply_compression", compressed, FOLDED + f"""
+SELECT conv_id, turn, role, md5(text) AS text FROM m LEFT JOIN b USING (conv_id) WHERE NOT coalesce(p >= 1 AND p < boundary, false)
+UNION ALL SELECT conv_id, turn, 'user', md5('{memory.COMPRESSED[0]}' || (boundary - 1) || '{memory.COMPRESSED[1]}' || chr(10) || chr(10) || 'sum ' || conv_id) FROM m JOIN b USING (conv_id) WHERE p = 1 AND boundary > 1""")
+
+
 # A tree of sources made of customers and orders, indexed, and brought up to its second version.
 def indexed(spark: SparkSession, sf_dir: str, version: int) -> SourceGraph:
     first = update(empty_graph(spark), shop_sources(spark, sf_dir, 1))

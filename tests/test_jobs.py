@@ -150,7 +150,7 @@ def test_memory(spark):
     assert mm.compression_boundary(eleven).first()["boundary"] == 7  # 8 of 20 bytes: 112 of 160 are reached by the sixth
     assert mm.compression_boundary(chat(spark, 10, 10, 10)).count() == 0 and mm.compression_boundary(chat(spark, 10, 10, 10, 10)).first()["boundary"] == 2
     folded = mm.apply_compression(eleven, spark.createDataFrame([(1, "sum")], "conv_id long, summary string")).orderBy("turn").collect()
-    assert len(folded) == 6 and folded[1]["role"] == "user" and folded[1]["text"] == "[Compressed conversation history — 6 messages summarised]\n\nsum"
+    assert len(folded) == 6 and folded[1]["role"] == "user" and folded[1]["text"] == "[Summary of the 6 messages before this one]\n\nsum"
     text = mm.transcripts(eleven).first()["transcript"]
     assert text.startswith("[User]: " + "é" * 10 + "\n\n[Assistant]: ") and "[Tool result]: " in text
     names = {"gpt-4.1-mini": 1_047_576, "GPT-4o": 128_000, "o3": 200_000, "claude-sonnet-4-5": 1_000_000, "claude-3": 200_000, "gemini-2.0": 1_048_000, "mixtral": 32_000, "phi4": 16_000, "other": 128_000}
