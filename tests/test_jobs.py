@@ -85,7 +85,7 @@ def test_graph_round_trips(spark, g, tmp_path):  # noqa: F811
     lines = ig.yaml_lines(g)
     yaml = pytest.importorskip("yaml")
     text = "\n".join(r["line"] for r in lines.orderBy("section", "id").collect())
-    assert len(yaml.safe_load(text)["nodes"]) == 9 and yaml.safe_load(text)["edges"][13]["kind"] == "HasType"
+    assert len(yaml.safe_load(text)["nodes"]) == 13 and yaml.safe_load(text)["edges"][23]["kind"] == "HasType"
     again = ig.from_yaml_lines(lines)
     assert sorted(map(repr, again.edges.collect())) == sorted(map(repr, g.edges.collect()))
     assert sorted(map(repr, again.nodes.drop("metadata").collect())) == sorted(map(repr, g.nodes.drop("metadata").collect()))
@@ -165,18 +165,18 @@ def answer(graph, name, **args):
 
 def test_tools(spark, g):  # noqa: F811
     assert len(tl.TOOLS) == 51
-    page = answer(g, "get_callees", qualified_name="com.Service.process", limit=2)
-    assert [i["id"] for i in page["items"]] == [4, 5] and (page["total"], page["returned"], page["has_more"]) == (3, 2, True)
-    assert [i["id"] for i in answer(g, "get_callees", qualified_name="com.Service.process", depth=1)["items"]] == [4, 8]
-    assert [i["id"] for i in answer(g, "get_hotspots", limit=3, offset=1)["items"]] == [4, 5, 6]
+    page = answer(g, "get_callees", qualified_name="shop.Counter.serve", limit=2)
+    assert [i["id"] for i in page["items"]] == [8, 9] and (page["total"], page["returned"], page["has_more"]) == (3, 2, True)
+    assert [i["id"] for i in answer(g, "get_callees", qualified_name="shop.Counter.serve", depth=1)["items"]] == [8, 11]
+    assert [i["id"] for i in answer(g, "get_hotspots", limit=3, offset=1)["items"]] == [5, 8, 2]
     assert answer(g, "get_callers") == {"error": "missing 'qualified_name' parameter"} and answer(g, "get_callers", qualified_name="x") == {"error": "node not found: x"}
     assert answer(g, "nothing") == {"error": "unknown tool: nothing"} and "error" in answer(g, "find_nodes_by_kind", kind="method")
-    coupling = answer(g, "get_coupling", qualified_name="com.Service.helper")
+    coupling = answer(g, "get_coupling", qualified_name="shop.oven.Stove.warm")
     assert (coupling["afferent"], coupling["efferent"], coupling["instability"]) == (1, 1, 0.5)
-    assert answer(g, "get_call_path", **{"from": "com.Service.process", "to": "com.RepoImpl.find"}) == {"path": [7, 8, 5]}
-    assert answer(g, "get_cohesion", qualified_name="com.Service")["lcom"] == 1.0
-    assert answer(g, "get_graph_summary")["total_edges"] == 14
-    assert answer(g, "list_files")["items"] == [{"file": "A.java", "node_count": 6}, {"file": "B.java", "node_count": 3}]
+    assert answer(g, "get_call_path", **{"from": "shop.Counter.refill", "to": "shop.oven.Stove.warm"}) == {"path": [11, 10, 8, 9]}
+    assert answer(g, "get_cohesion", qualified_name="shop.Counter")["lcom"] == 1.0
+    assert answer(g, "get_graph_summary")["total_edges"] == 26
+    assert answer(g, "list_files")["items"] == [{"file": "oven.src", "node_count": 8}, {"file": "shop.src", "node_count": 5}]
     assert tl.arguments("{bad") == {} and tl.whole({"n": -1}, "n", 5) == 5 and tl.whole({"n": "3"}, "n", 5) == 5
     files = tree(spark, ("A.java", "1\n2\n3\n4"))
     assert json.loads(tl.call(g, "get_file_source", json.dumps({"file": "A.java", "start_line": 2, "end_line": 3}), files).first()["answer"])["source"] == "2\n3"
@@ -184,7 +184,7 @@ def test_tools(spark, g):  # noqa: F811
 
 @pytest.mark.parametrize("name", sorted(tl.TOOLS))
 def test_every_tool_answers(spark, g, name):  # noqa: F811
-    given = {"qualified_name": "com.RepoImpl", "file": "A.java", "kind": "Class", "query": "repo", "package_prefix": "com", "attribute": "x", "exception_name": "E", "from": "com.Repo", "to": "com.Repo", "qualified_name_a": "com.Repo", "qualified_name_b": "com.Service"}
+    given = {"qualified_name": "shop.oven.Stove", "file": "A.java", "kind": "Class", "query": "bake", "package_prefix": "shop", "attribute": "x", "exception_name": "E", "from": "shop.Counter", "to": "shop.Counter", "qualified_name_a": "shop.Counter", "qualified_name_b": "shop.oven.Stove"}
     args = {k: given[k] for k in tl.TOOLS[name].required}
     rows = tl.call(g, name, json.dumps(args), tree(spark, ("A.java", "x"))).collect()
     assert all(json.loads(r["answer"]) is not None and "error" not in r["answer"] for r in rows)

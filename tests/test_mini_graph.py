@@ -1,4 +1,4 @@
-"""Exact answers on a hand-made graph of nine nodes, and on small graphs with cycles and odd edges."""
+"""Exact answers on a hand-made graph of a bakery, and on small graphs with cycles and odd edges."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,15 +15,17 @@ from codeloom.schema import make_edge, make_node
 @pytest.fixture(scope="module")
 def g(spark):
     rows = [
-        ("Interface", "Repo", "com.Repo", "A.java", "Public", True), ("Class", "RepoImpl", "com.RepoImpl", "A.java", "Public", False),
-        ("Class", "Service", "com.Service", "B.java", "Public", False), ("Field", "items", "com.RepoImpl.items", "A.java", "Private", False),
-        ("Method", "save", "com.RepoImpl.save", "A.java", "Public", False), ("Method", "find", "com.RepoImpl.find", "A.java", "Public", False),
-        ("Method", "save", "com.Repo.save", "A.java", "Public", True), ("Method", "process", "com.Service.process", "B.java", "Public", False),
-        ("Method", "helper", "com.Service.helper", "B.java", "Private", False),
+        ("Package", "shop", "shop", "shop.src", "Public", False), ("Package", "oven", "shop.oven", "oven.src", "Public", False),
+        ("Interface", "Baker", "shop.oven.Baker", "oven.src", "Public", True), ("Class", "Stove", "shop.oven.Stove", "oven.src", "Public", False), ("Class", "Counter", "shop.Counter", "shop.src", "Public", False),
+        ("Field", "heat", "shop.oven.Stove.heat", "oven.src", "Private", False), ("Method", "bake", "shop.oven.Baker.bake", "oven.src", "Public", True), ("Method", "clean", "shop.oven.Baker.clean", "oven.src", "Public", True),
+        ("Method", "bake", "shop.oven.Stove.bake", "oven.src", "Public", False), ("Method", "warm", "shop.oven.Stove.warm", "oven.src", "Private", False),
+        ("Method", "serve", "shop.Counter.serve", "shop.src", "Public", False), ("Method", "refill", "shop.Counter.refill", "shop.src", "Public", False), ("Field", "stock", "shop.Counter.stock", "shop.src", "Private", False),
     ]
     nodes = [make_node(i, k, n, q, file=f, visibility=v, is_abstract=a, language="Java") for i, (k, n, q, f, v, a) in enumerate(rows)]
-    links = [("Contains", 0, 6), ("Contains", 1, 3), ("Contains", 1, 4), ("Contains", 1, 5), ("Contains", 2, 7), ("Contains", 2, 8), ("Implements", 1, 0), ("Overrides", 4, 6), ("Calls", 7, 4), ("Calls", 7, 8), ("Calls", 8, 5), ("Reads", 5, 3), ("Writes", 4, 3), ("HasType", 7, 1)]
-    return SourceGraph.of_rows(spark, nodes, [make_edge(i, k, a, b) for i, (k, a, b) in enumerate(links)])
+    links = [("Contains", a, b) for a, b in ((0, 1), (1, 2), (1, 3), (0, 4), (2, 6), (2, 7), (3, 5), (3, 8), (3, 9), (4, 10), (4, 11), (4, 12))]
+    links += [("Implements", 3, 2), ("Overrides", 8, 6), ("Calls", 10, 8), ("Calls", 8, 9), ("Calls", 9, 8), ("Calls", 10, 11), ("Calls", 11, 10), ("Reads", 9, 5), ("Writes", 8, 5), ("Reads", 10, 12), ("Instantiates", 10, 3), ("HasType", 12, 3)]
+    edges = [make_edge(i, k, a, b) for i, (k, a, b) in enumerate(links)]
+    return SourceGraph.of_rows(spark, nodes, [*edges, make_edge(24, "Calls", 11, "lib.log", "External"), make_edge(25, "Extends", 4, "Base")])
 
 
 def ids(spark, *values, name="id"):
@@ -36,55 +38,60 @@ def got(df, *columns):
 
 def test_summary(g):
     counts = {(r["what"], r["kind"]): r["n"] for r in mt.summary(g).collect()}
-    assert counts == {("node", "Interface"): 1, ("node", "Class"): 2, ("node", "Field"): 1, ("node", "Method"): 5, ("edge", "Contains"): 6, ("edge", "Calls"): 3, ("edge", "Implements"): 1, ("edge", "Overrides"): 1, ("edge", "Reads"): 1, ("edge", "Writes"): 1, ("edge", "HasType"): 1}
+    want = {"node": {"Package": 2, "Interface": 1, "Class": 2, "Field": 2, "Method": 6}, "edge": {"Contains": 12, "Calls": 6, "Implements": 1, "Overrides": 1, "Reads": 2, "Writes": 1, "Instantiates": 1, "HasType": 1, "Extends": 1}}
+    assert counts == {(what, kind): n for what, kinds in want.items() for kind, n in kinds.items()}
     assert g.validate().count() == 0
 
 
 def test_calls(spark, g):
-    down = lambda depth=None: got(rc.downstream_calls(g, ids(spark, 7, name="root"), depth), "id")
-    assert down() == [4, 5, 8] and down(1) == [4, 8] and down(0) == []
-    assert got(rc.upstream_callers(g, ids(spark, 5, name="root")), "id") == [7, 8]
-    pairs = spark.createDataFrame([(7, 5), (5, 7), (7, 7)], "from_id long, to_id long")
-    assert got(rc.call_path(g, pairs), "from_id", "to_id", "path") == [(7, 5, [7, 8, 5]), (7, 7, [7])]
+    down = lambda depth=None: got(rc.downstream_calls(g, ids(spark, 10, name="root"), depth), "id")
+    assert down() == [8, 9, 11] and down(1) == [8, 11] and down(0) == []
+    assert got(rc.upstream_callers(g, ids(spark, 9, name="root")), "id") == [8, 10, 11]
+    pairs = spark.createDataFrame([(11, 9), (9, 10), (10, 10)], "from_id long, to_id long")
+    assert got(rc.call_path(g, pairs), "from_id", "to_id", "path") == [(10, 10, [10]), (11, 9, [11, 10, 8, 9])]
+    assert got(mt.cycles(g, "Calls"), "id", "component") == [(8, 8), (9, 8), (10, 10), (11, 10)]
 
 
 def test_types(spark, g):
-    assert got(nb.implementors(g, ids(spark, 0)), "other") == [1]
-    assert got(nb.overriders(g, ids(spark, 6)), "other") == [4]
-    assert got(nb.what_overrides(g, ids(spark, 4, 6)), "id", "other") == [(4, 6)]
-    assert got(mt.unimplemented_interface_methods(g, ids(spark, 1)), "other") == []
-    assert got(mt.usages_of_type(g, ids(spark, 1)), "other") == [7]
-    assert got(nb.public_api(g, ids(spark, 1, 2)), "id", "other") == [(1, 4), (1, 5), (2, 7)]
-    assert got(nb.parent_of(g, ids(spark, 4, 1)), "id", "other") == [(4, 1)]
-    assert got(nb.methods_of(g, ids(spark, 1)), "other") == [4, 5] and got(nb.fields_of(g, ids(spark, 1)), "other") == [3]
+    assert got(nb.implementors(g, ids(spark, 2)), "other") == [3]
+    assert got(nb.overriders(g, ids(spark, 6)), "other") == [8]
+    assert got(nb.what_overrides(g, ids(spark, 8, 6)), "id", "other") == [(8, 6)]
+    assert got(mt.unimplemented_interface_methods(g, ids(spark, 3, 4)), "id", "other") == [(3, 7)]
+    assert got(mt.usages_of_type(g, ids(spark, 3)), "other") == [10, 12]
+    assert got(nb.public_api(g, ids(spark, 3, 4)), "id", "other") == [(3, 8), (4, 10), (4, 11)]
+    assert got(nb.parent_of(g, ids(spark, 8, 1)), "id", "other") == [(1, 0), (8, 3)]
+    assert got(nb.methods_of(g, ids(spark, 3)), "other") == [8, 9] and got(nb.fields_of(g, ids(spark, 3)), "other") == [5]
+    assert got(nb.dependencies(g, ids(spark, 11)), "kind", "target") == [("Calls", "external:lib.log"), ("Calls", "shop.Counter.serve")]
+    assert ("Extends", "unresolved:Base") in got(nb.dependencies(g, ids(spark, 4)), "kind", "target")
 
 
 def test_metrics(spark, g):
-    want = {0: (1, 0, 0.0), 1: (1, 1, 0.5), 2: (0, 0, None), 3: (0, 0, None), 4: (1, 0, 0.0), 5: (1, 0, 0.0), 6: (0, 0, None), 7: (0, 3, 1.0), 8: (1, 1, 0.5)}
+    want = {i: (0, 0, None) for i in range(13)} | {2: (1, 0, 0.0), 3: (2, 1, 1 / 3), 8: (2, 1, 1 / 3), 9: (1, 1, 0.5), 10: (1, 3, 0.75), 11: (1, 1, 0.5), 12: (0, 1, 1.0)}
     assert {r["id"]: (r["afferent"], r["efferent"], r["instability"]) for r in mt.coupling(g).collect()} == want
-    assert [(r["id"], r["incoming"]) for r in mt.hotspots(g, 20).collect()] == [(3, 3), (4, 2), (5, 2), (6, 2), (8, 2), (0, 1), (1, 1), (7, 1), (2, 0)]
-    assert got(mt.lcom(g), "id", "lcom") == [(0, 0.0), (1, 0.0), (2, 1.0)]
-    assert got(mt.unused_fields(g, ids(spark, 1)), "other") == []
-    pairs = spark.createDataFrame([(7, 8)], "a long, b long")
-    assert mt.shared_dependencies(g, pairs).count() == 0
-    assert got(nb.coupling_between(g, spark.createDataFrame([(7, 4)], "a long, b long")), "edge_id") == [8]
+    assert [(r["id"], r["incoming"]) for r in mt.hotspots(g, 20).collect()] == [(3, 3), (5, 3), (8, 3), (2, 2), (6, 2), (9, 2), (10, 2), (11, 2), (12, 2), (1, 1), (4, 1), (7, 1), (0, 0)]
+    assert got(mt.lcom(g), "id", "lcom") == [(2, 1.0), (3, 0.0), (4, 1.0)]
+    assert got(mt.unused_fields(g, ids(spark, 3, 4)), "other") == []
+    assert got(mt.unused_fields(SourceGraph(g.nodes, g.edges.filter("kind <> 'Reads'")), ids(spark, 3, 4)), "id", "other") == [(4, 12)]
+    assert got(mt.shared_dependencies(g, spark.createDataFrame([(10, 9), (8, 11)], "a long, b long")), "a", "b", "other") == [(10, 9, 8)]
+    assert got(nb.coupling_between(g, spark.createDataFrame([(10, 11)], "a long, b long")), "edge_id") == [17, 18]
 
 
 def test_reach(spark, g):
     assert got(mt.entry_points(g), "id") == [6, 7]
-    assert got(rc.reachable_from(g, ids(spark, 7)), "id") == [4, 5, 7, 8]
-    assert got(rc.dead_code(g, ids(spark, 7)), "id") == [0, 1, 2, 3, 6]
-    impact = rc.change_impact(g, ids(spark, 3, 0, name="root"))
-    assert got(impact, "root", "id") == [(0, 1), (0, 7), (3, 4), (3, 5), (3, 7), (3, 8)]
-    assert rc.package_of(g).count() == 0 and mt.package_dependency_graph(g).count() == 0
+    assert got(rc.reachable_from(g, ids(spark, 10)), "id") == [3, 8, 9, 10, 11]
+    assert got(rc.dead_code(g, ids(spark, 10)), "id") == [0, 1, 2, 4, 5, 6, 7, 12]
+    impact = rc.change_impact(g, ids(spark, 5, 2, name="root"))
+    assert got(impact, "root", "id") == [(2, 3), (2, 10), (2, 11), (2, 12), (5, 8), (5, 9), (5, 10), (5, 11)]
+    assert got(rc.package_of(g), "id", "package_id") == [(i, 0 if i in (0, 4, 10, 11, 12) else 1) for i in range(13)]
+    assert got(mt.package_dependency_graph(g), "from_package", "to_package", "n") == [("shop", "shop.oven", 2)]
 
 
 def test_lookups(g):
-    assert got(lk.nodes_in_file(g, "B.java"), "id") == [2, 7, 8]
-    assert got(lk.nodes_in_package(g, "com.Repo"), "id") == [0, 1, 3, 4, 5, 6]
-    assert got(lk.search_nodes(g, "SAVE"), "id") == [4, 6]
+    assert got(lk.nodes_in_file(g, "shop.src"), "id") == [0, 4, 10, 11, 12]
+    assert got(lk.nodes_in_package(g, "shop.oven.S"), "id") == [3, 5, 8, 9]
+    assert got(lk.search_nodes(g, "BAKE"), "id") == [2, 6, 7, 8]
     assert [r["id"] for r in lk.page(g.nodes, ["id"], 2, 3).collect()] == [2, 3, 4]
-    assert got(lk.list_files(g), "file", "node_count") == [("A.java", 6), ("B.java", 3)]
+    assert got(lk.list_files(g), "file", "node_count") == [("oven.src", 8), ("shop.src", 5)]
     with pytest.raises(ValueError):
         lk.nodes_of_kind(g, "class")
 
