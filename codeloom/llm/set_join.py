@@ -1,26 +1,37 @@
-"""Classes of texts by the Jaccard similarity of their word shingles, by an exact prefix join.
+"""Classes of texts by the Jaccard similarity of their word shingles, by an exact join in size-banded tiles.
 
 A text is the set of its shingles, each told by 64 bits. All sets are put in one order:
-shingles that are common come last. Two sets of similarity 4/5 or more share one of the
-first ``n // 5 + 1`` shingles of both, so these prefixes are the index, and a pair that
-shares too few of them for the rest to make up is dropped. So is one whose bitmaps tell
-of too many shingles that only one of them has. Every pair left is verified on its whole
-sets. The order decides how many pairs are compared, not which are found.
-
-A shingle that more than ``cap`` sets have in their prefix isn't paired outright: first
-all of its sets are verified against one of them, twice, which links most of a dense
-group of near copies for a row each. What is then left in different classes is paired
-block by block, so that no shingle is one task; of these pairs only those are kept, once
-each, that share enough crowded shingles, and verified. No pair within the similarity is
-missed.
-
-Texts are read three times: for the common shingles, for the prefixes, and for the sets
-of those texts that have a candidate.
+shingles that are common come last. Two sets that are alike enough share one of the first
+few shingles of both, their prefixes: of n shingles, so many as must meet if those that
+may be missing are all there. A tile is one prefix shingle and one band of set sizes,
+which doubles from band to band; a set is at home in the tiles of its own band, and a
+guest in those of the next if its size is near enough to it. Sets that share a tile are a
+pair, and one that shares too few tiles for the rest to make up is dropped. So is one
+whose bitmaps leave too little room: a shingle sets one bit of its text's bitmap, so bits
+that only one text has bound from above what two can share. Every pair left is verified
+on its whole sorted sets. Order and bands decide how many pairs are compared, not which
+are found.
+
+The order comes in three steps. Shingles that a part of the texts shows to be common are
+sent to the tasks, as many as a bounded array holds. If a shingle then still stands in
+many prefixes, all shingles of the sets concerned are counted, those that many have get a
+rank by their number, in a table that is joined, and the prefixes that hold one are cut
+anew; so pages of one template meet nowhere unless they are nearly alike.
+
+A tile that more than ``cap`` sets still share isn't paired outright: first all of its
+sets are verified against one of them, twice, which links most of a dense group of near
+copies for a row each. What is then left in different classes is paired block by block, so
+that no shingle is one task; of these pairs only those are kept, once each, that share
+enough crowded tiles and whose bitmaps allow it. No pair within the similarity is missed.
+
+Texts are read for the common shingles and for the prefixes; those of sets that have a
+candidate, or whose prefix is cut anew, once more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +55,35 @@ SHIPPED = 1 << 22
 BITS = 1024
 #: Rounds against one set of each crowded shingle before the rest is paired, and rows of a block of such a shingle.
 ROUNDS, BLOCK = 2, 1024
+#: Times that the order is mended by counted ranks where shingles crowd the prefixes.
+MENDED = 2
+
+
+class Likeness(NamedTuple):
+    """A similarity of ``part / whole`` or more, over a half, in exact whole numbers."""
+
+    part: int = 4
+    whole: int = 5
+
+    def prefix(self, n: int) -> int:
+        """Shingles of n of which one must be shared with any set alike."""
+        return n - -(-self.part * n // self.whole) + 1 if n else 0
+
+    def holds(self, both: Column, n: Column, m: Column) -> Column:
+        """Whether sets of n and m members with so many in common are alike."""
+        return both * (self.part + self.whole) >= (n + m) * self.part
+
+    def sizes(self, n: str, m: str) -> Column:
+        """Whether sets of these sizes can be alike."""
+        return self.holds(F.least(n, m), F.col(n), F.col(m))
+
+    def rest(self, n: str) -> Column:
+        """Members beyond the prefix."""
+        return F.ceil(F.col(n) * self.part / self.whole) - 1
+
+    def guest(self, n: Column, band: Column) -> Column:
+        """Whether a set of a band below can be alike to one of ``band``."""
+        return n * self.whole >= F.call_function("shiftleft", F.lit(1).cast("long"), band) * self.part
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -105,7 +145,15 @@ def common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.asarray(kept.select("h").toArrow().column("h"), np.int64))
 
 
-def prefixes(docs: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
+def common_last(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """A sorted set in the order that leaves the common shingles for the end."""
+    last = np.zeros(len(s), bool)
+    if len(common) and len(s):
+        last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+    return np.concatenate([s[~last], s[last]])
+
+
+def prefixes(docs: DataFrame, shingle: int, common: np.ndarray, like: Likeness) -> DataFrame:
     """(doc_id, set_id, n, head): each row's number, the size of its set, and the shingles in its prefix; stored."""
     shipped = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -113,12 +161,7 @@ def prefixes(docs: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
         common = shipped.value
         for rows in in_slices(batches, SLICE):
             ids, sets = shingle_sets(rows.column("text"), shingle)
-            heads = []
-            for s in sets:
-                last = np.zeros(len(s), bool)
-                if len(common) and len(s):
-                    last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                heads.append(np.concatenate([s[~last], s[last]])[: len(s) // 5 + 1])
+            heads = [common_last(s, common)[: like.prefix(len(s))] for s in sets]
             size = np.array([len(s) for s in sets], np.int32)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids), pa.array(size), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "set_id", "n", "head"])
 
@@ -126,19 +169,58 @@ def prefixes(docs: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
     return materialise(docs.select("doc_id", "text").mapInArrow(index, f"doc_id {kind}, set_id long, n int, head array<long>"), "prefixes")
 
 
-def shared_prefixes(index: DataFrame) -> DataFrame:
-    """(key, id, n, rows): the prefix shingles that several sets have, each with the number of its sets; stored."""
-    one = index.select(F.col("set_id").alias("id"), "n", "head").select("id", "n", F.explode_outer("head").alias("key"))
-    shared = one.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("key is not null and least <> most").select("key")
-    hits = materialise(one.join(shared, "key").distinct(), "shared-prefixes")
-    counted = materialise(hits.join(hits.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key"), "shared-prefixes")
+def shared_tiles(index: DataFrame, like: Likeness) -> DataFrame:
+    """(key, h, id, n, guest, rows): the tiles that several sets share, each with the number of its sets; stored."""
+    one = index.select(F.col("set_id").alias("id"), "n", F.explode_outer("head").alias("h")).filter("h is not null")
+    shared = one.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most").select("h")
+    band = F.length(F.bin("n")) - 1
+    own = F.struct(band.alias("band"), F.lit(False).alias("guest"))
+    above = F.when(like.guest(F.col("n"), band + 1), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))
+    hits = one.join(shared, "h").distinct().withColumn("at", F.explode(F.array_compact(F.array(own, above))))
+    hits = materialise(hits.select(F.xxhash64("h", "at.band").alias("key"), "h", "id", "n", "at.guest"), "shared-tiles")
+    sizes = hits.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(~F.col("guest"), 1)).alias("home")).filter("rows > 1 and home > 0")
+    counted = materialise(hits.join(sizes.select("key", "rows"), "key"), "shared-tiles")
     discard(hits)
     return counted
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(id, n, bits, shingles) of the sets in ``wanted`` (id), once each; stored."""
+def mended_prefixes(texts: DataFrame, index: DataFrame, crowded: DataFrame, ranked: DataFrame | None, common: np.ndarray, shingle: int, cap: int, like: Likeness) -> tuple[DataFrame, DataFrame]:
+    """``index`` and ``ranked`` (h, rank) after shingles are ranked by how many of the sets with a ``crowded`` shingle (h) in their prefix have them; stored.
+
+    Shingles that ``cap`` of these sets have, or fewer, keep their place before all that are ranked, and ranks once given stay.
+    So a prefix without a ranked shingle stays as it is, and all others are cut anew.
+    """
+    heads = index.select(F.col("set_id").alias("id"), F.explode("head").alias("h"))
+    holders = materialise(heads.join(crowded, "h").select("id").distinct(), "wanted")
+    counted = sets_of(texts, index, holders, shingle).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    new = counted.filter(F.col("df") > cap).select("h", F.floor(F.log2("df")).cast("int").alias("rank"))
+    ranked = materialise(new if ranked is None else ranked.unionByName(new.join(ranked, "h", "left_anti")), "ranks")
+    concerned = materialise(heads.join(ranked.select("h"), "h").select("id").distinct(), "wanted")
+    sets = sets_of(texts, index, concerned, shingle)
+    of_set = sets.select("id", F.explode("shingles").alias("h")).join(ranked, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "h"))).alias("last"))
+    shipped = texts.sparkSession.sparkContext.broadcast(common)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shipped.value
+        for batch in batches:
+            found = []
+            for s, last in zip(batch.column("shingles"), batch.column("last"), strict=True):
+                s, ranked = np.asarray(s.values), np.asarray(last.values.field("h"))
+                first = common_last(s[~np.isin(s, ranked, assume_unique=True)], common)
+                found.append(np.concatenate([first, ranked])[: like.prefix(len(s))])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["set_id", "cut"])
+
+    anew = sets.select("id", "shingles").join(of_set, "id").select("id", "shingles", "last").mapInArrow(cut, "set_id long, cut array<long>")
+    anew = materialise(anew, "cut-anew")
+    return materialise(index.join(anew, "set_id", "left").select("doc_id", "set_id", "n", F.coalesce("cut", "head").alias("head")), "prefixes"), ranked
+
+
+def sets_of(texts: DataFrame, index: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(id, n, bits, shingles) of the sets in ``wanted`` (id), once each; stored. Where they are few, only texts of those rows are read on."""
     few = wanted.count() <= SHIPPED
+    if few:
+        rows = index.select("doc_id", F.col("set_id").alias("id")).join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").dropna().distinct()
+        texts = texts.filter("doc_id is not null").join(small(rows, fits(rows, 256 << 20)), "doc_id", "left_semi").select("text").unionByName(texts.filter("doc_id is null").select("text"))
     shipped = texts.sparkSession.sparkContext.broadcast(np.sort(np.asarray(wanted.toArrow().column("id"), np.int64)) if few else None)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,78 +243,91 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view("<i8")
 
 
-def similar(both: Column, n: Column, m: Column) -> Column:
-    """Whether sets of n and m members with so many in common have a similarity of 4/5 or more."""
-    return both * 9 >= (n + m) * 4
-
-
-def near_bits() -> Column:
+def near_bits(like: Likeness) -> Column:
     """Whether the bitmaps of a pair (n_a, bits_a, n_b, bits_b) leave room for the similarity: a bit that only one has stands for a shingle that only it has."""
     alone = lambda one, other: sum((F.bit_count(F.col(one)[i].bitwiseAND(F.bitwise_not(F.col(other)[i]))) for i in range(BITS // 64)), F.lit(0))
     most = F.least(F.col("n_a") - alone("bits_a", "bits_b"), F.col("n_b") - alone("bits_b", "bits_a"))
-    return similar(most, F.col("n_a"), F.col("n_b"))
+    return like.holds(most, F.col("n_a"), F.col("n_b"))
+
+
+def shared_members(pairs: DataFrame) -> DataFrame:
+    """(a, b, n, m, both) of pairs with their sorted sets s and t: their sizes and what they have in common."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for s, t in zip(batch.column("s"), batch.column("t"), strict=True):
+                s, t = np.asarray(s.values), np.asarray(t.values)
+                s, t = (s, t) if len(s) <= len(t) else (t, s)
+                found.append(int(np.count_nonzero(t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s)) if len(s) else 0)
+            sizes = [pa.array([len(x) for x in batch.column(c)], pa.int64()) for c in "st"]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *sizes, pa.array(found, pa.int64())], names=["a", "b", "n", "m", "both"])
+
+    return pairs.select("a", "b", "s", "t").mapInArrow(count, "a long, b long, n long, m long, both long")
 
 
-def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a similarity of 4/5 or more; stored."""
+def verified(sets: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b) whose whole sets are alike; stored."""
     pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
     marked = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    near = materialise(pairs.join(marked("a"), "a").join(marked("b"), "b").filter(near_bits()).select("a", "b"), "near-pairs")
+    near = materialise(pairs.join(marked("a"), "a").join(marked("b"), "b").filter(near_bits(like)).select("a", "b"), "near-pairs")
     full = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
-    return materialise(full.filter(similar(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b"), "links")
+    return materialise(shared_members(full).filter(like.holds(F.col("both"), F.col("n"), F.col("m"))).select("a", "b"), "links")
 
 
-def near_size(n: str, m: str) -> Column:
-    return similar(F.least(n, m), F.col(n), F.col(m))
-
-
-def rare_pairs(hits: DataFrame, cap: int) -> DataFrame:
-    """Pairs that share enough prefix shingles, paired by those of ``cap`` sets at most.
+def rare_pairs(hits: DataFrame, cap: int, like: Likeness) -> DataFrame:
+    """Pairs that share enough tiles, paired by those of ``cap`` sets at most.
 
     Common members up to the earlier prefix end are in both prefixes, so what two sets
-    share is at most the shared prefix shingles and the rest of one of them. Crowded
-    shingles count as shared where both have them to spare.
+    share is at most the shared tiles and the rest of one of them. Crowded tiles count as
+    shared where both have them to spare. Two guests of a tile are at home in another.
     """
     crowded = hits.filter(F.col("rows") > cap).groupBy("id").agg(F.count(F.lit(1)).alias("crowded"))
-    rows = hits.filter(F.col("rows") <= cap).join(crowded, "id", "left").select("key", "id", "n", F.coalesce("crowded", F.lit(0)).alias("crowded"))
-    a, b = (rows.select("key", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("crowded").alias(f"crowded_{x}")) for x in "ab")
-    met = a.join(b, "key").filter((F.col("a") < F.col("b")) & near_size("n_a", "n_b"))
+    rows = hits.filter(F.col("rows") <= cap).join(crowded, "id", "left").select("key", "id", "n", "guest", F.coalesce("crowded", F.lit(0)).alias("crowded"))
+    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "guest", "crowded")), F.col("id").alias(x)) for x in "ab")
+    met = a.join(b, "key").filter((F.col("a") < F.col("b")) & ~(F.col("guest_a") & F.col("guest_b")) & like.sizes("n_a", "n_b"))
     shared = met.groupBy("a", "b", "n_a", "n_b", "crowded_a", "crowded_b").agg(F.count(F.lit(1)).alias("shared"))
-    rest = lambda n: F.col(n) - F.floor(F.col(n) / 5) - 1
-    most = F.col("shared") + F.least("crowded_a", "crowded_b") + F.greatest(rest("n_a"), rest("n_b"))
-    return shared.filter(similar(most, F.col("n_a"), F.col("n_b"))).select("a", "b")
+    most = F.col("shared") + F.least("crowded_a", "crowded_b") + F.greatest(like.rest("n_a"), like.rest("n_b"))
+    return shared.filter(like.holds(most, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
-def crowded_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes, by the crowded shingles (key, id, n, root) they share, that may have the similarity.
+def crowded_pairs(rows: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs (a, b) of different classes, by the crowded tiles (key, id, n, root) they share, that may be alike.
 
-    ``sets`` has id, bits, crowded (all crowded shingles in its prefix) and rare (how many
-    others it shares with any set). A pair is made by the least crowded shingle that both
-    have, and only if their bitmaps allow it.
+    ``sets`` has id, bits, crowded (all crowded tiles that it is in) and rare (how many
+    others it shares with any set). A pair is made by the least crowded tile that both
+    are in, and only if their bitmaps allow it.
     """
     blocked = rows.join(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "key").join(sets, "id")
     own, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     side = lambda x, one, two: blocked.withColumn(one, own).withColumn(two, every).select("key", "i", "j", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "root", "crowded", "rare", "bits")))
     both = F.array_intersect("crowded_a", "crowded_b")
-    rest = lambda n: F.col(n) - F.floor(F.col(n) / 5) - 1
-    most = F.size(both) + F.least("rare_a", "rare_b") + F.greatest(rest("n_a"), rest("n_b"))
+    most = F.size(both) + F.least("rare_a", "rare_b") + F.greatest(like.rest("n_a"), like.rest("n_b"))
     a, b = side("a", "i", "j"), side("b", "j", "i")
-    open_pair = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near_size("n_a", "n_b")
-    meets = (a["key"] == b["key"]) & (a["i"] == b["i"]) & (a["j"] == b["j"]) & open_pair & similar(most, F.col("n_a"), F.col("n_b")) & (F.array_min(both) == a["key"]) & near_bits()
+    open_pair = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & like.sizes("n_a", "n_b")
+    meets = (a["key"] == b["key"]) & (a["i"] == b["i"]) & (a["j"] == b["j"]) & open_pair & like.holds(most, F.col("n_a"), F.col("n_b")) & (F.array_min(both) == a["key"]) & near_bits(like)
     return a.join(b, meets).select("a", "b")
 
 
-def links(texts: DataFrame, index: DataFrame, shingle: int = 5, cap: int = 64) -> DataFrame:
-    """Pairs (a, b) of set ids, enough of them to connect all of a similarity of 4/5 or more; stored."""
-    hits = shared_prefixes(index)
-    rare = materialise(rare_pairs(hits, cap), "candidates")
+def links(texts: DataFrame, index: DataFrame, common: np.ndarray, shingle: int = 5, cap: int = 64, like: Likeness = Likeness()) -> DataFrame:
+    """Pairs (a, b) of set ids, enough of them to connect all that are alike; stored."""
+    hits = shared_tiles(index, like)
+    ranked = None
+    for _ in range(MENDED):
+        crowded = hits.filter(F.col("rows") > cap).select("h").distinct()
+        crowded = materialise(crowded if ranked is None else crowded.join(ranked, "h", "left_anti"), "crowded-shingles")
+        if crowded.isEmpty():
+            break
+        index, ranked = mended_prefixes(texts, index, crowded, ranked, common, shingle, cap, like)
+        discard(hits)
+        hits = shared_tiles(index, like)
+    rare = materialise(rare_pairs(hits, cap, like), "candidates")
     members = materialise(hits.filter(F.col("rows") > cap).select("key", "id", "n"), "crowded-members")
     wide = hits.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("rows") > cap, F.col("key")))).alias("crowded"), F.count(F.when(F.col("rows") <= cap, 1)).alias("rare"))
     wide = materialise(wide, "crowded-sets")
     discard(hits)
     wanted = materialise(rare.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct(), "wanted")
-    sets = sets_of(texts, wanted, shingle)
-    found = verified(sets, rare)
+    sets = sets_of(texts, index, wanted, shingle)
+    found = verified(sets, rare, like)
     for turn in range(ROUNDS + 1):
         roots = connected_components(found).withColumnRenamed("node", "id")
         now = materialise(members.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")), "crowded")
@@ -242,29 +337,45 @@ def links(texts: DataFrame, index: DataFrame, shingle: int = 5, cap: int = 64) -
             break
         if turn < ROUNDS:
             first = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("id"), F.struct(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a")).alias("x"))).alias("m")).select("key", "m.x.*")
-            met = first.join(rows.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), "key").filter((F.col("root_a") != F.col("root_b")) & near_size("n_a", "n_b"))
+            met = first.join(rows.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), "key").filter((F.col("root_a") != F.col("root_b")) & like.sizes("n_a", "n_b"))
             pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
-            pairs = crowded_pairs(rows, wide.join(sets.select("id", "bits"), "id"))
-        found = materialise(found.unionByName(verified(sets, pairs)), "links")
+            pairs = crowded_pairs(rows, wide.join(sets.select("id", "bits"), "id"), like)
+        found = materialise(found.unionByName(verified(sets, pairs, like)), "links")
     return found
 
 
-def similar_text_classes(docs: DataFrame, shingle: int = 5, cap: int = 64) -> DataFrame:
-    """(doc_id, set_id, class_id) of each row; a class is what similarities of 4/5 or more reach.
+def similar_text_classes(docs: DataFrame, shingle: int = 5, cap: int = 64, like: Likeness = Likeness()) -> DataFrame:
+    """(doc_id, set_id, n, class_id) of each row, n the size of its set; a class is what likenesses (by default similarities of 4/5 or more) reach.
 
     Null and empty texts, and those of white space, have no shingles and are one class.
     Repeated rows are each reported; other columns are ignored. An empty table gives no
     rows. Only the result stays stored.
     """
+    docs = docs.select("doc_id", "text")
     with scope(docs.sparkSession) as kept:
-        index = prefixes(docs, shingle, common_shingles(docs, shingle))
-        roots = connected_components(links(docs, index, shingle, cap)).withColumnRenamed("node", "set_id")
-        classes = materialise(index.select("doc_id", "set_id").join(roots, "set_id", "left").select("doc_id", "set_id", F.coalesce("root", "set_id").alias("class_id")), "classes")
+        common = common_shingles(docs, shingle)
+        index = prefixes(docs, shingle, common, like)
+        roots = connected_components(links(docs, index, common, shingle, cap, like)).withColumnRenamed("node", "set_id")
+        classes = materialise(index.select("doc_id", "set_id", "n").join(roots, "set_id", "left").select("doc_id", "set_id", "n", F.coalesce("root", "set_id").alias("class_id")), "classes")
         kept.append(classes)
     return classes
 
 
+def jaccard_components(docs: DataFrame, shingle: int = 3, cap: int = 64, like: Likeness = Likeness(9, 10)) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row: the size of its set of shingles, and the least doc_id that likenesses reach.
+
+    Texts without words have empty sets and are linked with nothing, not even with each
+    other. A null doc_id is never the least one unless its class has no other. Repeated rows
+    are each reported and linked; other columns are ignored; an empty table gives no rows.
+    """
+    classes = similar_text_classes(docs, shingle, cap, like)
+    linked = classes.filter("n > 0")
+    least = linked.groupBy("class_id").agg(F.min("doc_id").alias("component_id"))
+    found = linked.join(least, "class_id").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return found.unionByName(classes.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
 def without_near_copies(docs: DataFrame, shingle: int = 5, cap: int = 64, max_bytes: int = 32 << 20) -> DataFrame:
     """The rows of ``docs``, of each class of ``similar_text_classes`` the one of least doc_id; of repeated rows of that id, one.
 
