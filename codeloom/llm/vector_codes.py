@@ -63,7 +63,7 @@ def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def narrow(x: np.ndarray) -> bool:
     """Whether doubles hold every step of ``squares`` of such points exactly."""
-    return x.dtype != object and 8 * max(x.shape[1], 1) * float(np.abs(x).max(initial=0)) ** 2 < EXACT
+    return x.dtype != object and float(np.abs(x).max(initial=0)) < (EXACT / (8 * max(x.shape[1], 1))) ** 0.5
 
 
 def cover_tree(points: np.ndarray) -> CoverTree:
@@ -240,10 +240,10 @@ def digits(value: int) -> list[int]:
     return [*found, value]
 
 
-def as_numbers(book: list[list[int]]) -> np.ndarray:
+def as_numbers(book: list[list[int]], width: int) -> np.ndarray:
     """A codebook of doubles where these do, else of Python integers."""
     most = max((abs(v) for row in book for v in row), default=0)
-    return np.array(book, np.float64 if most < EXACT else object).reshape(len(book), -1)
+    return np.array(book, np.float64 if most < EXACT else object).reshape(len(book), width)
 
 
 def assigned(tile: dict, books: list[np.ndarray], edges: list[int], scale: int) -> Iterator[tuple[np.ndarray, np.ndarray, CoverTree | None]]:
@@ -310,7 +310,7 @@ def lloyd_round(tiles: DataFrame, books: list[np.ndarray], edges: list[int], sca
             if (part, e) in found:
                 n, *sums = found[part, e]
                 rows[e] = [s // n for s in sums[: len(rows[e])]]
-        moved.append(as_numbers(rows))
+        moved.append(as_numbers(rows, book.shape[1]))
     return moved
 
 
@@ -374,9 +374,9 @@ def vector_codes(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds:
     edges = cuts(length, parts)
     seeds = [list(r["embedding"]) for r in kept.orderBy(F.col("vec_id").asc_nulls_last(), "embedding").limit(entries).collect()]
     seeds = whole_numbers(np.array(seeds, np.float64).reshape(len(seeds), length), scale)
-    books = [as_numbers([[int(v) for v in row] for row in seeds[:, a:b].tolist()]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    books = [as_numbers([[int(v) for v in row] for row in seeds[:, a:b].tolist()], b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     tiles = tree_tiles(kept, length, parts, scale)
-    if seeds.size or len(seeds):
+    if len(seeds):
         books = train_codebooks(tiles, books, edges, scale, rounds)
     coded = materialise(encode(tiles, books, edges, scale), "vector-codes")
     name = fresh(coded, "label_error")

@@ -1,7 +1,8 @@
 import random
 
 import corpus_pipeline
-from codeloom.llm.set_join import similar_text_classes
+from codeloom.llm import set_join
+from codeloom.llm.set_join import Likeness, jaccard_components, similar_text_classes
 from codeloom.sources.tables import table
 from tests.llm.data import documents
 
@@ -66,3 +67,57 @@ def test_awkward_rows_and_sample_match_brute_force(spark):
     for df in (docs, table(spark, "/root/testdata/sf0.001", "documents")):
         got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
         assert got == slow_kept({(r["doc_id"], r["text"]) for r in df.collect()})
+
+
+def slow_components(rows, k=3):
+    """(doc_id, set size, least doc_id reached) by brute-force Jaccard of 0.9; texts without words reach themselves."""
+    sets, root = [shingles(t, k) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return sorted((repr(d), len(sets[i]), repr(least.get(find(i)))) for i, (d, _) in enumerate(rows))
+
+
+def test_components_match_brute_force(spark):
+    docs = documents(spark)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    words = [f"w{i}" for i in range(120)]
+    more = [(1000 + i, altered(words[: 60 + i % 60], i % 5, i)) for i in range(150)]
+    df = docs.select("doc_id", "text", "shard").unionByName(spark.createDataFrame([(*r, 1) for r in more], "doc_id long, text string, shard int"))
+    for cap in (3, 64):
+        got = sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"])) for r in jaccard_components(df, cap=cap).collect())
+        assert got == slow_components(rows + more)
+    assert jaccard_components(df.limit(0)).count() == 0
+
+
+def template_pages(n):
+    """Pages of one template, a third of whose words are their own, in ten places; no two are alike."""
+    words = [f"w{i}" for i in range(300)]
+    def page(i):
+        pick = random.Random(i)
+        return " ".join(w if at % 30 < 20 else f"own{pick.random()}" for at, w in enumerate(words))
+    return [(i, page(i)) for i in range(n)]
+
+
+def test_template_pages_meet_nowhere(spark, monkeypatch):
+    """Shingles that every page has are ranked out of the prefixes, so what is compared doesn't grow with the pages."""
+    monkeypatch.setattr(set_join, "COMMON", 0)
+    compared = []
+    monkeypatch.setattr(set_join, "verified", lambda sets, pairs, like, own=set_join.verified: (compared.append(pairs.count()), own(sets, pairs, like))[1])
+    for n in (150, 600):
+        df = spark.createDataFrame(template_pages(n) + [(n, template_pages(1)[0][1] + " x")], "doc_id long, text string")
+        classes = similar_text_classes(df, like=Likeness(4, 5)).groupBy("class_id").count().collect()
+        assert sorted(r["count"] for r in classes) == [1] * (n - 1) + [2]
+    assert sum(compared) < 20
