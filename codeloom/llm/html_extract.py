@@ -196,11 +196,14 @@ def blocks(page: str, root: Path | None = None) -> list[Block]:
     return read.out
 
 
-@lru_cache(maxsize=50_000)
 def element_names(tag: str, attributes: str) -> tuple[str, ...]:
-    """The tag, the parts of class and id names, the role, and whether it is hidden, once each; of very long attributes the start."""
+    """The tag, the parts of class and id names, the role, and whether it is hidden, once each; those of ordinary length are kept at hand."""
+    return (short_names if len(attributes) <= 4096 else all_names)(tag, attributes)
+
+
+def all_names(tag: str, attributes: str) -> tuple[str, ...]:
     names = [tag]
-    for name, *values in ATTRIBUTE.findall(attributes[:4096]) if attributes else ():
+    for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), next(filter(None, values), "")
         if name in ("class", "id"):
             names += [f".{x.lower()}" for x in NAME_PARTS.findall(value)]
@@ -211,6 +214,9 @@ def element_names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(names))
 
 
+short_names = lru_cache(maxsize=50_000)(all_names)
+
+
 def path_features(path: Path) -> list[str]:
     """Names of all ancestors, and of the nearest ones with their distance; inline elements don't count."""
     found, near, at = set(), 0, path

@@ -7,10 +7,16 @@ Each adds to the classes' add-one counts the weights of its features: the token
 (the 2-gram) and the one before that (a skip), each hashed with the class into a table of
 weights. With all weights zero the model is the add-one unigram model.
 
-Counts cover every training text, and every place of every training text trains:
-tasks run adaptive gradient steps from common weights, which Spark then averages by
-what each task learnt about them. Texts are tokenised twice, once to count and once to
-number their tokens; training and scoring read the stored numbers.
+Counts cover every training text, and every place of every training text trains. The
+rows are dealt into batches. For a batch all tasks sum up, at common weights, the errors
+of the steps that met a weight and the number of these steps; Spark adds up the sums in a
+tree, and each weight moves by its error and the slope of a penalty on its square, over a
+quarter of its steps (the most that the loss can curve) and the penalty. So a weight that
+few steps met stays small, and the more evidence there is for it the freer it is. A part of
+the training rows is watched: passes over the batches go on while these rows grow
+likelier, and the last step is theirs.
+Texts are tokenised twice, once to count and once to number their tokens; training and
+scoring read the stored numbers.
 
 Frequent tokens travel to the tasks in arrays of bounded length. All others share a
 leaf, below which they go by their counts, joined in.
@@ -22,7 +28,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -34,12 +39,16 @@ from codeloom.sources.scratch import materialise
 
 #: Tokens before a place that its features see, and the features.
 BACK, FEATURES = 2, 2
-#: Bytes of text that a task encodes at once; places that it scores, and that it learns from, at once.
-SLICE, PLACES, STEP_PLACES = 1 << 21, 8192, 1 << 16
-#: Tokens that a task learns from before its weights are averaged with those of others, and weights that travel in a row.
-TASK_TOKENS, PART = 1 << 24, 1 << 16
-#: What the squared gradients of a weight start from.
-START = 0.05
+#: Bytes of text that a task encodes at once, and places that it scores or learns from at once.
+SLICE, PLACES = 1 << 21, 8192
+#: Tokens that a task sums up, weights that travel in a row, and sums that are added up in turn in the tree's first level.
+TASK_TOKENS, PART, SALTS = 1 << 24, 1 << 16, 16
+#: Batches of a pass beside the watched rows, as many as make a batch of so many tokens, and tokens of all passes unless one pass has more.
+BATCHES, BATCH_TOKENS, ALL_TOKENS, PASSES = 7, 1 << 20, 1 << 24, 4
+#: Step over the curvature's bound, and the penalty on half of a weight's square.
+RATE, PENALTY = 0.6, 4.0
+#: Rows that are no batch: of a pass's end, and not to learn from.
+WATCHED, HELD_OUT = -1, -2
 #: Leaves that are no token: the end of a text, and all tokens that aren't frequent.
 END, OTHER = 0, 1
 
@@ -164,7 +173,7 @@ def vocabulary(counts: DataFrame, ends: int, frequent: int) -> tuple[Vocabulary,
 
 
 def numbered_texts(docs: DataFrame, words: Vocabulary, keep: list[str]) -> DataFrame:
-    """rid, the columns ``keep``, leaves (of the tokens and the end), known and logs of the frequent tokens, and the other tokens' hashes with their counts (rare, times); stored."""
+    """rid, batch, the columns ``keep``, leaves (of the tokens and the end), known and logs of the frequent tokens, and the other tokens' hashes with their counts (rare, times); stored."""
     shipped = docs.sparkSession.sparkContext.broadcast(words)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +205,11 @@ def numbered_texts(docs: DataFrame, words: Vocabulary, keep: list[str]) -> DataF
             rid += len(lengths)
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return materialise(docs.select(*keep, "text").mapInArrow(number, f"rid long, {kinds}, leaves array<int>, known long, logs double, rare array<long>, times array<long>"), "numbered-texts")
+    numbered = docs.select(*keep, "text").mapInArrow(number, f"rid long, {kinds}, leaves array<int>, known long, logs double, rare array<long>, times array<long>")
+    n = batches_of(words.tokens)
+    batch = F.pmod(F.xxhash64("rid"), F.lit(n + 1)).cast("int")
+    learnt = F.when(batch < n, batch).otherwise(WATCHED)
+    return materialise(numbered.withColumn("batch", F.when(F.col("held_out"), HELD_OUT).otherwise(learnt) if "held_out" in keep else learnt), "numbered-texts", ["batch"])
 
 
 def flat_leaves(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -251,71 +264,105 @@ def taken(odds: np.ndarray, second: np.ndarray | bool) -> np.ndarray:
     return 1 / (1 + np.exp(np.where(second, -odds, odds)))
 
 
-def gradient_step(tree: Tree, weights: np.ndarray, memory: np.ndarray, g: np.ndarray, c: np.ndarray, at: np.ndarray, rate: float) -> None:
-    """One adaptive gradient step on a batch of places, in place; ``g`` is room for the gradient."""
-    g[:] = 0
+def add_errors(tree: Tree, weights: np.ndarray, c: np.ndarray, at: np.ndarray, errors: np.ndarray, steps: np.ndarray) -> float:
+    """Add each step's error and its number to what it met of ``errors`` and ``steps``; the loss of the places."""
+    loss = 0.0
     for begin in range(0, len(at), PLACES):
         _, odds, second, rows = decisions(tree, weights, c, at[begin : begin + PLACES])
-        error = taken(odds, True) - second
+        chosen = taken(odds, second)
+        loss -= float(np.log(chosen, dtype=np.float64).sum())
+        error = np.where(second, chosen - 1, 1 - chosen)
         for r in rows:
-            np.add.at(g, r, error)
-    for begin in range(0, len(g), PART):  # in parts that stay in the processor's cache
-        part, seen = g[begin : begin + PART], memory[begin : begin + PART]
-        seen += part * part
-        weights[begin : begin + PART] -= part * (rate / np.sqrt(seen))
+            np.add.at(errors, r, error)
+            np.add.at(steps, r, np.float32(1))
+    return loss
 
 
-def train_round(texts: DataFrame, tree: Tree, weights: np.ndarray, rate: float, tokens: int) -> np.ndarray:
-    """Every task takes gradient steps from ``weights`` at each place of its texts; the results are averaged by their summed squared gradients.
+def summed_errors(texts: DataFrame, tree: Tree, weights: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """The errors and the numbers of the steps that met each weight, summed over all places of the texts, and the loss.
 
-    A task sends back as much as the table of weights, so there are only as many tasks as
-    keep all cores at work and have about TASK_TOKENS each; of ``tokens`` in all.
+    A task sends as much as the table of weights twice, so there are only as many tasks as
+    keep all cores at work and have about TASK_TOKENS each; of ``tokens`` in all. Their rows
+    are added up one after another, by part and salt first and then by part, so that no
+    worker holds more than one sum of each part.
     """
     sc = texts.sparkSession.sparkContext
     shipped = sc.broadcast((tree, weights))
     tasks = sc.defaultParallelism * max(1, -(-tokens // (TASK_TOKENS * sc.defaultParallelism)))
-    kinds = "part int, w binary, m binary"
+    kinds = "part int, salt int, errors binary, steps binary, loss double"
+
+    def rows_of(sums: dict[int, tuple[np.ndarray, np.ndarray, float]], salt: int) -> Iterator[pa.RecordBatch]:
+        for part, (errors, steps, loss) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([salt], pa.int32()), pa.array([errors.astype(np.float32).tobytes()]), pa.array([steps.astype(np.float32).tobytes()]), pa.array([loss])], names=["part", "salt", "errors", "steps", "loss"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, own = shipped.value
-        own = own.copy()
-        memory, room = np.full(len(own), START, np.float32), np.zeros(len(own), np.float32)
-        waiting, size = [], 0
+        errors, steps, loss = np.zeros(len(own), np.float32), np.zeros(len(own), np.float32), 0.0
+        seen = False
         for batch in batches:
             for begin in range(0, batch.num_rows, 64):
                 lengths, c = flat_leaves(batch.column("leaves").slice(begin, 64))
-                waiting.append((lengths, c))
-                size += len(c)
-                if size >= STEP_PLACES:
-                    learn_from(tree, own, memory, room, waiting, rate)
-                    waiting, size = [], 0
-        learn_from(tree, own, memory, room, waiting, rate)
-        for i, at in enumerate(range(0, len(own), PART)):
-            w, m = own[at : at + PART], np.sqrt(memory[at : at + PART] - START)
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.where(m > 0, w, 0).astype(np.float16).tobytes()]), pa.array([m.astype(np.float16).tobytes()])], names=["part", "w", "m"])
-
-    def mix(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        w, m = (np.stack([np.frombuffer(x, np.float16).astype(np.float32) for x in group[c]]) for c in ("w", "m"))
-        m = np.minimum(m, 6e4) ** 2
-        total = m.sum(axis=0)
-        mean = (w * m).sum(axis=0) / np.maximum(total, 1e-20)
-        return pd.DataFrame({"part": [key[0]], "w": [mean.astype(np.float32).tobytes()], "m": [(total > 0).tobytes()]})
-
-    learnt = texts.select("leaves").coalesce(tasks).mapInArrow(learn, kinds)
-    mixed = weights.copy()
-    for row in learnt.groupBy("part").applyInPandas(mix, kinds).toLocalIterator():
-        at, seen = row["part"] * PART, np.frombuffer(row["m"], bool)
-        mixed[at : at + len(seen)] = np.where(seen, np.frombuffer(row["w"], np.float32), mixed[at : at + len(seen)])
-    return mixed
-
-
-def learn_from(tree: Tree, weights: np.ndarray, memory: np.ndarray, room: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray]], rate: float) -> None:
-    """Steps over all places of some texts, in turn."""
-    if texts:
-        lengths, c = np.concatenate([x for x, _ in texts]), np.concatenate([x for _, x in texts])
-        places = places_of(lengths)
-        for at in range(0, len(places), STEP_PLACES):
-            gradient_step(tree, weights, memory, room, c, places[at : at + STEP_PLACES], rate)
+                loss += add_errors(tree, own, c, places_of(lengths), errors, steps)
+                seen = True
+        if seen:
+            salt = TaskContext.get().partitionId() % SALTS
+            yield from rows_of({i: (errors[at : at + PART], steps[at : at + PART], 0.0 if i else loss) for i, at in enumerate(range(0, len(own), PART))}, salt)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for part, salt, e, n, loss in zip(*(batch.column(c) for c in ("part", "salt", "errors", "steps", "loss")), strict=True):
+                new = [np.frombuffer(e.as_buffer(), np.float32).astype(np.float64), np.frombuffer(n.as_buffer(), np.float32).astype(np.float64), loss.as_py()]
+                old = sums.setdefault((part.as_py(), salt.as_py()), new)
+                if old is not new:
+                    for i, x in enumerate(new):
+                        old[i] += x
+        for (part, salt), one in sums.items():
+            yield from rows_of({part: tuple(one)}, salt)
+
+    sent = texts.select("leaves").coalesce(tasks).mapInArrow(learn, kinds)
+    by_salt = sent.repartition("part", "salt").mapInArrow(add, kinds).withColumn("salt", F.lit(0))
+    total = by_salt.repartition("part").mapInArrow(add, kinds)
+    errors, steps, loss = np.zeros(len(weights), np.float32), np.zeros(len(weights), np.float32), 0.0
+    for row in total.toLocalIterator():
+        at = row["part"] * PART
+        errors[at : at + PART], steps[at : at + PART] = np.frombuffer(row["errors"], np.float32), np.frombuffer(row["steps"], np.float32)
+        loss += row["loss"]
+    return errors, steps, loss
+
+
+def moved(weights: np.ndarray, errors: np.ndarray, steps: np.ndarray, rate: float, penalty: float, share: float = 1.0) -> np.ndarray:
+    """The weights after a step: down their errors and the ``share`` of the penalty that is a batch's, by the most that these can curve."""
+    return weights - np.float32(rate) * (errors + np.float32(share * penalty) * weights) / (steps / 4 + np.float32(penalty))
+
+
+def train_round(texts: DataFrame, tree: Tree, weights: np.ndarray, rate: float, tokens: int, penalty: float = PENALTY, share: float = 1.0) -> np.ndarray:
+    """The weights after one step by the summed errors of all places of the texts."""
+    errors, steps, _ = summed_errors(texts, tree, weights, tokens)
+    return moved(weights, errors, steps, rate, penalty, share)
+
+
+def batches_of(tokens: int) -> int:
+    return max(1, min(BATCHES, tokens // BATCH_TOKENS))
+
+
+def train(texts: DataFrame, tree: Tree, bits: int, tokens: int, passes: int | None = None, rate: float = RATE, penalty: float = PENALTY) -> np.ndarray:
+    """Weights after passes over the batches of the training texts; ``tokens`` in all.
+
+    By default passes go on while the watched rows grow likelier, within PASSES passes and
+    ALL_TOKENS tokens, but for the first pass. The watched rows' own step comes last.
+    """
+    batches = batches_of(tokens)
+    most = max(1, min(PASSES, ALL_TOKENS // max(tokens, 1))) if passes is None else passes
+    weights, best = np.zeros(1 << bits, np.float32), None
+    for _ in range(most):
+        for batch in range(batches):
+            weights = train_round(texts.filter(F.col("batch") == batch), tree, weights, rate, tokens // (batches + 1), penalty, 1 / (batches + 1))
+        errors, steps, loss = summed_errors(texts.filter(F.col("batch") == WATCHED), tree, weights, tokens // (batches + 1))
+        if passes is None and best is not None and loss >= best[0]:
+            break
+        best = (loss, moved(weights, errors, steps, rate, penalty, 1 / (batches + 1)))
+    return weights if best is None else best[1]
 
 
 def model_scores(texts: DataFrame, tree: Tree, weights: np.ndarray, keep: list[str]) -> DataFrame:
@@ -341,13 +388,14 @@ def model_scores(texts: DataFrame, tree: Tree, weights: np.ndarray, keep: list[s
     return texts.select(*keep, "leaves").mapInArrow(score, f"{kinds}, model double")
 
 
-def language_model_scores(docs: DataFrame, train_on: Column, frequent: int = 262_144, rounds: int = 1, bits: int = 21, rate: float = 0.6) -> DataFrame:
+def language_model_scores(docs: DataFrame, train_on: Column, frequent: int = 262_144, rounds: int | None = None, bits: int = 21) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     Learns from rows for which ``train_on`` holds. ``base_score`` is the add-one unigram
     log10 probability, ``score`` the model's. A text's tokens are its words and one end.
     ``frequent`` bounds the arrays that are sent to the tasks, not what is counted, and
-    ``2**bits`` weights are learnt in ``rounds`` passes over every place. Null
+    ``2**bits`` weights are learnt in ``rounds`` passes over every place, by default in as
+    many as make a watched part of the training rows likelier. Null
     texts are empty: one end. Without training rows nothing is known and both scores go by
     counts of zero. Repeated rows each count and are each scored; other columns are
     ignored. An empty table gives no rows.
@@ -358,9 +406,7 @@ def language_model_scores(docs: DataFrame, train_on: Column, frequent: int = 262
     ends = training.select("doc_id").count()
     words, tree, others = vocabulary(counts, ends, frequent)
     texts = numbered_texts(rows, words, ["doc_id", "held_out"])
-    weights = np.zeros(1 << bits, np.float32)
-    for _ in range(rounds):
-        weights = train_round(texts.filter(~F.col("held_out")), tree, weights, rate, words.tokens)
+    weights = np.zeros(1 << bits, np.float32) if rounds == 0 or not ends else train(texts, tree, bits, words.tokens, rounds)
     scored = model_scores(texts.withColumn("n_tokens", F.size("leaves").cast("long")), tree, weights, ["rid", "doc_id", "held_out", "n_tokens", "known", "logs"])
     rare = texts.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("rid", F.col("z.rare").alias("h"), F.col("z.times").alias("times"))
     found = rare.join(others, "h").groupBy("rid").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"))

@@ -377,7 +377,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, cap: int = 64, like: L
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5, cap: int = 64, max_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of ``docs``, of each class of ``similar_text_classes`` the one of least doc_id; of repeated rows of that id, one.
+    """The rows of ``docs``, of each class of ``similar_text_classes`` the one of least doc_id; of several rows of that id with equal words, the one of least text and then of least other columns as JSON.
 
     Texts are shuffled only where what goes doesn't fit into ``max_bytes``, and those of
     repeated rows.
@@ -396,5 +396,8 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, cap: int = 64, max_by
     kept = rows.join(small(gone, fits(gone, max_bytes, mark)), mark, "left_anti")
     if not again.isEmpty():
         fit = fits(again, max_bytes, mark)
-        kept = kept.join(small(again, fit), mark, "left_anti").unionByName(kept.join(small(again, fit), mark, "left_semi").dropDuplicates([mark]))
+        row = F.struct(*docs.columns)
+        order = F.struct("text", F.to_json(F.struct(*(c for c in docs.columns if c != "text"))))
+        one = kept.join(small(again, fit), mark, "left_semi").groupBy(mark).agg(F.min_by(row, order).alias(mark + "row")).select(mark + "row.*")
+        kept = kept.join(small(again, fit), mark, "left_anti").select(*docs.columns).unionByName(one)
     return kept.select(*docs.columns)

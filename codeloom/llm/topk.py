@@ -6,8 +6,10 @@ for each query, folds them into its running lists, and emits one list a query. T
 lists are merged in a tree: by query and a salt first, then by query.
 
 Query tiles travel to all tasks at once where their bytes are within a bound.
-Beyond it both sides are stored as tiles and joined by query group and shard, so that
-no side passes through the driver and a task holds the lists of a few groups.
+Beyond it queries are dealt into groups and vectors into shards. Each pair of a group and
+a shard is a stretch of rows in one task, the queries first: the task reads these, scores
+the shard's tiles as they come, and sends a list for each query. No side passes through
+the driver, no row carries two tiles, and a task holds one group.
 """
 
 from __future__ import annotations
@@ -151,31 +153,36 @@ def search_shipped(queries: DataFrame, rows: DataFrame, k: int, scale: int, tile
     return rows.mapInArrow(search, FOUND)
 
 
-def search_joined(queries: DataFrame, rows: DataFrame, k: int, scale: int, tile_rows: int, tile_queries: int, groups: int) -> DataFrame:
-    """The same lists where the queries are too many to ship: their tiles are dealt into groups, each vector tile goes to every group, and tasks share out the pairs by group and shard."""
-    q = tiles(queries, tile_queries).select("length", F.pmod(F.xxhash64("ids", "cells"), F.lit(groups)).alias("group"), F.xxhash64("ids", "cells").alias("q_name"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"))
-    x = tiles(rows, tile_rows).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("group", F.col("group").cast("long"))
-    pairs = x.join(q, ["length", "group"])
+def search_dealt(queries: DataFrame, rows: DataFrame, k: int, scale: int, tile_rows: int, tile_queries: int, groups: int, shards: int) -> DataFrame:
+    """The same lists where the queries are too many to ship: their tiles go to every shard, each vector tile to every group, and a task takes pairs of a group and a shard."""
+    name = F.xxhash64("ids", "cells")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    key = ["length", "group", "shard"]
+    q = tiles(queries, tile_queries).select("length", F.pmod(name, F.lit(groups)).cast("int").alias("group"), every(shards).alias("shard"), F.lit(0).alias("side"), "ids", "cells")
+    x = tiles(rows, tile_rows).select("length", every(groups).alias("group"), F.pmod(name, F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("side"), "ids", "cells")
+    dealt = q.unionByName(x).repartition(*key).sortWithinPartitions(*key, "side")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, lengths, lists = {}, {}, Lists(k)
+        own, held, query_ids, lengths, lists = None, [], {}, {}, Lists(k)
         for batch in batches:
             for r in batch.to_pylist():
-                name, length = (r["q_name"],), r["length"]
-                parts = enumerate(scaled(*unpacked(r["q_ids"], r["q_cells"], length), scale))
-                for part, (own, q) in parts:
-                    query_ids[(*name, part)], lengths[(*name, part)] = own, length
-                    for ids, v in scaled(*unpacked(r["ids"], r["cells"], length), scale):
-                        lists.fold((*name, part), own, q, ids, v)
-            if len(lists.kept) > 256:
-                yield from lists.batches(query_ids, lengths)
-                lists.kept.clear()
+                pair = (r["length"], r["group"], r["shard"])
+                if pair != own:
+                    yield from lists.batches(query_ids, lengths)
+                    own, held, query_ids, lengths, lists = pair, [], {}, {}, Lists(k)
+                for ids, v in scaled(*unpacked(r["ids"], r["cells"], r["length"]), scale):
+                    if r["side"] == 0:
+                        query_ids[(len(held),)], lengths[(len(held),)] = ids, r["length"]
+                        held.append(((len(held),), ids, v))
+                    else:
+                        for place, q_ids, q_v in held:
+                            lists.fold(place, q_ids, q_v, ids, v)
         yield from lists.batches(query_ids, lengths)
 
-    return pairs.select("length", "ids", "cells", "q_name", "q_ids", "q_cells").mapInArrow(search, FOUND)
+    return dealt.mapInArrow(search, FOUND)
 
 
-def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, ship_bytes: int = 64 << 20, group_bytes: int = 16 << 20, tile_rows: int = 4096, tile_queries: int = 1024, salts: int = 16) -> DataFrame:
+def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, ship_bytes: int = 64 << 20, group_bytes: int = 16 << 20, shard_bytes: int = 256 << 20, tile_rows: int = 4096, tile_queries: int = 1024, salts: int = 16) -> DataFrame:
     """The k nearest rows, by integer inner product, of each query: query_id, rank (from 1), vec_id, score.
 
     Queries are the rows whose vec_id is divisible by ``every``; repeated rows with
@@ -185,16 +192,18 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int =
     and rows with a null vec_id, take no part. Scores are exact and ranked as such,
     however large; those beyond a long are shown as its nearest value. Other columns are
     ignored; an empty table gives no rows. Queries of up to ``ship_bytes`` are sent to
-    all tasks; more are joined in groups of ``group_bytes``.
+    all tasks; more are dealt into groups of ``group_bytes``, and vectors into shards of
+    ``shard_bytes``.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id is not null and embedding is not null")
     queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "embedding"])
-    size = queries.agg(F.coalesce(F.sum(8 * (F.size("embedding").cast("long") + 1)), F.lit(0))).first()[0]
+    bytes_of = lambda side: side.agg(F.coalesce(F.sum(8 * (F.size("embedding").cast("long") + 1)), F.lit(0))).first()[0]
+    size = bytes_of(queries)
     options = partial(dict, k=k, scale=scale, tile_rows=tile_rows, tile_queries=tile_queries)
     if size <= ship_bytes:
         found = search_shipped(queries, rows, **options())
     else:
-        found = search_joined(queries, rows, **options(groups=-(-size // group_bytes)))
+        found = search_dealt(queries, rows, **options(groups=-(-size // group_bytes), shards=max(1, -(-bytes_of(rows) // shard_bytes))))
     order = (F.desc("score"), F.desc("beyond"), "vec_id")
     by_query = Window.partitionBy("query_id", "length", "salt").orderBy(*order)
     merged = found.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)

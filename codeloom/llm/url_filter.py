@@ -3,8 +3,9 @@
 Each rule (host and path prefix) is keyed by the 64-bit xxHash of its string. The
 keys are sorted into one array, with the offsets of the full strings beside it.
 Executors memory-map the array and probe it by vectorised binary search with
-every host suffix and path prefix of a URL, then compare the stored string, so a
-hash collision never decides.
+those host suffixes and path prefixes of a URL that have as many labels and characters
+as some rule has, then compare the stored string, so a hash collision never decides. A
+URL costs what the rules' shapes ask for, however long its host is.
 
 A list above ``max_bytes`` is cut into several arrays by key range. Each is
 shipped and probed in turn, and the longest match over all of them wins, so what
@@ -16,6 +17,7 @@ from __future__ import annotations
 import mmap
 import tempfile
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -36,8 +38,16 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def digest_arrays(rules: DataFrame, max_bytes: int) -> Iterator[tuple[bytes, list[int]]]:
-    """Sorted arrays of the rules (host, path, verdict), each at most ``max_bytes`` long, and the path lengths in it.
+class Shapes(NamedTuple):
+    """Lengths of paths and numbers of host labels that an array's rules have, and the most characters of a host."""
+
+    paths: list[int]
+    labels: list[int]
+    longest: int
+
+
+def digest_arrays(rules: DataFrame, max_bytes: int) -> Iterator[tuple[bytes, Shapes]]:
+    """Sorted arrays of the rules (host, path, verdict), each at most ``max_bytes`` long, and the shapes in it.
 
     Layout: the count, then keys, then end offsets, then verdicts (1: block) and the strings.
     Of equal rules with different verdicts, block stands. Rules with a null are no rules.
@@ -57,15 +67,16 @@ def digest_arrays(rules: DataFrame, max_bytes: int) -> Iterator[tuple[bytes, lis
         yield pack(rows)
 
 
-def pack(rows: pd.DataFrame) -> tuple[bytes, list[int]]:
-    """One array from the columns key, text, path_length and block."""
+def pack(rows: pd.DataFrame) -> tuple[bytes, Shapes]:
+    """One array from the columns key, text (host, a null character and path), path_length and block."""
     keys = rows["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys, kind="stable")
     texts = [rows["text"].iloc[i].encode() for i in order]
     ends = np.cumsum([len(t) for t in texts], dtype=np.int64) if texts else np.zeros(0, np.int64)
     block = rows["block"].to_numpy(np.int64)[order] if len(rows) else np.zeros(0, np.int64)
     blob = np.int64(len(texts)).tobytes() + keys[order].tobytes() + ends.astype(np.int64).tobytes() + block.tobytes() + b"".join(texts)
-    return blob, sorted(set(map(int, rows["path_length"])))
+    hosts = {t.split("\x00")[0] for t in rows["text"]}
+    return blob, Shapes(sorted(set(map(int, rows["path_length"]))), sorted({h.count(".") + 1 for h in hosts}), max(map(len, hosts), default=0))
 
 
 class DigestArray:
@@ -100,10 +111,16 @@ class DigestArray:
         return found
 
 
-def suffixes(host: str) -> list[str]:
-    """The host and the domains above it."""
-    labels = host.split(".")
-    return [".".join(labels[i:]) for i in range(len(labels))]
+def suffixes(host: str, shapes: Shapes) -> Iterator[str]:
+    """The last labels of the host, for each number of labels that a rule's host has, if no longer than the longest of these."""
+    at, labels = len(host), 0
+    for wanted in shapes.labels if host else ():
+        while labels < wanted and at >= 0:
+            at = host.rfind(".", 0, at)
+            labels += 1
+        if labels < wanted or len(host) - at - 1 > shapes.longest:
+            return
+        yield host[at + 1 :]
 
 
 def match_rules(pages: DataFrame, rules: DataFrame, default: str = "allow", max_bytes: int = 64 << 20) -> DataFrame:
@@ -118,17 +135,17 @@ def match_rules(pages: DataFrame, rules: DataFrame, default: str = "allow", max_
     spark = pages.sparkSession
     out = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(-1).alias("rule_length"), F.lit(-1).alias("host_length"))
     schema = out.schema
-    for blob, lengths in digest_arrays(rules, max_bytes):
+    for blob, shapes in digest_arrays(rules, max_bytes):
         shipped = spark.sparkContext.broadcast(blob)
 
-        def probe(batches: Iterator[pd.DataFrame], shipped=shipped, lengths=lengths) -> Iterator[pd.DataFrame]:
+        def probe(batches: Iterator[pd.DataFrame], shipped=shipped, shapes=shapes) -> Iterator[pd.DataFrame]:
             array = DigestArray(shipped.value)
             for batch in batches:
                 hosts, paths = batch["host"].tolist(), batch["path"].tolist()
                 texts, owner, host_len, path_len = [], [], [], []
                 for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-                    for s in suffixes(host) if host else ():
-                        for n in lengths:
+                    for s in suffixes(host, shapes):
+                        for n in shapes.paths:
                             if n <= len(path):
                                 texts.append(f"{s}\x00{path[:n]}".encode())
                                 owner.append(i)

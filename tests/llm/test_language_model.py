@@ -99,17 +99,18 @@ def test_gradient_is_that_of_the_likelihood():
         _, odds, second, _ = lm.decisions(tree, w, c, at)
         return -np.log(lm.taken(odds.astype(np.float64), second)).sum()
 
-    moved, g = weights.copy(), np.zeros(1 << 9, np.float32)
-    lm.gradient_step(tree, moved, np.full(1 << 9, 1e9, np.float32), g, c, at, 1.0)
-    gradient = (weights - moved).astype(np.float64) * np.sqrt(1e9)  # with so large a memory the step is plain descent
+    errors, steps = np.zeros(1 << 9, np.float32), np.zeros(1 << 9, np.float32)
+    assert abs(lm.add_errors(tree, weights, c, at, errors, steps) - loss(weights)) < 1e-3
     _, _, _, rows = lm.decisions(tree, weights, c, at)
+    assert (steps == np.bincount(rows.ravel(), minlength=1 << 9)).all()
     for r in rows[:, 7]:
         up, down = weights.copy(), weights.copy()
         up[r] += 0.01
         down[r] -= 0.01
-        assert abs((loss(up) - loss(down)) / 0.02 - gradient[r]) < 0.05
-    lm.gradient_step(tree, weights, np.full(1 << 9, lm.START, np.float32), g, c, at, 0.1)
-    assert loss(weights) < loss(moved)
+        assert abs((loss(up) - loss(down)) / 0.02 - errors[r]) < 0.05
+    moved = lm.moved(weights, errors, steps, 0.5, 2.0)
+    assert loss(moved) < loss(weights)
+    assert (np.abs(moved - weights)[steps == 1] <= 0.5 / 0.75 + 1e-6).all()  # what was met once moves little
 
 
 def test_every_place_trains(spark):
@@ -128,3 +129,18 @@ def test_held_out_texts_are_likelier_than_by_counts(spark):
     got = language_model_scores(table(spark, "/root/testdata/sf0.01", "documents"), ~held_out("doc_id", 7, 2)).toPandas()
     held = got[got["held_out"]]
     assert held["score"].sum() > held["base_score"].sum() * 0.97
+    assert (held["score"] > held["base_score"]).mean() >= 0.6
+
+
+def test_sums_are_the_same_however_texts_are_dealt(spark, monkeypatch):
+    """Errors are added up over tasks, salts and parts, and every batch is some pass's."""
+    monkeypatch.setattr(lm, "PART", 1 << 10)
+    monkeypatch.setattr(lm, "SALTS", 3)
+    docs = documents(spark)
+    words, tree, _ = lm.vocabulary(lm.count_tokens(docs), docs.count(), 262_144)
+    texts = lm.numbered_texts(docs.select("doc_id", "text").repartition(7), words, ["doc_id"])
+    weights = np.random.default_rng(1).normal(0, 0.1, 1 << 12).astype(np.float32)
+    one = lm.summed_errors(texts.coalesce(1), tree, weights, 1000)
+    many = lm.summed_errors(texts.repartition(6), tree, weights, 1 << 40)
+    assert np.abs(one[0] - many[0]).max() < 0.01 and (one[1] == many[1]).all() and abs(one[2] - many[2]) < 1e-6 * one[2]
+    assert {r["batch"] for r in texts.select("batch").distinct().collect()} == {0, lm.WATCHED}

@@ -18,7 +18,7 @@ def slow(rows, k, every):
 
 
 #: Queries sent to all tasks, and tiles of both sides joined.
-WAYS = ({}, {"ship_bytes": 0, "group_bytes": 200, "tile_rows": 16, "tile_queries": 3}, {"tile_rows": 7, "tile_queries": 2})
+WAYS = ({}, {"ship_bytes": 0, "group_bytes": 200, "shard_bytes": 3000, "tile_rows": 16, "tile_queries": 3}, {"tile_rows": 7, "tile_queries": 2})
 
 
 def test_matches_brute_force(spark):

@@ -41,3 +41,12 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     assert match_rules(pages, rules).first()["verdict"] == "allow"
     assert match_rules(pages.limit(0), rules).count() == 0
+
+
+def test_very_long_hosts(spark):
+    """A host of a million labels, and one of a million characters, cost what their few last labels do."""
+    urls = [f"http://{'a.' * 1_000_000}example.com/en/x", f"http://{'b' * 1_000_000}/en/", f"http://{'.' * 1_000_000}net/fr/", "http://www..com/", "http://com./"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in match_rules(pages, rules).select("page_id", "rule", "verdict").collect()}
+    assert got == {i: slow(u)[2:] for i, u in enumerate(urls)}
