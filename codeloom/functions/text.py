@@ -58,8 +58,15 @@ def strip_preamble(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\A(?!#).*?^(?=#)".replace("(?s)", "(?sm)"), "")
 
 
+def last_of_each(keys: Column, values: Column) -> Column:
+    """A map from arrays of keys and values: of equal keys the last one's value counts, and null keys are left out."""
+    once = F.filter(F.array_distinct(keys), lambda k: k.isNotNull())
+    from_end, back = F.reverse(keys), F.reverse(values)
+    return F.map_from_arrays(once, F.transform(once, lambda k: F.element_at(back, F.array_position(from_end, k).cast("int"))))
+
+
 def text_tool_calls(text: Column) -> Column:
-    """array of struct(name, arguments map) of the function blocks in a text."""
+    """array of struct(name, arguments map) of the function blocks in a text; a parameter that a block names again has its last value."""
     names = F.regexp_extract_all(text, F.lit(r"<function=(\w+)>[\s\S]*?</function>"), 1)
     bodies = F.regexp_extract_all(text, F.lit(r"<function=\w+>([\s\S]*?)</function>"), 1)
     parameter = r"<parameter=([^>\n]+?)(?:>|\n)([\s\S]*?)</parameter>"
@@ -67,7 +74,7 @@ def text_tool_calls(text: Column) -> Column:
     def arguments(body: Column) -> Column:
         keys = F.transform(F.regexp_extract_all(body, F.lit(parameter), 1), lambda k: F.trim(k))
         values = F.transform(F.regexp_extract_all(body, F.lit(parameter), 2), lambda v: F.regexp_replace(v, r"^\s+|\s+$", ""))
-        return F.map_from_entries(F.arrays_zip(keys.alias("key"), values.alias("value")))
+        return last_of_each(keys, values)
 
     return F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("name"), arguments(b).alias("arguments")))
 

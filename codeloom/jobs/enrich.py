@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions.text import last_of_each
+
 #: Entities in a request, requests in flight, and attempts.
 BATCH_SIZE, IN_FLIGHT, ATTEMPTS = 20, 5, 3
 
@@ -34,12 +36,16 @@ def split_batches(entities: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
 
 
 def build_prompt(file: Column, entities: Column) -> Column:
-    """The request for an array of struct(name, snippet, known): source texts, the keys to fill, and the rules for the answer."""
+    """The request for an array of struct(name, snippet, known): source texts, the keys to fill, and the rules for the answer.
+
+    Entities of one name, as overloads are, are each shown and share a key. One without a name isn't asked for.
+    """
+    entities = F.filter(entities, lambda e: e["name"].isNotNull())
     fence = "```"
-    blocks = F.array_join(F.transform(entities, lambda e: F.concat(F.lit("### "), e["name"], F.lit(f"\n{fence}\n"), e["snippet"], F.lit(f"\n{fence}"))), "\n\n")
-    keys = F.to_json(F.map_from_entries(F.transform(entities, lambda e: F.struct(e["name"], F.lit("")))))
+    blocks = F.array_join(F.transform(entities, lambda e: F.concat(F.lit("### "), e["name"], F.lit(f"\n{fence}\n"), F.coalesce(e["snippet"], F.lit("")), F.lit(f"\n{fence}"))), "\n\n")
+    keys = F.to_json(last_of_each(F.transform(entities, lambda e: e["name"]), F.transform(entities, lambda e: F.lit(""))))
     unknown = F.filter(entities, lambda e: e["known"].isNull())
-    tests = F.when(F.size(unknown) > 0, F.concat(F.lit("State true or false in \"is_test\" for each of: "), F.to_json(F.transform(unknown, lambda e: e["name"])))).otherwise(F.lit('Leave "is_test" as {}.'))
+    tests = F.when(F.size(unknown) > 0, F.concat(F.lit("State true or false in \"is_test\" for each of: "), F.to_json(F.array_distinct(F.transform(unknown, lambda e: e["name"]))))).otherwise(F.lit('Leave "is_test" as {}.'))
     return F.concat_ws(
         "\n",
         F.concat(F.lit("Describe source code of "), file, F.lit(".")),
@@ -55,18 +61,25 @@ def parse_answer(answer: Column, wanted: Column) -> Column:
     """struct(filled, missing, flags) of an answer and the names asked for; null unless it is a JSON object.
 
     Descriptions may lie under their key or, flat, at the top. Blank and missing ones are
-    missing; only booleans are flags.
+    missing; only booleans are flags. Of a key that the answer repeats the last value
+    counts, and a name that is wanted twice is filled for both.
     """
-    is_object = F.typeof(F.try_parse_json(answer)).isNotNull() & answer.rlike(r"^\s*\{") & F.try_parse_json(answer).isNotNull()
-    top = F.from_json(answer, "map<string,string>")
+    def read(text: Column) -> Column:
+        """The members of one JSON object, null if the text is something else."""
+        roots = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>")
+        one = F.when(text.rlike(r"^\s*\{[\s\S]*\}\s*$") & (F.size(roots) == 1), roots[0])
+        return F.when(one.isNotNull(), last_of_each(F.map_keys(one), F.map_values(one)))
+
+    none = F.create_map().cast("map<string,string>")
+    top = read(answer)
     nested = F.element_at(top, "descriptions")
-    texts = F.when(nested.rlike(r"^\s*\{"), F.from_json(nested, "map<string,string>")).otherwise(top)
-    flat = F.coalesce(texts, F.create_map().cast("map<string,string>"))
-    filled = F.map_filter(F.map_from_entries(F.transform(wanted, lambda n: F.struct(n, F.trim(F.element_at(flat, n))))), lambda _, v: v.isNotNull() & (v != ""))
-    marks = F.coalesce(F.from_json(F.element_at(top, "is_test"), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    flat = F.coalesce(F.when(nested.rlike(r"^\s*\{"), read(nested)).otherwise(top), none)
+    names = F.filter(F.array_distinct(wanted), lambda n: n.isNotNull())
+    filled = F.map_filter(F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.trim(F.element_at(flat, n))))), lambda _, v: v.isNotNull() & (v != ""))
+    marks = F.coalesce(read(F.element_at(top, "is_test")), none)
     flags = F.transform_values(F.map_filter(marks, lambda _, v: v.isin("true", "false")), lambda _, v: v == "true")
     missing = F.filter(wanted, lambda n: ~F.map_contains_key(filled, n))
-    return F.when(is_object, F.struct(filled.alias("filled"), missing.alias("missing"), flags.alias("flags")))
+    return F.when(top.isNotNull(), F.struct(filled.alias("filled"), missing.alias("missing"), flags.alias("flags")))
 
 
 def ask(requests: DataFrame, model: Callable[[list[str]], list[str | None]], in_flight: int = IN_FLIGHT) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from codeloom.graph import SourceGraph
 from codeloom.jobs.extract import extract
-from codeloom.jobs.ingest import EXTENSIONS, commit_descriptions, description_tasks, hash_diff, mark_tests, read_graph, remove_files, resolve, walk, write_graph
+from codeloom.jobs.ingest import EXTENSIONS, commit_descriptions, description_tasks, hash_diff, mark_tests, remove_files, resolve, walk
+from codeloom.sources.graph_store import read_graph, write_changes, write_graph
 from codeloom.sources.scratch import materialise
 
 
@@ -66,7 +67,10 @@ def update(stored: SourceGraph, files: DataFrame, rebuild: bool = False, extract
 
 
 def index_tree(spark: SparkSession, files: DataFrame, path: str, rebuild: bool = False) -> Indexed:
-    """``update`` of the graph stored at ``path``, which is then replaced; a graph that is missing counts as empty."""
+    """``update`` of the graph stored at ``path``, whose changes become its next version; a graph that was never stored counts as empty.
+
+    A run that breaks leaves the former version; another writer that was first makes it fail.
+    """
     done = update(read_graph(spark, path), files, rebuild)
-    write_graph(done.graph, path)
+    (write_graph if rebuild else write_changes)(done.graph, path)
     return done

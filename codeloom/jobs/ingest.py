@@ -155,22 +155,6 @@ def commit_descriptions(nodes: DataFrame, descriptions: DataFrame, flags: DataFr
     return joined.withColumns({"description": F.coalesce("_d", "description"), "is_test": F.coalesce("_t", "is_test")}).select(*nodes.columns)
 
 
-def write_graph(g: SourceGraph, path: str) -> None:
-    """Nodes as Parquet, and edges partitioned by kind, so that queries read the kinds they follow."""
-    g.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    g.edges.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/edges")
-
-
-def read_graph(spark: SparkSession, path: str) -> SourceGraph:
-    """The stored graph; one that is missing or can't be read counts as empty."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return SourceGraph(spark.read.schema(NODES).parquet(f"{path}/nodes"), spark.read.schema(EDGES).parquet(f"{path}/edges"))
-    except AnalysisException:
-        return SourceGraph(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES))
-
-
 def yaml_lines(g: SourceGraph) -> DataFrame:
     """(section, id, line) of the graph as YAML in flow style; in order of section and id it is one document."""
     spark = g.nodes.sparkSession

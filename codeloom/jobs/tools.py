@@ -1,8 +1,10 @@
 """Graph queries by name with JSON arguments and JSON answers, page by page.
 
 An answer is a DataFrame of one row with the column answer. Only the rows from
-``offset`` on, ``limit`` at most (by default 50 of a page, 10,000 of a plain list), are
-gathered for it, in a fixed order, so a longer list is read in several calls.
+``offset`` on, ``limit`` at most (by default 50 of a page), are gathered for it, in a
+fixed order, so a longer list is read in several calls. A plain list is whole: one of
+more than 10,000 rows is answered with an error unless the call says which part it wants,
+and ``found`` gives all its rows as a DataFrame, however many.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from codeloom.operators import neighbours as nb
 from codeloom.operators import reach as rc
 from codeloom.schema import NODE_KINDS
 
-#: Rows of an answer: of a page, and of a plain list, which tells of no further rows.
+#: Rows of an answer: of a page, and of a plain list, which fails beyond that.
 DEFAULT_LIMIT, ARRAY_LIMIT = 50, 10_000
 
 
@@ -63,26 +65,45 @@ def error(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(json.dumps({"error": text}),)], "answer string")
 
 
-def call(g: SourceGraph, name: str, args_json: str | None = None, files: DataFrame | None = None) -> DataFrame:
-    """Run a tool. Errors (unknown tool or node, missing argument) are answers too."""
-    spark, args = g.nodes.sparkSession, arguments(args_json)
+def mistake(g: SourceGraph, name: str, args: dict[str, Any]) -> str | None:
+    """What is wrong with a call, if anything."""
     if name not in TOOLS:
-        return error(spark, f"unknown tool: {name}")
-    one = TOOLS[name]
-    for field in one.required:
+        return f"unknown tool: {name}"
+    required = TOOLS[name].required
+    for field in required:
         if args.get(field) is None:
-            return error(spark, f"missing '{field}' parameter")
-    for field in one.required:
+            return f"missing '{field}' parameter"
+    for field in required:
         if field.startswith(("qualified_name", "from", "to")) and node_id(g, args[field]) is None:
-            return error(spark, f"node not found: {args[field]}")
+            return f"node not found: {args[field]}"
     if name == "find_nodes_by_kind" and args["kind"] not in NODE_KINDS:
-        return error(spark, f"unknown node kind: {args['kind']}")
+        return f"unknown node kind: {args['kind']}"
+    return None
+
+
+def found(g: SourceGraph, name: str, args_json: str | None = None, files: DataFrame | None = None) -> DataFrame:
+    """All rows of a tool's answer, to be filtered, joined or written; a call with a mistake raises ValueError."""
+    args = arguments(args_json)
+    if wrong := mistake(g, name, args):
+        raise ValueError(wrong)
+    return TOOLS[name].run(g, args | {"files": files})
+
+
+def call(g: SourceGraph, name: str, args_json: str | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Run a tool. Errors (unknown tool or node, missing argument, a plain list beyond its bound) are answers too."""
+    args = arguments(args_json)
+    if wrong := mistake(g, name, args):
+        return error(g.nodes.sparkSession, wrong)
+    one = TOOLS[name]
     rows = one.run(g, args | {"files": files})
     if one.shape == "page":
         return envelope(rows, whole(args, "offset", 0), whole(args, "limit", DEFAULT_LIMIT))
     if one.shape == "array" or one.key:
-        items = gathered(lk.page(rows, rows.columns, whole(args, "offset", 0), whole(args, "limit", ARRAY_LIMIT)))
-        return items.select(F.to_json(F.struct(F.col("items").alias(one.key)) if one.key else "items").alias("answer"))
+        limit = whole(args, "limit", None)
+        items = gathered(lk.page(rows, rows.columns, whole(args, "offset", 0), ARRAY_LIMIT + 1 if limit is None else limit))
+        answer = F.to_json(F.struct(F.col("items").alias(one.key)) if one.key else "items")
+        beyond = F.lit(json.dumps({"error": f"more than {ARRAY_LIMIT} rows: ask for parts of them by offset and limit"}))
+        return items.select((answer if limit is not None else F.when(F.size("items") > ARRAY_LIMIT, beyond).otherwise(answer)).alias("answer"))
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("answer"))
 
 

@@ -101,26 +101,66 @@ def nearest_ancestors(nodes: DataFrame, parents: DataFrame, is_goal: str, rounds
     return state.filter("done").select("id", F.col("to").alias("ancestor"))
 
 
+def chain_ends(step: DataFrame, most: int) -> DataFrame:
+    """(id, to, done, least): where the pointers of ``step`` (id, next) lead out of its ids, by pointer doubling; without ``done`` they go round a cycle, whose least id is ``least``. ``most`` is the number of ids."""
+    inner = step.select(F.col("id").alias("next"), F.lit(True).alias("inner"))
+    state = checkpoint(step.join(inner, "next", "left").select("id", F.col("next").alias("to"), F.col("inner").isNull().alias("done"), F.when(F.col("inner"), F.least("id", "next")).otherwise(F.col("id")).alias("least")))
+    for _ in range(most.bit_length()):
+        far = state.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("done").alias("far_done"), F.col("least").alias("far_least"))
+        moved = state.filter("not done").join(far, "to").select("id", F.col("far").alias("to"), F.col("far_done").alias("done"), F.least("least", "far_least").alias("least"))
+        state = checkpoint(state.filter("done").unionByName(moved))
+        if state.filter("not done").isEmpty():
+            break
+    return state
+
+
+def without_chains(rest: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int] | None:
+    """Edges with one in place of each chain of nodes that have one edge in and one out; the chains' nodes with what leads into and out of them (id, head, goal); the cycles that are all chain (id, component); how many nodes went. None if few nodes are of a chain."""
+    degrees = rest.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i"), F.col("dst").alias("n")).unionByName(rest.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i"), F.lit(None).cast("long").alias("n")))
+    nodes = checkpoint(degrees.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.max("n").alias("next")))
+    total, many = nodes.agg(F.count(F.lit(1)), F.count(F.when((F.col("o") == 1) & (F.col("i") == 1), 1))).first()
+    if many * 10 < total:
+        return None
+    chain = nodes.filter("o = 1 and i = 1").select("id", "next")
+    back = rest.join(chain.select(F.col("id").alias("dst")), "dst").select(F.col("dst").alias("id"), F.col("src").alias("next"))
+    ahead = chain_ends(chain, many)
+    behind = chain_ends(back, many)
+    segments = checkpoint(ahead.filter("done").select("id", F.col("to").alias("goal")).join(behind.filter("done").select("id", F.col("to").alias("head")), "id").select("id", "head", "goal"))
+    round_ = ahead.filter("not done").select("id", F.col("least").alias("component"))
+    free = rest.join(chain.select(F.col("id").alias("src")), "src", "left_anti").join(chain.select(F.col("id").alias("dst")), "dst", "left_anti")
+    left = checkpoint(free.unionByName(segments.select(F.col("head").alias("src"), F.col("goal").alias("dst"))).distinct())
+    return left, segments, round_, many
+
+
 @scoped
 def strong_components(adj: DataFrame) -> DataFrame:
     """(id, component) of nodes on a cycle; the component is its least id. A self-loop is a cycle.
 
-    Nodes without an edge in or out are trimmed until none is left; then every node
-    takes the least id that reaches it, and what reaches back to that id within its
-    colour is a component; these are taken off, and the rest goes round again.
+    The graph is made small first, again and again: nodes without an edge in or out are
+    trimmed, and a chain of nodes with one edge in and one out becomes one edge, its ends
+    found by pointer doubling; so the rounds for a path, or a cycle, grow with the logarithm
+    of its length. Of what is left every node takes the least id that reaches it, and what
+    reaches back to that id within its colour is a component; these are taken off, and
+    the rest goes round again. Last, a chain joins the component that both its ends are of.
     """
     edges = checkpoint(adj.select("src", "dst").distinct())
-    loops = edges.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component"))
+    loops = edges.filter("src = dst").select(F.col("src").alias("id"))
     rest = edges.filter("src <> dst")
-    found = None
-    while True:
-        before = -1
-        while (now := rest.count()) != before:
-            before = now
-            rest = checkpoint(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if not now:
+    found, taken, size = None, [], rest.count()
+    while size:
+        trimmed = checkpoint(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, size, rest = size, trimmed.count(), trimmed
+        shorter = without_chains(rest) if size else None
+        if shorter:
+            left, segments, whole, _ = shorter
+            taken.append((segments, left.filter("src = dst").select(F.col("src").alias("id"))))
+            found = whole if found is None else found.unionByName(whole)
+            rest = left.filter("src <> dst")
+            size = rest.count()
+        elif size == before or size * 10 > before * 9:
             break
-        colour = checkpoint(rest.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id")))
+    while size:
+        colour = checkpoint(rest.select(F.col("src").alias("id")).unionByName(rest.select(F.col("dst").alias("id"))).distinct().withColumn("c", F.col("id")))
         while True:
             told = rest.join(colour, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "c")
             new = checkpoint(colour.unionByName(told).groupBy("id").agg(F.min("c").alias("c")))
@@ -131,10 +171,21 @@ def strong_components(adj: DataFrame) -> DataFrame:
         starts = colour.filter("id = c").select(F.concat_ws(":", "c", "id").alias("root"))
         back = closure(own, starts, include_seeds=True)
         part = checkpoint(back.select(F.split("id", ":")[1].cast("long").alias("id"), F.split("root", ":")[0].cast("long").alias("component")))
-        many = part.join(part.groupBy("component").count().filter("count > 1"), "component", "left_semi")
+        many = part.join(part.groupBy("component").count().filter("count > 1"), "component", "left_semi").select("id", "component")
         found = many if found is None else found.unionByName(many)
         gone = part.select("id")
         rest = checkpoint(rest.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+        rest = checkpoint(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        size = rest.count()
     if found is None:
-        return loops
-    return found.select("id", "component").unionByName(loops.join(found.select("id"), "id", "left_anti"))
+        found = loops.limit(0).withColumn("component", F.col("id"))
+    of_itself = lambda ids: ids.join(found.select("id"), "id", "left_anti").withColumn("component", F.col("id"))
+    for segments, closed in reversed(taken):
+        found = checkpoint(found)
+        found = found.unionByName(of_itself(closed))
+        ends = segments.join(found.select(F.col("id").alias("head"), "component"), "head").join(found.select(F.col("id").alias("goal"), F.col("component").alias("c")), "goal")
+        found = found.unionByName(ends.filter("component = c").select("id", "component"))
+    if taken:
+        found = checkpoint(found)
+        found = found.join(found.groupBy("component").agg(F.min("id").alias("least")), "component").select("id", F.col("least").alias("component"))
+    return found.unionByName(of_itself(loops))

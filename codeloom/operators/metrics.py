@@ -67,7 +67,8 @@ def lcom(g: SourceGraph) -> DataFrame:
 
     Pairs that share a read or written target are found by joining on the class and the
     target, so only sharing pairs are made, not all pairs of a class; methods with the same
-    targets are counted together.
+    targets are counted together. A pair counts where its least shared target is, so none is
+    made distinct again, and a class with many pairs is a plain join that can be split.
     """
     kinds = g.nodes.select(F.col("id").alias("dst"), F.col("kind").alias("k"))
     methods = g.adj("Contains").join(kinds.filter("k = 'Method'"), "dst", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("m")).distinct()
@@ -76,8 +77,9 @@ def lcom(g: SourceGraph) -> DataFrame:
     # Methods that touch the same targets are one group; groups that share a target are paired, and a group with itself.
     alike = touched.groupBy("id", "m").agg(F.array_sort(F.collect_set("t")).alias("ts")).groupBy("id", "ts").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("g"))
     within = alike.filter("k > 1").select("id", (F.col("k") * (F.col("k") - 1) / 2).cast("long").alias("pairs"))
-    ends = alike.select("id", "g", "k", F.explode("ts").alias("t"))
-    across = ends.join(ends.select("id", "t", F.col("g").alias("g2"), F.col("k").alias("k2")), ["id", "t"]).filter("g < g2").select("id", "g", "g2", "k", "k2").distinct().select("id", (F.col("k") * F.col("k2")).alias("pairs"))
+    ends = alike.select("id", "g", "k", "ts", F.explode("ts").alias("t"))
+    least = F.array_min(F.array_intersect("ts", "ts2"))
+    across = ends.join(ends.select("id", "t", F.col("g").alias("g2"), F.col("k").alias("k2"), F.col("ts").alias("ts2")), ["id", "t"]).filter(F.col("g") < F.col("g2")).filter(least == F.col("t")).select("id", (F.col("k") * F.col("k2")).alias("pairs"))
     sharing = within.unionByName(across).groupBy("id").agg(F.sum("pairs").alias("share"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     value = F.greatest(F.lit(0.0), (pairs - 2 * F.coalesce("share", F.lit(0))) / pairs)

@@ -11,13 +11,14 @@ from codeloom.functions.text import is_test_file, source_lines, text_tool_calls
 from codeloom.graph import SourceGraph
 from codeloom.jobs import memory
 from codeloom.jobs.enrich import parse_answer, split_batches
+from codeloom.jobs.extract import extract
 from codeloom.jobs.index import empty_graph, update
 from codeloom.jobs.ingest import assign_ids, commit_descriptions, hash_diff, remove_files, resolve, walk
 from codeloom.operators import lookups as lk
 from codeloom.operators import metrics as mt
 from codeloom.operators import neighbours as nb
 from codeloom.operators import reach as rc
-from codeloom.sources.graphs import ONE_KIND, activity, commerce, contracts, corpus, library, references, shop_sources
+from codeloom.sources.graphs import ONE_KIND, activity, commerce, contracts, corpus, library, polyglot_sources, references, shop_sources
 from codeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,22 +430,22 @@ def named_edges(g: SourceGraph) -> DataFrame:
 def sql_shop(version: int) -> str:
     gone, more = ("FURNITURE", "false") if version == 1 else ("BUILDING", "c_mktsegment = 'MACHINERY'")
     return f"""
-WITH o AS (SELECT o_custkey, min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders GROUP BY o_custkey),
-c AS (SELECT 'C' || c_custkey AS c, 'shop/C' || c_custkey || '.java' AS f, 'N' || c_nationkey AS n, a, b, {more} AS m, CASE WHEN {more} THEN 1 ELSE 0 END AS k, CASE WHEN a < b THEN 1 ELSE 0 END AS two FROM customer LEFT JOIN o ON o_custkey = c_custkey WHERE c_mktsegment <> '{gone}'),
-p AS (SELECT * FROM c WHERE a IS NOT NULL), q AS (SELECT * FROM p WHERE a < b)
+WITH o AS (SELECT o_custkey, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) - 1 AS r FROM orders),
+c AS (SELECT 'C' || c_custkey AS c, 'shop/C' || c_custkey || '.java' AS f, 'N' || c_nationkey AS n, o AS a, r, {more} AS m, CASE WHEN {more} THEN 1 ELSE 0 END AS k, CASE WHEN o IS NULL THEN 4 ELSE 8 + r + (r + 1) // 2 END AS z FROM customer LEFT JOIN o ON o_custkey = c_custkey AND i = 0 WHERE c_mktsegment <> '{gone}'),
+p AS (SELECT * FROM c WHERE a IS NOT NULL), q AS (SELECT c.*, o.o AS b, 8 + k + c.r + (i - 1) // 2 AS l FROM c JOIN o ON 'C' || o_custkey = c AND i > 0)
 """
 
 
 SQL_SHOP_NODES = """
-SELECT f AS file, 'File' AS kind, f AS qualified_name, 'Public' AS visibility, false AS is_abstract, '' AS type, 0 AS first, CASE WHEN a IS NULL THEN 5 + k WHEN two = 1 THEN 13 + k ELSE 9 + k END AS last FROM c
+SELECT f AS file, 'File' AS kind, f AS qualified_name, 'Public' AS visibility, false AS is_abstract, '' AS type, 0 AS first, z + k + 1 AS last FROM c
 UNION ALL SELECT f, 'Package', 'shop', 'PackagePrivate', false, '', 0, 0 FROM c
-UNION ALL SELECT f, 'Class', c, 'Public', false, '', 2, CASE WHEN a IS NULL THEN 4 + k WHEN two = 1 THEN 12 + k ELSE 8 + k END FROM c
+UNION ALL SELECT f, 'Class', c, 'Public', false, '', 2, z + k FROM c
 UNION ALL SELECT f, 'Field', c || '.total', 'Private', false, 'int', 3, 3 FROM c
 UNION ALL SELECT f, 'Field', c || '.more', 'Private', false, 'int', 4, 4 FROM c WHERE m
-UNION ALL SELECT f, 'Method', c || '.o' || a, 'Public', false, '', 4 + k, 7 + k + two FROM p
+UNION ALL SELECT f, 'Method', c || '.o' || a, 'Public', false, '', 4 + k, 7 + k + r FROM p
 UNION ALL SELECT f, 'Parameter', c || '.o' || a || '.price', 'Unspecified', false, 'int', 4 + k, 4 + k FROM p
 UNION ALL SELECT f, 'Parameter', c || '.o' || a || '.notes', 'Unspecified', false, 'List<String>', 4 + k, 4 + k FROM p
-UNION ALL SELECT f, 'Method', c || '.o' || b, 'PackagePrivate', false, '', 9 + k, 11 + k FROM q
+UNION ALL SELECT f, 'Method', c || '.o' || b, 'PackagePrivate', false, '', l, l FROM q
 UNION ALL SELECT 'shop/N' || n_nationkey || '.java', 'File', 'shop/N' || n_nationkey || '.java', 'Public', false, '', 0, 4 FROM nation
 UNION ALL SELECT 'shop/N' || n_nationkey || '.java', 'Package', 'shop', 'PackagePrivate', false, '', 0, 0 FROM nation
 UNION ALL SELECT 'shop/N' || n_nationkey || '.java', 'Class', 'N' || n_nationkey, 'Public', true, '', 2, 3 FROM nation"""
@@ -463,6 +464,52 @@ add("index_update_nodes", lambda spark, d: named_nodes(indexed(spark, d, 2)), sq
 add("index_update_edges", lambda spark, d: named_edges(indexed(spark, d, 2)), sql_shop(2) + SQL_SHOP_EDGES)
 
 
+# Sources in the other languages, made of customers and orders: all nodes, and all edges by the names of their ends.
+def extracted(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
+    g = extract(walk(polyglot_sources(spark, sf_dir, ext)))
+    name = g.nodes.select("id", "qualified_name")
+    src, dst = (name.select(F.col("id").alias(i), F.col("qualified_name").alias(n)) for i, n in (("src", "owner"), ("to_id", "found")))
+    nodes = g.nodes.select(F.lit("node").alias("part"), F.col("file").alias("owner"), "kind", F.col("qualified_name").alias("name"))
+    return nodes.unionByName(g.edges.join(src, "src").join(dst, "to_id", "left").select(F.lit("edge").alias("part"), "owner", "kind", F.coalesce("found", "to_name").alias("name")))
+
+
+def sql_extracted(ext: str, of_file: str, of_order: str) -> str:
+    """Rows written as 'owner kind name' (edges) and '+kind name' (nodes of the file f), a line each, for customers c and their orders o."""
+    def select(line: str, source: str) -> str:
+        node = line.startswith("+")
+        owner, kind, name = ("{f}", *line[1:].split(" ", 1)) if node else line.split(" ", 2)
+        text = lambda x: "'" + x.replace("{f}", f"c' || c || '.{ext}").replace("{c}", "' || c || '").replace("{n}", "' || n || '").replace("{o}", "' || o || '") + "'"
+        return f"SELECT '{'node' if node else 'edge'}' AS part, {text(owner)} AS owner, '{kind}' AS kind, {text(name)} AS name FROM {source}"
+
+    lines = [select(x.strip(), "c") for x in of_file.strip().split("\n")] + [select(x.strip(), "o") for x in of_order.strip().split("\n")]
+    return "WITH c AS (SELECT c_custkey AS c, c_nationkey AS n FROM customer), o AS (SELECT c, n, o_orderkey AS o FROM c JOIN orders ON o_custkey = c)\n" + "\nUNION ALL ".join(lines)
+
+
+add("extract_python", lambda spark, d: extracted(spark, d, "py"), sql_extracted("py", """
+    +File {f}\n+Import .n{n}.N{n}\n+Import .n{n}.LIMIT\n+Class C{c}\n+Method C{c}.__init__\n+Parameter C{c}.__init__.total\n+Field C{c}.total
+    {f} Imports .n{n}.N{n}\n{f} Imports .n{n}.LIMIT\n{f} Contains C{c}\n{f} Imports .n{n}.N{n}\n{f} Imports .n{n}.LIMIT
+    C{c} Extends Base\nC{c} Contains C{c}.__init__\nC{c} Contains C{c}.total\nC{c}.__init__ HasParameter C{c}.__init__.total
+    C{c}.__init__ Writes C{c}.total\nC{c}.__init__ Writes a\nC{c}.__init__ Writes b\nC{c}.__init__ Reads C{c}.total""", """
+    +Method C{c}.o{o}\n+Parameter C{c}.o{o}.n\nC{c} Contains C{c}.o{o}\nC{c}.o{o} HasParameter C{c}.o{o}.n\nC{c}.o{o}.n HasType int\nC{c}.o{o} Reads C{c}.total"""))
+add("extract_go", lambda spark, d: extracted(spark, d, "go"), sql_extracted("go", """
+    +File {f}\n+Package shop\n+Import fmt\n+Import math/big\n+Constant shop.A{c}\n+Constant shop.B{c}\n+Class shop.C{c}\n+Field shop.C{c}.x\n+Field shop.C{c}.total
+    {f} Contains shop\n{f} Imports fmt\n{f} Imports math/big\n{f} Contains shop.A{c}\n{f} Contains shop.B{c}\n{f} Contains shop.C{c}\n{f} Imports fmt\n{f} Imports math/big
+    shop.C{c} Contains shop.C{c}.x\nshop.C{c} Contains shop.C{c}.total\nshop.C{c} Extends N{n}\nshop.C{c}.x HasType int\nshop.C{c}.total HasType int""", """
+    +Method shop.C{c}.O{o}\n+Parameter shop.C{c}.O{o}.n\n{f} Contains shop.C{c}.O{o}\nshop.C{c}.O{o} HasParameter shop.C{c}.O{o}.n\nshop.C{c}.O{o}.n HasType int
+    shop.C{c}.O{o} Returns error\nshop.C{c}.O{o} Calls fmt.Println\nshop.C{c}.O{o} Calls s.save"""))
+add("extract_rust", lambda spark, d: extracted(spark, d, "rs"), sql_extracted("rs", """
+    +File {f}\n+Import shop::n{n}\n+Import shop::n{n}::N{n}\n+Import shop::list::*\n+Enum K{c}\n+Constant K{c}::Low\n+Constant K{c}::High\n+Constant K{c}::At\n+Class C{c}\n+Field C{c}::total\n+Field C{c}::rest
+    {f} Imports shop::n{n}\n{f} Imports shop::n{n}::N{n}\n{f} Imports shop::list::*\n{f} Contains K{c}\n{f} Contains C{c}\n{f} Imports shop::n{n}\n{f} Imports shop::n{n}::N{n}\n{f} Imports shop::list::*
+    K{c} Contains K{c}::Low\nK{c} Contains K{c}::High\nK{c} Contains K{c}::At\nC{c} Contains C{c}::total\nC{c} Contains C{c}::rest\nC{c}::total HasType u64\nC{c}::rest HasType HashMap<String, Vec<T>>\nC{c} Implements Base""", """
+    +Method C{c}::o{o}\n+Parameter C{c}::o{o}::n\n+Variable C{c}::o{o}::m\nC{c} Contains C{c}::o{o}\nC{c}::o{o} HasParameter C{c}::o{o}::n\nC{c}::o{o}::n HasType u64\nC{c}::o{o} Returns u64
+    C{c}::o{o} Contains C{c}::o{o}::m\nC{c}::o{o}::m HasType u64\nC{c}::o{o} Writes C{c}::o{o}::m\nC{c}::o{o} Reads C{c}::total"""))
+add("extract_typescript", lambda spark, d: extracted(spark, d, "ts"), sql_extracted("ts", """
+    +File {f}\n+Import ./n{n}\n+Import ./n{n}.N{n}\n+Class C{c}\n+Field C{c}.total
+    {f} Imports ./n{n}\n{f} Imports ./n{n}.N{n}\n{f} Contains C{c}\n{f} Imports ./n{n}\n{f} Imports ./n{n}.N{n}\n{f} Reexports ./n{n}.LIMIT
+    C{c} Extends Base<T>\nC{c} Implements I<T, U>\nC{c} Implements J\nC{c} Contains C{c}.total\nC{c}.total HasType number""", """
+    +Method C{c}.o{o}\n+Parameter C{c}.o{o}.n\nC{c} Contains C{c}.o{o}\nC{c}.o{o} HasParameter C{c}.o{o}.n\nC{c}.o{o}.n HasType number\nC{c}.o{o} Returns number\nC{c}.o{o} Reads C{c}.total"""))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

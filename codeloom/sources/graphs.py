@@ -175,22 +175,51 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shop_sources(spark: SparkSession, sf_dir: str, version: int = 1) -> DataFrame:
-    """A tree of Java files (path, content): an abstract class for each nation and a class for each customer, with methods for its first and last order.
+    """A tree of Java files (path, content): an abstract class for each nation and a class for each customer, with a method for each of its orders.
 
-    In version 2 the segment FURNITURE has come, BUILDING has gone, and MACHINERY has one
-    field more.
+    The first order's method takes parameters and calls those of the others; their methods
+    stand two on a line. In version 2 the segment FURNITURE has come, BUILDING has gone, and
+    MACHINERY has one field more.
     """
-    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b"))
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("o"))
     customers = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") != ("FURNITURE" if version == 1 else "BUILDING")).join(orders, "c_custkey", "left")
     more = F.when((F.col("c_mktsegment") == "MACHINERY") & F.lit(version == 2), "    private int more;\n").otherwise("")
-    last = F.concat(F.lit("    int o"), F.col("b").cast("string"), F.lit("() {\n        return this.total;\n    }\n"))
-    call = F.when(F.col("a") < F.col("b"), F.concat(F.lit("        this.o"), F.col("b").cast("string"), F.lit("();\n"))).otherwise("")
-    first = F.concat(F.lit("    public void o"), F.col("a").cast("string"), F.lit("(int price,\n            List<String> notes) {\n        this.total = price;\n"), call, F.lit("    }\n"))
+    name = lambda o: F.concat(F.lit("o"), o.cast("string"))
+    others = F.slice("o", 2, F.greatest(F.size("o") - 1, F.lit(0)))
+    calls = F.array_join(F.transform(others, lambda o: F.concat(F.lit("        this."), name(o), F.lit("();\n"))), "")
+    first = F.concat(F.lit("    public void "), name(F.col("o")[0]), F.lit("(int price,\n            List<String> notes) {\n        this.total = price;\n"), calls, F.lit("    }\n"))
+    rest = F.transform(others, lambda o, i: F.concat(F.when(i % 2 == 0, "    ").otherwise(" "), F.lit("int "), name(o), F.lit("() { return this.total; }"), F.when(i % 2 == 1, "\n").otherwise("")))
     number = F.col("c_custkey").cast("string")
     classes = customers.select(
         F.concat(F.lit("shop/C"), number, F.lit(".java")).alias("path"),
-        F.concat(F.lit("package shop;\n\npublic class C"), number, F.lit(" extends N"), F.col("c_nationkey").cast("string"), F.lit(" {\n    private int total;\n"), more, F.coalesce(first, F.lit("")), F.when(F.col("a") < F.col("b"), last).otherwise(""), F.lit("}\n")).alias("content"),
+        F.concat(F.lit("package shop;\n\npublic class C"), number, F.lit(" extends N"), F.col("c_nationkey").cast("string"), F.lit(" {\n    private int total;\n"), more, F.coalesce(first, F.lit("")), F.coalesce(F.array_join(rest, ""), F.lit("")), F.when(F.size(others) % 2 == 1, "\n").otherwise(""), F.lit("}\n")).alias("content"),
     )
-    name = F.col("n_nationkey").cast("string")
-    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("shop/N"), name, F.lit(".java")).alias("path"), F.concat(F.lit("package shop;\n\npublic abstract class N"), name, F.lit(" {\n}\n")).alias("content"))
+    nation = F.col("n_nationkey").cast("string")
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("shop/N"), nation, F.lit(".java")).alias("path"), F.concat(F.lit("package shop;\n\npublic abstract class N"), nation, F.lit(" {\n}\n")).alias("content"))
     return classes.unionByName(nations)
+
+
+#: By language: the file of customer {c} of nation {n} before its orders, the method of order {o}, and the end. Several declarations stand on a line, blocks and lists over lines.
+SHOPS = {
+    "py": ("from .n{n} import (N{n} as Base,\n    LIMIT)\nclass C{c}(Base, metaclass=M):\n    def __init__(self, total): self.total = total; self.a, self.b = 1, self.total\n", "    def o{o}(self, n: int = 3): return self.total\n", ""),
+    "go": ("package shop\nimport (\"fmt\"; m \"math/big\")\nconst ( A{c} = iota; B{c}\n)\ntype C{c} struct { N{n}; x, total int }\n", "func (s *C{c}) O{o}(n int) error { fmt.Println(s.total); return s.save(n) }\n", ""),
+    "rs": ("use shop::{n{n}::{self, N{n} as Base}, list::*}; pub enum K{c} { Low, High(u8), At { x: u8 } }\npub struct C{c}<T: Into<Vec<u8>>> { pub total: u64, rest: HashMap<String, Vec<T>> }\nimpl<T: Into<Vec<u8>>> Base<T> for C{c}<T> {", " fn o{o}(&self,\n n: u64) -> u64 { let m: u64 = self.total; m }", "\n}\n"),
+    "ts": ("import Base, { N{n} as N } from \"./n{n}\"; export { LIMIT as MOST } from \"./n{n}\";\nexport class C{c}<T extends Q, U = Map<string, T>>\n  extends Base<T> implements I<T, U>, J { private total: number = 0;", " o{o}(n: number): number { return this.total; }", "}\n"),
+}
+
+
+def polyglot_sources(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
+    """A tree of sources in one language (path, content): a file for each customer, with a class that has a method for each of its orders."""
+    head, method, end = SHOPS[ext]
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("o"))
+    rows = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left")
+
+    def filled(text: str, order: Column | None = None) -> Column:
+        values = {"{c}": F.col("c_custkey"), "{n}": F.col("c_nationkey")} | ({} if order is None else {"{o}": order})
+        out = F.lit(text)
+        for name, value in values.items():
+            out = F.replace(out, F.lit(name), value.cast("string"))
+        return out
+
+    methods = F.coalesce(F.array_join(F.transform("o", lambda o: filled(method, o)), ""), F.lit(""))
+    return rows.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(f".{ext}")).alias("path"), F.concat(filled(head), methods, F.lit(end)).alias("content"))

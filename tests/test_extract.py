@@ -131,11 +131,11 @@ def test_sources(spark):
     nodes = {(r["file"], r["qualified_name"]): r for r in g.nodes.collect()}
     kinds = {k: r["kind"] for k, r in nodes.items()}
     want = {
-        "Cart.java": {"shop": "Package", "java.util.List": "Import", "java.lang.Math.*": "Import", "Cart": "Class", "Cart.MAX": "Constant", "Cart.count": "StaticField", "Cart.items": "Field", "Cart.Cart": "Method", "Cart.size": "Method", "Kind.A": "Constant", "Kind.B": "Constant", "Cart.empty": "Method", "Cart.Inner": "Class", "Cart.Inner.deep": "Method", "Cart.helper": "Method", "Sized": "Interface", "Sized.size": "Method", "Kind": "Enum"},
-        "shop.py": {"os": "Import", "a.b": "Import", "LIMIT": "Constant", "name": "GlobalVariable", "Shop": "Class", "Shop.total": "Field", "Shop.__init__": "Method", "Shop.run": "Method", "_hidden": "Function"},
-        "shop.go": {"shop": "Package", "fmt": "Import", "shop.Store": "Class", "shop.Store.name": "Field", "shop.Reader": "Interface", "shop.NewStore": "Function", "shop.Store.Save": "Method"},
+        "Cart.java": {"shop": "Package", "java.util.List": "Import", "java.lang.Math.*": "Import", "Cart": "Class", "Cart.MAX": "Constant", "Cart.count": "StaticField", "Cart.items": "Field", "Cart.Cart": "Method", "Cart.size": "Method", "Cart.size.s": "Variable", "Kind.A": "Constant", "Kind.B": "Constant", "Cart.empty": "Method", "Cart.Inner": "Class", "Cart.Inner.deep": "Method", "Cart.helper": "Method", "Sized": "Interface", "Sized.size": "Method", "Kind": "Enum"},
+        "shop.py": {"os": "Import", "a.b.c": "Import", "LIMIT": "Constant", "name": "GlobalVariable", "Shop": "Class", "Shop.total": "Field", "Shop.__init__": "Method", "Shop.run": "Method", "_hidden": "Function"},
+        "shop.go": {"shop": "Package", "fmt": "Import", "shop.Store": "Class", "shop.Store.name": "Field", "shop.Reader": "Interface", "shop.Reader.Read": "Method", "shop.NewStore": "Function", "shop.Store.Save": "Method"},
         "item.rs": {"std::collections::HashMap": "Import", "MAX": "Constant", "COUNT": "StaticField", "Named": "Interface", "Named::name": "Method", "Item": "Class", "Item::id": "Field", "Item::count": "Field", "Item::name": "Method", "inner": "Package", "inner::deep": "Function", "helper": "Function"},
-        "shop.ts": {"./a": "Import", "Named": "Interface", "Named.name": "Field", "Shop": "Class", "Shop.items": "Field", "Shop.count": "StaticField", "Shop.load": "Method", "make": "Function", "LIMIT": "Constant"},
+        "shop.ts": {"./a.a": "Import", "Named": "Interface", "Named.name": "Field", "Shop": "Class", "Shop.items": "Field", "Shop.count": "StaticField", "Shop.load": "Method", "make": "Function", "LIMIT": "Constant"},
     }
     for file, names in want.items():
         found = {q: k for (f, q), k in kinds.items() if f == file and k not in ("File", "Parameter")}
@@ -257,3 +257,100 @@ def test_members_parameters_and_spans(spark):
     snippets = {r["file"]: r["snippets"] for r in description_tasks(files, done.nodes).collect()}
     assert snippets["Stock.java"]["Stock.size"] == "    int size() {\n        return this.count;\n    }"
     assert snippets["lib.py"]["view"].endswith("return a.b(c)") and snippets["Stock.java"]["Stock"].count("\n") == 19
+
+
+ODD_JAVA = """package p; import a.B; import static c.D.*;
+@A(x = {1, 2}) public class K<T extends Q<R>, U> extends M<T, List<U>> implements I<T, U>, J { int x, y = f(1, 2); Map<String, List<T>> m = new HashMap<>(), n; K() { this.x = 1; } int f(Map<String, List<T>> a,
+ int b) { for (int i = 0; i < b; i++) { g(this.x); } var s = h(y), t = 2; return s; } enum E { P, R(1) { void z() { } }; int q; } interface L { void w(); } } class Z { }
+"""
+ODD_PYTHON = """import os, sys as s, a.b
+from .pkg import (x as y,
+    z)
+from q import *
+class A(B[C, D], E): pass
+class D:
+  k: int = 1; j = 2
+  def __init__(self, v): self.v = v; self.w, self.q = 1, self.v
+  @staticmethod
+  def st(first, second): return first
+class F:
+  k = 0
+  def __init__(self):
+    self.k = 1
+    self.t: int = 2
+    if k:
+      self.deep = 3
+    self.t = 4
+def f(a, b=(1, 2)): return g(a, [1, 2])
+"""
+ODD_GO = """package p
+import ("fmt"; f "x/fmt"; _ "z"
+ . "dot")
+const ( A = iota; B
+ C, D = 1, 2 )
+var x, y int
+type ( T struct { B, C int `json:"b"`; *Base; m map[string][]int }
+ R interface { io.Reader; Read(p []byte) (int, error); ~int | U } )
+func (s *T) Do(a int, f func(int) error) (int, error) { return s.g(T{B: 1}) }
+func F[K comparable, V any](m map[K]V) V { var z V; return z }
+"""
+ODD_RUST = """pub use std::{io::{self, Read as R}, fmt::*}; use a::b;
+#[derive(Debug)] pub enum E<T: Into<Vec<u8>>> { A, B(T, u8), C { x: u8, y: u8 }, D = 4 }
+pub struct S<'a, T> where T: Clone, T: Copy { pub x: HashMap<String, Vec<T>>, y: &'a str } struct U(u8, u8); struct V;
+impl<T: Into<Vec<u8>>> Foo<T> for S<'_, T> { fn f(&self, a: Vec<(u8, u8)>, b: u8) -> Option<u8> { let mut k: u8 = self.x; g(k) } }
+trait N: Debug + Fn(u8) -> u8 + 'static { fn z(&self); const W: u8; }
+"""
+ODD_TS = """import React, { useState as us, type X } from "react"; import * as ns from 'm'; import "./side";
+export { a as b, c } from "./d"; export { q as w };
+export class K<T extends Q, U = Map<string, number>> extends M<T> implements I<T, U>, J { private x: number = 0; y = 1; constructor(private z: string) { super(); } abstract go(a: Map<string, number>, b?: T): void; get v(): number { return this.x; } static s: string }
+interface L { a: string; b(x: number): void
+  c?: (q: number) => void }
+enum E { A = 1, B }
+export const f = 1,
+  h = 2
+export abstract class P
+  extends O { run() { this.go(1); call(2); } }
+"""
+
+
+def test_layout_is_of_no_matter(spark):
+    """Several declarations on a line, one over lines, blocks and lists of imports, and nested types."""
+    _, g = small(spark, K_java=ODD_JAVA, a_py=ODD_PYTHON, t_go=ODD_GO, s_rs=ODD_RUST, k_ts=ODD_TS)
+    rows = [r for r in g.nodes.collect() if r["kind"] != "File"]
+    kinds = {}
+    for r in rows:
+        kinds.setdefault(r["file"], []).append((r["qualified_name"], r["kind"]))
+    want = {
+        "K.java": "p Package, a.B Import, c.D.* Import, K Class, K.x Field, K.y Field, K.m Field, K.n Field, K.K Method, K.f Method, K.f.a Parameter, K.f.b Parameter, K.f.s Variable, K.f.t Variable, K.E Enum, K.E.P Constant, K.E.R Constant, K.E.z Method, K.E.q Field, K.L Interface, K.L.w Method, Z Class",
+        "a.py": "os Import, sys Import, a.b Import, .pkg.x Import, .pkg.z Import, q.* Import, A Class, D Class, D.k Field, D.j Field, D.__init__ Method, D.__init__.v Parameter, D.v Field, D.st Method, D.st.second Parameter, F Class, F.k Field, F.__init__ Method, F.t Field, f Function, f.a Parameter, f.b Parameter",
+        "t.go": "p Package, fmt Import, x/fmt Import, dot Import, p.A Constant, p.B Constant, p.C Constant, p.D Constant, p.x GlobalVariable, p.y GlobalVariable, p.T Class, p.T.B Field, p.T.C Field, p.T.m Field, p.R Interface, p.R.Read Method, p.R.Read.p Parameter, p.T.Do Method, p.T.Do.a Parameter, p.T.Do.f Parameter, p.F Function, p.F.m Parameter",
+        "s.rs": "std::io Import, std::io::Read Import, std::fmt::* Import, a::b Import, E Enum, E::A Constant, E::B Constant, E::C Constant, E::D Constant, S Class, S::x Field, S::y Field, U Class, V Class, S::f Method, S::f::a Parameter, S::f::b Parameter, S::f::k Variable, N Interface, N::z Method, N::W Constant",
+        "k.ts": "react Import, react.useState Import, react.X Import, m Import, ./side Import, K Class, K.x Field, K.y Field, K.constructor Method, K.constructor.z Parameter, K.go Method, K.go.a Parameter, K.go.b Parameter, K.v Method, K.s StaticField, L Interface, L.a Field, L.b Method, L.b.x Parameter, L.c Field, E Enum, E.A Constant, E.B Constant, f Constant, h Constant, P Class, P.run Method",
+    }
+    for file, listed in want.items():
+        assert sorted(kinds[file]) == sorted(tuple(x.rsplit(" ", 1)) for x in listed.split(", ")), file
+    name = {r["id"]: (r["file"], r["qualified_name"]) for r in g.nodes.collect()}
+    edges = {(*name[e["src"]], e["kind"], name[e["to_id"]][1] if e["to_id"] is not None else e["to_name"]) for e in g.edges.collect()}
+    for e in [
+        ("K.java", "K", "Extends", "M<T, List<U>>"), ("K.java", "K", "Implements", "I<T, U>"), ("K.java", "K", "Implements", "J"), ("K.java", "K.m", "HasType", "Map<String, List<T>>"), ("K.java", "K.f.a", "HasType", "Map<String, List<T>>"), ("K.java", "K.f", "Calls", "g"), ("K.java", "K.f", "Reads", "K.x"), ("K.java", "K.K", "Writes", "K.x"), ("K.java", "K.f", "Writes", "K.f.s"), ("K.java", "K.f", "Calls", "h"),
+        ("a.py", "A", "Extends", "B[C, D]"), ("a.py", "A", "Extends", "E"), ("a.py", "D.__init__", "Writes", "D.v"), ("a.py", "D.__init__", "Writes", "w"), ("a.py", "D.__init__", "Writes", "q"), ("a.py", "D.__init__", "Reads", "D.v"), ("a.py", "F.__init__", "Writes", "F.k"), ("a.py", "F.__init__", "Writes", "deep"), ("a.py", "a.py", "Imports", "q"), ("a.py", "a.py", "Imports", ".pkg.x"), ("a.py", "f", "Calls", "g"),
+        ("t.go", "p.T", "Extends", "Base"), ("t.go", "p.R", "Extends", "io.Reader"), ("t.go", "p.R", "Extends", "U"), ("t.go", "p.T.Do", "Instantiates", "p.T"), ("t.go", "p.T.Do", "Returns", "(int, error)"), ("t.go", "p.F", "Returns", "V"), ("t.go", "p.T.m", "HasType", "map[string][]int"), ("t.go", "p.T.C", "HasType", "int"), ("t.go", "t.go", "Imports", "x/fmt"),
+        ("s.rs", "s.rs", "Reexports", "std::io::Read"), ("s.rs", "s.rs", "Imports", "a::b"), ("s.rs", "S", "Implements", "Foo"), ("s.rs", "S::f", "Returns", "Option<u8>"), ("s.rs", "S::f", "Calls", "g"), ("s.rs", "S::f", "Writes", "S::f::k"), ("s.rs", "S::x", "HasType", "HashMap<String, Vec<T>>"), ("s.rs", "N", "Extends", "Debug"), ("s.rs", "N", "Extends", "Fn(u8) -> u8"), ("s.rs", "S::f::a", "HasType", "Vec<(u8, u8)>"),
+        ("k.ts", "k.ts", "Reexports", "./d.a"), ("k.ts", "k.ts", "Reexports", "./d.c"), ("k.ts", "k.ts", "Reexports", "w"), ("k.ts", "K", "Extends", "M<T>"), ("k.ts", "K", "Implements", "I<T, U>"), ("k.ts", "K", "Implements", "J"), ("k.ts", "K.v", "Reads", "K.x"), ("k.ts", "P", "Extends", "O"), ("k.ts", "P.run", "Calls", "call"), ("k.ts", "k.ts", "Imports", "react.useState"),
+    ]:
+        assert e in edges, e
+    assert not any("Q" in str(e[3]) for e in edges if e[2] == "Extends")
+    assert ("a.py", "D.__init__", "Reads", "w") not in edges and ("k.ts", "K", "Extends", "Q>") not in edges
+    node = {(r["file"], r["qualified_name"]): r for r in rows}
+    assert node["k.ts", "K"]["generic_params"] == ["T", "U"] and node["s.rs", "E"]["generic_bounds"] == ["T: Into<Vec<u8>>"] and node["t.go", "p.F"]["generic_params"] == ["K", "V"]
+    assert node["s.rs", "E"]["attributes"] == ["#[derive(Debug)]"] and node["a.py", "sys"]["name"] == "s" and node["s.rs", "std::io::Read"]["metadata"]["alias"] == "R" and node["a.py", "q.*"]["metadata"] == {"wildcard": "true"}
+    assert node["K.java", "K.f"]["span"]["start_line"] == 1 and node["K.java", "K.f"]["span"]["end_line"] == 2 and node["k.ts", "P"]["span"]["start_line"] == 8 and node["k.ts", "P"]["is_abstract"]
+
+
+def test_hostile_sources_end_no_job(spark):
+    """Unclosed brackets, strings and comments, very long lines and deep nesting give what they give."""
+    odd = {"a.java": "class A { " * 200, "b.java": "}" * 500 + " class B { int x; }", "c.py": "x = (" + "(" * 2000, "d.py": '"""' + "a" * 100_000, "e.rs": "use a::{" * 300, "f.go": "import (\n" * 50, "g.ts": "`" + "${" * 1000, "h.java": "/*" + "*" * 100_000, "i.java": "class C { String s = \"" + "x" * 200_000 + "\"; int " + ", ".join(f"v{i}" for i in range(2000)) + "; }", "j.py": "", "k.rs": "\n\n", "l.ts": "f(" * 3000 + ")" * 3000}
+    files = spark.createDataFrame(list(odd.items()), "path string, content string")
+    g = extract(walk(files))
+    found = {(r["file"], r["qualified_name"]) for r in g.nodes.collect()}
+    assert ("b.java", "B.x") in found and ("i.java", "C.v1999") in found and g.edges.count() > 0 and g.validate().count() == 0

@@ -76,12 +76,7 @@ def test_flags_tasks_and_commit(spark):
     assert done[0] == ("sells", False) and done[1] == (None, False) and done[3] == (None, True)
 
 
-def test_graph_round_trips(spark, g, tmp_path):  # noqa: F811
-    ig.write_graph(g, str(tmp_path / "g"))
-    back = ig.read_graph(spark, str(tmp_path / "g"))
-    assert got(back.nodes.select(*g.nodes.columns), "id", "span") == got(g.nodes, "id", "span")
-    assert sorted(map(repr, back.edges.select(*g.edges.columns).collect())) == sorted(map(repr, g.edges.collect()))
-    assert ig.read_graph(spark, str(tmp_path / "none")).nodes.count() == 0
+def test_graph_round_trips(spark, g):  # noqa: F811
     lines = ig.yaml_lines(g)
     yaml = pytest.importorskip("yaml")
     text = "\n".join(r["line"] for r in lines.orderBy("section", "id").collect())
@@ -201,3 +196,46 @@ def test_stream_upserts_and_sees_deletions_by_listing(spark, tmp_path):
     assert now["b"] == spark.range(1).select(F.sha2(F.lit("2"), 256).alias("h")).first()["h"] and set(now) == {"a", "b", "c"}
     assert spark.read.parquet(f"{folder}/batches/batch=1").count() == 2
     assert got(st.deleted(spark, folder, tree(spark, ("a", "1"), ("b", "2"))), "path") == ["c"]
+
+
+def test_repeated_keys_end_no_job(spark):
+    """Texts of a model, and entities of a file, may name a thing twice; the last value counts."""
+    from codeloom.functions.text import text_tool_calls
+    from codeloom.jobs.enrich import build_prompt, enrich, parse_answer
+
+    text = "<function=f>\n<parameter=a>1</parameter><parameter=b>x</parameter><parameter=a>\n2 </parameter></function><function=g></function>"
+    rows = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(text_tool_calls(F.col("t")).alias("c")).collect()
+    assert [(c["name"], c["arguments"]) for c in rows[0]["c"]] == [("f", {"a": "2", "b": "x"}), ("g", {})] and not rows[1]["c"] and rows[2]["c"] == []
+
+    kind = "array<struct<name:string,snippet:string,known:boolean>>"
+    given = [([("C.f", "one", None), ("C.f", "two", True), (None, "z", None), ("C.g", None, None)],), ([],), (None,)]
+    prompts = [r["p"] for r in spark.createDataFrame(given, f"e {kind}").select(build_prompt(F.lit("f.java"), F.col("e")).alias("p")).collect()]
+    assert prompts[0].count("### C.f") == 2 and '{"C.f":"","C.g":""}' in prompts[0] and '["C.f","C.g"]' in prompts[0] and "### " not in prompts[1]
+
+    answers = [
+        '{"descriptions": {"a": "old", "a": "new"}, "is_test": {"a": false, "a": true}}', '{"descriptions": {"a": "x"}, "descriptions": {"b": "y"}}', '{"a": "flat", "a": "last"}',
+        '{"a": 1} trailing', '{"a": 1}, {"b": 2}', "[]", "null", "", None, '{"descriptions": null}', '{"descriptions": "text"}', '{"a": {"b": 1}}', "{", "{}",
+    ]
+    wanted = spark.createDataFrame([(i, a, ["a", "b", "a", None]) for i, a in enumerate(answers)], "i int, answer string, wanted array<string>")
+    got = {r["i"]: r["p"] for r in wanted.select("i", parse_answer(F.col("answer"), F.col("wanted")).alias("p")).collect()}
+    assert got[0]["filled"] == {"a": "new"} and got[0]["flags"] == {"a": True} and "b" in got[0]["missing"]
+    assert got[1]["filled"] == {"b": "y"} and got[2]["filled"] == {"a": "last"}
+    assert all(got[i] is None for i in (3, 4, 5, 6, 7, 8, 12))
+    assert got[9]["filled"] == {} and got[10]["filled"] == {} and got[13]["filled"] == {}
+
+    entities = spark.createDataFrame([("f.java", i, n, "s", None) for i, n in enumerate(["C.f", "C.f", "C.g"])], "file string, position int, name string, snippet string, known boolean")
+    texts, flags = enrich(entities, lambda prompts: ['{"descriptions": {"C.f": "first", "C.f": "both", "C.g": "g"}, "is_test": {"C.g": true, "C.g": false}}' for _ in prompts])
+    assert {tuple(r) for r in texts.collect()} == {("C.f", "both"), ("C.g", "g")} and {tuple(r) for r in flags.collect()} == {("C.g", False)}
+
+
+def test_plain_lists_are_whole_or_fail(spark, g, monkeypatch):  # noqa: F811
+    name = next(n for n, t in sorted(tl.TOOLS.items()) if t.shape == "array")
+    args = json.dumps({k: {"qualified_name": "shop.oven.Stove", "kind": "Class", "query": "o"}.get(k, "shop.oven.Stove") for k in tl.TOOLS[name].required})
+    every = tl.found(g, name, args).count()
+    assert len(json.loads(tl.call(g, name, args).first()["answer"])) == every
+    monkeypatch.setattr(tl, "ARRAY_LIMIT", every - 1)
+    if every:
+        assert "more than" in json.loads(tl.call(g, name, args).first()["answer"])["error"]
+        assert len(json.loads(tl.call(g, name, json.dumps(json.loads(args) | {"limit": every})).first()["answer"])) == every
+    with pytest.raises(ValueError, match="unknown tool"):
+        tl.found(g, "no_tool")

@@ -1,9 +1,12 @@
 """Exact answers on a hand-made graph of a bakery, and on small graphs with cycles and odd edges."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom.graph import SourceGraph
+from codeloom.operators import closure as cl
 from codeloom.operators import lookups as lk
 from codeloom.operators import metrics as mt
 from codeloom.operators import neighbours as nb
@@ -153,3 +156,40 @@ def test_throws_in_all_target_states(spark):
     wrong = SourceGraph(g.nodes, g.edges.unionByName(SourceGraph.of_rows(spark, [], [make_edge(7, "Calls", 0, 77), make_edge(8, "Calls", 88, 0)]).edges))
     assert got(wrong.validate(), "id", "problem") == [(7, "dangling"), (8, "source")]
     assert got(nb.dependencies(wrong, ids(spark, 0, 1, 2)), "id", "target") == [(0, "#77"), (0, "x.Bad"), (0, "x.Bad"), (1, "external:lib.Bad"), (2, "unresolved:y::Bad")]
+
+
+def slow_components(edges):
+    """(id, least id of its component) of nodes on a cycle, by reachability."""
+    reach = {}
+    for start in {x for e in edges for x in e}:
+        seen, todo = set(), [start]
+        while todo:
+            at = todo.pop()
+            for a, b in edges:
+                if a == at and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        reach[start] = seen
+    return sorted((x, min(y for y in reach[x] if x in reach.get(y, ()))) for x in reach if x in reach[x])
+
+
+def test_components_of_random_graphs_match_reachability(spark):
+    """Chains, tails, loops and cycles within cycles, sparse and dense; several graphs side by side."""
+    rows = []
+    for seed in range(12):
+        pick = random.Random(seed)
+        n, m = 24, (16, 26, 40)[seed % 3]
+        rows += [(seed * 100 + pick.randrange(n), seed * 100 + pick.randrange(n)) for _ in range(m)]
+        rows += [(seed * 100 + 50 + i, seed * 100 + 50 + (i + 1) % 7) for i in range(7 - seed % 2)]
+    assert got(strong_components(adj(spark, *rows)), "id", "component") == slow_components(rows)
+
+
+def test_a_long_cycle_settles_in_a_few_rounds(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(cl, "checkpoint", lambda df, own=cl.checkpoint: (stored.append(1), own(df))[1])
+    n = 10_000
+    path = [(i, i + 1) for i in range(n)]
+    closing = [(n, 0), (5000, 20_000), (30_000, 5000)] + [(20_000 + i, 20_001 + i) for i in range(3000)] + [(30_000 + i + 1, 30_000 + i) for i in range(3000)]
+    members = strong_components(adj(spark, *path, *closing))
+    assert members.count() == n + 1 and members.filter("component <> 0").count() == 0 and len(stored) < 80
+    assert strong_components(adj(spark, *path)).count() == 0
