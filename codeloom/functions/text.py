@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,11 +60,18 @@ def strip_preamble(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\A(?!#).*?^(?=#)".replace("(?s)", "(?sm)"), "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def last_of_each(keys: Column, values: Column) -> Column:
     """A map from arrays of keys and values: of equal keys the last one's value counts, and null keys are left out."""
-    once = F.filter(F.array_distinct(keys), lambda k: k.isNotNull())
-    from_end, back = F.reverse(keys), F.reverse(values)
-    return F.map_from_arrays(once, F.transform(once, lambda k: F.element_at(back, F.array_position(from_end, k).cast("int"))))
+    def made(x: Column) -> Column:
+        value = lambda k: F.element_at(x["back"], F.array_position(x["from_end"], k).cast("int"))
+        return F.map_from_arrays(x["once"], F.transform(x["once"], value))
+
+    return let(keys, lambda k: let(F.struct(F.filter(F.array_distinct(k), lambda x: x.isNotNull()).alias("once"), F.reverse(k).alias("from_end"), F.reverse(values).alias("back")), made))
 
 
 def text_tool_calls(text: Column) -> Column:

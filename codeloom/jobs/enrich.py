@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import last_of_each
+from codeloom.functions.text import last_of_each, let
 
 #: Entities in a request, requests in flight, and attempts.
 BATCH_SIZE, IN_FLIGHT, ATTEMPTS = 20, 5, 3
@@ -64,22 +64,26 @@ def parse_answer(answer: Column, wanted: Column) -> Column:
     missing; only booleans are flags. Of a key that the answer repeats the last value
     counts, and a name that is wanted twice is filled for both.
     """
+    none = F.create_map().cast("map<string,string>")
+
     def read(text: Column) -> Column:
         """The members of one JSON object, null if the text is something else."""
-        roots = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>")
-        one = F.when(text.rlike(r"^\s*\{[\s\S]*\}\s*$") & (F.size(roots) == 1), roots[0])
-        return F.when(one.isNotNull(), last_of_each(F.map_keys(one), F.map_values(one)))
+        roots = F.when(text.rlike(r"^\s*\{[\s\S]*\}\s*$"), F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>"))
+        return let(roots, lambda r: F.when(F.size(r) == 1, let(r[0], lambda one: F.when(one.isNotNull(), last_of_each(F.map_keys(one), F.map_values(one))))))
 
-    none = F.create_map().cast("map<string,string>")
-    top = read(answer)
-    nested = F.element_at(top, "descriptions")
-    flat = F.coalesce(F.when(nested.rlike(r"^\s*\{"), read(nested)).otherwise(top), none)
-    names = F.filter(F.array_distinct(wanted), lambda n: n.isNotNull())
-    filled = F.map_filter(F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.trim(F.element_at(flat, n))))), lambda _, v: v.isNotNull() & (v != ""))
-    marks = F.coalesce(read(F.element_at(top, "is_test")), none)
-    flags = F.transform_values(F.map_filter(marks, lambda _, v: v.isin("true", "false")), lambda _, v: v == "true")
-    missing = F.filter(wanted, lambda n: ~F.map_contains_key(filled, n))
-    return F.when(top.isNotNull(), F.struct(filled.alias("filled"), missing.alias("missing"), flags.alias("flags")))
+    def texts(top: Column) -> Column:
+        return let(F.element_at(top, "descriptions"), lambda nested: F.coalesce(F.when(nested.rlike(r"^\s*\{"), read(nested)).otherwise(top), none))
+
+    def named(flat: Column) -> Column:
+        names = F.filter(F.array_distinct(wanted), lambda n: n.isNotNull())
+        return F.map_filter(F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.trim(F.element_at(flat, n))))), lambda _, v: v.isNotNull() & (v != ""))
+
+    def parsed(top: Column) -> Column:
+        marks = F.coalesce(read(F.element_at(top, "is_test")), none)
+        flags = F.transform_values(F.map_filter(marks, lambda _, v: v.isin("true", "false")), lambda _, v: v == "true")
+        return let(let(texts(top), named), lambda filled: F.struct(filled.alias("filled"), F.filter(wanted, lambda n: ~F.map_contains_key(filled, n)).alias("missing"), flags.alias("flags")))
+
+    return let(read(answer), lambda top: F.when(top.isNotNull(), parsed(top)))
 
 
 def ask(requests: DataFrame, model: Callable[[list[str]], list[str | None]], in_flight: int = IN_FLIGHT) -> DataFrame:

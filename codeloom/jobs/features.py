@@ -9,7 +9,7 @@ from codeloom.functions.text import title_slug
 
 
 def next_folders(folders: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, folder) for each text (id, text): a number of three digits after the highest that a folder (name) starts with, and the slug of the text's title.
+    """(id, folder) for each text (id, text): a number of at least three digits after the highest that a folder (name) starts with, and the slug of the text's title.
 
     Several texts are numbered in order of id.
     """
@@ -18,7 +18,7 @@ def next_folders(folders: DataFrame, texts: DataFrame) -> DataFrame:
     ids = texts.select("id").repartitionByRange("id").withColumn("range", F.spark_partition_id()).groupBy("range").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.count(F.lit(1)).alias("n"))
     ranges = ids.withColumn("before", F.sum("n").over(Window.orderBy("range")) - F.col("n"))  # a row for each range
     placed = ranges.select("before", F.posexplode("ids").alias("k", "id"))
-    return texts.join(placed, "id").select("id", F.concat(F.lpad((F.col("before") + F.col("k") + last + 1).cast("string"), 3, "0"), F.lit("-"), title_slug(F.col("text"))).alias("folder"))
+    return texts.join(placed, "id").select("id", F.concat(F.format_string("%03d", F.col("before") + F.col("k") + last + 1), F.lit("-"), title_slug(F.col("text"))).alias("folder"))
 
 
 def named_folders(folders: DataFrame, names: DataFrame) -> DataFrame:

@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import is_test_file, source_lines, text_tool_calls
 from codeloom.graph import SourceGraph
 from codeloom.jobs import memory
-from codeloom.jobs.enrich import parse_answer, split_batches
+from codeloom.jobs.enrich import build_prompt, parse_answer, split_batches
 from codeloom.jobs.extract import extract
+from codeloom.jobs.features import next_folders
 from codeloom.jobs.index import empty_graph, update
-from codeloom.jobs.ingest import assign_ids, commit_descriptions, hash_diff, remove_files, resolve, walk
+from codeloom.jobs.ingest import assign_ids, commit_descriptions, description_tasks, hash_diff, remove_files, resolve, walk
 from codeloom.operators import lookups as lk
 from codeloom.operators import metrics as mt
 from codeloom.operators import neighbours as nb
 from codeloom.operators import reach as rc
+from codeloom.sources import name_index
 from codeloom.sources.graphs import ONE_KIND, activity, commerce, contracts, corpus, library, polyglot_sources, references, shop_sources
+from codeloom.sources.scratch import doom, scratch_path
 from codeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -409,6 +412,65 @@ SELECT conv_id, turn, role, md5(text) AS text FROM m LEFT JOIN b USING (conv_id)
 UNION ALL SELECT conv_id, turn, 'user', md5('{memory.COMPRESSED[0]}' || (boundary - 1) || '{memory.COMPRESSED[1]}' || chr(10) || chr(10) || 'sum ' || conv_id) FROM m JOIN b USING (conv_id) WHERE p = 1 AND boundary > 1""")
 
 
+def indexed_names(spark: SparkSession, sf_dir: str) -> str:
+    """An index of the commerce graph's names in the shared folder."""
+    path = scratch_path(spark, "name-index")
+    name_index.build(commerce(spark, sf_dir), path)
+    doom(spark, path)
+    return path
+
+
+add("search_by_index", lambda spark, d: short(name_index.search_nodes(spark, indexed_names(spark, d), "CUSTOMER.1")), SQL_COMMERCE + " SELECT id, kind, qualified_name FROM nodes WHERE contains(lower(name), 'customer.1') OR contains(lower(qualified_name), 'customer.1')")
+add("package_by_range", lambda spark, d: short(name_index.nodes_in_package(spark, indexed_names(spark, d), "supplier.1")), SQL_COMMERCE + " SELECT id, kind, qualified_name FROM nodes WHERE starts_with(qualified_name, 'supplier.1')")
+
+
+def snippets_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks of documents that each hold a class on their first two lines; those in French are known for tests."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("D"), F.col("doc_id").cast("string"))
+    span = F.struct(F.lit(0).alias("start_line"), F.lit(0).alias("start_col"), F.lit(1).alias("end_line"), F.lit(0).alias("end_col"))
+    nodes = docs.select(F.col("doc_id").alias("id"), F.explode(F.array(F.lit("Class"), F.lit("Import"))).alias("kind"), name.alias("qualified_name"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file"), span.alias("span"), (F.col("lang") == "fr").alias("is_test"))
+    tasks = description_tasks(corpus(spark, sf_dir), nodes).select("file", F.explode("snippets").alias("name", "snippet"), "is_test_schema")
+    return tasks.select("file", "name", F.md5("snippet").alias("snippet"), F.element_at("is_test_schema", F.col("name")).alias("known"))
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for three entities of each customer, two of which share a name; one is known where the account is in debt."""
+    c = table(spark, sf_dir, "customer")
+    one = lambda name, snippet, known: F.struct(name.alias("name"), snippet.alias("snippet"), known.alias("known"))
+    none, segment = F.lit(None).cast("boolean"), F.concat(F.lit("seg."), "c_mktsegment")
+    entities = F.array(one(F.col("c_name"), F.col("c_mktsegment"), none), one(segment, F.col("c_name"), F.when(F.col("c_acctbal") < 0, True)), one(F.col("c_name"), F.lit("again"), none))
+    return c.select("c_custkey", build_prompt(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), entities).alias("prompt"))
+
+
+MODELS = ("GPT-4.1-mini", "gpt-4o", "gpt-3.5-turbo", "o3", "claude-sonnet-4.5", "claude-2", "Gemini-2.0", "mixtral", "other")
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = F.element_at(F.array(*map(F.lit, MODELS)), (F.col("c_custkey") % len(MODELS) + 1).cast("int"))
+    tokens = memory.context_window(model)
+    return table(spark, sf_dir, "customer").select("c_custkey", tokens.cast("long").alias("tokens"), memory.compression_threshold(tokens).cast("long").alias("threshold"))
+
+
+def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") < 0, F.col("c_name")).otherwise(F.concat(F.lit("intro\n# "), "c_name", F.lit(" & "), "c_mktsegment")).alias("text"))
+    old = table(spark, sf_dir, "part").select(F.concat(F.col("p_size").cast("string"), F.lit("-x")).alias("name"))
+    return next_folders(old, texts)
+
+
+add("description_tasks", snippets_of_documents, """
+SELECT 'doc' || doc_id AS file, 'D' || doc_id AS name, md5(array_to_string(string_split(text, chr(10))[1:2], chr(10))) AS snippet, CASE WHEN lang = 'fr' THEN true END AS known FROM documents""")
+add("build_prompt", prompts, """
+SELECT c_custkey, concat_ws(chr(10), 'Describe source code of c' || c_custkey || '.', '### ' || c_name, '```', c_mktsegment, '```', '', '### seg.' || c_mktsegment, '```', c_name, '```', '', '### ' || c_name, '```', 'again', '```',
+  'Answer with one JSON object that has the keys "descriptions" and "is_test".', 'Fill a sentence for each key of "descriptions", with the keys unchanged: {"' || c_name || '":"","seg.' || c_mktsegment || '":""}',
+  'State true or false in "is_test" for each of: ["' || c_name || CASE WHEN c_acctbal < 0 THEN '"]' ELSE '","seg.' || c_mktsegment || '"]' END, 'Write JSON alone, without fences, comments or further keys.') AS prompt FROM customer""")
+add("context_windows", windows, """
+WITH w AS (SELECT c_custkey, CAST([1047576, 128000, 16385, 200000, 1000000, 200000, 1048000, 32000, 128000][c_custkey % 9 + 1] AS BIGINT) AS tokens FROM customer) SELECT c_custkey, tokens, CAST(floor(tokens * 50 / 100) * 4 AS BIGINT) AS threshold FROM w""")
+add("next_folders", folders, """
+WITH n AS (SELECT c_custkey, c_name, c_mktsegment, c_acctbal, (SELECT max(p_size) FROM part) + row_number() OVER (ORDER BY c_custkey) AS k FROM customer)
+SELECT c_custkey AS id, CASE WHEN k < 1000 THEN lpad(CAST(k AS VARCHAR), 3, '0') ELSE CAST(k AS VARCHAR) END || '-' || CASE WHEN c_acctbal < 0 THEN 'feature' ELSE left(trim(regexp_replace(lower(c_name || ' & ' || c_mktsegment), '[^a-z0-9]+', '-', 'g'), '-'), 50) END AS folder FROM n""")
+
+
 # A tree of sources made of customers and orders, indexed, and brought up to its second version.
 def indexed(spark: SparkSession, sf_dir: str, version: int) -> SourceGraph:
     first = update(empty_graph(spark), shop_sources(spark, sf_dir, 1))

@@ -35,6 +35,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there should be given to ``doom``."""
+    return f"{scratch_dir(spark)}/codeloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def doom(spark: SparkSession, path: str) -> None:
+    """Let a written path be deleted when the driver's JVM ends, or with the open scope."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    if OPEN:
+        OPEN[-1].append(path)
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a scan of it.
 
@@ -42,13 +55,10 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     of a ``scope``.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/codeloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    if OPEN:
-        OPEN[-1].append(path)
+    doom(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
