@@ -41,10 +41,10 @@ from codeloom.sources.scratch import materialise
 BACK, FEATURES = 2, 2
 #: Bytes of text that a task encodes at once, and places that it scores or learns from at once.
 SLICE, PLACES = 1 << 21, 8192
-#: Tokens that a task sums up, weights that travel in a row, and sums that are added up in turn in the tree's first level.
-TASK_TOKENS, PART, SALTS = 1 << 24, 1 << 16, 16
+#: Tokens that a task sums up, at most and at least, weights that travel in a row, and sums that are added up in turn in the tree's first level.
+TASK_TOKENS, FEW_TOKENS, PART, SALTS = 1 << 24, 1 << 18, 1 << 16, 16
 #: Batches of a pass beside the watched rows, as many as make a batch of so many tokens, and tokens of all passes unless one pass has more.
-BATCHES, BATCH_TOKENS, ALL_TOKENS, PASSES = 7, 1 << 20, 1 << 24, 4
+BATCHES, BATCH_TOKENS, ALL_TOKENS, PASSES = 3, 1 << 20, 1 << 24, 4
 #: Step over the curvature's bound, and the penalty on half of a weight's square.
 RATE, PENALTY = 0.6, 4.0
 #: Rows that are no batch: of a pass's end, and not to learn from.
@@ -109,6 +109,7 @@ def in_slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
         firsts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
         for begin, end in zip(firsts, [*firsts[1:], batch.num_rows], strict=True):
             yield batch.slice(begin, end - begin)
+    pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -282,13 +283,14 @@ def summed_errors(texts: DataFrame, tree: Tree, weights: np.ndarray, tokens: int
     """The errors and the numbers of the steps that met each weight, summed over all places of the texts, and the loss.
 
     A task sends as much as the table of weights twice, so there are only as many tasks as
-    keep all cores at work and have about TASK_TOKENS each; of ``tokens`` in all. Their rows
-    are added up one after another, by part and salt first and then by part, so that no
-    worker holds more than one sum of each part.
+    keep all cores at work and have FEW_TOKENS to TASK_TOKENS each; of ``tokens`` in all.
+    Their rows are added up one after another, by part and (of many tasks) salt first and
+    then by part, so that no worker holds more than one sum of each part.
     """
     sc = texts.sparkSession.sparkContext
     shipped = sc.broadcast((tree, weights))
-    tasks = sc.defaultParallelism * max(1, -(-tokens // (TASK_TOKENS * sc.defaultParallelism)))
+    tasks = max(1, min(sc.defaultParallelism * max(1, -(-tokens // (TASK_TOKENS * sc.defaultParallelism))), tokens // FEW_TOKENS))
+    salts = SALTS if tasks > SALTS else 1
     kinds = "part int, salt int, errors binary, steps binary, loss double"
 
     def rows_of(sums: dict[int, tuple[np.ndarray, np.ndarray, float]], salt: int) -> Iterator[pa.RecordBatch]:
@@ -305,7 +307,7 @@ def summed_errors(texts: DataFrame, tree: Tree, weights: np.ndarray, tokens: int
                 loss += add_errors(tree, own, c, places_of(lengths), errors, steps)
                 seen = True
         if seen:
-            salt = TaskContext.get().partitionId() % SALTS
+            salt = TaskContext.get().partitionId() % salts
             yield from rows_of({i: (errors[at : at + PART], steps[at : at + PART], 0.0 if i else loss) for i, at in enumerate(range(0, len(own), PART))}, salt)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,8 +323,9 @@ def summed_errors(texts: DataFrame, tree: Tree, weights: np.ndarray, tokens: int
             yield from rows_of({part: tuple(one)}, salt)
 
     sent = texts.select("leaves").coalesce(tasks).mapInArrow(learn, kinds)
-    by_salt = sent.repartition("part", "salt").mapInArrow(add, kinds).withColumn("salt", F.lit(0))
-    total = by_salt.repartition("part").mapInArrow(add, kinds)
+    if salts > 1:
+        sent = sent.repartition("part", "salt").mapInArrow(add, kinds).withColumn("salt", F.lit(0))
+    total = sent.repartition("part").mapInArrow(add, kinds)
     errors, steps, loss = np.zeros(len(weights), np.float32), np.zeros(len(weights), np.float32), 0.0
     for row in total.toLocalIterator():
         at = row["part"] * PART
