@@ -331,6 +331,7 @@ def summed_errors(texts: DataFrame, tree: Tree, weights: np.ndarray, tokens: int
         at = row["part"] * PART
         errors[at : at + PART], steps[at : at + PART] = np.frombuffer(row["errors"], np.float32), np.frombuffer(row["steps"], np.float32)
         loss += row["loss"]
+    shipped.destroy()  # a copy for each round and worker would stay on disk
     return errors, steps, loss
 
 
