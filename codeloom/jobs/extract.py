@@ -284,11 +284,7 @@ def imported() -> Column:
     own = F.array(one(F.col("d.name"), F.col("d.name"), none))
     is_import = F.col("d.kind") == "Import"
     found = F.when(is_import & (language == "Rust") & ~F.col("code").rlike(r"^\s*extern\b"), rust).when(is_import & (language == "Python"), python).when(is_import & (language == "Go"), go).when(is_import & (language == "TypeScript") & (target != ""), typescript)
-    return F.coalesce(found, F.when(is_import & language.isin("Go", "TypeScript"), F.array().cast(own_type())).otherwise(own))
-
-
-def own_type() -> str:
-    return "array<struct<name:string,path:string,alias:string>>"
+    return F.coalesce(found, F.when(is_import & language.isin("Go", "TypeScript"), F.array().cast("array<struct<name:string,path:string,alias:string>>")).otherwise(own))
 
 
 def separator() -> Column:
