@@ -354,3 +354,21 @@ def test_hostile_sources_end_no_job(spark):
     g = extract(walk(files))
     found = {(r["file"], r["qualified_name"]) for r in g.nodes.collect()}
     assert ("b.java", "B.x") in found and ("i.java", "C.v1999") in found and g.edges.count() > 0 and g.validate().count() == 0
+
+
+def test_files_are_cut_in_one_pass(spark):
+    """Tokens stay one row a file, and a file that goes over batches has the scopes of one that doesn't."""
+    import pyarrow as pa
+
+    from codeloom.jobs.extract import KEPT, enclosed_by_file
+    from codeloom.jobs.statements import tokens
+
+    files = spark.createDataFrame([("A.java", "class A { int f() { return 1; } }\n" * 3, "java")], "path string, content string, ext string")
+    assert tokens(files).count() == 1
+    row = {"language": "Java", "raw": "", "code": "", "marks": [], "d": None, "name": "x", "modifiers": ""}
+    rows = [row | {"path": p, "at": a, "line": a, "last": a, "depth": d, "closing": False, "holder": h} for p in "ab" for a, (d, h) in enumerate([(0, "Class"), (4, "Method"), (8, None), (4, None), (0, "Class")])]
+    whole = pa.RecordBatch.from_pylist(rows)
+    one = pa.Table.from_batches(enclosed_by_file([whole])).to_pylist()
+    many = pa.Table.from_batches(enclosed_by_file([whole.slice(i, 1) for i in range(len(rows))])).to_pylist()
+    assert one == many and len(one) == 10 and set(KEPT) <= set(one[0])
+    assert [r["end"] for r in one[:5]] == [3, 2, 2, 3, 4] and [len(r["scope"]) for r in one[:5]] == [0, 1, 2, 1, 0]
