@@ -193,3 +193,18 @@ def test_a_long_cycle_settles_in_a_few_rounds(spark, monkeypatch):
     members = strong_components(adj(spark, *path, *closing))
     assert members.count() == n + 1 and members.filter("component <> 0").count() == 0 and len(stored) < 80
     assert strong_components(adj(spark, *path)).count() == 0
+
+
+def test_closure_keeps_many_roots_in_a_word(spark):
+    """130 roots into a path of 10 nodes that ends in a cycle: all pairs with their depths, from a row for each node and 64 roots."""
+    from codeloom.operators.closure import reached_words
+
+    edges = spark.createDataFrame([(1000 + r, r % 3, r) for r in range(130)] + [(i, i + 1, 500 + i) for i in range(9)] + [(9, 8, 600)], "src long, dst long, edge_id long")
+    roots = spark.createDataFrame([(1000 + r,) for r in range(130)], "root long").coalesce(1)
+    want = {(1000 + r, i, i - r % 3 + 1) for r in range(130) for i in range(r % 3, 10)}
+    found = closure(edges, roots)
+    assert {(x["root"], x["id"], x["depth"]) for x in found.collect()} == want and found.count() == len(want)
+    words = spark.createDataFrame([(7, 0, -1)], "id long, w long, bits long")
+    assert reached_words(spark.createDataFrame([(7, 8)], "src long, dst long"), words, None).count() == 2
+    paths = shortest_paths(edges, spark.createDataFrame([(1002, 9), (9, 9), (3, 1)], "from_id long, to_id long"))
+    assert sorted(x["path"] for x in paths.collect()) == [[9], [1002, *range(2, 10)]]
