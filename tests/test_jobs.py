@@ -239,3 +239,16 @@ def test_plain_lists_are_whole_or_fail(spark, g, monkeypatch):  # noqa: F811
         assert len(json.loads(tl.call(g, name, json.dumps(json.loads(args) | {"limit": every})).first()["answer"])) == every
     with pytest.raises(ValueError, match="unknown tool"):
         tl.found(g, "no_tool")
+
+
+def test_removed_nodes_are_stored_before_edges_meet_them(spark):
+    """A few removed nodes go to the tasks by their stored size; the edges aren't shuffled for them."""
+    from codeloom.graph import SourceGraph
+    from codeloom.jobs.ingest import remove_files
+
+    nodes = spark.range(10).selectExpr("id", "concat('n', id) qualified_name", "concat('f', id % 2) file")
+    edges = spark.range(9).selectExpr("id", "'Calls' kind", "id src", "'Resolved' to_state", "id + 1 to_id", "cast(null as string) to_name")
+    left = remove_files(SourceGraph(nodes, edges), spark.createDataFrame([("f1",)], "path string"))
+    assert {(r["src"], r["to_name"]) for r in left.edges.collect()} == {(i, f"n{i + 1}") for i in range(0, 9, 2)}
+    plan = left.edges._jdf.queryExecution().executedPlan().toString()
+    assert "/gone-" in plan and plan.count("BroadcastHashJoin") >= 2
