@@ -8,13 +8,12 @@ Each adds to the classes' add-one counts the weights of its features: the token
 weights. With all weights zero the model is the add-one unigram model.
 
 Counts cover every training text, and every place of every training text trains. The
-rows are dealt into batches. For a batch all tasks sum up, at common weights, the errors
-of the steps that met a weight and the number of these steps; Spark adds up the sums in a
-tree, and each weight moves by its error and the slope of a penalty on its square, over a
-quarter of its steps (the most that the loss can curve) and the penalty. So a weight that
-few steps met stays small, and the more evidence there is for it the freer it is. A part of
-the training rows is watched: passes over the batches go on while these rows grow
-likelier, and the last step is theirs.
+rows are dealt into as many turns whatever their number, and a pass takes one step for each.
+In a turn all tasks sum up, at common weights, the errors of the steps that met a weight and
+the number of these steps; Spark adds up the sums in a tree, and each weight moves by its
+error and the slope of a penalty on its square, over a quarter of its steps (the most that
+the loss can curve) and the penalty. So a weight that few steps met stays small, and the more
+evidence there is for it the freer it is. Nothing in the method goes by the size of the input.
 Texts are tokenised twice, once to count and once to number their tokens; training and
 scoring read the stored numbers.
 
@@ -41,13 +40,13 @@ from codeloom.sources.scratch import materialise
 BACK, FEATURES = 2, 2
 #: Bytes of text that a task encodes at once, and places that it scores or learns from at once.
 SLICE, PLACES = 1 << 21, 8192
-#: Tokens that a task sums up, at most and at least, weights that travel in a row, and sums that are added up in turn in the tree's first level.
-TASK_TOKENS, FEW_TOKENS, PART, SALTS = 1 << 24, 1 << 18, 1 << 16, 16
-#: Batches of a pass beside the watched rows, as many as make a batch of so many tokens, and tokens of all passes unless one pass has more.
-BATCHES, BATCH_TOKENS, ALL_TOKENS, PASSES = 3, 1 << 20, 1 << 24, 4
+#: Tokens that a task sums up, weights that travel in a row, and sums that are added up in turn in the tree's first level.
+TASK_TOKENS, PART, SALTS = 1 << 22, 1 << 16, 16
+#: Steps of a pass, and passes over the training rows, for tables of any size.
+TURNS, PASSES = 4, 1
 #: Step over the curvature's bound, and the penalty on half of a weight's square.
 RATE, PENALTY = 0.6, 4.0
-#: Rows that are no batch: of a pass's end, and not to learn from.
+#: Rows that are no common batch: of a pass's last turn, and not to learn from.
 WATCHED, HELD_OUT = -1, -2
 #: Leaves that are no token: the end of a text, and all tokens that aren't frequent.
 END, OTHER = 0, 1
@@ -174,7 +173,7 @@ def vocabulary(counts: DataFrame, ends: int, frequent: int) -> tuple[Vocabulary,
 
 
 def numbered_texts(docs: DataFrame, words: Vocabulary, keep: list[str]) -> DataFrame:
-    """rid, batch, the columns ``keep``, leaves (of the tokens and the end), known and logs of the frequent tokens, and the other tokens' hashes with their counts (rare, times); stored."""
+    """rid, batch, turn, the columns ``keep``, leaves (of the tokens and the end), known and logs of the frequent tokens, and the other tokens' hashes with their counts (rare, times); stored."""
     shipped = docs.sparkSession.sparkContext.broadcast(words)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +206,10 @@ def numbered_texts(docs: DataFrame, words: Vocabulary, keep: list[str]) -> DataF
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     numbered = docs.select(*keep, "text").mapInArrow(number, f"rid long, {kinds}, leaves array<int>, known long, logs double, rare array<long>, times array<long>")
-    n = batches_of(words.tokens)
-    batch = F.pmod(F.xxhash64("rid"), F.lit(n + 1)).cast("int")
-    learnt = F.when(batch < n, batch).otherwise(WATCHED)
-    return materialise(numbered.withColumn("batch", F.when(F.col("held_out"), HELD_OUT).otherwise(learnt) if "held_out" in keep else learnt), "numbered-texts", ["batch"])
+    turn = F.pmod(F.xxhash64("rid"), F.lit(TURNS)).cast("int")
+    learnt = F.when(turn < TURNS - 1, 0).otherwise(WATCHED)
+    batch = F.when(F.col("held_out"), HELD_OUT).otherwise(learnt) if "held_out" in keep else learnt
+    return materialise(numbered.withColumn("batch", batch).withColumn("turn", turn), "numbered-texts", ["batch", "turn"])
 
 
 def flat_leaves(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -282,14 +281,13 @@ def add_errors(tree: Tree, weights: np.ndarray, c: np.ndarray, at: np.ndarray, e
 def summed_errors(texts: DataFrame, tree: Tree, weights: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray, float]:
     """The errors and the numbers of the steps that met each weight, summed over all places of the texts, and the loss.
 
-    A task sends as much as the table of weights twice, so there are only as many tasks as
-    keep all cores at work and have FEW_TOKENS to TASK_TOKENS each; of ``tokens`` in all.
-    Their rows are added up one after another, by part and (of many tasks) salt first and
+    A task sends as much as the table of weights twice, so there is one for each TASK_TOKENS
+    of ``tokens`` in all: what is sent grows with the texts. Their rows are added up one after another, by part and (of many tasks) salt first and
     then by part, so that no worker holds more than one sum of each part.
     """
     sc = texts.sparkSession.sparkContext
     shipped = sc.broadcast((tree, weights))
-    tasks = max(1, min(sc.defaultParallelism * max(1, -(-tokens // (TASK_TOKENS * sc.defaultParallelism))), tokens // FEW_TOKENS))
+    tasks = max(1, -(-tokens // TASK_TOKENS))
     salts = SALTS if tasks > SALTS else 1
     kinds = "part int, salt int, errors binary, steps binary, loss double"
 
@@ -346,27 +344,14 @@ def train_round(texts: DataFrame, tree: Tree, weights: np.ndarray, rate: float,
     return moved(weights, errors, steps, rate, penalty, share)
 
 
-def batches_of(tokens: int) -> int:
-    return max(1, min(BATCHES, tokens // BATCH_TOKENS))
-
-
-def train(texts: DataFrame, tree: Tree, bits: int, tokens: int, passes: int | None = None, rate: float = RATE, penalty: float = PENALTY) -> np.ndarray:
-    """Weights after passes over the batches of the training texts; ``tokens`` in all.
-
-    By default passes go on while the watched rows grow likelier, within PASSES passes and
-    ALL_TOKENS tokens, but for the first pass. The watched rows' own step comes last.
-    """
-    batches = batches_of(tokens)
-    most = max(1, min(PASSES, ALL_TOKENS // max(tokens, 1))) if passes is None else passes
-    weights, best = np.zeros(1 << bits, np.float32), None
-    for _ in range(most):
-        for batch in range(batches):
-            weights = train_round(texts.filter(F.col("batch") == batch), tree, weights, rate, tokens // (batches + 1), penalty, 1 / (batches + 1))
-        errors, steps, loss = summed_errors(texts.filter(F.col("batch") == WATCHED), tree, weights, tokens // (batches + 1))
-        if passes is None and best is not None and loss >= best[0]:
-            break
-        best = (loss, moved(weights, errors, steps, rate, penalty, 1 / (batches + 1)))
-    return weights if best is None else best[1]
+def train(texts: DataFrame, tree: Tree, bits: int, tokens: int, passes: int = PASSES, rate: float = RATE, penalty: float = PENALTY) -> np.ndarray:
+    """Weights after ``passes`` over the training texts, ``tokens`` in all, with a step for each turn."""
+    weights = np.zeros(1 << bits, np.float32)
+    for _ in range(passes):
+        for turn in range(TURNS):
+            part = texts.filter((F.col("batch") != HELD_OUT) & (F.col("turn") == turn))
+            weights = train_round(part, tree, weights, rate, tokens // TURNS, penalty, 1 / TURNS)
+    return weights
 
 
 def model_scores(texts: DataFrame, tree: Tree, weights: np.ndarray, keep: list[str]) -> DataFrame:
@@ -392,14 +377,13 @@ def model_scores(texts: DataFrame, tree: Tree, weights: np.ndarray, keep: list[s
     return texts.select(*keep, "leaves").mapInArrow(score, f"{kinds}, model double")
 
 
-def language_model_scores(docs: DataFrame, train_on: Column, frequent: int = 262_144, rounds: int | None = None, bits: int = 21) -> DataFrame:
+def language_model_scores(docs: DataFrame, train_on: Column, frequent: int = 262_144, rounds: int = PASSES, bits: int = 21) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     Learns from rows for which ``train_on`` holds. ``base_score`` is the add-one unigram
     log10 probability, ``score`` the model's. A text's tokens are its words and one end.
     ``frequent`` bounds the arrays that are sent to the tasks, not what is counted, and
-    ``2**bits`` weights are learnt in ``rounds`` passes over every place, by default in as
-    many as make a watched part of the training rows likelier. Null
+    ``2**bits`` weights are learnt in ``rounds`` passes over every place. Null
     texts are empty: one end. Without training rows nothing is known and both scores go by
     counts of zero. Repeated rows each count and are each scored; other columns are
     ignored. An empty table gives no rows.

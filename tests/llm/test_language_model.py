@@ -144,3 +144,18 @@ def test_sums_are_the_same_however_texts_are_dealt(spark, monkeypatch):
     many = lm.summed_errors(texts.repartition(6), tree, weights, 1 << 40)
     assert np.abs(one[0] - many[0]).max() < 0.01 and (one[1] == many[1]).all() and abs(one[2] - many[2]) < 1e-6 * one[2]
     assert {r["batch"] for r in texts.select("batch").distinct().collect()} == {0, lm.WATCHED}
+
+
+def test_the_method_is_the_same_for_any_size(spark, monkeypatch):
+    """However many tokens there are said to be, the same rows make the same steps."""
+    docs = documents(spark)
+    words, tree, _ = lm.vocabulary(lm.count_tokens(docs), docs.count(), 262_144)
+    steps = {}
+    for tokens in (words.tokens, 1 << 23, 1 << 40):
+        texts = lm.numbered_texts(docs.select("doc_id", "text"), words._replace(tokens=tokens), ["doc_id"])
+        seen = []
+        monkeypatch.setattr(lm, "train_round", lambda part, tree, weights, *_, seen=seen: seen.append(sorted(r["rid"] for r in part.select("rid").collect())) or weights)
+        lm.train(texts, tree, 12, tokens)
+        steps[tokens] = seen
+    assert steps[words.tokens] == steps[1 << 23] == steps[1 << 40]
+    assert len(seen) == lm.TURNS and sorted(sum(seen, [])) == sorted(r["rid"] for r in texts.select("rid").collect())
