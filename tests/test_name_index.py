@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from codeloom.graph import SourceGraph
 from codeloom.operators import lookups as lk
 from codeloom.schema import make_node
@@ -40,3 +42,16 @@ def test_an_empty_graph_has_an_index(spark, tmp_path):
     assert ni.search_nodes(spark, path, "abc").count() == 0 and ni.search_nodes(spark, path, "a").count() == 1
     ni.build(SourceGraph(g.nodes.limit(0), g.edges), path + "0")
     assert ni.search_nodes(spark, path + "0", "abc").count() == 0 and ni.nodes_in_package(spark, path + "0", "a").count() == 0
+
+
+def test_what_a_task_sorts_does_not_grow_with_the_graph(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ni, "NODE_ROWS", 300, raising=False)
+    monkeypatch.setattr(ni, "POSTING_ROWS", 500, raising=False)
+    g = SourceGraph.of_rows(spark, [make_node(i, "Class", f"Cus{i}", f"Cus.{i}") for i in range(9000)], [])
+    path = str(tmp_path / "index")
+    ni.build(g, path)
+    ranges = spark.read.parquet(f"{path}/nodes").groupBy("part").count().collect()
+    assert len(ranges) == 30 and max(r["count"] for r in ranges) < 900
+    files = spark.read.parquet(f"{path}/postings").groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in files) < 1000  # "cus" is in every name
+    assert sorted(r["id"] for r in ni.search_nodes(spark, path, "CUS12").collect()) == [i for i in range(9000) if str(i).startswith("12")]
