@@ -1,4 +1,7 @@
 import random
+import re
+
+import numpy as np
 
 import corpus_pipeline
 from codeloom.llm import set_join
@@ -121,3 +124,20 @@ def test_template_pages_meet_nowhere(spark, monkeypatch):
         classes = similar_text_classes(df, like=Likeness(4, 5)).groupBy("class_id").count().collect()
         assert sorted(r["count"] for r in classes) == [1] * (n - 1) + [2]
     assert sum(compared) < 20
+
+
+def test_bitmaps_bound_a_pair_in_code_that_the_jvm_compiles(spark):
+    pick, like, rows, want = np.random.default_rng(3), set_join.Likeness(), [], set()
+    for i in range(60):
+        s = pick.choice(4000, 300, replace=False)
+        t = np.concatenate([s[: 300 - 3 * (i % 30)], 4000 + pick.choice(4000, 3 * (i % 30), replace=False)])
+        a, b = (set_join.bitmap(x).tolist() for x in (s, t))
+        one, other = ({x % set_join.BITS for x in y.tolist()} for y in (s, t))
+        if min(300 - len(one - other), 300 - len(other - one)) * 9 >= 600 * 4:
+            want.add(i)
+        rows.append((i, 300, a, 300, b))
+    pairs = spark.createDataFrame(rows, "i int, n_a int, bits_a array<long>, n_b int, bits_b array<long>")
+    near = pairs.withColumns({f"spare_{x}": set_join.spare(f"n_{x}", f"bits_{x}") for x in "ab"}).repartition(2).filter(set_join.near_bits(like))
+    assert {r["i"] for r in near.collect()} == want and 0 < len(want) < 60
+    code = spark._jvm.PythonSQLUtils.explainString(near._jdf.queryExecution(), "codegen")
+    assert 0 < max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
