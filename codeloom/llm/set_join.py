@@ -24,6 +24,10 @@ copies for a row each. What is then left in different classes is paired block by
 that no shingle is one task; of these pairs only those are kept, once each, that share
 enough crowded tiles and whose bitmaps allow it. No pair within the similarity is missed.
 
+Where asked for, SimHash goes first (``near_dedup``): the sets of each class of its
+fingerprints are verified against one of them, and pairs that this has linked aren't
+compared by the tiles, which find what lies beyond the fingerprints' two bits.
+
 Texts are read for the common shingles and for the prefixes; those of sets that have a
 candidate, or whose prefix is cut anew, once more.
 """
@@ -40,6 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.llm import near_dedup
 from codeloom.llm.decontaminate import fits, fresh, small
 from codeloom.llm.language_model import in_slices, split_tokens
 from codeloom.operators.components import connected_components
@@ -153,8 +158,8 @@ def common_last(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~last], s[last]])
 
 
-def prefixes(docs: DataFrame, shingle: int, common: np.ndarray, like: Likeness) -> DataFrame:
-    """(doc_id, set_id, n, head): each row's number, the size of its set, and the shingles in its prefix; stored."""
+def prefixes(docs: DataFrame, shingle: int, common: np.ndarray, like: Likeness, simhash: bool = False) -> DataFrame:
+    """(doc_id, set_id, n, head, fp): each row's number, the size of its set, the shingles in its prefix, and with ``simhash`` its fingerprint; stored."""
     shipped = docs.sparkSession.sparkContext.broadcast(common)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +168,20 @@ def prefixes(docs: DataFrame, shingle: int, common: np.ndarray, like: Likeness)
             ids, sets = shingle_sets(rows.column("text"), shingle)
             heads = [common_last(s, common)[: like.prefix(len(s))] for s in sets]
             size = np.array([len(s) for s in sets], np.int32)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids), pa.array(size), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "set_id", "n", "head"])
+            prints = [pa.array(np.array([near_dedup.fingerprint(t.as_py(), shingle) for t in rows.column("text")], np.uint64).view(np.int64))] if simhash else []
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids), pa.array(size), pa.array(heads, pa.list_(pa.int64())), *prints], names=["doc_id", "set_id", "n", "head", *["fp"][: len(prints)]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialise(docs.select("doc_id", "text").mapInArrow(index, f"doc_id {kind}, set_id long, n int, head array<long>"), "prefixes")
+    return materialise(docs.select("doc_id", "text").mapInArrow(index, f"doc_id {kind}, set_id long, n int, head array<long>" + ", fp long" * simhash), "prefixes")
+
+
+def simhash_pairs(index: DataFrame) -> DataFrame:
+    """Pairs (a, b) of set ids to be verified: each set with one of its class of fingerprints (fp); stored."""
+    prints = materialise(index.select("set_id", "fp").distinct(), "fingerprints")
+    roots = connected_components(near_dedup.links(prints.select("fp").distinct())).withColumnRenamed("node", "fp")
+    classes = materialise(prints.join(roots, "fp", "left").select("set_id", F.coalesce("root", "fp").alias("class_fp")), "fingerprint-classes")
+    first = classes.groupBy("class_fp").agg(F.min("set_id").alias("a"), F.max("set_id").alias("most")).filter("a <> most").select("class_fp", "a")
+    return materialise(classes.join(first, "class_fp").filter("a <> set_id").select("a", F.col("set_id").alias("b")), "candidates")
 
 
 def shared_tiles(index: DataFrame, like: Likeness) -> DataFrame:
@@ -317,8 +332,9 @@ def crowded_pairs(rows: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame
     return a.join(b, meets).select("a", "b")
 
 
-def links(texts: DataFrame, index: DataFrame, common: np.ndarray, shingle: int = 5, cap: int = 64, like: Likeness = Likeness()) -> DataFrame:
-    """Pairs (a, b) of set ids, enough of them to connect all that are alike; stored."""
+def links(texts: DataFrame, index: DataFrame, common: np.ndarray, shingle: int = 5, cap: int = 64, like: Likeness = Likeness(), simhash: bool = False) -> DataFrame:
+    """Pairs (a, b) of set ids, enough of them to connect all that are alike; stored. With ``simhash``, ``index`` has fingerprints, whose pairs come first."""
+    likely = simhash_pairs(index) if simhash else None
     hits = shared_tiles(index, like)
     ranked = None
     for _ in range(MENDED):
@@ -334,9 +350,17 @@ def links(texts: DataFrame, index: DataFrame, common: np.ndarray, shingle: int =
     wide = hits.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("rows") > cap, F.col("key")))).alias("crowded"), F.count(F.when(F.col("rows") <= cap, 1)).alias("rare"))
     wide = materialise(wide, "crowded-sets")
     discard(hits)
-    wanted = materialise(rare.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct(), "wanted")
+    compared = rare if likely is None else rare.unionByName(likely)
+    wanted = materialise(compared.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct(), "wanted")
     sets = sets_of(texts, index, wanted, shingle)
-    found = verified(sets, rare, like)
+    if likely is None:
+        found = verified(sets, rare, like)
+    else:
+        linked = verified(sets, likely, like)
+        roots = connected_components(linked)
+        of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        open_pairs = rare.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True)))
+        found = materialise(linked.unionByName(verified(sets, open_pairs, like)), "links")
     for turn in range(ROUNDS + 1):
         roots = connected_components(found).withColumnRenamed("node", "id")
         now = materialise(members.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")), "crowded")
@@ -354,9 +378,11 @@ def links(texts: DataFrame, index: DataFrame, common: np.ndarray, shingle: int =
     return found
 
 
-def similar_text_classes(docs: DataFrame, shingle: int = 5, cap: int = 64, like: Likeness = Likeness()) -> DataFrame:
+def similar_text_classes(docs: DataFrame, shingle: int = 5, cap: int = 64, like: Likeness = Likeness(), simhash: bool = False) -> DataFrame:
     """(doc_id, set_id, n, class_id) of each row, n the size of its set; a class is what likenesses (by default similarities of 4/5 or more) reach.
 
+    With ``simhash``, near copies are sought by their fingerprints first, then by tiles; the classes are the same.
+
     Null and empty texts, and those of white space, have no shingles and are one class.
     Repeated rows are each reported; other columns are ignored. An empty table gives no
     rows. Only the result stays stored.
@@ -364,8 +390,8 @@ def similar_text_classes(docs: DataFrame, shingle: int = 5, cap: int = 64, like:
     docs = docs.select("doc_id", "text")
     with scope(docs.sparkSession) as kept:
         common = common_shingles(docs, shingle)
-        index = prefixes(docs, shingle, common, like)
-        roots = connected_components(links(docs, index, common, shingle, cap, like)).withColumnRenamed("node", "set_id")
+        index = prefixes(docs, shingle, common, like, simhash)
+        roots = connected_components(links(docs, index, common, shingle, cap, like, simhash)).withColumnRenamed("node", "set_id")
         classes = materialise(index.select("doc_id", "set_id", "n").join(roots, "set_id", "left").select("doc_id", "set_id", "n", F.coalesce("root", "set_id").alias("class_id")), "classes")
         kept.append(classes)
     return classes
@@ -388,13 +414,13 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, cap: int = 64, like: L
 def without_near_copies(docs: DataFrame, shingle: int = 5, cap: int = 64, max_bytes: int = 32 << 20) -> DataFrame:
     """The rows of ``docs``, of each class of ``similar_text_classes`` the one of least doc_id; of several rows of that id with equal words, the one of least text and then of least other columns as JSON.
 
-    Texts are shuffled only where what goes doesn't fit into ``max_bytes``, and those of
+    Near copies are those of SimHash that verification confirms, and what the tiles find besides. Texts are shuffled only where what goes doesn't fit into ``max_bytes``, and those of
     repeated rows.
     """
     key = lambda: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(name).cast("string"))
     name = fresh(docs, "set_id")
     with scope(docs.sparkSession) as stored:
-        classes = similar_text_classes(docs.select("doc_id", "text"), shingle, cap).withColumnRenamed("set_id", name).withColumn("key", key())
+        classes = similar_text_classes(docs.select("doc_id", "text"), shingle, cap, simhash=True).withColumnRenamed("set_id", name).withColumn("key", key())
         first = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")).select("class_id", "first.key")
         gone = materialise(classes.join(first.withColumnRenamed("key", "first"), "class_id").filter("key <> first").select("key").distinct(), "near-copies")
         again = materialise(classes.join(first.select("key"), "key", "left_semi").groupBy("key").count().filter("count > 1").select("key"), "repeated-rows")

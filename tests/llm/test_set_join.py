@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from codeloom.llm import set_join
+from codeloom.llm import near_dedup, set_join
 from codeloom.llm.set_join import Likeness, jaccard_components, similar_text_classes
 from codeloom.sources.tables import table
 from tests.llm.data import documents
@@ -54,6 +54,23 @@ def test_stage_keeps_one_text_of_each_jaccard_class(spark):
     assert got == slow_kept(rows)
 
 
+def test_stage_takes_fingerprints_first(spark, monkeypatch):
+    """Copies within two bits are linked by SimHash, and the tiles compare only what it left apart."""
+    words = [f"w{random.Random(i).randrange(5000)}" for i in range(400)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words[:-1], "other"])), (2, " ".join(["new", *words])), (3, altered(words, 8, 3)), (4, "quite another text of few words")]
+    bits = lambda a, b: bin(near_dedup.fingerprint(rows[a][1], 5) ^ near_dedup.fingerprint(rows[b][1], 5)).count("1")
+    assert max(bits(0, 1), bits(0, 2)) <= 2 < min(bits(i, 3) for i in range(3))
+    probed, compared = [], []
+    monkeypatch.setattr(near_dedup, "links", lambda fps, own=near_dedup.links: (probed.append(fps.count()), own(fps))[1])
+    monkeypatch.setattr(set_join, "verified", lambda sets, pairs, like, own=set_join.verified: (compared.append({frozenset((r["a"], r["b"])) for r in pairs.collect()}), own(sets, pairs, like))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    ids = {r["doc_id"]: r["set_id"] for r in set_join.with_set_id(df).collect()}
+    near = {frozenset((ids[a], ids[b])) for a, b in ((0, 1), (0, 2), (1, 2))}
+    assert kept == slow_kept(rows) == [0, 4]
+    assert len(probed) == 1 and len(compared[0] & near) == 2 and not compared[1] & near and compared[1]
+
+
 def test_crowded_shingles_miss_nothing(spark):
     words = [f"w{i}" for i in range(100)]
     rows = [(i, altered(words, i % 4, i)) for i in range(60)]
