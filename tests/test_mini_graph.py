@@ -208,3 +208,25 @@ def test_closure_keeps_many_roots_in_a_word(spark):
     assert reached_words(spark.createDataFrame([(7, 8)], "src long, dst long"), words, None).count() == 2
     paths = shortest_paths(edges, spark.createDataFrame([(1002, 9), (9, 9), (3, 1)], "from_id long, to_id long"))
     assert sorted(x["path"] for x in paths.collect()) == [[9], [1002, *range(2, 10)]]
+
+
+def test_a_row_of_a_closure_stands_for_a_thousand_roots(spark, monkeypatch):
+    pick = random.Random(5)
+    edges = [(i, 5000 + i % 7) for i in range(2100)] + [(5000 + i, 6000 + pick.randrange(5)) for i in range(7)] + [(6000 + i, 6000 + (i + 1) % 5) for i in range(5)]
+    adj = spark.createDataFrame(edges, "src long, dst long").repartition(5)
+    stored = []
+    monkeypatch.setattr(cl, "reached_words", lambda *a, own=cl.reached_words: (stored.append(own(*a)), stored[-1])[1])
+    out = {(r["root"], r["id"]): r["depth"] for r in closure(adj, spark.createDataFrame([(i,) for i in range(2100)], "root long").repartition(3)).collect()}
+    steps, want = {}, {}
+    for a, b in edges:
+        steps.setdefault(a, set()).add(b)
+    for root in range(2100):
+        seen, last, depth = {root}, {root}, 0
+        while last:
+            depth += 1
+            last = {b for a in last for b in steps.get(a, ())} - seen
+            want |= {(root, b): depth for b in last}
+            seen |= last
+    assert out == want
+    # 33 words of 64 roots would be as many rows for each node and distance.
+    assert stored[0].filter("id >= 5000").groupBy("id", "depth").count().agg({"count": "max"}).first()[0] == 3
