@@ -230,3 +230,19 @@ def test_a_row_of_a_closure_stands_for_a_thousand_roots(spark, monkeypatch):
     assert out == want
     # 33 words of 64 roots would be as many rows for each node and distance.
     assert stored[0].filter("id >= 5000").groupBy("id", "depth").count().agg({"count": "max"}).first()[0] == 3
+
+
+def test_only_parents_are_followed_to_their_ancestors(spark, monkeypatch):
+    kinds = spark.createDataFrame([(0, "Package"), *((i, "Class") for i in range(1, 4)), *((i, "Method") for i in range(10, 310)), (400, "Class")], "id long, kind string")
+    parents = spark.createDataFrame([(1, 0), (2, 1), (3, 0), *((i, 1 + i % 3) for i in range(10, 310))], "id long, parent long")
+    counts = []
+
+    def counted(df, own=cl.checkpoint):
+        rows = own(df)
+        counts.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(cl, "checkpoint", counted)
+    found = got(nearest_ancestors(kinds, parents, "kind = 'Package'"), "id", "ancestor")
+    assert found == [(i, 0) for i in (0, 1, 2, 3, *range(10, 310))]
+    assert counts[0] == 304 and max(counts[1:]) <= 4
