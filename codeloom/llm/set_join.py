@@ -332,8 +332,13 @@ def crowded_pairs(rows: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame
     return a.join(b, meets).select("a", "b")
 
 
-def links(texts: DataFrame, index: DataFrame, common: np.ndarray, shingle: int = 5, cap: int = 64, like: Likeness = Likeness(), simhash: bool = False) -> DataFrame:
-    """Pairs (a, b) of set ids, enough of them to connect all that are alike; stored. With ``simhash``, ``index`` has fingerprints, whose pairs come first."""
+def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) of components after further links (a, b): what is linked already goes as one edge a node."""
+    return roots if more.isEmpty() else connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
+def set_classes(texts: DataFrame, index: DataFrame, common: np.ndarray, shingle: int = 5, cap: int = 64, like: Likeness = Likeness(), simhash: bool = False) -> DataFrame:
+    """(node, root) of all sets that are alike to another: the least set id that likenesses reach; stored. With ``simhash``, ``index`` has fingerprints, whose pairs come first."""
     likely = simhash_pairs(index) if simhash else None
     hits = shared_tiles(index, like)
     ranked = None
@@ -354,18 +359,18 @@ def links(texts: DataFrame, index: DataFrame, common: np.ndarray, shingle: int =
     wanted = materialise(compared.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct(), "wanted")
     sets = sets_of(texts, index, wanted, shingle)
     if likely is None:
-        found = verified(sets, rare, like)
+        roots = connected_components(verified(sets, rare, like))
     else:
-        linked = verified(sets, likely, like)
-        roots = connected_components(linked)
+        roots = connected_components(verified(sets, likely, like))
         of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
         open_pairs = rare.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True)))
-        found = materialise(linked.unionByName(verified(sets, open_pairs, like)), "links")
+        roots = joined(roots, verified(sets, open_pairs, like))
+    rows, seen = None, None
     for turn in range(ROUNDS + 1):
-        roots = connected_components(found).withColumnRenamed("node", "id")
-        now = materialise(members.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")), "crowded")
-        mixed = now.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-        rows = materialise(now.join(mixed, "key"), "crowded-classes")
+        if roots is not seen:
+            now = materialise(members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")), "crowded")
+            mixed = now.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
+            rows, seen = materialise(now.join(mixed, "key"), "crowded-classes"), roots
         if rows.isEmpty():
             break
         if turn < ROUNDS:
@@ -374,8 +379,8 @@ def links(texts: DataFrame, index: DataFrame, common: np.ndarray, shingle: int =
             pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
             pairs = crowded_pairs(rows, wide.join(sets.select("id", "bits"), "id"), like)
-        found = materialise(found.unionByName(verified(sets, pairs, like)), "links")
-    return found
+        roots = joined(roots, verified(sets, pairs, like))
+    return roots
 
 
 def similar_text_classes(docs: DataFrame, shingle: int = 5, cap: int = 64, like: Likeness = Likeness(), simhash: bool = False) -> DataFrame:
@@ -391,7 +396,7 @@ def similar_text_classes(docs: DataFrame, shingle: int = 5, cap: int = 64, like:
     with scope(docs.sparkSession) as kept:
         common = common_shingles(docs, shingle)
         index = prefixes(docs, shingle, common, like, simhash)
-        roots = connected_components(links(docs, index, common, shingle, cap, like, simhash)).withColumnRenamed("node", "set_id")
+        roots = set_classes(docs, index, common, shingle, cap, like, simhash).withColumnRenamed("node", "set_id")
         classes = materialise(index.select("doc_id", "set_id", "n").join(roots, "set_id", "left").select("doc_id", "set_id", "n", F.coalesce("root", "set_id").alias("class_id")), "classes")
         kept.append(classes)
     return classes

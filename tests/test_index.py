@@ -10,6 +10,7 @@ from codeloom.jobs import index as ix
 from codeloom.jobs.enrich import split_batches
 from codeloom.jobs.features import named_folders, next_folders
 from codeloom.jobs.ingest import scan
+from codeloom.operators import components
 from codeloom.operators.closure import closure
 from codeloom.operators.components import connected_components
 from codeloom.schema import make_edge, make_node
@@ -119,3 +120,22 @@ def test_components_that_do_not_settle_raise(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError):
         connected_components(edges, max_rounds=1)
+
+
+def test_rounds_of_few_edges_take_few_tasks(spark, monkeypatch):
+    """What a round writes goes by its edges, not by the session's number of partitions."""
+    files, own = [], components.checkpoint
+    monkeypatch.setattr(components, "checkpoint", lambda df: (files.append(len(own_files(out := own(df)))), out)[1])
+    own_files = lambda table: [n for n in os.listdir(table.scratch_path.removeprefix("file:")) if n.startswith("part-")]
+    edges = spark.createDataFrame([(i, i - i % 7) for i in range(300)] + [(0, 7)], "a long, b long")
+    wanted = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == {i: 0 if i < 14 else i - i % 7 for i in range(300)}
+    assert len(files) >= 3 and max(files[1:]) <= spark.sparkContext.defaultParallelism
