@@ -1,10 +1,12 @@
 """Exact answers on a hand-made graph of a bakery, and on small graphs with cycles and odd edges."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom import graph
 from codeloom.graph import SourceGraph
 from codeloom.operators import closure as cl
 from codeloom.operators import lookups as lk
@@ -246,3 +248,21 @@ def test_only_parents_are_followed_to_their_ancestors(spark, monkeypatch):
     found = got(nearest_ancestors(kinds, parents, "kind = 'Package'"), "id", "ancestor")
     assert found == [(i, 0) for i in (0, 1, 2, 3, *range(10, 310))]
     assert counts[0] == 304 and max(counts[1:]) <= 4
+
+
+@pytest.mark.parametrize("name", ["fields_of"])
+def test_joins_are_dealt_by_nodes_and_edges(spark, monkeypatch, name):
+    """Rows beyond the session's partitions get more tasks, and the rows found stay the same."""
+    nodes = [make_node(1, "Class", "A"), *(make_node(i, "Method", f"m{i}") for i in range(10, 40)), *(make_node(i, "Field", f"f{i}") for i in range(50, 60))]
+    held = [(1, i) for i in (*range(10, 40), *range(50, 60))]
+    reads = [(i, 50 + i % 7) for i in range(10, 40)]
+    edges = [make_edge(i, kind, *ends) for i, (kind, ends) in enumerate([("Contains", e) for e in held] + [("Reads", e) for e in reads])]
+    g = SourceGraph.of_rows(spark, nodes, edges)
+    run = {"fields_of": lambda: nb.fields_of(g, g.nodes), "lcom": lambda: mt.lcom(g)}[name]
+    want = sorted(map(tuple, run().collect()))
+    monkeypatch.setattr(graph, "JOIN_ROWS", 5)
+    many = g.tasks(*(("Contains",) if name == "fields_of" else ("Contains", "Reads", "Writes")))
+    found = run()
+    assert sorted(map(tuple, found.collect())) == want and want and many > 8
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert len(re.findall(rf"hashpartitioning\([^)]*, {many}\), REPARTITION_BY_NUM", plan)) >= 4
