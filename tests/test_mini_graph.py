@@ -250,7 +250,7 @@ def test_only_parents_are_followed_to_their_ancestors(spark, monkeypatch):
     assert counts[0] == 304 and max(counts[1:]) <= 4
 
 
-@pytest.mark.parametrize("name", ["fields_of"])
+@pytest.mark.parametrize("name", ["fields_of", "lcom"])
 def test_joins_are_dealt_by_nodes_and_edges(spark, monkeypatch, name):
     """Rows beyond the session's partitions get more tasks, and the rows found stay the same."""
     nodes = [make_node(1, "Class", "A"), *(make_node(i, "Method", f"m{i}") for i in range(10, 40)), *(make_node(i, "Field", f"f{i}") for i in range(50, 60))]
