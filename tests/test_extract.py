@@ -372,3 +372,27 @@ def test_files_are_cut_in_one_pass(spark):
     many = pa.Table.from_batches(enclosed_by_file([whole.slice(i, 1) for i in range(len(rows))])).to_pylist()
     assert one == many and len(one) == 10 and set(KEPT) <= set(one[0])
     assert [r["end"] for r in one[:5]] == [3, 2, 2, 3, 4] and [len(r["scope"]) for r in one[:5]] == [0, 1, 2, 1, 0]
+
+
+def test_files_are_dealt_once_and_edges_found_once(spark):
+    """Statements get their scopes without a second shuffle or a sort, and numbering edges doesn't find them again."""
+    from codeloom.jobs.extract import scoped_statements
+
+    files = spark.createDataFrame([("a.go", GO, "go", "h")], "path string, content string, ext string, hash string")
+    plan = scoped_statements(files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Sort" not in plan
+    plan = extract(files).edges._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" not in plan
+
+
+def test_simple_brackets_are_one_token(spark):
+    """Round brackets that hold no others come as one token, but for Go's groups, and statements are those of single tokens."""
+    from codeloom.jobs.statements import cut, tokens
+
+    text = "import (a)\nfunc (s T) F(a int) { g(h(1), 2); const (b) }\n"
+    for language, ext in (("Go", "go"), ("Rust", "rs"), ("TypeScript", "ts")):
+        files = spark.createDataFrame([("a", text, ext)], "path string, content string, ext string")
+        toks = tokens(files).first()["toks"]
+        single = [x for t in toks for x in (("(", t[1:-1], ")") if len(t) > 1 and t[0] == "(" else (t,)) if x]
+        assert "".join(toks) == text and "(s T)" in toks and ("(a)" in toks) == (ext != "go")
+        assert list(cut(language, toks)) == list(cut(language, single))
