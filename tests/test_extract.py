@@ -396,3 +396,18 @@ def test_simple_brackets_are_one_token(spark):
         single = [x for t in toks for x in (("(", t[1:-1], ")") if len(t) > 1 and t[0] == "(" else (t,)) if x]
         assert "".join(toks) == text and "(s T)" in toks and ("(a)" in toks) == (ext != "go")
         assert list(cut(language, toks)) == list(cut(language, single))
+
+
+def test_idle_statements_are_left_behind(spark):
+    """Statements of brackets alone count for scopes and ends and aren't stored; names are looked up without a sort."""
+    from codeloom.jobs.extract import scoped_statements, within_file
+
+    files = spark.createDataFrame([("A.java", "class A { int f() { { g(); } ; } int h() { } }\n", "java")], "path string, content string, ext string")
+    rows = scoped_statements(files).orderBy("at").collect()
+    assert [r["code"].strip() for r in rows] == ["class A {", "int f() {", "g();", "int h() {"]
+    assert [len(r["scope"]) for r in rows] == [0, 1, 2, 1]
+    refs = spark.createDataFrame([("a", "f", ["p"], ["A", "m"], ".", "this.f"), ("a", "g", ["p"], ["A", "m"], ".", "g"), ("a", "h", [], [], ".", "h")], "path string, owner string, head array<string>, names array<string>, separator string, target string")
+    named = spark.createDataFrame([("a", "p.f"), ("a", "p.A.f"), ("a", "p.A.m.g"), ("b", "h")], "path string, qualified_name string")
+    found = within_file(refs, named)
+    assert {(r["owner"], r["target"]) for r in found.collect()} == {("f", "p.A.f"), ("g", "p.A.m.g"), ("h", "h")}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
