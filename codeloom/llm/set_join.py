@@ -19,8 +19,9 @@ rank by their number, in a table that is joined, and the prefixes that hold one
 anew; so pages of one template meet nowhere unless they are nearly alike.
 
 A tile that more than ``cap`` sets still share isn't paired outright: first all of its
-sets are verified against one of them, twice, which links most of a dense group of near
-copies for a row each. What is then left in different classes is paired block by block, so
+sets outside its largest class are verified against one of that class, and again as long as
+that links a good part of them, so a dense group of near copies costs a few rows each however
+large it is. What is then left in different classes is paired block by block, so
 that no shingle is one task; of these pairs only those are kept, once each, that share
 enough crowded tiles and whose bitmaps allow it. No pair within the similarity is missed.
 
@@ -58,8 +59,8 @@ SLICE, HELD = 1 << 22, 3
 SHIPPED = 1 << 22
 #: Bits of a set's bitmap: a bit is set if a shingle's last bits are its number.
 BITS = 1024
-#: Rounds against one set of each crowded shingle before the rest is paired, and rows of a block of such a shingle.
-ROUNDS, BLOCK = 2, 1024
+#: Rounds at least against one set of each crowded shingle before the rest is paired, the part that a further one must have linked (one in so many), and rows of a block of such a shingle.
+ROUNDS, LINKED, BLOCK = 2, 4, 1024
 #: Times that the order is mended by counted ranks where shingles crowd the prefixes.
 MENDED = 2
 
@@ -332,6 +333,15 @@ def crowded_pairs(rows: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame
     return a.join(b, meets).select("a", "b")
 
 
+def star_pairs(rows: DataFrame, turn: int, like: Likeness) -> DataFrame:
+    """Pairs (a, b) of one set of each crowded tile's largest class, another each turn, with the tile's sets (key, id, n, root) of other classes, once each."""
+    one = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    classes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.min(one).alias("x"))
+    first = classes.groupBy("key").agg(F.max(F.struct("size", F.xxhash64("root", F.lit(turn)), "x")).alias("m")).select("key", "m.x.a", "m.x.n_a", "m.x.root_a")
+    met = first.join(rows.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), "key").filter((F.col("root_a") != F.col("root_b")) & like.sizes("n_a", "n_b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
     """(node, root) of components after further links (a, b): what is linked already goes as one edge a node."""
     return roots if more.isEmpty() else connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
@@ -365,22 +375,20 @@ def set_classes(texts: DataFrame, index: DataFrame, common: np.ndarray, shingle:
         of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
         open_pairs = rare.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True)))
         roots = joined(roots, verified(sets, open_pairs, like))
-    rows, seen = None, None
-    for turn in range(ROUNDS + 1):
+    rows, seen, turn, stars = None, None, 0, True
+    while True:
         if roots is not seen:
             now = materialise(members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")), "crowded")
             mixed = now.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
             rows, seen = materialise(now.join(mixed, "key"), "crowded-classes"), roots
         if rows.isEmpty():
-            break
-        if turn < ROUNDS:
-            first = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("id"), F.struct(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a")).alias("x"))).alias("m")).select("key", "m.x.*")
-            met = first.join(rows.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), "key").filter((F.col("root_a") != F.col("root_b")) & like.sizes("n_a", "n_b"))
-            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
-            pairs = crowded_pairs(rows, wide.join(sets.select("id", "bits"), "id"), like)
-        roots = joined(roots, verified(sets, pairs, like))
-    return roots
+            return roots
+        if not stars:
+            return joined(roots, verified(sets, crowded_pairs(rows, wide.join(sets.select("id", "bits"), "id"), like), like))
+        pairs = materialise(star_pairs(rows, turn, like), "pairs")
+        links = verified(sets, pairs, like)
+        roots, turn = joined(roots, links), turn + 1
+        stars = turn < ROUNDS or links.count() * LINKED > pairs.count()
 
 
 def similar_text_classes(docs: DataFrame, shingle: int = 5, cap: int = 64, like: Likeness = Likeness(), simhash: bool = False) -> DataFrame:

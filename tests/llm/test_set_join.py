@@ -158,3 +158,23 @@ def test_bitmaps_bound_a_pair_in_code_that_the_jvm_compiles(spark):
     assert {r["i"] for r in near.collect()} == want and 0 < len(want) < 60
     code = spark._jvm.PythonSQLUtils.explainString(near._jdf.queryExecution(), "codegen")
     assert 0 < max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
+
+
+def test_dense_groups_are_linked_by_a_few_rows_each(spark, monkeypatch):
+    """What is compared of a large group of near copies grows with its rows, and with fingerprints first no class is lost."""
+    compared = []
+    monkeypatch.setattr(set_join, "verified", lambda sets, pairs, like, own=set_join.verified: (compared.append(pairs.count()), own(sets, pairs, like))[1])
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, altered(words, 1, i)) for i in range(150)] + [(1000 + i, altered(words, 7, i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = similar_text_classes(df, cap=8, simhash=True).groupBy("class_id").agg({"doc_id": "min"}).collect()
+    assert sorted(r[1] for r in classes) == slow_kept(rows)
+    assert sum(compared) < 8 * len(rows)
+
+
+def test_a_star_leaves_out_the_largest_class(spark):
+    """In a round a tile's sets outside its largest class meet one of that class; before, all met one of any class."""
+    rows = spark.createDataFrame([(1, i, 100, 7) for i in range(50)] + [(1, 100 + i, 100, 100 + i) for i in range(4)], "key long, id long, n int, root long")
+    for turn in range(4):
+        pairs = [tuple(r) for r in set_join.star_pairs(rows, turn, Likeness()).collect()]
+        assert {b for _, b in pairs} == {100, 101, 102, 103} and len({a for a, _ in pairs}) == 1 and len(pairs) == 4
